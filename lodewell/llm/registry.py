@@ -9,6 +9,7 @@ from importlib import import_module
 MODULES = {
     "op1_fingerprints": "op1_fingerprints",
     "op7_packing": "op7_packing",
+    "op10_language": "op10_language",
 }
 
 
