@@ -8,6 +8,7 @@ from importlib import import_module
 #: Query name and the module that holds it; a module may have ORACLE_SQL.
 MODULES = {
     "op1_fingerprints": "op1_fingerprints",
+    "op2_quality": "op2_quality",
     "op7_packing": "op7_packing",
     "op10_language": "op10_language",
 }
