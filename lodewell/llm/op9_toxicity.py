@@ -29,9 +29,9 @@ SAMPLE, TERMS = 20_000, 400
 #: Letters from which on a term may be misspelled, words on each side of a hit that are its context.
 FUZZY_LENGTH, CONTEXT = 5, 6
 THRESHOLD = 0.3
-#: Prior weights of the base and of the logarithms of counts: terms no clean training text has, other terms and
-#: misspelled ones, quoted ones, hits close together.
-PRIOR, SPREAD = np.array([-4.0, 5.0, 3.5, 0.5, 1.0]), np.array([4.0, 2.0, 0.7, 0.7, 1.0])
+#: Prior weights and their spreads: what holds of a text without hits, with a strong term, with weaker hits alone, with
+#: quoted hits alone; then, for each doubling, of strong terms, of weaker hits, and of hits close together.
+PRIOR, SPREAD = np.array([-4.0, 2.0, 0.5, -2.5, 1.5, 1.5, 0.7]), np.array([4.0, 2.0, 1.5, 1.5, 1.0, 1.0, 1.0])
 
 _QUOTES = "\"'`“”„‟«»‹›‘’‚‛「」『』"
 
@@ -191,7 +191,9 @@ def hit_counts(texts: list, machine: dict, innocent: set) -> tuple[np.ndarray, l
 
 
 def design(counts: np.ndarray) -> np.ndarray:
-    return np.hstack([np.ones((len(counts), 1)), np.log2(1 + counts)])
+    strong, weak, cited, close = counts.T
+    only = [(strong + weak + cited) == 0, strong > 0, (strong == 0) & (weak > 0), (strong + weak == 0) & (cited > 0)]
+    return np.stack([*only, np.log2(np.maximum(1, strong)), np.log2(np.maximum(1, weak)), np.log2(1 + close)], axis=1).astype(float)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
