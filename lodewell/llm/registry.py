@@ -10,6 +10,7 @@ MODULES = {
     "op1_fingerprints": "op1_fingerprints",
     "op2_quality": "op2_quality",
     "op5_decontamination": "op5_decontamination",
+    "op6_jaccard": "op6_jaccard",
     "op7_packing": "op7_packing",
     "op9_toxicity": "op9_toxicity",
     "op10_language": "op10_language",
