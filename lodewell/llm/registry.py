@@ -9,6 +9,7 @@ from importlib import import_module
 MODULES = {
     "op1_fingerprints": "op1_fingerprints",
     "op2_quality": "op2_quality",
+    "op3_sharding": "op3_sharding",
     "op4_tool_calls": "op4_tool_calls",
     "op5_decontamination": "op5_decontamination",
     "op6_jaccard": "op6_jaccard",
