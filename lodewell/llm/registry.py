@@ -14,6 +14,7 @@ MODULES = {
     "op5_decontamination": "op5_decontamination",
     "op6_jaccard": "op6_jaccard",
     "op7_packing": "op7_packing",
+    "op8_url_filter": "op8_url_filter",
     "op9_toxicity": "op9_toxicity",
     "op10_language": "op10_language",
 }
