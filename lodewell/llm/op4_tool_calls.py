@@ -106,9 +106,11 @@ def positioned(messages: DataFrame) -> DataFrame:
 def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
     """conv_id, turn, position, level, kind, call_id, status, problems, line: a row for each message."""
     messages = written(positioned(ordered(messages)), "messages")
-    called = messages.where("kind = 'call'").select("call_id").distinct().withColumn("called", F.lit(True))
-    answered = messages.where("kind = 'result'").select("call_id").distinct().withColumn("answered", F.lit(True))
-    linked = messages.join(called.hint("shuffle_hash"), "call_id", "left").join(answered.hint("shuffle_hash"), "call_id", "left")
+    called = messages.where("kind = 'call' AND call_id IS NOT NULL").select("call_id").distinct().withColumn("called", F.lit(True))
+    answered = messages.where("kind = 'result' AND call_id IS NOT NULL").select("call_id").distinct().withColumn("answered", F.lit(True))
+    # messages without an identifier match nothing: keys of their own keep them from meeting in one task
+    key = F.coalesce("call_id", F.concat(F.lit("none "), F.xxhash64("conv_id", "turn", "position").cast("string")))
+    linked = messages.withColumn("key", key).join(called.withColumnRenamed("call_id", "key").hint("shuffle_hash"), "key", "left").join(answered.withColumnRenamed("call_id", "key").hint("shuffle_hash"), "key", "left")
     status = F.when((F.col("kind") == "call") & (F.col("level") < 0), "cycle").when(F.col("kind") == "call", F.when(F.col("answered"), "linked").otherwise("unanswered"))
     status = status.when(F.col("kind") == "result", F.when(F.col("called"), "linked").otherwise("orphan")).otherwise("message")
     quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1), F.lit("null"))

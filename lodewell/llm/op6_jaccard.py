@@ -38,6 +38,8 @@ TILE_SETS, TILE_HASHES = 512, 500_000
 FILTER_BITS = 1 << 27
 
 _WORD = lookup(lambda c: c != 32 and not 9 <= c <= 13)
+#: Shifts of the 64-bit hash that a filter's three places are taken from.
+_PROBES = (0, 18, 36)
 _ODD = [np.uint64(x | 1) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
 
@@ -134,19 +136,22 @@ def signed_sets(docs: DataFrame, words: int, percent: int, seed: int) -> DataFra
 
 
 def bit_filter(values: DataFrame, count: int) -> tuple[int, np.ndarray]:
-    """(bits - 1, words) of a filter that holds every value of the only column, at most FILTER_BITS bits: 16 MB on the driver."""
+    """(bits - 1, words) of a Bloom filter of the only column: 16 bits a value, at most FILTER_BITS, so 16 MB on the driver."""
     bits = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (16 * count).bit_length()))
-    name = values.columns[0]
-    at = F.xxhash64(name).bitwiseAND(F.lit(bits - 1))
+    hashed = F.xxhash64(values.columns[0])
+    probes = F.explode(F.array(*[F.shiftright(hashed, shift).bitwiseAND(F.lit(bits - 1)) for shift in _PROBES]))
     words = np.zeros(bits >> 6, np.uint64)
-    for row in values.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("set")).toLocalIterator():
+    for row in values.select(probes.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("set")).toLocalIterator():
         words[row["word"]] = np.uint64(row["set"] & 0xFFFFFFFFFFFFFFFF)
     return bits - 1, words
 
 
 def in_filter(filter_: tuple[int, np.ndarray], hashed: np.ndarray) -> np.ndarray:
-    at = hashed & filter_[0]
-    return ((filter_[1][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+    found = np.ones(len(hashed), bool)
+    for shift in _PROBES:
+        at = (hashed >> shift) & filter_[0]
+        found &= ((filter_[1][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+    return found
 
 
 def candidate_edges(sets: DataFrame) -> DataFrame:
@@ -270,22 +275,19 @@ def verified_links(tiled: DataFrame, percent: int) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
-    """(set_id, hashes) of the wanted sets (set_id, rid), computed again from the texts of the documents `rid`."""
-    spark = docs.sparkSession
-    ids = wanted.select("rid")
-    shared = spark.sparkContext.broadcast(bit_filter(ids, wanted.count()))
+    """(set_id, hashes) of the wanted sets (set_id, rid), and of a few others, computed again from the texts of the documents `rid`."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select("rid"), wanted.count()))
 
     def run(batches):
         for batch in batches:
-            some = batch.filter(pa.array(in_filter(shared.value, batch.column(2).to_numpy(zero_copy_only=False))))
+            some = batch.filter(pa.array(in_filter(shared.value, batch.column(1).to_numpy(zero_copy_only=False))))
             for part in chunks(some):
-                sets = sets_of(part.column(1), words, seed)
+                sets = sets_of(part.column(0), words, seed)
                 ids = np.array([mix(s ^ _ODD[3]).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "set_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "hashes"])
 
-    found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("hashed")).mapInArrow(run, "doc_id long, set_id long, hashes binary")
-    named = found.join(wanted.withColumnRenamed("set_id", "id"), (F.col("doc_id").eqNullSafe(F.col("rid"))) & (F.col("set_id") == F.col("id")))
-    return named.groupBy("set_id").agg(F.first("hashes").alias("hashes"))
+    found = docs.select("text", F.xxhash64("doc_id").alias("hashed")).mapInArrow(run, "set_id long, hashes binary")
+    return found.groupBy("set_id").agg(F.first("hashes").alias("hashes"))
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
