@@ -1 +1,175 @@
-"""placeholder"""
+"""Graph queries: pressing orders link customers; orders link parts; vectors link their neighbours."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodewell.catalog import register
+from lodewell.operators import graph as G
+from lodewell.sources.tables import table, vectors
+
+#: customer -> customer edges of a directed graph, one for each pressing order that is under way.
+_EDGES = """edges AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 5 + o_orderkey * 3) % 1500 AS dst FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey <> (o_custkey * 5 + o_orderkey * 3) % 1500)"""
+
+
+def edges(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+    dst = (F.col("o_custkey") * 5 + F.col("o_orderkey") * 3) % 1500
+    return orders.select(F.col("o_custkey").alias("src"), dst.alias("dst")).where("src <> dst").distinct()
+
+
+@register(
+    "degree_stats",
+    f"""WITH {_EDGES}, d AS (SELECT c_custkey AS node, (SELECT count(*) FROM edges WHERE dst = c_custkey) AS inbound, (SELECT count(*) FROM edges WHERE src = c_custkey) AS outbound FROM customer)
+SELECT count(*) AS nodes, sum(inbound) AS links, round(avg(inbound), 4) AS mean, count(*) FILTER (WHERE inbound = 0 AND outbound = 0) AS orphans, max(inbound) AS most FROM d""",
+)
+def degree_stats(spark, sf_dir):
+    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
+    found = G.degrees(edges(spark, sf_dir), nodes).join(nodes, "node", "left_semi")
+    return found.agg(F.count("*").alias("nodes"), F.sum("inbound").alias("links"), F.round(F.avg("inbound"), 4).alias("mean"), F.count_if((F.col("inbound") == 0) & (F.col("outbound") == 0)).alias("orphans"), F.max("inbound").alias("most"))
+
+
+@register("orphan_listing", f"WITH {_EDGES} SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM edges WHERE dst = c_custkey) ORDER BY c_acctbal DESC, c_custkey LIMIT 50")
+def orphan_listing(spark, sf_dir):
+    linked = edges(spark, sf_dir).select(F.col("dst").alias("c_custkey")).distinct()
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").join(linked, "c_custkey", "left_anti").orderBy(F.desc("c_acctbal"), "c_custkey").limit(50)
+
+
+@register(
+    "bridge_nodes",
+    """WITH o AS (SELECT DISTINCT l_suppkey, n_regionkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
+SELECT l_suppkey, count(*) AS regions, string_agg(n_regionkey, ',' ORDER BY n_regionkey) AS names FROM o GROUP BY 1 HAVING count(*) >= 2""",
+)
+def bridge_nodes(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    place = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "n_regionkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(place, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), "n_regionkey")
+    pairs = items.join(orders, "l_orderkey").select("l_suppkey", "n_regionkey").distinct()
+    grouped = pairs.groupBy("l_suppkey").agg(F.count("*").alias("regions"), F.sort_array(F.collect_list("n_regionkey")).alias("names"))  # regions are five
+    return grouped.where("regions >= 2").select("l_suppkey", "regions", F.array_join(F.transform("names", lambda n: n.cast("string")), ",").alias("names"))
+
+
+@register(
+    "khop_neighbourhood",
+    f"""WITH RECURSIVE {_EDGES}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), w AS (SELECT 7 AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM w JOIN both_ways ON src = node WHERE hops < 3)
+SELECT node, min(hops) AS hops FROM w GROUP BY node""",
+)
+def khop_neighbourhood(spark, sf_dir):
+    seed = spark.range(1).select(F.lit(7).cast("long").alias("node"))
+    return G.reach(G.both_ways(edges(spark, sf_dir)), seed, 3)
+
+
+@register(
+    "change_impact",
+    f"""WITH RECURSIVE {_EDGES}, w AS (SELECT 7 AS node, 0 AS hops UNION SELECT src, hops + 1 FROM w JOIN edges ON dst = node WHERE hops < 5)
+SELECT node, min(hops) AS hops FROM w GROUP BY node HAVING min(hops) > 0""",
+)
+def change_impact(spark, sf_dir):
+    return G.impact(edges(spark, sf_dir).select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst")), 7, 5).withColumn("node", F.col("node").cast("long"))
+
+
+@register(
+    "call_chain",
+    f"""WITH RECURSIVE {_EDGES}, start AS (SELECT min(src) AS a FROM edges), w AS (SELECT a AS node, [a] AS path FROM start UNION ALL SELECT dst, list_append(path, dst) FROM w JOIN edges ON src = node WHERE len(path) < 4 AND NOT list_contains(path, dst)),
+best AS (SELECT node, path FROM w WHERE len(path) = 4 AND node NOT IN (SELECT node FROM w WHERE len(path) < 4)), target AS (SELECT max(node) AS t FROM best)
+SELECT array_to_string(min(path), '>') AS path, 3 AS length FROM best, target WHERE node = t HAVING count(*) > 0""",
+)
+def call_chain(spark, sf_dir):
+    rows = G.cut(edges(spark, sf_dir).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")))
+    start = rows.agg(F.min("src")).first()[0]
+    if start is None:
+        return spark.range(0).select(F.lit("").alias("path"), F.lit(0).alias("length"))
+    seed = spark.range(1).select(F.lit(start).alias("node"))
+    far = G.reach(rows, seed, 3).where("hops = 3").agg(F.max("node")).first()[0]
+    found = G.call_chain(rows, start, far if far is not None else start, 3)
+    return found.where("length = 3").select(F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"), "length")
+
+
+@register(
+    "connected_components",
+    f"""WITH RECURSIVE {_EDGES}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), w AS (SELECT DISTINCT src AS node, src AS root FROM both_ways UNION SELECT dst, root FROM w JOIN both_ways ON src = node WHERE dst > root)
+SELECT component, count(*) AS size FROM (SELECT node, min(root) AS component FROM w GROUP BY node) GROUP BY component""",
+)
+def connected_components(spark, sf_dir):
+    return G.components(edges(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("size"))
+
+
+@register("import_cycles_scc")
+def import_cycles_scc(spark, sf_dir):
+    return G.strong_components(edges(spark, sf_dir)).select("node", "component", "size")
+
+
+@register("personalised_pagerank")
+def personalised_pagerank(spark, sf_dir):
+    links = edges(spark, sf_dir)
+    none = links.limit(0)
+    graph = G.recall_graph(links, none, none.withColumn("score", F.lit(0.0)))
+    seeds = spark.range(10).select((F.col("id") * 7).alias("node"))
+    scores = G.personalised_pagerank(graph, seeds)
+    return scores.select("node", F.round("score", 8).alias("score")).orderBy(F.desc("score"), "node").limit(100)
+
+
+@register("louvain_communities")
+def louvain_communities(spark, sf_dir):
+    rows = edges(spark, sf_dir).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    found = G.communities(rows)
+    return found.groupBy("community").agg(F.count("*").alias("size"), F.round(F.max("modularity"), 6).alias("modularity"))
+
+
+@register(
+    "recall_graph_weights",
+    f"""WITH {_EDGES}, raw AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, 1.0 AS w FROM edges UNION ALL SELECT least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey), 0.7 FROM lineitem WHERE l_partkey <> l_suppkey)
+SELECT round(least(2.0, w), 2) AS w, count(*) AS edges FROM (SELECT src, dst, sum(w) AS w FROM raw GROUP BY 1, 2) GROUP BY 1""",
+)
+def recall_graph_weights(spark, sf_dir):
+    links = edges(spark, sf_dir)
+    mentions = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    graph = G.recall_graph(links, mentions, links.limit(0).withColumn("score", F.lit(0.0)))
+    return graph.where("src < dst").groupBy(F.round("w", 2).alias("w")).agg(F.count("*").alias("edges"))
+
+
+@register(
+    "co_recall_update",
+    """WITH e AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_partkey) AS place FROM lineitem GROUP BY l_orderkey, l_partkey QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_partkey) <= 4)
+SELECT w, count(*) AS pairs FROM (SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS w FROM e a JOIN e b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2) GROUP BY w""",
+)
+def co_recall_update(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("line"))
+    events = items.groupBy(F.col("l_orderkey").alias("event_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "l_partkey"))), lambda s: s["l_partkey"]).alias("paths"))  # an order has seven lines
+    graph = G.co_recall(events, 4, 1 << 30)
+    return graph.where("src < dst").groupBy(F.col("w").cast("long").alias("w")).agg(F.count("*").alias("pairs"))
+
+
+@register(
+    "taxonomy_rollup",
+    "SELECT coalesce(r_name, 'all') AS wing, coalesce(n_name, 'all') AS room, count(c_custkey) AS drawers, count(*) FILTER (WHERE c_acctbal > 5000) AS hot FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY ROLLUP (r_name, n_name)",
+)
+def taxonomy_rollup(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    rolled = rows.rollup("r_name", "n_name").agg(F.count("*").alias("drawers"), F.count_if(F.col("c_acctbal") > 5000).alias("hot"))
+    return rolled.select(F.coalesce("r_name", F.lit("all")).alias("wing"), F.coalesce("n_name", F.lit("all")).alias("room"), "drawers", "hot")
+
+
+@register(
+    "tunnels",
+    "SELECT c_mktsegment AS room, count(DISTINCT n_regionkey) AS wings, count(*) AS drawers FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1 HAVING count(DISTINCT n_regionkey) >= 2 ORDER BY drawers DESC, room LIMIT 20",
+)
+def tunnels(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return rows.groupBy(F.col("c_mktsegment").alias("room")).agg(F.countDistinct("n_regionkey").alias("wings"), F.count("*").alias("drawers")).where("wings >= 2").orderBy(F.desc("drawers"), "room").limit(20)
+
+
+@register(
+    "synonym_edges",
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS src, d.vec_id AS dst, round(list_dot_product(q.e, d.e), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e, d.e), 6) DESC, d.vec_id) AS place FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0)
+SELECT src, dst, round(0.5 * score, 4) AS w FROM s WHERE place <= 8 AND score >= 0.2""",
+)
+def synonym_edges(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from lodewell.operators.retrieval import search_in_blocks
+
+    rows = vectors(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    near = search_in_blocks(rows, rows.where("vec_id % 20 = 0")).withColumn("place", place).where("place <= 8 AND score >= 0.2")
+    return near.select(F.col("query").alias("src"), F.col("vec_id").alias("dst"), F.round(0.5 * F.col("score"), 4).alias("w"))

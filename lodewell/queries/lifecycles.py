@@ -1 +1,150 @@
-"""placeholder"""
+"""Lifecycle queries: documents are notes, the event stream is their access log (user_id names the note)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lodewell.catalog import register
+from lodewell.functions import scoring as S
+from lodewell.functions import text as T
+from lodewell.operators import lifecycle as L
+from lodewell.sources.tables import NOTES_SQL, notes, table
+
+_USE = f"""{NOTES_SQL}, u AS (
+  SELECT doc_id, n_chars, title, content, tags, doc_id % 120 AS days_updated, date_diff('day', CAST(max(ts) AS DATE), DATE '2024-03-01') AS days, count(event_id) AS accesses, count(DISTINCT event_type) AS inbound,
+         ['critical', 'high', 'medium', 'low'][CAST(doc_id % 4 AS INTEGER) + 1] AS importance, max(ts) AS last_access
+  FROM notes LEFT JOIN events ON user_id = doc_id GROUP BY ALL), h AS (
+  SELECT *, (CASE WHEN days_updated <= 1 THEN 1 ELSE 0 END + CASE WHEN days_updated <= 7 THEN 1 ELSE 0 END + CASE WHEN days_updated <= 30 THEN 1 ELSE 0 END + CASE WHEN days_updated <= 90 THEN 1 ELSE 0 END
+    + CASE WHEN days <= 1 THEN 1 ELSE 0 END + CASE WHEN days <= 7 THEN 1 ELSE 0 END + CASE WHEN days <= 30 THEN 1 ELSE 0 END
+    + CASE WHEN accesses >= 1 THEN 1 ELSE 0 END + CASE WHEN accesses >= 5 THEN 1 ELSE 0 END + CASE WHEN accesses >= 10 THEN 1 ELSE 0 END
+    + CASE WHEN inbound >= 1 THEN 1 ELSE 0 END + CASE WHEN inbound >= 3 THEN 1 ELSE 0 END + CASE WHEN inbound >= 6 THEN 1 ELSE 0 END) AS heat_score FROM u), t AS (
+  SELECT *, CASE WHEN heat_score >= 10 THEN 'hot' WHEN heat_score >= 4 THEN 'warm' ELSE 'cold' END AS temperature FROM h)"""
+_ROI = "600 * exp(-0.05 * days) * (1 + 0.1 * least(accesses, 50)) * 3 * CASE importance WHEN 'critical' THEN 2.0 WHEN 'high' THEN 1.5 WHEN 'medium' THEN 1.0 ELSE 0.5 END - (ceil(n_chars / 4.0) + 50)"
+
+
+def used(spark, sf_dir):
+    """Notes with their use until 2024-03-01; the access log is summed up before it is joined."""
+    log = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").alias("accesses"), F.countDistinct("event_type").alias("inbound"), F.max("ts").alias("last_access"))
+    importance = F.element_at(F.array(*map(F.lit, ["critical", "high", "medium", "low"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = notes(spark, sf_dir).drop("heat").join(log, "doc_id", "left").withColumn("accesses", F.coalesce("accesses", F.lit(0))).withColumn("inbound", F.coalesce("inbound", F.lit(0)))
+    rows = rows.withColumn("importance", importance).withColumn("days_updated", F.col("doc_id") % 120).withColumn("days", F.datediff(F.lit("2024-03-01").cast("date"), F.col("last_access").cast("date")))
+    rows = rows.withColumn("heat_score", S.heat_score(F.col("days_updated"), F.col("days"), F.col("accesses"), F.col("inbound")))
+    return rows.withColumn("temperature", S.temperature(F.col("heat_score")))
+
+
+@register("heat_score", f"WITH {_USE} SELECT doc_id, heat_score, temperature FROM t")
+def heat_score(spark, sf_dir):
+    return used(spark, sf_dir).select("doc_id", "heat_score", "temperature")
+
+
+@register(
+    "heat_decay",
+    f"WITH {_USE} SELECT doc_id, round(greatest(0, heat_score - CASE WHEN days > 30 THEN 2 WHEN days > 7 THEN 1 ELSE 0 END * CASE importance WHEN 'critical' THEN 0.25 WHEN 'high' THEN 0.5 WHEN 'medium' THEN 1.0 ELSE 1.5 END), 4) AS decayed FROM t",
+)
+def heat_decay(spark, sf_dir):
+    return used(spark, sf_dir).select("doc_id", F.round(S.decayed(F.col("heat_score"), F.col("days"), F.col("importance")), 4).alias("decayed"))
+
+
+@register("roi_demotion", f"WITH {_USE} SELECT doc_id, round({_ROI}, 2) AS roi FROM t WHERE days >= 30 AND {_ROI} < 0 ORDER BY roi, doc_id LIMIT 100")
+def roi_demotion(spark, sf_dir):
+    roi = S.roi(F.col("days"), F.col("accesses"), F.col("importance"), F.col("n_chars"))
+    rows = used(spark, sf_dir).where("days >= 30").withColumn("roi", roi).where("roi < 0")
+    return rows.select("doc_id", F.round("roi", 2).alias("roi")).orderBy("roi", "doc_id").limit(100)
+
+
+@register(
+    "archive_candidates",
+    f"WITH {_USE}, p AS (SELECT doc_id, CASE WHEN coalesce(temperature = 'cold' AND date_diff('day', CAST(last_access AS DATE), DATE '2024-06-01') > 90, false) THEN CASE WHEN doc_id % 3 = 0 OR list_contains(tags, 'src4') THEN 'archive' ELSE 'skip' END ELSE 'keep' END AS plan FROM t) SELECT plan, count(*) AS n, sum(doc_id) AS ids FROM p GROUP BY 1",
+)
+def archive_candidates(spark, sf_dir):
+    rows = used(spark, sf_dir).withColumn("merged", F.col("doc_id") % 3 == 0).withColumn("templated", F.array_contains("tags", "src4"))
+    return L.archive_plan(rows, F.lit("2024-06-01").cast("date")).groupBy("plan").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@register("promote_candidates", f"WITH {_USE} SELECT doc_id, accesses FROM t WHERE accesses >= 5 AND days <= 32 ORDER BY accesses DESC, doc_id LIMIT 50")
+def promote_candidates(spark, sf_dir):
+    return used(spark, sf_dir).where("accesses >= 5 AND days <= 32").select("doc_id", "accesses").orderBy(F.desc("accesses"), "doc_id").limit(50)
+
+
+@register(
+    "vault_health",
+    f"""WITH {_USE}, b AS (SELECT count(*) AS notes, avg(CAST(len(tags) > 0 AS INTEGER)) AS tag_coverage, avg(inbound) AS link_density, avg(CAST(inbound = 0 AS INTEGER)) AS orphan_ratio, avg(heat_score) AS avg_heat,
+  avg(CAST(temperature = 'hot' AS INTEGER)) AS hot, avg(CAST(temperature = 'warm' AS INTEGER)) AS warm, avg(CAST(temperature = 'cold' AS INTEGER)) AS cold FROM t),
+s AS (SELECT *, least(100, greatest(0, 100 * (0.25 * tag_coverage + 0.25 * least(1, link_density / 3) + 0.25 * (1 - orphan_ratio) + 0.15 * least(1, avg_heat / 8) + 0.1 * (1 - (abs(hot - 0.2) + abs(warm - 0.3) + abs(cold - 0.5)) / 2)))) AS raw FROM b)
+SELECT notes, round(tag_coverage, 4) AS tag_coverage, round(link_density, 4) AS link_density, round(orphan_ratio, 4) AS orphan_ratio, round(avg_heat, 4) AS avg_heat, round(hot, 4) AS hot, round(warm, 4) AS warm, round(cold, 4) AS cold,
+  round(raw, 2) AS score, CASE WHEN raw >= 85 THEN 'A' WHEN raw >= 70 THEN 'B' WHEN raw >= 55 THEN 'C' WHEN raw >= 40 THEN 'D' ELSE 'F' END AS grade FROM s""",
+)
+def vault_health(spark, sf_dir):
+    rows = used(spark, sf_dir).withColumn("links", F.col("inbound")).withColumn("heat", F.col("heat_score"))
+    found = L.health(rows)
+    return found.select("notes", *[F.round(c, 4).alias(c) for c in ("tag_coverage", "link_density", "orphan_ratio", "avg_heat", "hot", "warm", "cold")], "score", "grade")
+
+
+@register(
+    "category_inference",
+    """SELECT category, source, count(*) AS n FROM (SELECT CASE WHEN role = 'system' THEN 'task' WHEN regexp_matches(text, '(?i)\\b(decided|decision|we chose|agreed)\\b') THEN 'decision' WHEN regexp_matches(text, '(?i)\\b(prefers?|i like|rather than|favou?rite)\\b') THEN 'preference'
+  WHEN regexp_matches(text, '(?i)\\b(todo|must|need to|deadline)\\b') THEN 'task' WHEN regexp_matches(text, '(?i)\\b(project|milestone|roadmap|release)\\b') THEN 'project' WHEN regexp_matches(text, '(?i)\\b(is located|was founded|the the|consists of)\\b') THEN 'fact' ELSE 'general' END AS category,
+  CASE WHEN role = 'system' THEN 'type' WHEN regexp_matches(text, '(?i)\\b(decided|decision|we chose|agreed|prefers?|i like|rather than|favou?rite|todo|must|need to|deadline|project|milestone|roadmap|release|is located|was founded|the the|consists of)\\b') THEN 'keywords' ELSE 'default' END AS source FROM conversations) GROUP BY 1, 2""",
+)
+def category_inference(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("role") == "system", "task")
+    name, source = L.category(F.lit(None).cast("string"), kind, F.lit(""), F.col("text"))
+    return rows.groupBy(name.alias("category"), source.alias("source")).agg(F.count("*").alias("n"))
+
+
+@register(
+    "hebbian_decay",
+    """WITH p AS (SELECT user_id AS node, event_type AS other, count(*) AS w, date_diff('day', CAST(max(ts) AS DATE), DATE '2024-03-01') AS days FROM events GROUP BY 1, 2)
+SELECT node, other, round(w * pow(0.98, days), 6) AS w FROM p WHERE w * pow(0.98, days) >= 0.05""",
+)
+def hebbian_decay(spark, sf_dir):
+    pairs = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("node"), F.col("event_type").alias("other")).agg(F.count("*").alias("n"), F.datediff(F.lit("2024-03-01").cast("date"), F.max("ts").cast("date")).alias("days"))
+    kept = F.col("n") * F.pow(F.lit(0.98), F.when(F.col("days") >= 1, F.col("days")).otherwise(0))
+    return pairs.withColumn("w", kept).where("w >= 0.05").select("node", "other", F.round("w", 6).alias("w"))
+
+
+@register(
+    "keep_last_fold_week",
+    """WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events)
+SELECT user_id, isoyear(ts) || '-W' || lpad(CAST(weekofyear(ts) AS VARCHAR), 2, '0') AS week, count(*) AS n, min(event_id) AS first FROM r WHERE place > 5 GROUP BY 1, 2""",
+)
+def keep_last_fold_week(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("key"), "ts")
+    return L.keep_last(rows, "user_id", "ts", 5).groupBy("user_id", "week").agg(F.count("*").alias("n"), F.min("key").alias("first"))
+
+
+@register(
+    "token_budget_cut",
+    """WITH r AS (SELECT lang, doc_id, text, coalesce(sum(length(text)) OVER (PARTITION BY lang ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM documents)
+SELECT lang, doc_id, CAST(used AS BIGINT) AS used, length(substring(text, 1, CAST(3600 - used AS INTEGER))) AS kept_chars FROM r WHERE used < 3600""",
+)
+def token_budget_cut(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "text", "n_chars")
+    cut = L.budget_cut(docs, "lang", [F.col("n_chars"), F.col("doc_id")], "text", 900)
+    return cut.select("lang", "doc_id", F.col("used").cast("long").alias("used"), F.length("kept").cast("long").alias("kept_chars"))
+
+
+@register(
+    "staged_context",
+    f"WITH {NOTES_SQL} SELECT collection, doc_id, heat, substring(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 80) AS snippet, row_number() OVER (PARTITION BY collection ORDER BY heat DESC, doc_id) AS place FROM notes QUALIFY row_number() OVER (PARTITION BY collection ORDER BY heat DESC, doc_id) <= 5",
+)
+def staged_context(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("collection").orderBy(F.desc("heat"), "doc_id"))
+    top = notes(spark, sf_dir).withColumn("place", place).where("place <= 5")
+    return top.select("collection", "doc_id", "heat", T.snippet(F.col("content"), 80).alias("snippet"), "place")
+
+
+@register(
+    "dream_cycle_report",
+    f"""WITH {_USE}, d AS (SELECT *, greatest(0, heat_score - CASE WHEN days > 30 THEN 2 WHEN days > 7 THEN 1 ELSE 0 END * CASE importance WHEN 'critical' THEN 0.25 WHEN 'high' THEN 0.5 WHEN 'medium' THEN 1.0 ELSE 1.5 END) AS kept FROM t)
+SELECT count(*) AS notes, count(*) FILTER (WHERE kept < 4) AS cold, count(*) FILTER (WHERE kept < heat_score) AS decayed, count(*) FILTER (WHERE days >= 30 AND {_ROI} < 0) AS demote, count(*) FILTER (WHERE accesses >= 5 AND days <= 30) AS promote FROM d""",
+)
+def dream_cycle_report(spark, sf_dir):
+    return L.dream_report(used(spark, sf_dir).withColumn("heat", F.col("heat_score")).withColumn("length", F.col("n_chars")))
+
+
+@register("theme_detection", "SELECT least(lang, source) || '+' || greatest(lang, source) AS theme, count(*) AS size, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) >= 3")
+def theme_detection(spark, sf_dir):
+    return L.themes(notes(spark, sf_dir).select(F.col("doc_id").alias("key"), "tags"))

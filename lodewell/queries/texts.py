@@ -1 +1,109 @@
-"""placeholder"""
+"""Text-mining queries over conversations, documents and part names."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodewell.catalog import register
+from lodewell.functions import text as T
+from lodewell.operators import mining as M
+from lodewell.operators import relational as R
+from lodewell.sources.tables import NOTES_SQL, notes, table
+
+
+@register(
+    "turn_pairing",
+    """WITH g AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations)
+SELECT conv_id, min(turn) FILTER (WHERE role = 'user') AS turn, arg_min(text, turn) FILTER (WHERE role = 'user') AS user_text, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS assistant_text FROM g WHERE e > 0 GROUP BY conv_id, e""",
+)
+def turn_pairing(spark, sf_dir):
+    return M.turn_pairs(table(spark, sf_dir, "conversations"))
+
+
+@register(
+    "preference_mining",
+    """WITH f AS (SELECT conv_id, turn, 'like' AS kind, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\bI (?:really )?(?:like|love|enjoy|prefer) ([^.!?\\n]{5,120})', 1), lambda p: trim(p)))) AS phrase FROM conversations
+UNION ALL SELECT conv_id, turn, 'rule', unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b(?:always|never) ([^.!?\\n]{5,120})', 1), lambda p: trim(p)))) FROM conversations
+UNION ALL SELECT conv_id, turn, 'dislike', unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\bI (?:really )?(?:dislike|hate|avoid) ([^.!?\\n]{5,120})', 1), lambda p: trim(p)))) FROM conversations)
+SELECT conv_id, turn, kind, phrase FROM f WHERE length(phrase) >= 10""",
+)
+def preference_mining(spark, sf_dir):
+    return M.preferences(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text").drop("text")
+
+
+@register("memory_extraction")
+def memory_extraction(spark, sf_dir):
+    return M.memories(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text").groupBy("category").agg(F.count("*").alias("n"))
+
+
+@register("entity_detection")
+def entity_detection(spark, sf_dir):
+    return M.entities(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@register("entity_registry")
+def entity_registry(spark, sf_dir):
+    return M.registry(M.entities(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id")
+
+
+@register("tag_singletons", "SELECT tag, count(*) AS n, string_agg(p_partkey, ',' ORDER BY p_partkey) AS paths FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) || '/' || p_brand AS tag FROM part) GROUP BY tag HAVING count(*) <= 6")
+def tag_singletons(spark, sf_dir):
+    tags = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.transform(F.split("p_name", " "), lambda t: F.concat(R.tag_normal(t), F.lit("/"), F.col("p_brand")))).alias("tag"))
+    rare = tags.groupBy("tag").agg(F.count("*").alias("n")).where("n <= 6")
+    listed = tags.join(rare, "tag").groupBy("tag").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("p_partkey")).alias("paths"))  # six at most
+    return listed.select("tag", "n", F.array_join(F.transform("paths", lambda p: p.cast("string")), ",").alias("paths"))
+
+
+@register("tag_cloud", f"WITH {NOTES_SQL} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM notes) GROUP BY tag HAVING count(*) >= 2 ORDER BY n DESC, tag LIMIT 20")
+def tag_cloud(spark, sf_dir):
+    return notes(spark, sf_dir).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "tag").limit(20)
+
+
+@register(
+    "status_overview",
+    f"WITH {NOTES_SQL} SELECT coalesce(collection, '*') AS collection, coalesce(CASE WHEN heat >= 10 THEN 'hot' WHEN heat >= 4 THEN 'warm' ELSE 'cold' END, '*') AS temperature, count(*) AS n FROM notes GROUP BY GROUPING SETS ((collection), (CASE WHEN heat >= 10 THEN 'hot' WHEN heat >= 4 THEN 'warm' ELSE 'cold' END), ())",
+)
+def status_overview(spark, sf_dir):
+    from lodewell.functions.scoring import temperature
+
+    rows = notes(spark, sf_dir).select("collection", temperature(F.col("heat")).alias("temperature"))
+    sets = rows.groupingSets([[F.col("collection")], [F.col("temperature")], []], "collection", "temperature").agg(F.count("*").alias("n"))
+    return sets.select(F.coalesce("collection", F.lit("*")).alias("collection"), F.coalesce("temperature", F.lit("*")).alias("temperature"), "n")
+
+
+@register(
+    "stable_ids",
+    "SELECT p_partkey, substring(sha1('tpch|' || p_brand || '|' || p_name || '|' || p_type || '|' || CASE WHEN p_size % 5 = 0 THEN '<no-sig>' ELSE p_name || ' ' || p_size END), 1, 16) AS id FROM part",
+)
+def stable_ids(spark, sf_dir):
+    signature = F.when(F.col("p_size") % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name", F.lit("  "), F.col("p_size").cast("string")))
+    return table(spark, sf_dir, "part").select("p_partkey", M.symbol_id(F.lit("tpch"), F.col("p_brand"), F.col("p_name"), F.col("p_type"), signature).alias("id"))
+
+
+@register(
+    "symbol_delta",
+    """WITH a AS (SELECT p_partkey, p_name AS s FROM part WHERE p_partkey % 13 <> 5), b AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN p_name || '(x)' ELSE p_name END AS s FROM part WHERE p_partkey % 17 <> 3)
+SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'removed' WHEN a.p_partkey IS NULL THEN 'added' ELSE 'sig_changed' END AS change FROM a FULL OUTER JOIN b ON a.p_partkey = b.p_partkey WHERE a.s IS NULL OR b.s IS NULL OR a.s <> b.s""",
+)
+def symbol_delta(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    after = part.where("p_partkey % 17 <> 3").withColumn("p_name", F.when(F.col("p_partkey") % 9 == 0, F.concat("p_name", F.lit("(x)"))).otherwise(F.col("p_name")))
+    return M.symbol_delta(part.where("p_partkey % 13 <> 5"), after, ["p_partkey"], "p_name")
+
+
+@register(
+    "change_log_truncated",
+    "WITH t AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100) SELECT o_orderkey, day, (SELECT count(*) > 100 FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderstatus = 'P') AS truncated FROM t",
+)
+def change_log_truncated(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")) & (F.col("o_orderstatus") == "P"))
+    page = R.page_of(rows.select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.desc("o_orderkey")], 0, 100)
+    return page.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("has_more").alias("truncated"))
+
+
+@register(
+    "title_slugs",
+    f"WITH {NOTES_SQL} SELECT doc_id, substring(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM notes",
+)
+def title_slugs(spark, sf_dir):
+    return notes(spark, sf_dir).select("doc_id", T.slug(F.col("title")).alias("slug"), T.token_estimate(F.col("content")).alias("tokens"))
