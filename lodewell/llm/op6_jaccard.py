@@ -11,10 +11,12 @@ intersection is at least `percent` times their union.
    is no signature by itself.
 2. Sets that share signatures, directly or through others, form a block. A block is one tile, or, if
    it is large, tiles of two chunks each, of the same band or of neighbouring ones.
-3. Within a tile, bit counts of the bitmaps' exclusive or bound the overlap from above; pairs that
-   pass, and are not connected yet, are intersected exactly. A tile returns a spanning forest of its
-   links, never all pairs.
-4. Components of these links are the classes.
+3. Tiles of bitmaps, a few bits for each n-gram: the bit count of two bitmaps' exclusive or is no
+   more than the symmetric difference, so it bounds the overlap from above. Pairs within the bound
+   make finer blocks.
+4. Tiles of these blocks with the sets themselves: pairs that pass the bound and are not connected
+   yet are intersected exactly. A tile returns a spanning forest of its links, never all pairs.
+5. Components of these links are the classes.
 
 Null texts, and texts without words, have the empty set and link with nothing. Equal sets are one
 set from the start, so copies meet only as partial minima. Rows with a null id belong to a class
@@ -28,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm.common import LOWER, byte_view, chunks, keyed_texts, lookup, mix, span_hashes, table, word_spans, written
+from lodewell.llm.common import LOWER, byte_view, chunks, discard, keyed_texts, lookup, mix, span_hashes, table, word_spans, written
 from lodewell.llm.components import components
 
 WORDS, PERCENT = 3, 90
-#: Sets, and hashes in them, that a chunk holds on average at most; a tile holds two chunks.
-TILE_SETS, TILE_HASHES = 512, 500_000
+#: Sets, and hashes in them, that a chunk holds on average at most; a tile holds two chunks. With bitmaps, and with sets.
+MAP_TILE, SET_TILE = (2048, 8_000_000), (512, 500_000)
 #: Bits of the filters that spare later passes most rows: bounded; what passes wrongly is sorted out by joins.
 FILTER_BITS = 1 << 27
 
@@ -71,8 +73,8 @@ class Bands:
 
     def __init__(self, percent: int = PERCENT, largest: int = 1 << 40):
         self.percent, lows = percent, [1]
-        while lows[-1] <= largest:
-            lows.append(100 * lows[-1] // percent + 1)
+        while lows[-1] <= largest:  # at least as wide as a link reaches; wider bands put fewer sets into two tiles
+            lows.append(max(100 * lows[-1] // percent + 1, int(1.3 * 100 * lows[-1] / percent)))
         self.lows = np.array(lows, np.int64)
         top = self.lows[1:] - 1
         self.reach = 100 * top // percent  # the largest size that a set of the band links with
@@ -115,11 +117,18 @@ class Bands:
         return np.concatenate(out)
 
 
-SETS = "doc_id long, size long, set_id long, second long, signatures array<long>"
+def parity_map(hashes: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes, set where an odd number of them has it; as many bits as hashes or up to twice, 64 to 65536."""
+    bits = 1 << int(np.clip((len(hashes) - 1).bit_length(), 6, 16))
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+SETS = "doc_id long, size long, set_id long, second long, map binary, signatures array<long>"
 
 
 def signed_sets(docs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
-    """For each text the size of its set, two hashes of the set, and its signatures."""
+    """For each text the size of its set, two hashes and the bitmap of the set, and its signatures."""
 
     def run(batches):
         bands = Bands(percent)
@@ -130,7 +139,7 @@ def signed_sets(docs: DataFrame, words: int, percent: int, seed: int) -> DataFra
                 ids = np.array([[mix(s ^ _ODD[k]).sum(dtype=np.uint64) if len(s) else 0 for s in sets] for k in (3, 4)], np.uint64).view(np.int64)
                 empty = np.array([not len(s) for s in sets])
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, signed)]), pa.int32()), pa.array(np.concatenate(signed).view(np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[0], mask=empty), pa.array(ids[1], mask=empty), lists], names=["doc_id", "size", "set_id", "second", "signatures"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[0], mask=empty), pa.array(ids[1], mask=empty), pa.array([parity_map(s) if len(s) else None for s in sets], pa.binary()), lists], names=["doc_id", "size", "set_id", "second", "map", "signatures"])
 
     return docs.mapInArrow(run, SETS)
 
@@ -156,11 +165,10 @@ def in_filter(filter_: tuple[int, np.ndarray], hashed: np.ndarray) -> np.ndarray
 
 def candidate_edges(sets: DataFrame) -> DataFrame:
     """(a, b): every set that shares a signature with others, and the least of these."""
-    exploded = sets.select("set_id", F.explode("signatures").alias("signature"))
-    shared = written(exploded.groupBy("signature").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least < most").select("signature", "least"), "signatures")
-    wanted = sets.sparkSession.sparkContext.broadcast(bit_filter(shared.select("signature"), shared.count()))
-    # the same 64-bit hash of the signature as Spark's is not at hand in numpy, so it is taken along as a column
-    hashed = sets.select("set_id", "signatures", F.transform("signatures", lambda s: F.xxhash64(s)).alias("hashed"))
+    counted = sets.select(F.explode("signatures").alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))
+    seen = written(counted.where("n > 1").select("signature"), "signatures")  # by copies of one set, or by several sets
+    wanted = sets.sparkSession.sparkContext.broadcast(bit_filter(seen, seen.count()))
+    hashed = sets.where("set_id IS NOT NULL").select("set_id", "signatures", F.transform("signatures", lambda s: F.xxhash64(s)).alias("hashed"))
 
     def passing(batches):
         for batch in batches:
@@ -170,17 +178,21 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
             rows = np.repeat(np.arange(batch.num_rows), counts)[ok]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), lists.flatten().take(pa.array(ok))], names=["set_id", "signature"])
 
-    survivors = hashed.where("set_id IS NOT NULL").mapInArrow(passing, "set_id long, signature long")
-    return survivors.join(shared, "signature").where("set_id <> least").select(F.col("set_id").alias("a"), F.col("least").alias("b")).distinct()
+    pairs = written(hashed.mapInArrow(passing, "set_id long, signature long").distinct(), "signed")
+    discard(seen, tidy=True)
+    shared = pairs.groupBy("signature").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least < most").select("signature", "least")
+    edges = written(pairs.join(shared, "signature").where("set_id <> least").select(F.col("set_id").alias("a"), F.col("least").alias("b")).distinct(), "candidate-edges")
+    discard(pairs)
+    return edges
 
 
-def tiles_of(blocks: DataFrame, percent: int) -> DataFrame:
-    """Rows (set_id, size, block, ...) with the tiles that each set goes to: (tile, side, whole)."""
+def tiles_of(blocks: DataFrame, percent: int, most: tuple[int, int]) -> DataFrame:
+    """(set_id, tile, side, whole): the tiles that each set of rows (set_id, size, block) goes to."""
     # the band as Bands has it: the bounds are few and the same for all rows
     lows = [int(x) for x in Bands(percent).lows]
     band = F.aggregate(F.array(*map(F.lit, lows)), F.lit(-1), lambda n, low: n + (low <= F.col("size")).cast("int"))
-    rows = written(blocks.withColumn("band", band), "blocks")
-    chunk_count = F.ceil(F.greatest(F.col("sets") / TILE_SETS, F.col("hashes") / TILE_HASHES)).cast("int")
+    rows = written(blocks.select("set_id", "size", "block").withColumn("band", band), "blocks")
+    chunk_count = F.ceil(F.greatest(F.col("sets") / most[0], F.col("hashes") / most[1])).cast("int")
     total = rows.groupBy("block").agg(F.count("*").alias("sets"), F.sum("size").alias("hashes")).select("block", (chunk_count > 1).alias("large"))
     by_band = rows.groupBy("block", "band").agg(F.count("*").alias("sets"), F.sum("size").alias("hashes")).select("block", "band", chunk_count.alias("chunks"))
     large = total.where("large").select("block")
@@ -199,11 +211,13 @@ def tiles_of(blocks: DataFrame, percent: int) -> DataFrame:
     return small.unionByName(split)
 
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    out = np.zeros((len(sets), bits), bool)
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    out[rows, (np.concatenate(sets) & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
+def folded(maps: list[bytes], bits: int) -> np.ndarray:
+    """Bitmaps of `bits` or twice as many bits as rows of words; the longer ones' halves are laid on each other."""
+    out = np.zeros((len(maps), bits // 64), np.uint64)
+    for i, m in enumerate(maps):
+        words = np.frombuffer(m, np.uint64)
+        out[i] = words if len(words) == bits // 64 else words[: bits // 64] ^ words[bits // 64 :]
+    return out
 
 
 def intersection(a: np.ndarray, b: np.ndarray) -> int:
@@ -213,35 +227,39 @@ def intersection(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-def links_in_tile(sets: list[np.ndarray], side: np.ndarray, whole: bool, bands: Bands) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a tile; between its two sides only, unless it is whole."""
-    size = np.array([len(s) for s in sets])
+def links_in_tile(size: np.ndarray, maps: list[bytes], sets: list[np.ndarray] | None, side: np.ndarray, whole: bool, bands: Bands) -> list[tuple[int, int]]:
+    """A spanning forest of a tile's links, or without sets of the pairs within the bound; between its two sides only, unless it is whole."""
     order = np.argsort(size, kind="stable")
-    sets, side, size = [sets[i] for i in order], side[order], size[order]
-    bits = 1 << int(np.clip(int(2 * size[-1] - 1).bit_length(), 8, 14))
-    maps = bitmaps(sets, bits)
-    root, out = np.arange(len(sets)), []
-    for i in range(len(sets) - 1):
-        end = int(np.searchsorted(size, 100 * size[i] // bands.percent, side="right"))
-        if end <= i + 1:
-            continue
-        others = np.arange(i + 1, end)
-        others = others[(root[others] != root[i]) & (True if whole else side[others] != side[i])]
-        if not len(others):
-            continue
-        differ = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=1)
-        for j in others[differ <= bands.allowed(size[i], size[others])].tolist():
-            if root[j] == root[i]:
+    size, side = size[order], side[order]
+    width = np.array([8 * len(maps[i]) for i in order])
+    root, out = np.arange(len(order)), []
+    for bits in np.unique(width).tolist():
+        first, end_own, end_both = (int(np.searchsorted(width, b)) for b in (bits, bits + 1, 2 * bits + 1))
+        held = folded([maps[i] for i in order[first:end_both]], bits)
+        for i in range(first, end_own):
+            end = min(end_both, int(np.searchsorted(size, 100 * size[i] // bands.percent, side="right")))
+            others = np.arange(i + 1, max(i + 1, end))
+            others = others[(root[others] != root[i]) & (True if whole else side[others] != side[i])]
+            if not len(others):
                 continue
-            both = intersection(sets[i], sets[j])
-            if 100 * both >= bands.percent * (size[i] + size[j] - both):
+            differ = np.bitwise_count(held[others - first] ^ held[i - first]).sum(axis=1, dtype=np.int64)
+            for j in others[differ <= bands.allowed(size[i], size[others])].tolist():
+                if root[j] == root[i]:
+                    continue
+                if sets is not None:
+                    both = intersection(sets[order[i]], sets[order[j]])
+                    if 100 * both < bands.percent * (size[i] + size[j] - both):
+                        continue
                 out.append((int(order[i]), int(order[j])))
                 root[root == root[j]] = root[i]
     return out
 
 
-def verified_links(tiled: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) from rows (tile, side, whole, set_id, hashes); each task holds one tile at a time."""
+def links(tiled: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Links (a, b) from rows (tile, side, whole, set_id, content); each task holds one tile at a time.
+
+    The content is the set if `exact`, else its size and bitmap, and pairs within the bound count as links.
+    """
 
     def run(batches):
         bands, tile, held = Bands(percent), None, {}
@@ -250,8 +268,10 @@ def verified_links(tiled: DataFrame, percent: int) -> DataFrame:
             ids = list(held)
             if len(ids) < 2:
                 return []
-            sets = [np.frombuffer(held[i][2], np.uint64) for i in ids]
-            pairs = links_in_tile(sets, np.array([held[i][0] for i in ids]), held[ids[0]][1], bands)
+            rows = [held[i] for i in ids]
+            sets = [np.frombuffer(r[3], np.uint64) for r in rows] if exact else None
+            maps = [parity_map(s) for s in sets] if exact else [r[3] for r in rows]
+            pairs = links_in_tile(np.array([r[2] for r in rows]), maps, sets, np.array([r[0] for r in rows]), rows[0][1], bands)
             return [(ids[a], ids[b]) for a, b in pairs]
 
         def out(pairs):
@@ -261,16 +281,16 @@ def verified_links(tiled: DataFrame, percent: int) -> DataFrame:
             found = []
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                for t, side, whole, set_id, hashes in zip(*(c.to_pylist() for c in part.columns)):
+                for t, side, whole, set_id, size, content in zip(*(c.to_pylist() for c in part.columns)):
                     if t != tile:
                         found += flush()
                         tile, held = t, {}
-                    held[set_id] = (side, whole, hashes)
+                    held[set_id] = (side, whole, size, content)
             yield out(found)
         yield out(flush())
 
     parts = int(tiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = tiled.select("tile", "side", "whole", "set_id", "hashes").repartition(parts, "tile").sortWithinPartitions("tile", "set_id")
+    rows = tiled.select("tile", "side", "whole", "set_id", "size", "content").repartition(parts, "tile").sortWithinPartitions("tile", "set_id")
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -287,30 +307,39 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, words: int, seed: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "hashes"])
 
     found = docs.select("text", F.xxhash64("doc_id").alias("hashed")).mapInArrow(run, "set_id long, hashes binary")
-    return found.groupBy("set_id").agg(F.first("hashes").alias("hashes"))
+    return found.groupBy("set_id").agg(F.first("hashes").alias("content"))
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
     docs = keyed_texts(docs, id_col, text_col)
     for seed in range(8):
-        sets = written(signed_sets(docs, words, percent, seed), "sets")
-        named = written(sets.where("size > 0").groupBy("set_id").agg(F.min("doc_id").alias("rid"), F.first("size").alias("size"), F.min("second").alias("low"), F.max("second").alias("high")), "named-sets")
+        signed = written(signed_sets(docs, words, percent, seed), "signed-sets")
+        grouped = signed.where("size > 0").groupBy("set_id").agg(F.min("doc_id").alias("rid"), F.first("size").alias("size"), F.first("map").alias("map"), F.min("second").alias("low"), F.max("second").alias("high"))
+        named = written(grouped, "named-sets")
         if named.where("low <> high").isEmpty():  # else two sets share a 64-bit hash: another seed parts them
             break
-    blocks = components(candidate_edges(sets)).select(F.col("node").alias("set_id"), F.col("root").alias("block"))
-    blocks = written(blocks.join(named.select("set_id", "rid", "size"), "set_id"), "candidates")
-    hashes = candidate_sets(docs, blocks.select("set_id", "rid"), words, seed)
-    tiles = tiles_of(blocks.select("set_id", "size", "block"), percent)
-    links = components(verified_links(tiles.join(hashes, "set_id"), percent)).withColumnRenamed("node", "set_id")
-    rooted = named.select("set_id", "rid").join(links, "set_id", "left").select("set_id", "rid", F.coalesce("root", "set_id").alias("root"))
-    rooted = written(rooted, "rooted")
+    sets = written(signed.select("doc_id", "size", "set_id"), "sets")
+    edges = candidate_edges(signed)
+    discard(signed, tidy=True)
+    blocks = in_blocks(components(edges), named.select("set_id", "rid", "size", F.col("map").alias("content")))
+    near = links(tiles_of(blocks, percent, MAP_TILE).join(blocks.select("set_id", "size", "content"), "set_id"), percent, False)
+    finer = in_blocks(components(near), named.select("set_id", "rid", "size"))
+    discard(blocks, tidy=True)
+    hashes = candidate_sets(docs, finer.select("set_id", "rid"), words, seed)
+    tiled = tiles_of(finer, percent, SET_TILE).join(finer.select("set_id", "size"), "set_id").join(hashes, "set_id")
+    linked = components(links(tiled, percent, True)).withColumnRenamed("node", "set_id")
+    rooted = written(named.select("set_id", "rid").join(linked, "set_id", "left").select("set_id", "rid", F.coalesce("root", "set_id").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("rid").alias("component_id"))
     of_set = rooted.join(least, "root").select("set_id", "component_id")
     some = sets.where("size > 0").select("doc_id", "size", "set_id").join(of_set, "set_id").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     return some.unionByName(sets.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def in_blocks(components_: DataFrame, sets: DataFrame) -> DataFrame:
+    return written(components_.select(F.col("node").alias("set_id"), F.col("root").alias("block")).join(sets, "set_id"), "candidates")
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of the least id of each class, with all their columns; rows that repeat id and text stay once.
 
