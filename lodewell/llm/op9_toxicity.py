@@ -242,7 +242,7 @@ def lexicon(sample: DataFrame, n_toxic: int, n_clean: int, terms: int = TERMS) -
     share = n_toxic / max(1, n_toxic + n_clean)
     n = F.col("support") + F.col("clean")
     evidence = F.col("support") * F.log(F.col("support") / (n * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))).otherwise(0.0)
-    found = counts.where((F.col("support") >= 3) & (F.col("support") > 4 * share * n) & (F.col("clean") < F.col("support")) & (F.length("word") >= 3))
+    found = counts.where((F.col("support") >= 3) & (F.col("support") * (1 - share) > 4 * F.col("clean") * share) & (F.col("clean") < F.col("support")) & (F.length("word") >= 3))
     best = found.where(evidence > 1 + np.log(tried)).orderBy(evidence.desc(), "word").limit(terms).collect()
     strong = [r["word"] for r in best if not r["clean"]]
     return strong + [r["word"] for r in best if r["clean"]], len(strong)
