@@ -1,0 +1,460 @@
+"""The operators against brute force, and on nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodewell.llm import op1_fingerprints as op1
+from lodewell.llm import op2_quality as op2
+from lodewell.llm import op3_sharding as op3
+from lodewell.llm import op4_tool_calls as op4
+from lodewell.llm import op5_decontamination as op5
+from lodewell.llm import op6_jaccard as op6
+from lodewell.llm import op7_packing as op7
+from lodewell.llm import op8_url_filter as op8
+from lodewell.llm import op9_toxicity as op9
+from lodewell.llm import op10_language as op10
+
+SCHEMA = "doc_id long, text string, lang string, source string, score string, size string, bucket string, row string, tile string"
+LONG = " ".join(f"word{i % 977} of{i % 13}" for i in range(30_000)) + "\n" + "x" * 50_000
+ODD = [
+    (1, "The quick brown fox jumps over the lazy dog.", "en"),
+    (2, "The quick brown fox jumps over the lazy dog.", "de"),
+    (2, "The quick brown fox jumps over the lazy dog.", "de"),  # a repeated row
+    (3, None, None),
+    (4, "", "en"),
+    (5, " \n\t ", None),
+    (6, "été ñ 日本語 🙂 <|endoftext|>", "fr"),
+    (7, LONG, "en"),
+    (None, "no id here at all", "en"),
+    (9, "123 ... !!", None),
+    (10, "a", "es"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, lang, "s", "x", "y", "z", "r", "t") for i, t, lang in ODD], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0, "e"), (2, 0, 1, "e"), (2, 0, 1, "e"), (4, None, None, "e"), (None, 1, 1, "e"), (7, 1, 0, "e"), (77, 1, 0, "e")], "doc_id long, quality int, toxic int, text string")
+
+
+# --- 1 fingerprints
+
+
+def test_parse_is_lempel_ziv():
+    rng = random.Random(1)
+    for _ in range(200):
+        text = "".join(rng.choice("abç") for _ in range(rng.randint(0, 120)))
+        seen, start, expected = set(), 0, []
+        for end in range(1, len(text) + 1):
+            if text[start:end] not in seen:
+                seen.add(text[start:end])
+                expected.append(end)
+                start = end
+        ends = []
+        assert (op1.parse(text, set(), ends), ends) == (start, expected)
+        own, edited, other = op1.fingerprint_pair(text, "zz" + text)
+        assert (op1.encode(own), op1.encode(other)) == (op1.fingerprint(text), op1.fingerprint(edited))
+
+
+def test_fingerprints_of_neighbours(spark):
+    texts = {i: f"text number {i} " * (i % 7) for i in range(40)}
+    op1_rows = op1.BUCKET_ROWS
+    op1.BUCKET_ROWS = 6
+    try:
+        rows = {r.doc_id: r for r in op1.neighbour_fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    finally:
+        op1.BUCKET_ROWS = op1_rows
+    assert len(rows) == 40
+    for i, text in texts.items():
+        cut, following = len(text) // 4, texts[(i + 1) % 40]
+        edited = text[: len(text) - cut] + following[:cut]
+        r = rows[i]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (r.fingerprint, r.edited_fingerprint) == (op1.fingerprint(text), op1.fingerprint(edited))
+        assert r.near_edited == op1.likeness(op1.decode(r.fingerprint), op1.decode(r.edited_fingerprint))
+        assert r.near_next == op1.likeness(op1.decode(r.fingerprint), op1.decode(op1.fingerprint(following)))
+
+
+def test_fingerprints_odd(odd, none):
+    rows = op1.neighbour_fingerprints(odd).collect()
+    assert len(rows) == len(ODD) and len({r.fingerprint for r in rows if r.doc_id in (1, 2)}) == 1
+    assert {r.near_next for r in rows if r.doc_id == 3} == {1.0}  # two empty texts
+    assert op1.neighbour_fingerprints(none).count() == 0 and op1.fingerprints(odd).count() == len(ODD)
+
+
+# --- 2 quality
+
+
+def test_gam_learns_pairs():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = op2.fit_gam(x[:3000], y[:3000])
+    assert ((op2.score_gam(model, x[3000:]) > 0.5) == y[3000:]).mean() > 0.9
+
+
+def test_quality_on_held_out_rows(spark, data):
+    rows = {r.doc_id: r for r in op2.query(spark, data.replace("sf0.001", "sf0.01")).collect()}
+    held = [(rows[r.doc_id].predicted, r.quality) for r in spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/labels.parquet").collect() if rows[r.doc_id].held_out]
+    assert np.mean([p == q for p, q in held]) > 0.85 and all(0 <= r.score <= 1 for r in rows.values())
+
+
+def test_quality_odd(odd, none, labels):
+    model = op2.fit(odd, labels)
+    rows = op2.score(odd, model).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    assert op2.fit(none, labels) is None and op2.score(none, None).count() == 0
+    assert op2.score(odd, op2.fit(odd, labels.limit(0))).where("score <> 0.5").count() == 0
+    assert op2.keep(odd, model, 0.0).count() == len(ODD) and op2.keep(odd, model, 0.0).columns == odd.columns
+
+
+# --- 3 sharding
+
+
+def test_shards_are_near_equal(spark):
+    rng = random.Random(2)
+    rows = [(i, "copy of a text " * 5 if i % 3 == 0 else " ".join(rng.choices("abcdefgh", k=rng.randint(1, 80)))) for i in range(6000)]
+    got = op3.shard(spark.createDataFrame(rows, "doc_id long, text string"), 24).toPandas()
+    held = got.groupby("shard")["size"].sum()
+    assert len(held) == 24 and held.max() - held.min() <= 0.03 * held.mean()
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    assert (got.groupby(["text_crc32", "size"]).shard.nunique() > 1).sum() <= 23  # a group is split by cuts alone
+    sizes = {i: len(t.encode()) + 8 for i, t in rows}
+    assert all(sizes[d] == s for d, s in zip(got.doc_id, got["size"]))
+    assert all(zlib.crc32(rows[d][1].encode()) == c for d, c in zip(got.doc_id, got.text_crc32))
+
+
+def test_sharding_odd(odd, none):
+    got = op3.shard(odd, 4).collect()
+    assert len(got) == len(ODD) and {(r.doc_id, r.size) for r in got if r.doc_id in (3, 4)} == {(3, 8), (4, 8)}
+    for s, part in itertools.groupby(sorted(got, key=lambda r: r.shard), key=lambda r: r.shard):
+        slots = sorted(r.slot for r in part)
+        assert slots == list(range(len(slots)))
+    assert op3.shard(none, 24).count() == 0
+
+
+# --- 4 tool calls
+
+
+def test_calls_are_ordered_and_checked(spark):
+    rows = [
+        ("c", 0, "call", "a", "reply", '{"turn": 1, "prompt": "' + "p" * 50 + '"}', ["b"], None),
+        ("c", 1, "call", "b", "reply", '{"prompt": 5}', [], None),
+        ("c", 2, "result", "a", None, None, [], 'say "hi"\n'),
+        ("c", 3, "result", "zz", None, None, [], None),
+        ("d", 0, "call", "x", "other", "{", ["y"], None),
+        ("d", 1, "call", "y", "reply", "not json", ["x"], None),
+        (None, None, "call", None, "reply", None, [], None),
+        ("c", 2, "result", "a", None, None, [], 'say "hi"\n'),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id string, turn long, kind string, call_id string, name string, arguments string, needs array<string>, content string").withColumn("role", F.lit("user"))
+    got = {(r.conv_id, r.kind, r.call_id): r for r in op4.link(messages).collect()}
+    a, b = got["c", "call", "a"], got["c", "call", "b"]
+    assert b.position < a.position and (a.status, b.status) == ("linked", "unanswered")
+    assert a.problems == "" and b.problems == "prompt:type,turn:missing"
+    assert a.line == '{"arguments":{"prompt":"' + "p" * 50 + '","turn":1},"id":"a","name":"reply","type":"call"}'
+    assert got["c", "result", "a"].line == '{"content":"say \\"hi\\"\\n","id":"a","type":"result"}'
+    assert got["c", "result", "zz"].status == "orphan" and got["c", "result", "zz"].line == '{"content":null,"id":"zz","type":"result"}'
+    assert got["d", "call", "x"].status == "cycle" and got["d", "call", "x"].problems == "unknown tool"
+    assert got["d", "call", "y"].problems == "not json" and got[None, "call", None].status == "unanswered"
+    assert sorted(r.position for r in op4.link(messages).where("conv_id = 'c'").collect()) == list(range(5))
+
+
+def test_conversations_odd(spark):
+    schema = "conv_id long, turn long, role string, text string, call_id string, kind string, level int"
+    rows = [(1, 0, "user", "hello", "x", "x", 1), (1, 1, "assistant", None, "x", "x", 1), (1, 1, "assistant", None, "x", "x", 1), (None, None, None, "", "x", "x", 1), (2, 0, "assistant", "é" * 10_000, "x", "x", 1)]
+    got = op4.link(op4.from_conversations(spark.createDataFrame(rows, schema))).collect()
+    assert len(got) == 5 and sorted(r.status for r in got) == ["linked", "linked", "linked", "message", "orphan"]
+    assert op4.link(op4.from_conversations(spark.createDataFrame([], schema))).count() == 0
+
+
+# --- 5 decontamination
+
+
+def test_index_finds_all(spark):
+    rng = random.Random(3)
+    for _ in range(60):
+        text = np.array([0] + [rng.choice([0, 1, 1, 2, 3]) for _ in range(rng.randint(1, 70))] + [0])
+        index = op5.FMIndex(text)
+        found = [[rng.randint(1, 3) for _ in range(rng.randint(1, 4))] for _ in range(15)]
+        low, high = index.search(np.array([[0] * (4 - len(p)) + p for p in found]), np.array([len(p) for p in found]))
+        for p, a, b in zip(found, low, high):
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == [i for i in range(len(text) - len(p) + 1) if text[i : i + len(p)].tolist() == p]
+
+
+def brute_hits(text, items):
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    w, hit, found = words(text), set(), set()
+    for item, t in items:
+        v = words(t)
+        for i in range(max(1, len(v) - 12) if v else 0):
+            window = v[i : i + 13]
+            for j in range(len(w) - len(window) + 1):
+                if w[j : j + len(window)] == window:
+                    hit |= set(range(j, j + len(window)))
+                    found.add(item)
+    return len(w), len(hit), sorted(found)
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(4)
+    vocabulary = ["Ab", "cd", "é1", "x_y", "Zz"]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 3, 13, 14, 30])))) for i in range(12)] + [(99, None), (None, "ab")]
+    docs = []
+    for i in range(40):
+        parts = [" ".join(rng.choices(vocabulary + ["other", "more", "..."], k=rng.randint(0, 60)))] + [rng.choice(items)[1] or "" for _ in range(rng.randint(0, 2))]
+        docs.append((i, "! ".join(parts)))
+    docs += [(40, None), (41, "")]
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for blocks in (op5.BLOCK_WORDS, 20):
+        got = {r.doc_id: r for r in op5.find(table, tests, block_words=blocks).collect()}
+        for i, text in docs:
+            n, hit, found = brute_hits(text, [x for x in items if x[0] is not None])
+            r = got[i]
+            assert (r.n_words, sum(s["end"] - s["first"] for s in r.spans), r.items) == (n, hit, found)
+    assert op5.without_spans("one TWO three, four", [(1, 3)]) == "one , four"
+
+
+def test_decontamination_odd(spark, odd, none):
+    tests = spark.createDataFrame([(1, "quick brown fox"), (1, "quick brown fox"), (2, ""), (3, None)], "item_id long, text string")
+    rows = op5.find(odd, tests).collect()
+    assert len(rows) == len(ODD) and sum(bool(r.items) for r in rows) == 3
+    assert op5.keep(odd, tests).count() == len(ODD) - 3 and op5.keep(odd, tests).columns == odd.columns
+    assert op5.find(none, tests).count() == 0 and op5.keep(odd, tests.limit(0)).count() == len(ODD)
+
+
+# --- 6 Jaccard join
+
+
+def brute_classes(rows, words, percent):
+    parent, sets = {}, []
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        s = {tuple(w[j : j + words]) for j in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
+        parent[i] = i
+        for k, t in sets:
+            if 100 * len(s & t) >= percent * len(s | t) > 0:
+                a, b = root(i), root(k)
+                parent[max(a, b)] = min(a, b)
+        sets.append((i, s))
+    return {i: (len(s), root(i)) for i, s in sets}
+
+
+def near_copies(rng, families):
+    vocabulary, out = [f"W{i}" for i in range(50)], ["", None, "  ", "A b", "a B"]
+    for _ in range(families):
+        base = rng.choices(vocabulary, k=rng.choice([1, 2, 3, 5, 9, 20, 60, 200]))
+        for _ in range(rng.randint(1, 12)):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(words) // 25))):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randint(0, 1)] = [rng.choice(vocabulary)] * rng.randint(0, 2)
+                words = words or ["w"]
+            out.append(" ".join(words))
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("words,percent,small", [(3, 90, False), (5, 80, False), (3, 90, True)])
+def test_classes_match_brute_force(spark, monkeypatch, words, percent, small):
+    if small:  # many tiles
+        monkeypatch.setattr(op6, "MAP_TILE", (6, 2000))
+        monkeypatch.setattr(op6, "SET_TILE", (4, 300))
+    rows = near_copies(random.Random(5), 30)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op6.classes(spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect()}
+    assert got == brute_classes(rows, words, percent)
+
+
+def test_classes_odd(odd, none):
+    got = op6.classes(odd).collect()
+    assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (1, 2)} == {1}
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id in (3, 4, 5)} == {(3, 0, 3), (4, 0, 4), (5, 0, 5)}
+    kept = op6.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 9, 10]
+    assert op6.classes(none).count() == 0 and op6.keep_one(none).count() == 0
+
+
+# --- 7 packing
+
+
+def test_ids_equal_those_of_tokenizers(spark, data):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    encode = op7.encoder(op7.vocabulary_path())
+    texts = [r.text for r in spark.read.parquet(data + "/documents.parquet").collect()] + [t or "" for _, t, _ in ODD] + ["  a  \n\n b\t", "it's I'LL", " x　", "ﬁ①½", "0123 4567"]
+    assert [encode(t) for t in texts] == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_best_fit_is_best_fit():
+    rng = random.Random(6)
+    for _ in range(100):
+        lengths = {rng.randint(1, 50): rng.randint(1, 20) for _ in range(rng.randint(1, 25))}
+        held = collections.defaultdict(list)
+        for length, first, end, each, window, offset in op7.best_fit(lengths, 50):
+            for k in range(first, end):
+                held[window + (k - first) // each].append((offset + (k - first) % each * length, length))
+        windows = []
+        for length in sorted((n for n, c in lengths.items() for _ in range(c)), reverse=True):
+            fits = [r for r in windows if r >= length]
+            if fits:
+                windows.remove(min(fits))
+            windows.append((min(fits) if fits else 50) - length)
+        assert sorted(windows) == sorted(50 - sum(n for _, n in x) for x in held.values())
+        assert sum(map(len, held.values())) == sum(lengths.values()) and sorted(held) == list(range(len(held)))
+
+
+def check_packed(rows, texts, window):
+    encode = op7.encoder(op7.vocabulary_path())
+    expected = collections.Counter()
+    for i, text in texts:
+        ids = np.array([*encode(text or ""), 1], "<u4")
+        for start in range(0, len(ids), window):
+            expected[i, start, len(ids[start : start + window]), zlib.crc32(ids[start : start + window].tobytes()), len(ids)] += 1
+    assert collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == expected
+    for s, part in itertools.groupby(sorted(rows, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
+        at = 0
+        for r in part:
+            assert r.offset == at
+            at += r.length
+        assert at <= window
+
+
+def test_packing(spark, data, odd, none):
+    docs = spark.read.parquet(data + "/documents.parquet")
+    check_packed(op7.pack(docs.repartition(5), op7.vocabulary_path(), 256).collect(), [(r.doc_id, r.text) for r in docs.collect()], 256)
+    check_packed(op7.pack(odd, op7.vocabulary_path()).collect(), [(i, t) for i, t, _ in ODD], 2048)
+    assert op7.pack(none, op7.vocabulary_path()).count() == 0
+
+
+# --- 8 URL filter
+
+
+def test_rules_and_propagation(spark):
+    pages = spark.createDataFrame(
+        [
+            (1, "https://a.EXAMPLE.net/en/x?y", None, "e"),
+            (2, "http://example.net/de/", "", "e"),
+            (3, "http://notexample.com/de/", "", "e"),
+            (4, "http://x.example.com/de/1#z", "", "e"),
+            (5, "http://q.org/fr/", "", "e"),
+            (6, "nonsense", "", "e"),
+            (7, None, None, "e"),
+            (8, "http://bad.net", "", "e"),
+            (9, "http://links.com/a", '<a href="http://spam.net/">x</a><A HREF=//spam.net/b>', "e"),
+            (10, "http://spam.net/", "", "e"),
+            (10, "http://spam.net/", "", "e"),
+            (11, "http://good.com/", "<a href='http://q.org/fr/'>", "e"),
+        ],
+        "page_id long, url string, html string, host string",
+    )
+    got = {r.page_id: r for r in op8.judge(pages).collect()}
+    assert [(got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in (1, 2, 4, 5)] == [
+        ("a.example.net", "/en/x", "example.net/en/", "allow"),
+        ("example.net", "/de/", "net/", "block"),
+        ("x.example.com", "/de/1", "example.com/de/", "block"),
+        ("q.org", "/fr/", "org/fr/", "allow"),
+    ]
+    assert got[3].rule is None and got[8].rule is None and (got[6].host, got[7].path) == ("", "")
+    assert got[9].distrust > got[11].distrust == 0 and op8.judge(pages, threshold=0.2).where("page_id = 9").first().verdict == "block"
+    assert op8.judge(pages).count() == 12 and op8.judge(pages.limit(0)).count() == 0
+
+
+# --- 9 toxicity
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_automaton_is_edit_distance():
+    rng, terms = random.Random(7), ["idiot", "clown", "moron", "abcab", "abcde", "abc"]
+    machine = op9.automaton(terms)
+    for _ in range(1500):
+        word = list(rng.choice(terms))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(word) + 1)
+            word[at : at + rng.randint(0, 1)] = rng.choices("abcdo1", k=rng.randint(0, 1))
+        word = "".join(word)
+        best = min((d for t in terms if (d := distance(word, t)) == 0 or (d == 1 and len(t) >= 5)), default=None)
+        hit, state = op9.matches(op9.Words([word]), machine)
+        assert (int(machine["errors"][state[0]]) if len(hit) else None) == best
+
+
+def toxic_corpus(spark):
+    rng = random.Random(8)
+    clean = [f"w{i}" for i in range(300)]
+    rows, marks = [], []
+    for i in range(800):
+        words, toxic = rng.choices(clean, k=40), i % 4 == 0
+        for _ in range(rng.randint(1, 3) if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(["scoundrel", "blackguard", "villain"]))
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+
+
+def test_toxicity_tells_quotes_and_typos(spark):
+    model = op9.fit(*toxic_corpus(spark))
+    assert set(model["terms"]) >= {"scoundrel", "blackguard", "villain"}
+    used, typo, quote, clean, empty = op9.scores(["you Scoundrel, w1", "you sc0undrel w1 w2", 'he wrote "villain" w1', "w1 w2 w3", None], model)
+    assert used > 0.5 and typo >= 0.3 and quote < 0.3 and clean < 0.1 and empty == clean
+
+
+def test_toxicity_odd(odd, none, labels):
+    model = op9.fit(odd, labels)
+    assert op9.score(odd, model).count() == len(ODD) and op9.keep(odd, model).columns == odd.columns
+    assert op9.score(none, op9.fit(none, labels)).count() == 0 and op9.fit(odd, labels.limit(0))["terms"] == []
+
+
+# --- 10 language
+
+
+def test_language(spark, data):
+    path = data.replace("sf0.001", "sf0.01")
+    rows = {r.doc_id: r for r in op10.query(spark, path).collect()}
+    docs = spark.read.parquet(path + "/documents.parquet").select("doc_id", "lang").collect()
+    held = [rows[d.doc_id].lang_pred == d.lang for d in docs if rows[d.doc_id].held_out]
+    assert np.mean(held) > 0.97
+
+
+def test_language_odd(odd, none):
+    model = op10.fit(odd.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang"))
+    got = {r.doc_id: r for r in op10.predict(odd, model).collect()}
+    assert {i for i, r in got.items() if r.lang_pred == "und"} == {3, 4, 5, 9} and got[6].lang_pred in model["langs"]
+    assert op10.predict(none, model).count() == 0
+    nothing = op10.fit(none.select("doc_id", "text", "lang"))
+    assert {r.lang_pred for r in op10.predict(odd, nothing).collect()} == {"und"}
