@@ -16,6 +16,8 @@ WORTH = {"critical": 2.0, "high": 1.5, "medium": 1.0, "low": 0.5}
 
 
 def lookup(key: Column, values: dict[str, float], default: float) -> Column:
+    if not values:
+        return F.lit(float(default))
     pairs = [x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]
     return F.coalesce(F.create_map(*pairs)[key], F.lit(float(default)))
 

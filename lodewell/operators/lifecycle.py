@@ -80,7 +80,7 @@ def health(notes: DataFrame) -> DataFrame:
     score = 100 * (0.25 * F.col("tag_coverage") + 0.25 * F.least(F.lit(1.0), F.col("link_density") / 3) + 0.25 * (1 - F.col("orphan_ratio")) + 0.15 * F.least(F.lit(1.0), F.col("avg_heat") / 8) + 0.10 * balance)
     score = F.least(F.lit(100.0), F.greatest(F.lit(0.0), score))
     grade = F.when(score >= 85, "A").when(score >= 70, "B").when(score >= 55, "C").when(score >= 40, "D").otherwise("F")
-    return base.withColumn("score", F.round(score, 2)).withColumn("grade", grade)
+    return base.withColumn("score", F.round(score, 4)).withColumn("grade", grade)
 
 
 def themes(tagged: DataFrame, least: int = 3, most_rounds: int = 200) -> DataFrame:

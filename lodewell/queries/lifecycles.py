@@ -73,7 +73,7 @@ def promote_candidates(spark, sf_dir):
   avg(CAST(temperature = 'hot' AS INTEGER)) AS hot, avg(CAST(temperature = 'warm' AS INTEGER)) AS warm, avg(CAST(temperature = 'cold' AS INTEGER)) AS cold FROM t),
 s AS (SELECT *, least(100, greatest(0, 100 * (0.25 * tag_coverage + 0.25 * least(1, link_density / 3) + 0.25 * (1 - orphan_ratio) + 0.15 * least(1, avg_heat / 8) + 0.1 * (1 - (abs(hot - 0.2) + abs(warm - 0.3) + abs(cold - 0.5)) / 2)))) AS raw FROM b)
 SELECT notes, round(tag_coverage, 4) AS tag_coverage, round(link_density, 4) AS link_density, round(orphan_ratio, 4) AS orphan_ratio, round(avg_heat, 4) AS avg_heat, round(hot, 4) AS hot, round(warm, 4) AS warm, round(cold, 4) AS cold,
-  round(raw, 2) AS score, CASE WHEN raw >= 85 THEN 'A' WHEN raw >= 70 THEN 'B' WHEN raw >= 55 THEN 'C' WHEN raw >= 40 THEN 'D' ELSE 'F' END AS grade FROM s""",
+  round(raw, 4) AS score, CASE WHEN raw >= 85 THEN 'A' WHEN raw >= 70 THEN 'B' WHEN raw >= 55 THEN 'C' WHEN raw >= 40 THEN 'D' ELSE 'F' END AS grade FROM s""",
 )
 def vault_health(spark, sf_dir):
     rows = used(spark, sf_dir).withColumn("links", F.col("inbound")).withColumn("heat", F.col("heat_score"))
