@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that vectorised operators hold at a time; a longer text is taken alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 CHUNK_DOCS = 512
 
 
@@ -85,6 +85,7 @@ def chunks(batch: pa.RecordBatch, text_col: str = "text", limit: int = CHUNK_BYT
         end = min(n, at + most, max(end, at + 1))
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ WINDOW = 13
 #: Words of test items that are searched in one pass over the text; each takes about 120 bytes as phrases.
 BLOCK_WORDS = 500_000
 #: Text of one shard, and the distance between sampled suffix positions.
-SHARD_BYTES, SHARD_DOCS, SAMPLED = 1 << 22, 8192, 8
+SHARD_BYTES, SHARD_DOCS, SAMPLED = 1 << 20, 4096, 8
 
 _WORD = lookup(lambda c: 48 <= c <= 57 or 97 <= c <= 122 or c >= 128)
 

@@ -172,11 +172,13 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
 
     def passing(batches):
         for batch in batches:
-            lists = batch.column(1)
-            counts = np.diff(np.asarray(lists.offsets))
-            ok = np.flatnonzero(in_filter(wanted.value, np.asarray(batch.column(2).flatten())))
-            rows = np.repeat(np.arange(batch.num_rows), counts)[ok]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), lists.flatten().take(pa.array(ok))], names=["set_id", "signature"])
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                lists = part.column(1)
+                counts = np.diff(np.asarray(lists.offsets))
+                ok = np.flatnonzero(in_filter(wanted.value, np.asarray(part.column(2).flatten())))
+                rows = np.repeat(np.arange(part.num_rows), counts)[ok]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), lists.flatten().take(pa.array(ok))], names=["set_id", "signature"])
 
     pairs = written(hashed.mapInArrow(passing, "set_id long, signature long").distinct(), "signed")
     discard(seen, tidy=True)
@@ -367,3 +369,19 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d
+), grams AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+walk AS (SELECT doc_id AS node, doc_id AS root FROM sets UNION SELECT b, root FROM walk JOIN both_ways ON a = node WHERE b > root)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN (SELECT node, min(root) AS component_id FROM walk GROUP BY node) ON node = doc_id
+"""

@@ -387,6 +387,28 @@ def test_rules_and_propagation(spark):
     assert op8.judge(pages).count() == 12 and op8.judge(pages.limit(0)).count() == 0
 
 
+def test_propagation_is_power_iteration(spark):
+    rng = np.random.default_rng(9)
+    links = [(f"h{a}", f"h{b}", int(w)) for a, b, w in zip(rng.integers(0, 12, 30), rng.integers(0, 12, 30), rng.integers(1, 4, 30)) if a != b]
+    links = [(a, b, sum(w for x, y, w in links if (x, y) == (a, b))) for a, b in sorted({(a, b) for a, b, _ in links})]
+    seeds = [(f"h{i}", float(i % 3), float(i % 2), float(i % 5 == 0)) for i in range(12)]
+    weight = np.zeros((12, 12))
+    for a, b, w in links:
+        weight[int(a[1:]), int(b[1:])] = w
+    forward = weight / np.maximum(weight.sum(axis=1, keepdims=True), 1)
+    backward = weight.T / np.maximum(weight.sum(axis=0)[:, None], 1)
+    expected = []
+    for column, steps in ((1, forward), (2, forward), (3, backward)):
+        base = (1 - op8.FOLLOW) * np.array([s[column] for s in seeds])
+        now = base
+        for _ in range(200):
+            now = base + op8.FOLLOW * steps.T @ now
+        expected.append(now)
+    got = op8.propagate(spark.createDataFrame(seeds, "host string, trust double, neutral double, distrust double"), spark.createDataFrame(links, "src string, dst string, links long"), 200)
+    found = {r.host: (r.trust, r.neutral, r.distrust) for r in got.collect()}
+    assert np.allclose([found[f"h{i}"] for i in range(12)], np.array(expected).T, atol=1e-4)
+
+
 # --- 9 toxicity
 
 
