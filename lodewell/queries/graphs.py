@@ -94,7 +94,11 @@ def connected_components(spark, sf_dir):
     return G.components(edges(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("size"))
 
 
-@register("import_cycles_scc")
+@register(
+    "import_cycles_scc",
+    f"""WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM r JOIN edges e ON r.dst = e.src)
+SELECT a.src AS node, min(a.dst) AS component, count(*) AS size FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src HAVING count(*) >= 2""",
+)
 def import_cycles_scc(spark, sf_dir):
     return G.strong_components(edges(spark, sf_dir)).select("node", "component", "size")
 

@@ -140,7 +140,11 @@ def session_rollup(spark, sf_dir):
     )
 
 
-@register("metrics_exposition")
+@register(
+    "metrics_exposition",
+    """SELECT '# HELP tool_calls_total Calls by tool' AS line UNION ALL SELECT '# TYPE tool_calls_total counter'
+UNION ALL SELECT 'tool_calls_total{tool="' || event_type || '"} ' || CAST(CAST(count(*) AS DOUBLE) AS VARCHAR) FROM events GROUP BY event_type""",
+)
 def metrics_exposition(spark, sf_dir):
     counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").cast("double").alias("value"))
     return M.exposition(counts.select(F.lit("tool_calls_total").alias("name"), F.lit("counter").alias("kind"), F.lit("Calls by tool").alias("help"), F.create_map(F.lit("tool"), "event_type").alias("labels"), "value"))
