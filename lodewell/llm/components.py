@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lodewell.llm.common import discard, written
 
 
+#: Edges that one task of a round may well hold.
+EDGES_A_TASK = 20_000
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the least node of its component.
 
@@ -15,6 +19,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     minima, and their joins are plain sort-merge joins, which Spark can split. Rounds grow with
     the logarithm of the longest path; each is written to the shared folder.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
@@ -22,14 +27,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if print_of == before:
             break
         before = print_of
+        tasks = min(parts, 1 + print_of[0] // EDGES_A_TASK)
+        few = lambda df: df.coalesce(tasks)  # noqa: B023,E731  small tables don't need every shuffle partition a task
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = few(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = few(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"))
+        large = written(few(large.distinct()), "large-star")
+        least = few(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = few(large.join(least, "a"))
         old = now
-        now = written(small.select(F.col("a"), F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "small-star")
+        both = small.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b")
+        now = written(few(both.distinct()), "small-star")
         discard(old)
         discard(large)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

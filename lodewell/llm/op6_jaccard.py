@@ -9,11 +9,11 @@ intersection is at least `percent` times their union.
    part's content. Where parts may be empty, sets with many empty ones also emit their smallest
    hashes as a prefix filter does. So no link is lost, and an n-gram that thousands of texts share
    is no signature by itself.
-2. Sets that share signatures, directly or through others, form a block. A block is one tile, or, if
-   it is large, tiles of two chunks each, of the same band or of neighbouring ones.
-3. Tiles of bitmaps, a few bits for each n-gram: the bit count of two bitmaps' exclusive or is no
-   more than the symmetric difference, so it bounds the overlap from above. Pairs within the bound
-   make finer blocks.
+2. The sets of a signature are a block: a pair, or one tile, or, if there are many, tiles of two
+   chunks each, of the same band or of neighbouring ones.
+3. Pairs and tiles of bitmaps, a few bits for each n-gram: the bit count of two bitmaps' exclusive
+   or is no more than the symmetric difference, so it bounds the overlap from above. What is
+   connected by pairs within the bound makes finer blocks.
 4. Tiles of these blocks with the sets themselves: pairs that pass the bound and are not connected
    yet are intersected exactly. A tile returns a spanning forest of its links, never all pairs.
 5. Components of these links are the classes.
@@ -163,10 +163,10 @@ def in_filter(filter_: tuple[int, np.ndarray], hashed: np.ndarray) -> np.ndarray
     return found
 
 
-def candidate_edges(sets: DataFrame) -> DataFrame:
-    """(a, b): every set that shares a signature with others, and the least of these."""
+def shared_signatures(sets: DataFrame) -> DataFrame:
+    """(set_id, signature) of signatures that several sets, or copies of one, have; each once, written."""
     counted = sets.select(F.explode("signatures").alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))
-    seen = written(counted.where("n > 1").select("signature"), "signatures")  # by copies of one set, or by several sets
+    seen = written(counted.where("n > 1").select("signature"), "signatures")
     wanted = sets.sparkSession.sparkContext.broadcast(bit_filter(seen, seen.count()))
     hashed = sets.where("set_id IS NOT NULL").select("set_id", "signatures", F.transform("signatures", lambda s: F.xxhash64(s)).alias("hashed"))
 
@@ -182,10 +182,40 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
 
     pairs = written(hashed.mapInArrow(passing, "set_id long, signature long").distinct(), "signed")
     discard(seen, tidy=True)
-    shared = pairs.groupBy("signature").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least < most").select("signature", "least")
-    edges = written(pairs.join(shared, "signature").where("set_id <> least").select(F.col("set_id").alias("a"), F.col("least").alias("b")).distinct(), "candidate-edges")
-    discard(pairs)
-    return edges
+    return pairs
+
+
+def pairs_in_bound(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose bitmaps don't rule out a link; `maps` has set_id, size and content."""
+
+    def run(batches):
+        bands = Bands(percent)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                ok = [bool(links_in_tile(np.array([m, n]), [x, y], None, np.zeros(2), True, bands)) for m, x, n, y in zip(*(c.to_pylist() for c in part.columns[2:]))]
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    first = maps.select(F.col("set_id").alias("a"), F.col("size").alias("m"), F.col("content").alias("x"))
+    second = maps.select(F.col("set_id").alias("b"), F.col("size").alias("n"), F.col("content").alias("y"))
+    # sizes alone rule most pairs out before any bitmap moves
+    near = pairs.join(first.drop("x"), "a").join(second.drop("y"), "b").where(f"100 * least(m, n) >= {percent} * greatest(m, n)").select("a", "b")
+    return near.join(first, "a").join(second, "b").select("a", "b", "m", "x", "n", "y").mapInArrow(run, "a long, b long")
+
+
+def near_pairs(sets: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs within the bound that connect all sets of a signature which pairs within the bound connect; written."""
+    signed = shared_signatures(sets)
+    groups = signed.groupBy("signature").agg(F.count("*").alias("n"), F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("n > 1")
+    groups = written(groups, "signature-groups")
+    pairs = written(pairs_in_bound(groups.where("n = 2").select("a", "b").distinct(), maps, percent), "pairs")
+    many = signed.join(groups.where("n > 2").select("signature"), "signature").withColumnRenamed("signature", "block")
+    many = written(many.join(maps.select("set_id", "size"), "set_id"), "many")
+    discard(signed)
+    tiled = tiles_of(many, percent, MAP_TILE).join(maps, "set_id")
+    found = written(pairs.unionByName(links(tiled, percent, False).distinct()), "near-pairs")
+    discard(many, tidy=True)
+    return found
 
 
 def tiles_of(blocks: DataFrame, percent: int, most: tuple[int, int]) -> DataFrame:
@@ -322,12 +352,9 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
         if named.where("low <> high").isEmpty():  # else two sets share a 64-bit hash: another seed parts them
             break
     sets = written(signed.select("doc_id", "size", "set_id"), "sets")
-    edges = candidate_edges(signed)
-    discard(signed, tidy=True)
-    blocks = in_blocks(components(edges), named.select("set_id", "rid", "size", F.col("map").alias("content")))
-    near = links(tiles_of(blocks, percent, MAP_TILE).join(blocks.select("set_id", "size", "content"), "set_id"), percent, False)
+    near = near_pairs(signed, named.select("set_id", "size", F.col("map").alias("content")), percent)
+    discard(signed)
     finer = in_blocks(components(near), named.select("set_id", "rid", "size"))
-    discard(blocks, tidy=True)
     hashes = candidate_sets(docs, finer.select("set_id", "rid"), words, seed)
     tiled = tiles_of(finer, percent, SET_TILE).join(finer.select("set_id", "size"), "set_id").join(hashes, "set_id")
     linked = components(links(tiled, percent, True)).withColumnRenamed("node", "set_id")
