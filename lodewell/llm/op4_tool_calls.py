@@ -98,21 +98,13 @@ def positioned(messages: DataFrame) -> DataFrame:
     stretched = messages.withColumn("stretch", F.floor(F.col("turn") / STRETCH))
     counts = stretched.groupBy("conv_id", "level", "stretch").agg(F.count("*").alias("n"))
     shifts = counts.select("conv_id", "level", "stretch", (F.sum("n").over(Window.partitionBy("conv_id").orderBy("level", "stretch")) - F.col("n")).alias("shift"))
-    place = F.row_number().over(Window.partitionBy("conv_id", "level", "stretch").orderBy("turn", "kind", "content")) - 1
+    place = F.row_number().over(Window.partitionBy("conv_id", "level", "stretch").orderBy("turn", "kind", "line")) - 1
     same = [F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("conv_id", "level", "stretch")]
     return stretched.withColumn("place", place).alias("m").join(shifts.alias("s"), same).select("m.*", (F.col("shift") + F.col("place")).cast("long").alias("position")).drop("stretch", "place")
 
 
-def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
-    """conv_id, turn, position, level, kind, call_id, status, problems, line: a row for each message."""
-    messages = written(positioned(ordered(messages)), "messages")
-    called = messages.where("kind = 'call' AND call_id IS NOT NULL").select("call_id").distinct().withColumn("called", F.lit(True))
-    answered = messages.where("kind = 'result' AND call_id IS NOT NULL").select("call_id").distinct().withColumn("answered", F.lit(True))
-    # messages without an identifier match nothing: keys of their own keep them from meeting in one task
-    key = F.coalesce("call_id", F.concat(F.lit("none "), F.xxhash64("conv_id", "turn", "position").cast("string")))
-    linked = messages.withColumn("key", key).join(called.withColumnRenamed("call_id", "key").hint("shuffle_hash"), "key", "left").join(answered.withColumnRenamed("call_id", "key").hint("shuffle_hash"), "key", "left")
-    status = F.when((F.col("kind") == "call") & (F.col("level") < 0), "cycle").when(F.col("kind") == "call", F.when(F.col("answered"), "linked").otherwise("unanswered"))
-    status = status.when(F.col("kind") == "result", F.when(F.col("called"), "linked").otherwise("orphan")).otherwise("message")
+def serialised(messages: DataFrame, schemas: dict) -> DataFrame:
+    """conv_id, turn, kind, call_id, needs, problems, line: what moves from here on holds each text once."""
     quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1), F.lit("null"))
     value = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(quoted(c))
     arguments = F.coalesce(F.to_json(F.try_parse_json("arguments")), value(F.col("arguments")))
@@ -120,8 +112,22 @@ def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
     result = F.concat(F.lit('{"content":'), value(F.col("content")), F.lit(',"id":'), value(F.col("call_id")), F.lit(',"type":"result"}'))
     other = F.concat(F.lit('{"content":'), value(F.col("content")), F.lit(',"role":'), value(F.col("role")), F.lit(',"type":"message"}'))
     line = F.when(F.col("kind") == "call", call).when(F.col("kind") == "result", result).otherwise(other)
-    wrong = F.when(F.col("kind") == "call", problems(F.col("name"), F.col("arguments"), SCHEMAS if schemas is None else schemas))
-    return linked.select("conv_id", "turn", "position", "level", "kind", "call_id", status.alias("status"), wrong.alias("problems"), line.alias("line"))
+    wrong = F.when(F.col("kind") == "call", problems(F.col("name"), F.col("arguments"), schemas))
+    return messages.select("conv_id", "turn", "kind", "call_id", "needs", wrong.alias("problems"), line.alias("line"))
+
+
+def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
+    """conv_id, turn, position, level, kind, call_id, status, problems, line: a row for each message."""
+    lines = serialised(messages, SCHEMAS if schemas is None else schemas)
+    messages = written(positioned(ordered(lines)).drop("needs"), "messages")
+    called = messages.where("kind = 'call' AND call_id IS NOT NULL").select(F.col("call_id").alias("key")).distinct().withColumn("called", F.lit(True))
+    answered = messages.where("kind = 'result' AND call_id IS NOT NULL").select(F.col("call_id").alias("key")).distinct().withColumn("answered", F.lit(True))
+    # messages without an identifier match nothing: keys of their own keep them from meeting in one task
+    key = F.coalesce("call_id", F.concat(F.lit("none "), F.xxhash64("conv_id", "turn", "position").cast("string")))
+    linked = messages.withColumn("key", key).join(called.hint("shuffle_hash"), "key", "left").join(answered.hint("shuffle_hash"), "key", "left")
+    status = F.when((F.col("kind") == "call") & (F.col("level") < 0), "cycle").when(F.col("kind") == "call", F.when(F.col("answered"), "linked").otherwise("unanswered"))
+    status = status.when(F.col("kind") == "result", F.when(F.col("called"), "linked").otherwise("orphan")).otherwise("message")
+    return linked.select("conv_id", "turn", "position", "level", "kind", "call_id", status.alias("status"), "problems", "line")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
