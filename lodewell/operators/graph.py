@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rounds of an iteration between two checkpoints.
+CUT_ROUNDS = 3
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in spark.checkpoint.dir; in local mode without one, in a temporary folder."""
     context = df.sparkSession.sparkContext
@@ -147,7 +151,8 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, restart: float = 0
     """(node, score) of walks over edges (src, dst, w) that restart at the seeds.
 
     A step's chance grows with the edge's weight times ln(1 + N / (1 + degree of its end)), which
-    damps hubs. What reaches a node without edges is lost. Restart is `restart`, as is a round's share.
+    damps hubs. What reaches a node without edges is lost. The last round's change is looked at, and
+    the lineage cut, every CUT_ROUNDS rounds.
     """
     degree = edges.groupBy("src").agg(F.sum("w").alias("degree"))
     n = degree.count()
@@ -158,11 +163,17 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, restart: float = 0
     count = start.count()
     base = cut(start.withColumn("score", F.lit(restart / max(1, count))))
     now = cut(start.withColumn("score", F.lit(1.0 / max(1, count))))
-    for _ in range(rounds if count else 0):
-        moved = steps.join(now.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("score") * (1 - restart)).alias("score"))
-        following = cut(moved.unionByName(base).groupBy("node").agg(F.sum("score").alias("score")))
-        change = following.join(now.withColumnRenamed("score", "old"), "node", "full_outer").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
-        now = following
+    done = 0
+    while count and done < rounds:
+        following = now
+        for _ in range(min(CUT_ROUNDS, rounds - done)):
+            before = following
+            moved = steps.join(following.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("score") * (1 - restart)).alias("score"))
+            following = moved.unionByName(base).groupBy("node").agg(F.sum("score").alias("score"))
+            done += 1
+        both = cut(following.join(before.withColumnRenamed("score", "old"), "node", "full_outer").select("node", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("old", F.lit(0.0)).alias("old")))
+        change = both.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
+        now = both.where("score > 0").select("node", "score")
         if change < tolerance:
             break
     return now
