@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that vectorised operators hold at a time; a longer text is taken alone.
 CHUNK_BYTES = 1 << 19
 CHUNK_DOCS = 512
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,8 +55,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Has Spark hand texts to Python in batches of BATCH_BYTES, whatever their lengths; a session setting."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text; other columns, whatever their names, play no part."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

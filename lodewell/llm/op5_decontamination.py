@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm.common import LOWER, byte_view, chunks, keyed_texts, lookup, span_hashes, table, word_spans, written
+from lodewell.llm.common import LOWER, bounded_batches, byte_view, chunks, keyed_texts, lookup, span_hashes, table, word_spans, written
 
 WINDOW = 13
 #: Words of test items that are searched in one pass over the text; each takes about 120 bytes as phrases.
@@ -257,6 +257,7 @@ N_HIT = "aggregate(spans, 0L, (n, s) -> n + s.end - s.first)"
 
 def keep(docs: DataFrame, tests: DataFrame) -> DataFrame:
     """The rows that are not contaminated, with all their columns, judged in the same scan."""
+    bounded_batches(docs.sparkSession)
     blocks = test_blocks(tests)
     first = next(blocks)
     if next(blocks, None) is not None:  # many tests: the spans of all blocks count together

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm.common import LOWER, byte_view, chunks, discard, keyed_texts, lookup, mix, span_hashes, table, word_spans, written
+from lodewell.llm.common import LOWER, bounded_batches, byte_view, chunks, discard, keyed_texts, lookup, mix, span_hashes, table, word_spans, written
 from lodewell.llm.components import components
 
 WORDS, PERCENT = 3, 90
@@ -376,6 +376,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     exactly. Rows without an id stay, save repeats.
     """
     names = docs.columns
+    bounded_batches(docs.sparkSession)
     found = written(classes(docs, words, percent), "classes")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("component_id") < F.col("doc_id")).cast("int")).alias("dropped")).where("dropped = 1 OR n > 1 OR doc_id IS NULL")
     ids = written(ids.select("doc_id", "dropped"), "dropped")

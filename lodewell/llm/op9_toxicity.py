@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm.common import chunks, keyed_texts, remainder, table, written
+from lodewell.llm.common import bounded_batches, chunks, keyed_texts, remainder, table, written
 from lodewell.llm.op2_quality import labelled_sample, sigmoid
 
 #: Labelled rows that are learned from, and terms of the lexicon.
@@ -302,6 +302,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 def keep(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose text scores below `threshold`, with all their columns; one scan, no join."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
