@@ -9,18 +9,25 @@ from lodewell.functions import scoring as S
 
 #: Keyword patterns of categories, in order.
 CATEGORY_RULES = [
-    ("decision", r"(?i)\b(decided|decision|we chose|agreed)\b"),
-    ("preference", r"(?i)\b(prefers?|i like|rather than|favou?rite)\b"),
-    ("task", r"(?i)\b(todo|must|need to|deadline)\b"),
-    ("project", r"(?i)\b(project|milestone|roadmap|release)\b"),
-    ("fact", r"(?i)\b(is located|was founded|the the|consists of)\b"),
+    ("decision", r"(?i)\b(decided|chose|choose|decision|ruling|choosing)\b"),
+    ("observation", r"(?i)\b(noticed|observed|saw|spotted|observation|seeing)\b"),
+    ("insight", r"(?i)\b(I think|pattern|insight|realize|realise|realized|realised|correlat)"),
+    ("conversation", r"(?i)\b(talked|discussed|conversation|meeting|chat|call)\b"),
+    ("fact", r"(?i)\b(fact|definition|always|never|is a|are a)\b"),
+    ("preference", r"(?i)\b(prefer|like|dislike|love|hate|preference|favorite|favourite)\b"),
+    ("plan", r"(?i)\b(plan|todo|goal|milestone|roadmap|next step|will|going to|intend)"),
+    ("reflection", r"(?i)\b(reflect|looking back|lesson|takeaway|retrospect|hindsight)"),
 ]
 
 
+#: The least score of each grade.
+GRADES = [(90, "A"), (80, "A-"), (70, "B+"), (60, "B"), (50, "C+"), (40, "C"), (30, "D")]
+
+
 def category(explicit: Column, kind: Column, path: Column, text: Column) -> tuple[Column, Column]:
     """The category and what told it: front matter, type, path, keywords, or nothing."""
-    by_kind = F.when(kind == "task", "task").when(kind.isin("entity", "crm"), "fact")
-    by_path = F.when(path.rlike("(?i)/(decisions|adr)/"), "decision").when(path.rlike("(?i)/projects/"), "project")
+    by_kind = F.when(kind == "task", "plan").when(kind.isin("entity", "crm"), "fact")
+    by_path = F.when(path.rlike("(?i)/(decisions|adr)/"), "decision").when(path.rlike("(?i)/projects/"), "plan")
     by_word = None
     for name, pattern in CATEGORY_RULES:
         hit = text.rlike(pattern)
@@ -76,11 +83,13 @@ def health(notes: DataFrame) -> DataFrame:
         F.avg("heat").alias("avg_heat"),
         *[F.avg((F.col("temperature") == t).cast("double")).alias(t) for t in ("hot", "warm", "cold")],
     )
-    balance = 1 - (F.abs(F.col("hot") - 0.2) + F.abs(F.col("warm") - 0.3) + F.abs(F.col("cold") - 0.5)) / 2
-    score = 100 * (0.25 * F.col("tag_coverage") + 0.25 * F.least(F.lit(1.0), F.col("link_density") / 3) + 0.25 * (1 - F.col("orphan_ratio")) + 0.15 * F.least(F.lit(1.0), F.col("avg_heat") / 8) + 0.10 * balance)
-    score = F.least(F.lit(100.0), F.greatest(F.lit(0.0), score))
-    grade = F.when(score >= 85, "A").when(score >= 70, "B").when(score >= 55, "C").when(score >= 40, "D").otherwise("F")
-    return base.withColumn("score", F.round(score, 4)).withColumn("grade", grade)
+    balance = F.greatest(F.lit(0.0), 1 - 2 * F.greatest(F.lit(0.0), F.col("hot") - 0.4) - 2 * F.greatest(F.lit(0.0), F.col("cold") - 0.8))
+    raw = 100 * (0.25 * F.col("tag_coverage") + 0.25 * F.least(F.lit(1.0), F.col("link_density") / 3) + 0.25 * (1 - F.least(F.lit(1.0), F.col("orphan_ratio"))) + 0.15 * F.least(F.lit(1.0), F.col("avg_heat") / 8) + 0.10 * F.coalesce(balance, F.lit(0.0)))
+    score = F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw)) + 0.5)
+    grade = None
+    for least, name in GRADES:
+        grade = F.when(score >= least, name) if grade is None else grade.when(score >= least, name)
+    return base.withColumn("score", score).withColumn("grade", grade.otherwise("F"))
 
 
 def themes(tagged: DataFrame, least: int = 3, most_rounds: int = 200) -> DataFrame:
@@ -107,8 +116,8 @@ def themes(tagged: DataFrame, least: int = 3, most_rounds: int = 200) -> DataFra
 def dream_report(notes: DataFrame) -> DataFrame:
     """One row that sums up a maintenance cycle: temperatures, decayed heat, demotions, promotions."""
     days = F.col("days")
-    left = S.decayed(F.col("heat"), days, F.col("importance"))
-    worth = S.roi(days, F.col("accesses"), F.col("importance"), F.col("length"))
+    left = S.decayed(F.col("heat"), days, F.col("category"), F.col("importance"))
+    worth = S.roi(days, F.col("accesses"), F.col("category"), F.col("length"))
     return notes.agg(
         F.count("*").alias("notes"),
         F.count_if(S.temperature(left) == "cold").alias("cold"),

@@ -44,12 +44,18 @@ def trend(series: DataFrame, at: str, value: str, last: int = 12, dull: float =
     return fit.select("slope", direction.alias("direction"), (100 * (F.col("last") - F.col("first")) / F.col("first")).alias("change"))
 
 
+#: Up to where a ratio is fine, and up to where it is a warning.
+GROWTH, TAIL = (1.5, 2.5), (2.0, 3.0)
+
+
 def regression(now: DataFrame, baseline: DataFrame, key: str, p95: str, most: str) -> DataFrame:
-    """State of each tool against its baseline: the worse of the p95's growth and of the tail's length."""
+    """State of each tool against its baseline: the worse of the p95's growth (0 without a baseline) and of the tail's length."""
     both = now.join(baseline.select(key, F.col(p95).alias("base")), key, "left")
-    growth, tail = F.col(p95) / F.col("base"), F.col(most) / F.col(p95)
-    state = F.when((growth >= 2) | (tail >= 10), "bad").when((growth >= 1.25) | (tail >= 5), "watch").otherwise("good")
-    return both.select(key, growth.alias("growth"), tail.alias("tail"), F.when(F.col("base").isNull(), "new").otherwise(state).alias("state"))
+    growth = F.coalesce(F.round(F.col(p95) / F.when(F.col("base") > 0, F.col("base")), 2), F.lit(0.0))
+    tail = F.coalesce(F.round(F.col(most) / F.when(F.col(p95) > 0, F.col(p95)), 2), F.lit(0.0))
+    bad = (growth > GROWTH[1]) | (tail > TAIL[1])
+    warn = (growth > GROWTH[0]) | (tail > TAIL[0])
+    return both.select(key, growth.alias("growth"), tail.alias("tail"), F.when(bad, "bad").when(warn, "warn").otherwise("ok").alias("state"))
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:

@@ -11,24 +11,28 @@ from lodewell.functions import text as T
 from lodewell.operators import lifecycle as L
 from lodewell.sources.tables import NOTES_SQL, notes, table
 
+_CATEGORIES = ["fact", "preference", "decision", "insight", "observation", "reflection", "plan", "conversation"]
 _USE = f"""{NOTES_SQL}, u AS (
-  SELECT doc_id, n_chars, title, content, tags, doc_id % 120 AS days_updated, date_diff('day', CAST(max(ts) AS DATE), DATE '2024-03-01') AS days, count(event_id) AS accesses, count(DISTINCT event_type) AS inbound,
-         ['critical', 'high', 'medium', 'low'][CAST(doc_id % 4 AS INTEGER) + 1] AS importance, max(ts) AS last_access
+  SELECT doc_id, n_chars, title, content, tags, doc_id % 40 AS days_updated, date_diff('day', CAST(max(ts) AS DATE), DATE '2024-01-31') AS days, count(event_id) AS accesses, count(DISTINCT event_type) AS inbound,
+         ['critical', 'high', 'medium', 'low'][CAST(doc_id % 4 AS INTEGER) + 1] AS importance, {_CATEGORIES}[CAST(doc_id % 8 AS INTEGER) + 1] AS category, max(ts) AS last_access
   FROM notes LEFT JOIN events ON user_id = doc_id GROUP BY ALL), h AS (
-  SELECT *, (CASE WHEN days_updated <= 1 THEN 1 ELSE 0 END + CASE WHEN days_updated <= 7 THEN 1 ELSE 0 END + CASE WHEN days_updated <= 30 THEN 1 ELSE 0 END + CASE WHEN days_updated <= 90 THEN 1 ELSE 0 END
-    + CASE WHEN days <= 1 THEN 1 ELSE 0 END + CASE WHEN days <= 7 THEN 1 ELSE 0 END + CASE WHEN days <= 30 THEN 1 ELSE 0 END
-    + CASE WHEN accesses >= 1 THEN 1 ELSE 0 END + CASE WHEN accesses >= 5 THEN 1 ELSE 0 END + CASE WHEN accesses >= 10 THEN 1 ELSE 0 END
-    + CASE WHEN inbound >= 1 THEN 1 ELSE 0 END + CASE WHEN inbound >= 3 THEN 1 ELSE 0 END + CASE WHEN inbound >= 6 THEN 1 ELSE 0 END) AS heat_score FROM u), t AS (
+  SELECT *, (CASE WHEN days_updated <= 1 THEN 4 WHEN days_updated <= 3 THEN 3 WHEN days_updated <= 7 THEN 2 WHEN days_updated <= 30 THEN 1 ELSE 0 END
+    + CASE WHEN days <= 1 THEN 3 WHEN days <= 3 THEN 2 WHEN days <= 7 THEN 1 ELSE 0 END + CASE WHEN accesses >= 20 THEN 3 WHEN accesses >= 10 THEN 2 WHEN accesses >= 3 THEN 1 ELSE 0 END
+    + CASE WHEN inbound >= 10 THEN 3 WHEN inbound >= 5 THEN 2 WHEN inbound >= 1 THEN 1 ELSE 0 END) AS heat_score FROM u), t AS (
   SELECT *, CASE WHEN heat_score >= 10 THEN 'hot' WHEN heat_score >= 4 THEN 'warm' ELSE 'cold' END AS temperature FROM h)"""
-_ROI = "600 * exp(-0.05 * days) * (1 + 0.1 * least(accesses, 50)) * 3 * CASE importance WHEN 'critical' THEN 2.0 WHEN 'high' THEN 1.5 WHEN 'medium' THEN 1.0 ELSE 0.5 END - (ceil(n_chars / 4.0) + 50)"
+_WORTH = "CASE category WHEN 'fact' THEN 2.0 WHEN 'preference' THEN 1.8 WHEN 'decision' THEN 1.5 WHEN 'insight' THEN 1.2 WHEN 'observation' THEN 1.0 WHEN 'reflection' THEN 0.8 WHEN 'plan' THEN 0.5 ELSE 0.3 END"
+_ROI = f"600 * exp(-0.05 * (days + 60)) * (1 + 0.1 * least(accesses, 50)) * 3 * {_WORTH} - (ceil(n_chars / 4.0) + 50)"
+_RATE = """CASE category WHEN 'fact' THEN 0.25 WHEN 'preference' THEN 0.25 WHEN 'decision' THEN 0.5 WHEN 'insight' THEN 1 / 1.5 WHEN 'plan' THEN 1 / 0.7 WHEN 'conversation' THEN 2.0 ELSE 1.0 END
+  * CASE importance WHEN 'critical' THEN 0.5 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 1.0 ELSE 1.5 END"""
 
 
 def used(spark, sf_dir):
-    """Notes with their use until 2024-03-01; the access log is summed up before it is joined."""
+    """Notes with their use until 2024-01-31; the access log is summed up before it is joined."""
     log = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").alias("accesses"), F.countDistinct("event_type").alias("inbound"), F.max("ts").alias("last_access"))
     importance = F.element_at(F.array(*map(F.lit, ["critical", "high", "medium", "low"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    category = F.element_at(F.array(*map(F.lit, _CATEGORIES)), (F.col("doc_id") % 8 + 1).cast("int"))
     rows = notes(spark, sf_dir).drop("heat").join(log, "doc_id", "left").withColumn("accesses", F.coalesce("accesses", F.lit(0))).withColumn("inbound", F.coalesce("inbound", F.lit(0)))
-    rows = rows.withColumn("importance", importance).withColumn("days_updated", F.col("doc_id") % 120).withColumn("days", F.datediff(F.lit("2024-03-01").cast("date"), F.col("last_access").cast("date")))
+    rows = rows.withColumn("importance", importance).withColumn("category", category).withColumn("days_updated", F.col("doc_id") % 40).withColumn("days", F.datediff(F.lit("2024-01-31").cast("date"), F.col("last_access").cast("date")))
     rows = rows.withColumn("heat_score", S.heat_score(F.col("days_updated"), F.col("days"), F.col("accesses"), F.col("inbound")))
     return rows.withColumn("temperature", S.temperature(F.col("heat_score")))
 
@@ -38,18 +42,17 @@ def heat_score(spark, sf_dir):
     return used(spark, sf_dir).select("doc_id", "heat_score", "temperature")
 
 
-@register(
-    "heat_decay",
-    f"WITH {_USE} SELECT doc_id, round(greatest(0, heat_score - CASE WHEN days > 30 THEN 2 WHEN days > 7 THEN 1 ELSE 0 END * CASE importance WHEN 'critical' THEN 0.25 WHEN 'high' THEN 0.5 WHEN 'medium' THEN 1.0 ELSE 1.5 END), 4) AS decayed FROM t",
-)
+@register("heat_decay", f"WITH {_USE} SELECT doc_id, round(greatest(0, heat_score - CASE WHEN days > 30 THEN 2 WHEN days > 7 THEN 1 ELSE 0 END * {_RATE}), 4) AS decayed FROM t")
 def heat_decay(spark, sf_dir):
-    return used(spark, sf_dir).select("doc_id", F.round(S.decayed(F.col("heat_score"), F.col("days"), F.col("importance")), 4).alias("decayed"))
+    left = S.decayed(F.col("heat_score"), F.coalesce("days", F.lit(0)), F.col("category"), F.col("importance"))
+    return used(spark, sf_dir).select("doc_id", F.round(left, 4).alias("decayed"))
 
 
-@register("roi_demotion", f"WITH {_USE} SELECT doc_id, round({_ROI}, 2) AS roi FROM t WHERE days >= 30 AND {_ROI} < 0 ORDER BY roi, doc_id LIMIT 100")
+@register("roi_demotion", f"WITH {_USE} SELECT doc_id, round({_ROI}, 2) AS roi FROM t WHERE days IS NOT NULL AND {_ROI} < 0 ORDER BY roi, doc_id LIMIT 100")
 def roi_demotion(spark, sf_dir):
-    roi = S.roi(F.col("days"), F.col("accesses"), F.col("importance"), F.col("n_chars"))
-    rows = used(spark, sf_dir).where("days >= 30").withColumn("roi", roi).where("roi < 0")
+    """As of sixty days later."""
+    roi = S.roi(F.col("days") + 60, F.col("accesses"), F.col("category"), F.col("n_chars"))
+    rows = used(spark, sf_dir).where("days IS NOT NULL").withColumn("roi", roi).where("roi < 0")
     return rows.select("doc_id", F.round("roi", 2).alias("roi")).orderBy("roi", "doc_id").limit(100)
 
 
@@ -71,9 +74,9 @@ def promote_candidates(spark, sf_dir):
     "vault_health",
     f"""WITH {_USE}, b AS (SELECT count(*) AS notes, avg(CAST(len(tags) > 0 AS INTEGER)) AS tag_coverage, avg(inbound) AS link_density, avg(CAST(inbound = 0 AS INTEGER)) AS orphan_ratio, avg(heat_score) AS avg_heat,
   avg(CAST(temperature = 'hot' AS INTEGER)) AS hot, avg(CAST(temperature = 'warm' AS INTEGER)) AS warm, avg(CAST(temperature = 'cold' AS INTEGER)) AS cold FROM t),
-s AS (SELECT *, least(100, greatest(0, 100 * (0.25 * tag_coverage + 0.25 * least(1, link_density / 3) + 0.25 * (1 - orphan_ratio) + 0.15 * least(1, avg_heat / 8) + 0.1 * (1 - (abs(hot - 0.2) + abs(warm - 0.3) + abs(cold - 0.5)) / 2)))) AS raw FROM b)
+s AS (SELECT *, floor(least(100, greatest(0, 100 * (0.25 * tag_coverage + 0.25 * least(1, link_density / 3) + 0.25 * (1 - orphan_ratio) + 0.15 * least(1, avg_heat / 8) + 0.1 * greatest(0, 1 - 2 * greatest(0, hot - 0.4) - 2 * greatest(0, cold - 0.8))))) + 0.5) AS raw FROM b)
 SELECT notes, round(tag_coverage, 4) AS tag_coverage, round(link_density, 4) AS link_density, round(orphan_ratio, 4) AS orphan_ratio, round(avg_heat, 4) AS avg_heat, round(hot, 4) AS hot, round(warm, 4) AS warm, round(cold, 4) AS cold,
-  round(raw, 4) AS score, CASE WHEN raw >= 85 THEN 'A' WHEN raw >= 70 THEN 'B' WHEN raw >= 55 THEN 'C' WHEN raw >= 40 THEN 'D' ELSE 'F' END AS grade FROM s""",
+  CAST(raw AS BIGINT) AS score, CASE WHEN raw >= 90 THEN 'A' WHEN raw >= 80 THEN 'A-' WHEN raw >= 70 THEN 'B+' WHEN raw >= 60 THEN 'B' WHEN raw >= 50 THEN 'C+' WHEN raw >= 40 THEN 'C' WHEN raw >= 30 THEN 'D' ELSE 'F' END AS grade FROM s""",
 )
 def vault_health(spark, sf_dir):
     rows = used(spark, sf_dir).withColumn("links", F.col("inbound")).withColumn("heat", F.col("heat_score"))
@@ -81,11 +84,13 @@ def vault_health(spark, sf_dir):
     return found.select("notes", *[F.round(c, 4).alias(c) for c in ("tag_coverage", "link_density", "orphan_ratio", "avg_heat", "hot", "warm", "cold")], "score", "grade")
 
 
+_RULES = " ".join(f"WHEN regexp_matches(text, '{pattern}') THEN '{name}'" for name, pattern in L.CATEGORY_RULES)
+
+
 @register(
     "category_inference",
-    """SELECT category, source, count(*) AS n FROM (SELECT CASE WHEN role = 'system' THEN 'task' WHEN regexp_matches(text, '(?i)\\b(decided|decision|we chose|agreed)\\b') THEN 'decision' WHEN regexp_matches(text, '(?i)\\b(prefers?|i like|rather than|favou?rite)\\b') THEN 'preference'
-  WHEN regexp_matches(text, '(?i)\\b(todo|must|need to|deadline)\\b') THEN 'task' WHEN regexp_matches(text, '(?i)\\b(project|milestone|roadmap|release)\\b') THEN 'project' WHEN regexp_matches(text, '(?i)\\b(is located|was founded|the the|consists of)\\b') THEN 'fact' ELSE 'general' END AS category,
-  CASE WHEN role = 'system' THEN 'type' WHEN regexp_matches(text, '(?i)\\b(decided|decision|we chose|agreed|prefers?|i like|rather than|favou?rite|todo|must|need to|deadline|project|milestone|roadmap|release|is located|was founded|the the|consists of)\\b') THEN 'keywords' ELSE 'default' END AS source FROM conversations) GROUP BY 1, 2""",
+    f"""WITH c AS (SELECT role, CASE {_RULES} END AS word FROM conversations)
+SELECT CASE WHEN role = 'system' THEN 'plan' ELSE coalesce(word, 'general') END AS category, CASE WHEN role = 'system' THEN 'type' WHEN word IS NOT NULL THEN 'keywords' ELSE 'default' END AS source, count(*) AS n FROM c GROUP BY 1, 2""",
 )
 def category_inference(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
@@ -138,11 +143,12 @@ def staged_context(spark, sf_dir):
 
 @register(
     "dream_cycle_report",
-    f"""WITH {_USE}, d AS (SELECT *, greatest(0, heat_score - CASE WHEN days > 30 THEN 2 WHEN days > 7 THEN 1 ELSE 0 END * CASE importance WHEN 'critical' THEN 0.25 WHEN 'high' THEN 0.5 WHEN 'medium' THEN 1.0 ELSE 1.5 END) AS kept FROM t)
-SELECT count(*) AS notes, count(*) FILTER (WHERE kept < 4) AS cold, count(*) FILTER (WHERE kept < heat_score) AS decayed, count(*) FILTER (WHERE days >= 30 AND {_ROI} < 0) AS demote, count(*) FILTER (WHERE accesses >= 5 AND days <= 30) AS promote FROM d""",
+    f"""WITH {_USE}, d AS (SELECT *, coalesce(days, 365) AS age, greatest(0, heat_score - CASE WHEN coalesce(days, 365) > 30 THEN 2 WHEN coalesce(days, 365) > 7 THEN 1 ELSE 0 END * {_RATE}) AS kept FROM t)
+SELECT count(*) AS notes, count(*) FILTER (WHERE kept < 4) AS cold, count(*) FILTER (WHERE kept < heat_score) AS decayed, count(*) FILTER (WHERE age >= 30 AND 600 * exp(-0.05 * age) * (1 + 0.1 * least(accesses, 50)) * 3 * {_WORTH} - (ceil(n_chars / 4.0) + 50) < 0) AS demote,
+  count(*) FILTER (WHERE accesses >= 5 AND age <= 30) AS promote FROM d""",
 )
 def dream_cycle_report(spark, sf_dir):
-    return L.dream_report(used(spark, sf_dir).withColumn("heat", F.col("heat_score")).withColumn("length", F.col("n_chars")))
+    return L.dream_report(used(spark, sf_dir).withColumn("heat", F.col("heat_score")).withColumn("length", F.col("n_chars")).withColumn("days", F.coalesce("days", F.lit(365))))
 
 
 @register("theme_detection", "SELECT least(lang, source) || '+' || greatest(lang, source) AS theme, count(*) AS size, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) >= 3")

@@ -29,15 +29,15 @@ def tool_latency_rollup(spark, sf_dir):
 @register(
     "latency_regression",
     """WITH n AS (SELECT event_type, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, max(value) AS most FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1),
-b AS (SELECT event_type, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS base FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1)
-SELECT event_type, round(p95 / base, 4) AS growth, round(most / p95, 4) AS tail, CASE WHEN base IS NULL THEN 'new' WHEN p95 / base >= 2 OR most / p95 >= 10 THEN 'bad' WHEN p95 / base >= 1.25 OR most / p95 >= 5 THEN 'watch' ELSE 'good' END AS state FROM n LEFT JOIN b USING (event_type)""",
+b AS (SELECT event_type, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS base FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
+r AS (SELECT event_type, round(p95 / base, 2) AS growth, round(most / p95, 2) AS tail FROM n JOIN b USING (event_type))
+SELECT event_type, growth, tail, CASE WHEN growth > 2.5 OR tail > 3 THEN 'bad' WHEN growth > 1.5 OR tail > 2 THEN 'warn' ELSE 'ok' END AS state FROM r""",
 )
 def latency_regression(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     half = F.lit("2024-01-16").cast("timestamp_ntz")
     p95 = lambda rows: rows.groupBy("event_type").agg(M.nearest_rank("value", 0.95).alias("p95"), F.max("value").alias("most"))
-    found = M.regression(p95(events.where(F.col("ts") >= half)), p95(events.where(F.col("ts") < half)), "event_type", "p95", "most")
-    return found.withColumn("growth", F.round("growth", 4)).withColumn("tail", F.round("tail", 4))
+    return M.regression(p95(events.where(F.col("ts") >= half)), p95(events.where(F.col("ts") < half)), "event_type", "p95", "most")
 
 
 @register(
