@@ -8,17 +8,48 @@ from pyspark.sql import functions as F
 from lodewell.functions import text as T
 
 #: Patterns of preferences by kind, of memories by category, and of entities by type (strong or weak signals).
+_END = r"(?:\.|$|\n)"
 PREFERENCES = [
-    ("like", r"(?i)\bI (?:really )?(?:like|love|enjoy|prefer) ([^.!?\n]{5,120})"),
-    ("dislike", r"(?i)\bI (?:really )?(?:dislike|hate|avoid) ([^.!?\n]{5,120})"),
-    ("rule", r"(?i)\b(?:always|never) ([^.!?\n]{5,120})"),
+    ("preference", r"(?i)\bI\s+prefer\s+(.{10,120}?)" + _END),
+    ("preference", r"(?i)\bI\s+(?:really\s+)?like\s+(?:to\s+|using\s+|how\s+)?(.{10,120}?)" + _END),
+    ("preference", r"(?i)\bI\s+(?:really\s+)?dislike\s+(.{10,120}?)" + _END),
+    ("preference", r"(?i)\bI\s+always\s+(.{10,120}?)" + _END),
+    ("preference", r"(?i)\bI\s+never\s+(.{10,120}?)" + _END),
+    ("preference", r"(?i)\bmy\s+(?:preferred|favorite|go-to)\s+(?:\w+\s+)?(?:is|are)\s+(.{5,120}?)" + _END),
+    ("preference", r"(?i)\bI\s+(?:tend\s+to|usually)\s+(.{10,120}?)" + _END),
+    ("convention", r"(?i)\bwe\s+(?:should\s+)?always\s+(.{10,120}?)" + _END),
+    ("convention", r"(?i)\bwe\s+(?:should\s+)?never\s+(.{10,120}?)" + _END),
+    ("convention", r"(?i)\bthe\s+convention\s+is\s+(.{10,120}?)" + _END),
+    ("convention", r"(?i)\bthe\s+standard\s+is\s+(.{10,120}?)" + _END),
+    ("convention", r"(?i)\bour\s+(?:team|project|codebase|convention)\s+(?:uses?|requires?|follows?)\s+(.{10,120}?)" + _END),
+    ("convention", r"(?i)\bthe\s+rule\s+(?:is|here)\s+(.{10,120}?)" + _END),
+    ("convention", r"(?i)\b(?:best\s+practice|standard\s+practice)\s+(?:is\s+(?:to\s+)?)?(.{10,120}?)" + _END),
+    ("pain_point", r"(?i)\b(.{5,60}?)\s+doesn'?t\s+work\s+well\b"),
+    ("pain_point", r"(?i)\b(.{5,60}?)\s+is\s+(?:really\s+)?(?:frustrating|annoying|broken|unreliable|buggy|slow|painful)\b"),
+    ("pain_point", r"(?i)\bfrustrated\s+(?:by|with)\s+(.{10,120}?)" + _END),
+    ("pain_point", r"(?i)\bstruggling\s+with\s+(.{10,120}?)" + _END),
+    ("pain_point", r"(?i)\bthe\s+(?:problem|issue|trouble)\s+(?:with|is)\s+(.{10,120}?)" + _END),
 ]
 MEMORIES = [
-    ("decision", r"(?i)\b(?:decided|agreed|chose)\b"),
-    ("preference", r"(?i)\b(?:prefer|favou?rite)\b"),
-    ("milestone", r"(?i)\b(?:finished|released|launched|shipped)\b"),
-    ("problem", r"(?i)\b(?:bug|error|broken|fails?)\b"),
-    ("fact", r"(?i)\b(?:is|are|has|have)\b"),
+    ("decision", r"(?i)\b(?:decided|went\s+with|chose|trade-?off|opted\s+for)\b"),
+    ("decision", r"(?i)\b(?:decision\s+(?:was|is)|we(?:'ll|\s+will)\s+go\s+with)\b"),
+    ("decision", r"(?i)\b(?:settled\s+on|picked|selecting|selected)\b"),
+    ("preference", r"(?i)\bI\s+(?:always\s+)?(?:like|love|use)\b"),
+    ("preference", r"(?i)\b(?:always\s+use|convention\s+is|my\s+go-?to)\b"),
+    ("preference", r"(?i)\b(?:I\s+dislike|I\s+hate|I\s+avoid)\b"),
+    ("preference", r"(?i)\b(?:prefer(?:red|s)?|preference)\b"),
+    ("milestone", r"(?i)\b(?:shipped|launched|deployed)\b"),
+    ("milestone", r"(?i)\b(?:finally\s+got|breakthrough|completed)\b"),
+    ("milestone", r"(?i)\b(?:released|went\s+live|went\s+to\s+prod)\b"),
+    ("milestone", r"(?i)\b(?:finished|accomplished|achieved|milestone)\b"),
+    ("problem", r"(?i)\b(?:bug|crash(?:es|ed|ing)?|error)\b"),
+    ("problem", r"(?i)\b(?:broken|failing|issue\s+with)\b"),
+    ("problem", r"(?i)\b(?:problem|regression|outage)\b"),
+    ("problem", r"(?i)\b(?:doesn'?t\s+work|can'?t\s+(?:find|load|connect|start))\b"),
+    ("problem", r"(?i)\b(?:exception|stack\s*trace|segfault|panic)\b"),
+    ("fact", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:is\s+a|are\s+a|works?\s+at|runs?\s+on)\b"),
+    ("fact", r"(?i)\b(?:the\s+(?:API|URL|endpoint|port|version)\s+is)\b"),
+    ("fact", r"(?i)\b(?:located\s+(?:at|in)|hosted\s+(?:on|at))\b"),
 ]
 ENTITIES = [
     ("person", "title", True, r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? ([A-Z]\p{L}+(?: [A-Z]\p{L}+)?)"),
@@ -42,18 +73,16 @@ def turn_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> D
     return marked.groupBy(conv, "_exchange").agg(first("user", turn).alias(turn), first("user", "text").alias("user_text"), first("assistant", "text").alias("assistant_text")).drop("_exchange")
 
 
-def preferences(texts: DataFrame, text: str, least: int = 10) -> DataFrame:
-    """(columns, kind, phrase) of all preference patterns, each phrase once for a row and kind."""
-    found = None
-    for kind, pattern in PREFERENCES:
-        part = F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda p, k=None: p)
-        part = F.transform(F.array_distinct(F.transform(part, lambda p: F.trim(p))), _named(kind))
-        found = part if found is None else F.concat(found, part)
-    return texts.select("*", F.explode(F.filter(found, lambda f: F.length(f["phrase"]) >= least)).alias("f")).select(*texts.columns, "f.*")
+def preferences(texts: DataFrame, key: list[str], text: str, least: int = 10) -> DataFrame:
+    """(key, kind, phrase) of all preference patterns; a phrase counts once for a row, for the first pattern that has it."""
 
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda p: F.struct(F.lit(kind).alias("kind"), F.regexp_replace(F.regexp_replace(p, r"\s+", " "), r"^[,;:\s]+|[,;:\s]+$", "").alias("phrase")))
 
-def _named(kind: str):
-    return lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("phrase"))
+    each = F.concat(*[found(kind, pattern) for kind, pattern in PREFERENCES])
+    rows = texts.select(*key, F.posexplode(each).alias("pos", "f")).where(F.length("f.phrase") >= least)
+    first = rows.groupBy(*key, F.lower("f.phrase").alias("_same")).agg(F.min_by("f", "pos").alias("f"))
+    return first.select(*key, "f.kind", "f.phrase")
 
 
 def memories(texts: DataFrame, key: list[str], text: str, most: int = 500) -> DataFrame:

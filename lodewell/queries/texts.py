@@ -20,15 +20,21 @@ def turn_pairing(spark, sf_dir):
     return M.turn_pairs(table(spark, sf_dir, "conversations"))
 
 
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_FOUND = " UNION ALL ".join(f"SELECT conv_id, turn, {i} AS pos, '{kind}' AS kind, unnest(regexp_extract_all(text, '{_quoted(pattern)}', 1)) AS phrase FROM conversations" for i, (kind, pattern) in enumerate(M.PREFERENCES))
+
+
 @register(
     "preference_mining",
-    """WITH f AS (SELECT conv_id, turn, 'like' AS kind, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\bI (?:really )?(?:like|love|enjoy|prefer) ([^.!?\\n]{5,120})', 1), lambda p: trim(p)))) AS phrase FROM conversations
-UNION ALL SELECT conv_id, turn, 'rule', unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b(?:always|never) ([^.!?\\n]{5,120})', 1), lambda p: trim(p)))) FROM conversations
-UNION ALL SELECT conv_id, turn, 'dislike', unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\bI (?:really )?(?:dislike|hate|avoid) ([^.!?\\n]{5,120})', 1), lambda p: trim(p)))) FROM conversations)
-SELECT conv_id, turn, kind, phrase FROM f WHERE length(phrase) >= 10""",
+    f"""WITH f AS ({_FOUND}), c AS (SELECT conv_id, turn, pos, kind, regexp_replace(regexp_replace(phrase, '\\s+', ' ', 'g'), '^[,;:\\s]+|[,;:\\s]+$', '', 'g') AS phrase FROM f)
+SELECT conv_id, turn, arg_min(kind, pos) AS kind, lower(phrase) AS phrase FROM c WHERE length(phrase) >= 10 GROUP BY conv_id, turn, lower(phrase)""",
 )
 def preference_mining(spark, sf_dir):
-    return M.preferences(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text").drop("text")
+    found = M.preferences(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    return found.withColumn("phrase", F.lower("phrase"))
 
 
 @register("memory_extraction")

@@ -159,8 +159,10 @@ def test_lifecycle(spark):
 def test_mining(spark):
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "user", "b"), (1, 3, "assistant", "c"), (1, 4, "assistant", "d")], "conv_id long, turn long, role string, text string")
     assert [(r.turn, r.user_text, r.assistant_text) for r in M.turn_pairs(turns).orderBy("turn").collect()] == [(1, "a", None), (2, "b", "c")]
-    texts = spark.createDataFrame([(1, "I really like strong black tea. Never deploy on a Friday! Dr Ann Lee said hello to Acme Widgets Inc")], "id long, text string")
-    assert {(r.kind, r.phrase) for r in M.preferences(texts, "text").collect()} == {("like", "strong black tea"), ("rule", "deploy on a Friday")}
+    texts = spark.createDataFrame([(1, "I really like strong black tea. We never deploy on a Friday. Dr Ann Lee said hello to Acme Widgets Inc")], "id long, text string")
+    assert {(r.kind, r.phrase) for r in M.preferences(texts, ["id"], "text").collect()} == {("preference", "strong black tea"), ("convention", "deploy on a Friday")}
+    said = spark.createDataFrame([(1, "We decided to wait a while. The bug is back again today! Nothing else to say here.")], "id long, text string")
+    assert {(r.category, r.sentence) for r in M.memories(said, ["id"], "text").collect()} == {("decision", "We decided to wait a while."), ("problem", "The bug is back again today!")}
     assert {(r["name"], r["type"]) for r in M.entities(texts, "id", "text").collect()} >= {("Ann Lee", "person"), ("Acme Widgets", "organisation")}
     found = M.entities(texts, "id", "text")
     assert M.registry(found, "id").where("name = 'ann lee'").first().occurrences == 1 and M.mention_edges(found, "id").count() >= 1
