@@ -120,7 +120,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def with_next(docs: DataFrame) -> DataFrame:
     """(bucket, own, doc_id, text): texts in buckets of consecutive ids, each with the first row of the next bucket, not owned.
 
-    Buckets begin at quantiles of the id, which are ids that exist: about one for BUCKET_ROWS rows,
+    Buckets are parted near quantiles of the id, and each begins at its least id: a quantile is a
+    double, so beyond 2^53 it need not be an id that exists. About one for BUCKET_ROWS rows,
     MOST_BUCKETS at most, 8 bytes each on the driver. A bucket is read as a sorted stream, so its
     size bounds no memory. The text is shuffled once. Null ids come first.
     """
@@ -128,7 +129,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     n, least = keyed.agg(F.count("*"), F.min("at")).first()
     parts = min(MOST_BUCKETS, n // BUCKET_ROWS)
     cuts = keyed.approxQuantile("at", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
-    bounds = np.array(sorted({least or 0, *map(int, cuts)}), dtype=np.int64)
+    near = np.array(sorted({least or 0, *(min(int(c), (1 << 63) - 1) for c in cuts)}), dtype=np.int64)
+
+    def number(batches):
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(near, at, side="right"), pa.int64()), batch.column(0)], names=["bucket", "at"])
+
+    begins = keyed.select("at").mapInArrow(number, "bucket long, at long").groupBy("bucket").agg(F.min("at").alias("at")) if len(near) > 1 else None
+    bounds = np.array(sorted(r["at"] for r in begins.collect()), dtype=np.int64) if begins is not None else near
 
     def deal(batches):
         for batch in batches:

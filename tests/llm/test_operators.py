@@ -92,6 +92,17 @@ def test_fingerprints_of_neighbours(spark):
         assert r.near_next == op1.likeness(op1.decode(r.fingerprint), op1.decode(op1.fingerprint(following)))
 
 
+def test_fingerprints_of_hashed_ids(spark):
+    docs = spark.range(3000).select(F.abs(F.xxhash64("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).localCheckpoint()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = {r.doc_id: r for r in op1.neighbour_fingerprints(docs).collect()}
+    assert set(rows) == set(texts) and max(texts) > 1 << 53
+    ids = sorted(texts)
+    for i, following in zip(ids, ids[1:] + ids[:1]):
+        edited = texts[i][: len(texts[i]) - len(texts[i]) // 4] + texts[following][: len(texts[i]) // 4]
+        assert rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+
+
 def test_fingerprints_odd(odd, none):
     rows = op1.neighbour_fingerprints(odd).collect()
     assert len(rows) == len(ODD) and len({r.fingerprint for r in rows if r.doc_id in (1, 2)}) == 1
