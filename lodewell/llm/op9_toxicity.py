@@ -4,7 +4,7 @@ The lexicon holds words that toxic training texts use far more often than clean
 support is the number of toxic texts, or of different words that it follows there if these are
 fewer: copies of one text count once. The trie of
 the lexicon and the automata of distance 1 are intersected beforehand: their subset construction
-gives one transition table, which all words of a batch walk through in step. A word at distance 1
+gives one transition table for each TERMS terms, which all words of a batch walk through in step. A word at distance 1
 that clean training texts use themselves is no misspelling. Each hit's context window tells
 quotation (quotation marks around it) from use; the window's other hits count as support. A
 logistic model weighs the counts, from prior weights that hold where training has no such case.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lodewell.llm.common import bounded_batches, chunks, keyed_texts, remainder, table, written
 from lodewell.llm.op2_quality import labelled_sample, sigmoid
 
-#: Labelled rows that are learned from, and terms of the lexicon.
+#: Labelled rows that are learned from, and terms of an automaton; a larger lexicon has several.
 SAMPLE, TERMS = 20_000, 400
 #: Letters from which on a term may be misspelled, words on each side of a hit that are its context.
 FUZZY_LENGTH, CONTEXT = 5, 6
@@ -160,6 +160,22 @@ def matches(words: Words, machine: dict) -> tuple[np.ndarray, np.ndarray]:
     return hit[order], state[order]
 
 
+def automata(terms: list[str], strong: int) -> list[dict]:
+    """Automata of TERMS terms each that together hold all terms; the first `strong` of them are in no clean text."""
+    return [automaton(terms[i : i + TERMS], min(max(strong - i, 0), TERMS)) for i in range(0, len(terms), TERMS)]
+
+
+def all_matches(words: Words, machines: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of words that some automaton accepts; for each, the fewest errors, and whether the term so found is one that clean texts have."""
+    found = [(hit, m["errors"][state], m["term"][state] >= m["strong"]) for m in machines for hit, state in [matches(words, m)]]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, bool)
+    hit, errors, other = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((other, errors, hit))
+    order = order[np.flatnonzero(np.diff(hit[order], prepend=-1))]
+    return hit[order], errors[order], other[order]
+
+
 def quoted(words: Words, i: int) -> bool:
     """Whether a quotation mark opens at the word or shortly before and closes at it or shortly after, in the same text."""
     here = words.of[i]
@@ -168,21 +184,21 @@ def quoted(words: Words, i: int) -> bool:
     return opened and any(words.closes[j] and words.of[j] == here and not words.opens[i + 1 : j + 1].any() for j in range(i, high + 1))
 
 
-def hit_counts(texts: list, machine: dict, innocent: set) -> tuple[np.ndarray, list]:
+def hit_counts(texts: list, machines: list[dict], innocent: set) -> tuple[np.ndarray, list]:
     """For each text: strong terms used, others and misspelled ones, quoted ones, and hits whose window holds another; also (text, surface) of the misspelled."""
     words = Words(texts)
     out, surfaces = np.zeros((len(texts), 4)), []
     before = (-1, -CONTEXT - 1)
-    for i, state in zip(*matches(words, machine)) if len(words.of) else ():
+    for i, errors, other in zip(*all_matches(words, machines)) if len(words.of) else ():
         text = words.of[i]
-        if machine["errors"][state]:
+        if errors:
             surface = words.word(i)
             surfaces.append((text, surface))
             if surface in innocent:
                 continue
             kind = 1
         else:
-            kind = int(machine["term"][state] >= machine["strong"])
+            kind = int(other)
         out[text, 2 if quoted(words, i) else kind] += 1
         if before[0] == text and i - before[1] <= CONTEXT:
             out[text, 3] += 1
@@ -232,8 +248,8 @@ def word_counts(sample: DataFrame) -> DataFrame:
     return once.groupBy("word").agg(F.least(F.sum("context"), F.sum("toxic")).alias("support"), F.sum("clean").alias("clean"))
 
 
-def lexicon(sample: DataFrame, n_toxic: int, n_clean: int, terms: int = TERMS) -> tuple[list[str], int]:
-    """Words whose share of toxic uses chance does not explain, given how many words there are: the strongest `terms` of them.
+def lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], int]:
+    """All words whose share of toxic uses chance does not explain, given how many words there are.
 
     Those that no clean text has come first; the second value is their number.
     """
@@ -243,28 +259,28 @@ def lexicon(sample: DataFrame, n_toxic: int, n_clean: int, terms: int = TERMS) -
     n = F.col("support") + F.col("clean")
     evidence = F.col("support") * F.log(F.col("support") / (n * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))).otherwise(0.0)
     found = counts.where((F.col("support") >= 3) & (F.col("support") * (1 - share) > 4 * F.col("clean") * share) & (F.col("clean") < F.col("support")) & (F.length("word") >= 3))
-    best = found.where(evidence > 1 + np.log(tried)).orderBy(evidence.desc(), "word").limit(terms).collect()
+    best = found.where(evidence > 1 + np.log(tried)).orderBy(evidence.desc(), "word").collect()
     strong = [r["word"] for r in best if not r["clean"]]
     return strong + [r["word"] for r in best if r["clean"]], len(strong)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable=None, sample: int = SAMPLE) -> dict:
-    """The automaton, the innocent surfaces and the weights, from at most `sample` labelled rows."""
+    """The automata, the innocent surfaces and the weights, from at most `sample` labelled rows."""
     usable = F.lit(True) if usable is None else usable
     rows = written(labelled_sample(docs, labels, label, usable, sample).dropDuplicates(["doc_id"]), "toxicity-sample")
     by_label = {bool(r["y"]): r["n"] for r in rows.groupBy((F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
-    model = {"machine": automaton([]), "innocent": set(), "weights": PRIOR, "terms": []}
+    model = {"machines": [], "innocent": set(), "weights": PRIOR, "terms": []}
     if len(by_label) < 2:
         return model
     rows = rows.select("doc_id", "text", (F.col("y") > 0).cast("int").alias("y"))
     model["terms"], strong = lexicon(rows, by_label[True], by_label[False])
-    model["machine"] = machine = automaton(model["terms"], strong)
+    model["machines"] = machines = automata(model["terms"], strong)
 
     def surfaces(batches):
         for batch in batches:
             for part in chunks(batch):
                 label = part.column(2).to_pylist()
-                found = {(of, w) for of, w in hit_counts(part.column(1).to_pylist(), machine, set())[1]}
+                found = {(of, w) for of, w in hit_counts(part.column(1).to_pylist(), machines, set())[1]}
                 yield pa.RecordBatch.from_arrays([pa.array([w for _, w in found], pa.string()), pa.array([label[of] for of, _ in found], pa.int32())], names=["word", "y"])
 
     seen = rows.mapInArrow(surfaces, "word string, y int").groupBy("word").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
@@ -275,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable=None, s
     def counts(batches):
         for batch in batches:
             for part in chunks(batch):
-                found = hit_counts(part.column(1).to_pylist(), machine, innocent)[0]
+                found = hit_counts(part.column(1).to_pylist(), machines, innocent)[0]
                 yield pa.RecordBatch.from_arrays([part.column(2), *[pa.array(c) for c in found.T]], names=["y", "a", "b", "c", "d"])
 
     # texts with the same counts weigh together
@@ -285,11 +301,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable=None, s
 
 
 def scores(texts: list, model: dict) -> np.ndarray:
-    return sigmoid(design(hit_counts(texts, model["machine"], model["innocent"])[0]) @ model["weights"])
+    return sigmoid(design(hit_counts(texts, model["machines"], model["innocent"])[0]) @ model["weights"])
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id and score of every text, without any shuffle; the transition table is a few megabytes at most."""
+    """doc_id and score of every text, without any shuffle; a transition table of TERMS terms is a few megabytes at most."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -467,6 +467,29 @@ def test_toxicity_tells_quotes_and_typos(spark):
     assert used > 0.5 and typo >= 0.3 and quote < 0.3 and clean < 0.1 and empty == clean
 
 
+def test_toxicity_keeps_every_term(spark):
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    terms, clean = sorted({letters(9) for _ in range(600)}), [letters(8) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(clean, k=20))) for i in range(900)]
+    for i in range(300):  # each term is in ten texts, after ten different words
+        words = [w for t in terms[i % 30 :: 30] for w in (rng.choice(clean), t)]
+        rows.append((1000 + i, " ".join(words)))
+    model = op9.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i >= 1000)) for i, _ in rows], "doc_id long, toxic int"))
+    assert set(terms) <= set(model["terms"]) and len(terms) > op9.TERMS
+    scores = op9.scores([f"{clean[0]} {t} {clean[1]}" for t in terms] + [f"{t[:4]}1{t[5:]}" for t in terms], model)
+    assert (scores >= op9.THRESHOLD).all()
+
+
+def test_several_automata_are_one(monkeypatch):
+    rng, terms = random.Random(10), ["idiot", "idiots", "clown", "moron", "abcab", "abcde", "abc"]
+    texts = [" ".join(w[: (k := rng.randrange(len(w)))] + rng.choice(["", "x", w[k]]) + w[k + 1 :] for w in rng.choices(terms, k=8)) for _ in range(300)]
+    whole = op9.hit_counts(texts, op9.automata(terms, 3), {"abcd"})
+    monkeypatch.setattr(op9, "TERMS", 2)
+    parts = op9.hit_counts(texts, op9.automata(terms, 3), {"abcd"})
+    assert len(op9.automata(terms, 3)) == 4 and (whole[0] == parts[0]).all() and whole[1] == parts[1]
+
+
 def test_toxicity_odd(odd, none, labels):
     model = op9.fit(odd, labels)
     assert op9.score(odd, model).count() == len(ODD) and op9.keep(odd, model).columns == odd.columns
