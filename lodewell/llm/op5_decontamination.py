@@ -255,14 +255,15 @@ def contaminated():
 N_HIT = "aggregate(spans, 0L, (n, s) -> n + s.end - s.first)"
 
 
-def keep(docs: DataFrame, tests: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, tests: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows that are not contaminated, with all their columns, judged in the same scan."""
     bounded_batches(docs.sparkSession)
-    blocks = test_blocks(tests)
+    blocks = test_blocks(tests, block_words)
     first = next(blocks)
     if next(blocks, None) is not None:  # many tests: the spans of all blocks count together
-        state = find(docs, tests).withColumn("n_hit", F.expr(N_HIT)).where(contaminated())
-        return docs.join(state.select("doc_id", "text").distinct(), ["doc_id", "text"], "left_anti").select(*docs.columns)
+        state = find(docs, tests, block_words=block_words).withColumn("n_hit", F.expr(N_HIT)).where(contaminated())
+        state = state.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).distinct()
+        return docs.join(state, docs["doc_id"].eqNullSafe(state["_id"]) & (docs["text"] == state["_text"]), "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(phrases(first))
 
     def run(batches):

@@ -246,6 +246,14 @@ def test_decontamination_matches_brute_force(spark):
     assert op5.without_spans("one TWO three, four", [(1, 3)]) == "one , four"
 
 
+def test_decontaminated_rows_without_id(spark):
+    tests = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(20)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "a1 b1 c1 x"), (None, "x y"), (None, None), (1, "a2 b2 c2"), (2, "z"), (3, "")], "doc_id long, text string")
+    for blocks in (op5.BLOCK_WORDS, 20):
+        assert sorted(map(str, op5.keep(docs, tests, blocks).collect())) == sorted(map(str, docs.where("text IS NULL OR text IN ('x y', 'z', '')").collect()))
+    assert len(list(op5.test_blocks(tests, 20))) > 1
+
+
 def test_decontamination_odd(spark, odd, none):
     tests = spark.createDataFrame([(1, "quick brown fox"), (1, "quick brown fox"), (2, ""), (3, None)], "item_id long, text string")
     rows = op5.find(odd, tests).collect()
