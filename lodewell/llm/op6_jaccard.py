@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodewell.llm.common import LOWER, bounded_batches, byte_view, chunks, discard, keyed_texts, lookup, mix, span_hashes, table, word_spans, written
 from lodewell.llm.components import components
@@ -344,6 +345,11 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, words: int, seed: int) ->
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
+    return class_rows(docs, words, percent, id_col, text_col)[0].select("doc_id", "n_shingles", "component_id")
+
+
+def class_rows(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """doc_id, n_shingles, component_id, set_id and root for each row, and the seed of the set_ids; an empty set has no set_id and no root."""
     docs = keyed_texts(docs, id_col, text_col)
     for seed in range(8):
         signed = written(signed_sets(docs, words, percent, seed), "signed-sets")
@@ -360,9 +366,10 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     linked = components(links(tiled, percent, True)).withColumnRenamed("node", "set_id")
     rooted = written(named.select("set_id", "rid").join(linked, "set_id", "left").select("set_id", "rid", F.coalesce("root", "set_id").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("rid").alias("component_id"))
-    of_set = rooted.join(least, "root").select("set_id", "component_id")
-    some = sets.where("size > 0").select("doc_id", "size", "set_id").join(of_set, "set_id").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    return some.unionByName(sets.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    of_set = rooted.join(least, "root").select("set_id", "component_id", "root")
+    some = sets.where("size > 0").select("doc_id", "size", "set_id").join(of_set, "set_id").select("doc_id", F.col("size").alias("n_shingles"), "component_id", "set_id", "root")
+    none = F.lit(None).cast("long")
+    return some.unionByName(sets.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("set_id"), none.alias("root"))), seed
 
 
 def in_blocks(components_: DataFrame, sets: DataFrame) -> DataFrame:
@@ -370,16 +377,18 @@ def in_blocks(components_: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of the least id of each class, with all their columns; rows that repeat id and text stay once.
+    """One row of the least id of each class, with all its columns; an empty text is a class of its own with its id.
 
     A filter of bounded size tells most rows that stay without moving them; the rest are joined
-    exactly. Rows without an id stay, save repeats.
+    exactly. Where several rows of a class have its least id, or none has an id, the least set and
+    then the least text stays. Rows without an id give way to those with one.
     """
     names = docs.columns
     bounded_batches(docs.sparkSession)
-    found = written(classes(docs, words, percent), "classes")
+    rows, seed = class_rows(docs, words, percent)
+    found = written(rows, "classes")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("component_id") < F.col("doc_id")).cast("int")).alias("dropped")).where("dropped = 1 OR n > 1 OR doc_id IS NULL")
-    ids = written(ids.select("doc_id", "dropped"), "dropped")
+    ids = written(ids.select("doc_id", F.expr("n > 1 OR doc_id IS NULL").alias("several")), "dropped")
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ids.select("doc_id"), ids.count()))
 
     def side(hit):
@@ -391,8 +400,28 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
         return docs.withColumn("_hashed_id", F.xxhash64("doc_id")).mapInArrow(run, docs.schema)
 
-    drop = ids.where("dropped = 1").select("doc_id")
-    return side(False).unionByName(side(True).join(drop, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*names))
+    single = side(False).unionByName(side(True).where("doc_id IS NOT NULL").join(ids.select("doc_id"), "doc_id", "left_anti").select(*names))
+    several = written(ids.where("several").select(F.col("doc_id").alias("_id")), "several")
+    if several.isEmpty():
+        return single
+
+    # an id that is no row's own tells nothing: these rows are judged by id and set
+    least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = least.where("set_id IS NOT NULL").groupBy("root", "doc_id").agg(F.min("set_id").alias("_stays")).select(F.col("doc_id").alias("_owner"), "_stays")
+    kind = StructType([*docs.schema, StructField("_set", LongType())])
+
+    def sets(batches):
+        for batch in batches:
+            for part in chunks(batch):
+                found = sets_of(part.column(part.schema.get_field_index("text")), words, seed)
+                ids = np.array([mix(s ^ _ODD[3]).sum(dtype=np.uint64) if len(s) else 0 for s in found], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.int64(), mask=np.array([not len(s) for s in found]))], names=[*part.schema.names, "_set"])
+
+    shared_ids = side(True).join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    judged = shared_ids.mapInArrow(sets, kind)
+    full = judged.where("_set IS NOT NULL").join(stays, F.col("doc_id").eqNullSafe(F.col("_owner")) & (F.col("_set") == F.col("_stays")), "left_semi")
+    one = lambda df, *by: df.groupBy(*by).agg(F.min_by(F.struct(*names), F.struct("text")).alias("_row")).select("_row.*")
+    return single.unionByName(one(full, "doc_id", "_set")).unionByName(one(judged.where("_set IS NULL"), "doc_id", "text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,6 +310,15 @@ def test_classes_match_brute_force(spark, monkeypatch, words, percent, small):
     assert got == brute_classes(rows, words, percent)
 
 
+def test_keep_one_of_shared_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    base, near, other, third = " ".join(words), " ".join(words[:-1]), " ".join(words[::-1]), " ".join(words[::2] + words[1::2])
+    rows = [(1, base), (5, base), (5, other), (6, third), (6, third + " x"), (None, near), (None, "one two three four five six"), (None, "ONE two three four five six"), (7, ""), (7, ""), (8, None), (9, base)]
+    got = [(r.doc_id, r.text) for r in op6.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == 6 and {(1, base), (5, other), (7, ""), (8, None), (None, "ONE two three four five six")} <= set(got)
+    assert len([t for i, t in got if i == 6]) == 1
+
+
 def test_classes_odd(odd, none):
     got = op6.classes(odd).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (1, 2)} == {1}
