@@ -1,4 +1,4 @@
-"""Graph queries: pressing orders link customers; orders link parts; vectors link their neighbours."""
+"""Graph queries: pressing orders link customers; lines link suppliers; orders link parts; vectors link their neighbours."""
 
 from __future__ import annotations
 
@@ -18,6 +18,13 @@ def edges(spark, sf_dir):
     return orders.select(F.col("o_custkey").alias("src"), dst.alias("dst")).where("src <> dst").distinct()
 
 
+def calls(spark, sf_dir):
+    """Distinct (src, dst) of all lines: a supplier calls the one that the part's key folds to, over as many as there are keys."""
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    n = items.agg(F.max("l_suppkey")).first()[0] or 1
+    return items.select(F.col("l_suppkey").cast("long").alias("src"), (F.col("l_partkey") % n + 1).cast("long").alias("dst")).where("src <> dst").distinct()
+
+
 @register(
     "degree_stats",
     f"""WITH {_EDGES}, d AS (SELECT c_custkey AS node, (SELECT count(*) FROM edges WHERE dst = c_custkey) AS inbound, (SELECT count(*) FROM edges WHERE src = c_custkey) AS outbound FROM customer)
@@ -105,7 +112,7 @@ def import_cycles_scc(spark, sf_dir):
 
 @register("personalised_pagerank")
 def personalised_pagerank(spark, sf_dir):
-    links = edges(spark, sf_dir)
+    links = calls(spark, sf_dir)
     none = links.limit(0)
     graph = G.recall_graph(links, none, none.withColumn("score", F.lit(0.0)))
     seeds = spark.range(10).select((F.col("id") * 7).alias("node"))
@@ -115,7 +122,7 @@ def personalised_pagerank(spark, sf_dir):
 
 @register("louvain_communities")
 def louvain_communities(spark, sf_dir):
-    rows = edges(spark, sf_dir).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    rows = calls(spark, sf_dir).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
     found = G.communities(rows)
     return found.groupBy("community").agg(F.count("*").alias("size"), F.round(F.max("modularity"), 6).alias("modularity"))
 

@@ -107,6 +107,18 @@ def test_graph_algorithms_match_brute_force(spark):
     assert set(hops) == reach[0]
 
 
+def test_calls_are_of_all_lines(spark, tmp_path):
+    from lodewell.queries import graphs
+
+    lines = [(i % 40 + 1, i * 7 % 200 + 1) for i in range(500)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 1, "O", "5-LOW")], "o_custkey long, o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    expected = {(a, b % 40 + 1) for a, b in lines if a != b % 40 + 1}
+    assert {(r.src, r.dst) for r in graphs.calls(spark, str(tmp_path)).collect()} == expected
+    assert graphs.personalised_pagerank(spark, str(tmp_path)).count() > 0
+    assert graphs.louvain_communities(spark, str(tmp_path)).agg(F.sum("size")).first()[0] == len({n for e in expected for n in e})
+
+
 def test_pagerank_keeps_mass_on_a_cycle(spark):
     edges = spark.createDataFrame([(i, (i + 1) % 3, 1.0) for i in range(3)] + [((i + 1) % 3, i, 1.0) for i in range(3)], "src long, dst long, w double")
     scores = {r.node: r.score for r in G.personalised_pagerank(edges, spark.createDataFrame([(0,)], "node long")).collect()}
