@@ -97,14 +97,15 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
     return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of cycles, by colouring: greatest node that reaches each node, then what it reaches back.
 
-    Nodes without an inbound or outbound edge are peeled off first and between rounds.
+    Nodes without an inbound or outbound edge are peeled off first and between rounds. Each round
+    finds one component at least, and rounds go on until no edge is left.
     """
     left = cut(edges.where("src <> dst").select("src", "dst").distinct())
     done = None
-    for _ in range(most_rounds):
+    while True:
         while True:  # peel
             n = left.count()
             left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
@@ -131,7 +132,7 @@ def strong_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
             if frontier.isEmpty():
                 break
             member = cut(member.union(frontier))
-        done = member if done is None else done.union(member)
+        done = member if done is None else cut(done.union(member))
         gone = member.select("node")
         left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
     if done is None:
