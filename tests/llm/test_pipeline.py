@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline
 from lodewell.llm import op2_quality, op7_packing, op9_toxicity, registry
-from tests.llm.test_operators import brute_classes, brute_hits, check_packed
+from tests.llm.test_training_operators import brute_classes, brute_hits, check_packed
 
 
 def test_stages(spark, data):

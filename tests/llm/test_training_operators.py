@@ -93,7 +93,7 @@ def test_fingerprints_of_neighbours(spark):
 
 
 def test_fingerprints_of_hashed_ids(spark):
-    docs = spark.range(3000).select(F.abs(F.xxhash64("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).localCheckpoint()
+    docs = spark.range(3000).select(F.abs(F.xxhash64("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
     texts = {r.doc_id: r.text for r in docs.collect()}
     rows = {r.doc_id: r for r in op1.neighbour_fingerprints(docs).collect()}
     assert set(rows) == set(texts) and max(texts) > 1 << 53
