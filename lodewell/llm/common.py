@@ -60,6 +60,34 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def unkept(shared):
+    """The value of a broadcast, read anew and not kept in the worker's memory."""
+    value = shared.value
+    if getattr(shared, "_path", None):
+        vars(shared).pop("_value", None)
+    return value
+
+
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each lengthened until it clashes with none of `names`."""
+    taken = {n.lower() for n in names}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def plain_names(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with plain names for columns whose names hold dots or backquotes, which mapInArrow can't take, and the names it had."""
+    names = docs.columns
+    if not any(set(n) & set(".`") for n in names):
+        return docs, names
+    return docs.toDF(*[fresh(names, f"_column{i}")[0] if set(n) & set(".`") else n for i, n in enumerate(names)]), names
+
+
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text; other columns, whatever their names, play no part."""
     bounded_batches(docs.sparkSession)

@@ -12,17 +12,18 @@ from lodewell.llm.common import discard, written
 EDGES_A_TASK = 20_000
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the least node of its component.
 
     Each round joins the edges with the least neighbour of each node; hubs only meet partial
     minima, and their joins are plain sort-merge joins, which Spark can split. Rounds grow with
-    the logarithm of the longest path; each is written to the shared folder.
+    the logarithm of the longest path, and go on until nothing changes; each is written to the
+    shared folder.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         print_of = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if print_of == before:
             break
