@@ -5,7 +5,8 @@ phrases are hashed; the SIZE smallest hashes are the signature. The share of com
 the SIZE smallest of two signatures' union estimates the Jaccard likeness of the phrase sets.
 
 Null texts are empty texts. An empty text has an empty signature: its likeness is 1 to another
-empty text and 0 to any other. Repeated rows each get a row, equal texts equal signatures.
+empty text and 0 to any other. Repeated rows each get a row, equal texts equal signatures. Rows of
+one id, and rows without any, which come first, are ordered by a hash of their text.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm.common import keyed_texts, span_hashes, table
+from lodewell.llm.common import discard, keyed_texts, span_hashes, table, written
 
 #: Hashes of a signature; the standard error of a likeness is below 0.5 / sqrt(SIZE).
 SIZE = 128
-#: Rows that a bucket of consecutive ids holds on average, and the most buckets there are.
-BUCKET_ROWS, MOST_BUCKETS = 512, 20_000
+#: Rows that a bucket of consecutive ids holds on average, the most buckets there are, and sampled keys for each.
+BUCKET_ROWS, MOST_BUCKETS, SAMPLED = 512, 20_000, 8
+#: Bytes of text that a task of the shuffle reads on average at most.
+TASK_BYTES = 64 << 20
 
 
 def parse(text: str, phrases: set, ends: list, at: int = 0, stop: int | None = None) -> int:
@@ -117,45 +120,48 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(bucket, own, doc_id, text): texts in buckets of consecutive ids, each with the first row of the next bucket, not owned.
+def bounds_before(at: np.ndarray, h: np.ndarray, bound_at: np.ndarray, bound_h: np.ndarray) -> np.ndarray:
+    """How many of the sorted bounds (at, h) are not beyond each key (at, h)."""
+    low, high = np.searchsorted(bound_at, at, side="left"), np.searchsorted(bound_at, at, side="right")
+    out = low.copy()
+    for k in np.unique(low[low < high]):  # ids that are a bound: the hash decides
+        rows = np.flatnonzero((low == k) & (low < high))
+        out[rows] = k + np.searchsorted(bound_h[k : high[rows[0]]], h[rows], side="right")
+    return out
 
-    Buckets are parted near quantiles of the id, and each begins at its least id: a quantile is a
-    double, so beyond 2^53 it need not be an id that exists. About one for BUCKET_ROWS rows,
-    MOST_BUCKETS at most, 8 bytes each on the driver. A bucket is read as a sorted stream, so its
-    size bounds no memory. The text is shuffled once. Null ids come first.
-    """
-    keyed = docs.withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    n, least = keyed.agg(F.count("*"), F.min("at")).first()
-    parts = min(MOST_BUCKETS, n // BUCKET_ROWS)
-    cuts = keyed.approxQuantile("at", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
-    near = np.array(sorted({least or 0, *(min(int(c), (1 << 63) - 1) for c in cuts)}), dtype=np.int64)
 
-    def number(batches):
-        for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(near, at, side="right"), pa.int64()), batch.column(0)], names=["bucket", "at"])
+def with_next(docs: DataFrame) -> DataFrame:
+    """(bucket, own, at, h, doc_id, text): texts in buckets of consecutive keys, each with the first row of the next bucket, not owned.
 
-    begins = keyed.select("at").mapInArrow(number, "bucket long, at long").groupBy("bucket").agg(F.min("at").alias("at")) if len(near) > 1 else None
-    bounds = np.array(sorted(r["at"] for r in begins.collect()), dtype=np.int64) if begins is not None else near
+    The key is the id (null: before all) and the hash of the text, so one id of many rows, or none,
+    fills many buckets. Buckets begin at keys of a hashed sample of the rows, about one for
+    BUCKET_ROWS rows, MOST_BUCKETS at most; the driver gets SAMPLED keys for each, of 16 bytes. A
+    bucket is read as a sorted stream, so its size bounds no memory. The text is shuffled once,
+    into as many tasks as its size asks for.
+    """
+    spark = docs.sparkSession
+    keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("at"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    narrow = written(keyed.select("at", "h", F.octet_length("text").alias("size")), "fingerprint-keys")
+    n, size, least = narrow.agg(F.count("*"), F.sum("size"), F.min(F.struct("at", "h"))).first()
+    parts = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
+    one_of = max(1, n // (parts * SAMPLED))
+    sampled = narrow.where(F.pmod(F.xxhash64("at", "h"), F.lit(one_of)) == 0).select("at", "h").distinct().collect() if parts > 1 else []
+    sampled = sorted((r["at"], r["h"]) for r in sampled)
+    bounds = sorted({(least["at"], least["h"]), *sampled[:: max(1, len(sampled) // parts)]}) if n else [(0, 0)]
+    bound_at, bound_h = np.array([x[0] for x in bounds], np.int64), np.array([x[1] for x in bounds], np.int64)
+    discard(narrow)
 
     def deal(batches):
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            bucket = np.maximum(np.searchsorted(bounds, at, side="right") - 1, 0)
-            first = np.flatnonzero(bounds[bucket] == at)
+            at, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            bucket = bounds_before(at, h, bound_at, bound_h) - 1
+            first = np.flatnonzero((bound_at[bucket] == at) & (bound_h[bucket] == h))
             rows = pa.array(np.concatenate([np.arange(len(at)), first]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([bucket, (bucket[first] - 1) % len(bounds)]), pa.int64()),
-                    pa.array(np.arange(len(rows)) < len(at), pa.bool_()),
-                    batch.column(0).take(rows),
-                    batch.column(1).take(rows),
-                ],
-                names=["bucket", "own", "doc_id", "text"],
-            )
+            dealt = [pa.array(np.concatenate([bucket, (bucket[first] - 1) % len(bound_at)]), pa.int64()), pa.array(np.arange(len(rows)) < len(at), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*dealt, *(c.take(rows) for c in batch.columns)], names=["bucket", "own", "at", "h", "doc_id", "text"])
 
-    return keyed.mapInArrow(deal, "bucket long, own boolean, doc_id long, text string")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // TASK_BYTES))
+    return keyed.mapInArrow(deal, "bucket long, own boolean, at long, h long, doc_id long, text string").repartition(tasks, "bucket")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -181,14 +187,13 @@ def compare_neighbours(rows):
 
 def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likenesses; see the contract of op1."""
-    spark = docs.sparkSession
 
     def run(batches):
         def rows():
             for batch in batches:
                 for i in range(0, batch.num_rows, 256):
                     part = batch.slice(i, 256)
-                    yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), (x or "" for x in part.column(3).to_pylist()))
+                    yield from zip(*(part.column(k).to_pylist() for k in (0, 1, 4)), (x or "" for x in part.column(5).to_pylist()))
 
         out: list = []
         for doc_id, text, here, edited, there, near_next in compare_neighbours(rows()):
@@ -203,8 +208,8 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    dealt = with_next(keyed_texts(docs, id_col, text_col)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
-    return dealt.sortWithinPartitions("bucket", F.desc("own"), F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).mapInArrow(run, SCHEMA)
+    dealt = with_next(keyed_texts(docs, id_col, text_col))
+    return dealt.sortWithinPartitions("bucket", F.desc("own"), "at", "h", F.asc_nulls_first("text")).mapInArrow(run, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
