@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm.common import bounded_batches, byte_view, chunks, keyed_texts, lookup, remainder, table
+from lodewell.llm.common import bounded_batches, byte_view, chunks, keyed_texts, lookup, plain_names, remainder, table
 
 #: Labelled rows that a model is fitted on, those of the smallest hash of the id: 24 numbers each on the driver.
 SAMPLE = 20_000
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
 def keep(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose text scores at least `threshold`, with all their columns; one scan, no join."""
-    names = docs.columns
+    docs, names = plain_names(docs)
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -231,7 +231,7 @@ def keep(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> D
                 text = part.column(part.schema.get_field_index("text"))
                 yield part.filter(pa.array(score_gam(model, features(text)) >= threshold))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
