@@ -3,9 +3,11 @@
 A node that shall give m leaves is cut where the weight of m // 2 of them lies. Cuts are found on
 aggregates alone: the weights of BINS slices of each node's range come to the driver, the slice
 that holds the cut is sliced again, and so on. Rows of one value of the dimension are cut by the
-hash of their text, and copies of one text by the hash of their id. So equal texts, whose
-dimensions are equal too, lie together in every order, and only a cut that falls into a group
-splits it: a group of any size leaves the shards' bytes near equal.
+hash of their text. So equal texts, whose dimensions are equal too, lie together in every order.
+Where a cut falls into a group of equal texts that fits in a shard, the cut moves to the group's
+nearer edge; if that is more than SMALL of a shard away, the group goes to the right side as a
+whole and the cut is sought again without it, up to ASIDE times. So the shards' bytes stay near
+equal. Only a group larger than a shard is cut, by the hash of its ids: it can't lie in one shard.
 
 Null texts have no bytes, like empty ones; null ids are hashed like any. Repeated rows each get a
 slot. An empty table gives an empty result. DataFrame functions only.
@@ -13,6 +15,8 @@ slot. An empty table gives an empty result. DataFrame functions only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +24,9 @@ from lodewell.llm.common import table, written
 
 SHARDS, OVERHEAD = 24, 8
 #: Slices of a node's range that one pass weighs, and the share of a shard that a cut may be off.
-BINS, TOLERANCE = 512, 0.001
+BINS, TOLERANCE = 2048, 0.001
+#: Share of a shard that a cut may move by so as not to split a group, and groups of a node that may be set aside.
+SMALL, ASIDE = 0.005, 6
 #: Rows that one counting group of a shard holds on average at most.
 SLOT_ROWS, LEAST_GROUPS = 20_000, 64
 
@@ -56,7 +62,10 @@ def leaf_of(node: dict) -> Column:
     """The number of the leaf, or of the node that is not cut yet, that a row belongs to."""
     if "cut" not in node:
         return F.lit(node["first"])
-    return F.when(before(node["cut"]), leaf_of(node["left"])).otherwise(leaf_of(node["right"]))
+    left = before(node["cut"])
+    if node["whole"]:
+        left = left & ~F.col("text_hash").isin(node["whole"])
+    return F.when(left, leaf_of(node["left"])).otherwise(leaf_of(node["right"]))
 
 
 def open_nodes(node: dict) -> list[dict]:
@@ -73,12 +82,21 @@ def by_node(nodes: list[dict], value) -> Column:
     return out
 
 
+def within(node: dict) -> Column:
+    """Whether a row of the node lies in the range that its cut is sought in."""
+    key = F.col(node["keys"][len(node["at"])])
+    out = key.between(F.lit(node["low"]), F.lit(node["high"]))
+    for name, value in node["at"]:
+        out = out & (F.col(name) == F.lit(value))
+    return out & ~F.col("text_hash").isin(node["whole"]) if node["whole"] else out
+
+
 def find_cuts(rows: DataFrame, nodes: list[dict], spreads: dict, total: float, shards: int, dimensions: list[str]) -> None:
     """Gives each node its cut, a list of (column, value), or marks it done if it has no rows."""
     numbers = [n["first"] for n in nodes]
     held = rows.where(F.col("node").isin(numbers))
     ranges = held.groupBy("node").agg(F.sum("size").alias("weight"), *[f(d).alias(f"{k}_{d}") for d in dimensions for k, f in (("low", F.min), ("high", F.max))]).collect()
-    by_number = {n["first"]: n for n in nodes}
+    by_number, shard = {n["first"]: n for n in nodes}, total / shards
     for n in nodes:
         n["done"] = True
     active = []
@@ -86,11 +104,14 @@ def find_cuts(rows: DataFrame, nodes: list[dict], spreads: dict, total: float, s
         n = by_number[r["node"]]
         widest = max(dimensions, key=lambda d: (r[f"high_{d}"] - r[f"low_{d}"]) / spreads[d])
         left = n["leaves"] // 2
-        n |= {"done": False, "keys": [widest, "text_hash", "id_hash"], "at": [], "low": r[f"low_{widest}"], "high": r[f"high_{widest}"], "missing": float(r["weight"]) * left / n["leaves"]}
+        start = {"at": [], "low": r[f"low_{widest}"], "high": r[f"high_{widest}"], "missing": float(r["weight"]) * left / n["leaves"]}
+        room = float(r["weight"]) - start["missing"]
+        n |= {"done": False, "keys": [widest, "text_hash", "id_hash"], "start": start, "room": room, "whole": []} | start
+        n["at"] = []
         active.append(n)
     while active:
         key = by_node(active, lambda n: F.col(n["keys"][len(n["at"])]))
-        inside = by_node(active, lambda n: (F.lit(True) if not n["at"] else F.expr(" AND ".join(f"{k} = {v!r}D" for k, v in n["at"]))) & F.col(n["keys"][len(n["at"])]).between(F.lit(n["low"]), F.lit(n["high"])))
+        inside = by_node(active, within)
         low, width = by_node(active, lambda n: F.lit(float(n["low"]))), by_node(active, lambda n: F.lit(max(float(n["high"]) - float(n["low"]), 1e-300)))
         sliced = rows.where(F.col("node").isin([n["first"] for n in active]) & inside).select("node", "size", key.alias("key"), F.least(F.lit(BINS - 1), F.floor((key - low) / width * BINS)).alias("bin"))
         weights: dict = {n["first"]: [] for n in active}
@@ -104,11 +125,19 @@ def find_cuts(rows: DataFrame, nodes: list[dict], spreads: dict, total: float, s
                     break
                 n["missing"] -= r["weight"]
             last = len(n["at"]) == len(n["keys"]) - 1
-            if r["weight"] <= TOLERANCE * total / shards or (last and r["low"] == r["high"]):
+            alike = r["low"] == r["high"]
+            fits = alike and key == "text_hash" and r["weight"] <= shard
+            aside = fits and min(n["missing"], r["weight"] - n["missing"]) > SMALL * shard and r["weight"] <= n["room"] and len(n["whole"]) < ASIDE
+            if r["weight"] <= TOLERANCE * shard or (alike and last) or (fits and not aside):
                 after = n["missing"] > r["weight"] / 2
-                value = r["low"] if not after else slices[k + 1]["low"] if k + 1 < len(slices) else float("inf")
+                value = math.nextafter(r["high"], math.inf) if after else r["low"]
                 n["cut"] = [*n["at"], (key, value)]
-            elif r["low"] == r["high"]:
+            elif aside:
+                n["whole"].append(r["low"])  # the group goes right; the cut is sought without it
+                n["room"] -= r["weight"]
+                n |= n["start"] | {"at": []}
+                going.append(n)
+            elif alike:
                 n["at"].append((key, r["low"]))
                 n["low"], n["high"] = -(2.0**63), 2.0**63
                 going.append(n)
