@@ -1,23 +1,25 @@
 """Chat formatting: tool calls linked with their results, ordered, validated and serialised.
 
-Calls and results are hash-joined by identifier. A call may name calls that it depends on; calls of
-a conversation are ordered so that each follows those. Where every dependency points to an
-earlier turn, the turns are such an order already; only the other conversations run rounds of
-Kahn's algorithm. Arguments are validated against the tool's schema, and every message becomes a
+Calls and results are hash-joined by conversation and identifier. A call may name calls of its
+conversation that it depends on; calls of a conversation are ordered so that each follows those.
+Where every dependency points to an earlier turn, the turns are such an order already; only the
+other conversations run rounds of Kahn's algorithm. Arguments are validated against the tool's schema, and every message becomes a
 line of canonical JSON: keys sorted, no white space.
 
-A row of null conversation or turn has no identifier: its call stays `unanswered`, its result is an
-`orphan`. An empty text is an empty argument or content, a null one JSON's null. Repeated rows keep
+A row of null conversation has no position and links with nothing, one of null turn no position;
+a call without identifier stays `unanswered`, a result without one is an `orphan`. An empty text is an empty argument or content, a null one JSON's null. Repeated rows keep
 a line each, and a link to whatever has the identifier. DataFrame functions only; no conversation
 is ever gathered in one row or task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodewell.llm.common import table, written
+from lodewell.llm.common import discard, table, written
 
 #: The schema of the tool that plain conversations are read as calls of.
 SCHEMAS = {"reply": {"prompt": {"type": "string", "required": True, "least": 40}, "turn": {"type": "integer", "required": True}}}
@@ -68,39 +70,72 @@ def problems(name: Column, arguments: Column, schemas: dict) -> Column:
     return out.otherwise("unknown tool")
 
 
-def ordered(messages: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """Adds `level`: 0 where turns are an order already, else the round in which all that a call needs was placed; -1 in a cycle."""
-    calls = messages.where("kind = 'call' AND call_id IS NOT NULL").select("conv_id", "call_id", "turn", "needs")
+def ordered(messages: DataFrame) -> DataFrame:
+    """Adds `level`: 0 where turns are an order already, else above the levels of all that a call needs; -1 in a cycle, and behind one."""
+    calls = messages.where("kind = 'call' AND conv_id IS NOT NULL AND call_id IS NOT NULL").select("conv_id", "call_id", "turn", "needs")
     edges = calls.select("conv_id", "call_id", "turn", F.explode(F.array_distinct("needs")).alias("need"))
     turn_of = calls.groupBy("conv_id", F.col("call_id").alias("need")).agg(F.max("turn").alias("need_turn"))
     edges = edges.join(turn_of.hint("shuffle_hash"), ["conv_id", "need"]).groupBy("conv_id", "call_id", "need").agg(F.min("turn").alias("turn"), F.max("need_turn").alias("need_turn"))
     edges = written(edges, "dependencies")
     disordered = edges.where("need_turn >= turn").select("conv_id").distinct()
     if disordered.isEmpty():
-        return messages.withColumn("level", F.lit(0))
-    edges = written(edges.join(disordered, "conv_id").select("conv_id", "call_id", "need"), "disordered")
-    left = written(calls.join(disordered, "conv_id").select("conv_id", "call_id").distinct(), "unplaced")
-    placed = None
-    for level in range(most_rounds):
-        blocked = edges.join(left.withColumnRenamed("call_id", "need"), ["conv_id", "need"]).select("conv_id", "call_id").distinct()
-        free = written(left.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "placed")
-        if free.isEmpty():
+        return messages.withColumn("level", F.lit(0).cast("long"))
+    placed = levels(calls.join(disordered, "conv_id").select(*CALL).distinct(), edges.join(disordered, "conv_id").select("conv_id", "call_id", "need"))
+    return messages.join(placed, CALL, "left").withColumn("level", F.coalesce("level", F.lit(0).cast("long")))
+
+
+CALL = ["conv_id", "call_id"]
+
+
+def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) from distinct calls and their needs: the length of the longest chain of needs, -1 where one never ends.
+
+    A round of Kahn's algorithm places the calls that need nothing unplaced, and with them all that
+    hang from them by single needs: pointers double along such chains, so a chain takes as many
+    steps as its length has bits. Rounds go on until nothing is freed; each is written.
+    """
+    left, edges, placed = written(calls.withColumn("least", F.lit(0).cast("long")), "unplaced"), written(edges, "needs"), []
+    while True:
+        needs = edges.groupBy(*CALL).agg(F.count("*").alias("n"), F.min("need").alias("need"))
+        # `top` is where a chain of single needs has led, `depth` how far that is, `floor` the level that the chain below `top` demands
+        top = F.when(F.col("n") == 1, F.col("need")).alias("top")
+        chains = written(left.join(needs, CALL, "left").select(*CALL, top, F.lit(1).cast("long").alias("depth"), F.col("least").alias("floor"), F.col("n").isNull().alias("free")), "chains")
+        for _ in range(chains.count().bit_length() + 1):  # what still moves after that runs in a cycle
+            above = chains.where("top IS NOT NULL").select("conv_id", F.col("call_id").alias("top"), F.col("top").alias("beyond"), F.col("depth").alias("further"), F.col("floor").alias("demand"))
+            joined = chains.join(above, ["conv_id", "top"], "left")
+            depth = (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth")
+            floor = F.greatest("floor", F.col("demand") + F.col("depth")).alias("floor")
+            moved = written(joined.select(*CALL, F.coalesce("beyond", "top").alias("top"), depth, floor, "free", F.col("beyond").isNotNull().alias("moved")), "chains")
+            discard(chains)
+            chains = moved
+            if chains.where("moved").isEmpty():
+                break
+        free = chains.where("free")
+        hanging = chains.join(free.select("conv_id", F.col("call_id").alias("top"), F.col("floor").alias("base")), ["conv_id", "top"])
+        new = written(free.select(*CALL, F.col("floor").alias("level")).unionByName(hanging.select(*CALL, F.greatest("floor", F.col("base") + F.col("depth")).alias("level"))), "placed")
+        discard(chains)
+        if new.isEmpty():
             break
-        placed = free if placed is None else placed.unionByName(free)
-        left = written(left.join(blocked, ["conv_id", "call_id"]), "unplaced")
-    rest = left.withColumn("level", F.lit(-1))
-    levels = rest if placed is None else placed.unionByName(rest)
-    return messages.join(levels, ["conv_id", "call_id"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+        placed = [*placed, new] if len(placed) < 16 else [written(reduce(DataFrame.unionByName, [*placed, new]), "placed")]
+        gone = edges.join(new.select("conv_id", F.col("call_id").alias("need"), "level"), ["conv_id", "need"], "left")
+        raised = gone.where("level IS NOT NULL").groupBy(*CALL).agg((F.max("level") + 1).alias("raised"))
+        rest = written(left.join(new, CALL, "left_anti").join(raised, CALL, "left").select(*CALL, F.greatest("least", "raised").alias("least")), "unplaced")
+        remaining = written(gone.where("level IS NULL").select("conv_id", "call_id", "need"), "needs")
+        discard(left)
+        discard(edges)
+        left, edges = rest, remaining
+    return reduce(DataFrame.unionByName, [*placed, left.select(*CALL, F.lit(-1).cast("long").alias("level"))])
 
 
 def positioned(messages: DataFrame) -> DataFrame:
-    """Adds `position`: gapless from 0 in each conversation by level and turn, counted in stretches of turns."""
-    stretched = messages.withColumn("stretch", F.floor(F.col("turn") / STRETCH))
+    """Adds `position`: gapless from 0 in each conversation by level and turn, counted in stretches of turns; none without conversation or turn."""
+    stretched = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").withColumn("stretch", F.floor(F.col("turn") / STRETCH))
     counts = stretched.groupBy("conv_id", "level", "stretch").agg(F.count("*").alias("n"))
     shifts = counts.select("conv_id", "level", "stretch", (F.sum("n").over(Window.partitionBy("conv_id").orderBy("level", "stretch")) - F.col("n")).alias("shift"))
     place = F.row_number().over(Window.partitionBy("conv_id", "level", "stretch").orderBy("turn", "kind", "line")) - 1
-    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("conv_id", "level", "stretch")]
-    return stretched.withColumn("place", place).alias("m").join(shifts.alias("s"), same).select("m.*", (F.col("shift") + F.col("place")).cast("long").alias("position")).drop("stretch", "place")
+    numbered = stretched.withColumn("place", place).join(shifts, ["conv_id", "level", "stretch"])
+    numbered = numbered.select(*messages.columns, (F.col("shift") + F.col("place")).cast("long").alias("position"))
+    return numbered.unionByName(messages.where("conv_id IS NULL OR turn IS NULL").withColumn("position", F.lit(None).cast("long")))
 
 
 def serialised(messages: DataFrame, schemas: dict) -> DataFrame:
@@ -120,11 +155,12 @@ def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
     """conv_id, turn, position, level, kind, call_id, status, problems, line: a row for each message."""
     lines = serialised(messages, SCHEMAS if schemas is None else schemas)
     messages = written(positioned(ordered(lines)).drop("needs"), "messages")
-    called = messages.where("kind = 'call' AND call_id IS NOT NULL").select(F.col("call_id").alias("key")).distinct().withColumn("called", F.lit(True))
-    answered = messages.where("kind = 'result' AND call_id IS NOT NULL").select(F.col("call_id").alias("key")).distinct().withColumn("answered", F.lit(True))
-    # messages without an identifier match nothing: keys of their own keep them from meeting in one task
-    key = F.coalesce("call_id", F.concat(F.lit("none "), F.xxhash64("conv_id", "turn", "position").cast("string")))
-    linked = messages.withColumn("key", key).join(called.hint("shuffle_hash"), "key", "left").join(answered.hint("shuffle_hash"), "key", "left")
+    named = messages.where("conv_id IS NOT NULL AND call_id IS NOT NULL")
+    called = named.where("kind = 'call'").select(*CALL).distinct().withColumn("called", F.lit(True))
+    answered = named.where("kind = 'result'").select(*CALL).distinct().withColumn("answered", F.lit(True))
+    linked = named.join(called.hint("shuffle_hash"), CALL, "left").join(answered.hint("shuffle_hash"), CALL, "left")
+    unnamed = messages.where("conv_id IS NULL OR call_id IS NULL")  # matches nothing, so it need not move
+    linked = linked.unionByName(unnamed.withColumns({"called": F.lit(None).cast("boolean"), "answered": F.lit(None).cast("boolean")}))
     status = F.when((F.col("kind") == "call") & (F.col("level") < 0), "cycle").when(F.col("kind") == "call", F.when(F.col("answered"), "linked").otherwise("unanswered"))
     status = status.when(F.col("kind") == "result", F.when(F.col("called"), "linked").otherwise("orphan")).otherwise("message")
     return linked.select("conv_id", "turn", "position", "level", "kind", "call_id", status.alias("status"), "problems", "line")
@@ -141,7 +177,7 @@ WITH m AS (
          CASE role WHEN 'user' THEN 'c' || conv_id || '-' || turn WHEN 'assistant' THEN 'c' || conv_id || '-' || (turn - 1) END AS call_id
   FROM conversations
 ), calls AS (SELECT DISTINCT call_id FROM m WHERE kind = 'call'), results AS (SELECT DISTINCT call_id FROM m WHERE kind = 'result')
-SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, kind, text) - 1 AS position, 0 AS level, kind, m.call_id AS call_id,
+SELECT conv_id, turn, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, turn IS NULL ORDER BY turn, kind, text) - 1 END AS position, 0 AS level, kind, m.call_id AS call_id,
        CASE kind WHEN 'call' THEN CASE WHEN results.call_id IS NULL THEN 'unanswered' ELSE 'linked' END
                  WHEN 'result' THEN CASE WHEN calls.call_id IS NULL THEN 'orphan' ELSE 'linked' END ELSE 'message' END AS status,
        CASE WHEN kind = 'call' THEN CASE WHEN length(text) < 40 THEN 'prompt:short' ELSE '' END END AS problems,
