@@ -8,7 +8,8 @@ occurrences are located by walking to the next sample, and their spans are merge
 
 Phrases are windows of WINDOW consecutive words of a test item, or all words of a shorter one.
 Null and empty texts have no words; an item without words has no phrase. Repeated rows are judged
-one by one. Tests are read in blocks of BLOCK_WORDS, so what is broadcast has a bound.
+one by one. Tests are read in blocks of BLOCK_WORDS, so each broadcast has a bound; a task holds
+one block of several at a time, with HELD_BYTES of text, and the text is scanned once.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm.common import LOWER, bounded_batches, byte_view, chunks, keyed_texts, lookup, span_hashes, table, word_spans, written
+from lodewell.llm.common import LOWER, bounded_batches, byte_view, chunks, keyed_texts, lookup, plain_names, span_hashes, table, unkept, word_spans
 
 WINDOW = 13
 #: Words of test items that are searched in one pass over the text; each takes about 120 bytes as phrases.
 BLOCK_WORDS = 500_000
+#: Text that is searched for one block after the other, if there are several.
+HELD_BYTES = 32 << 20
 #: Text of one shard, and the distance between sampled suffix positions.
 SHARD_BYTES, SHARD_DOCS, SAMPLED = 1 << 20, 4096, 8
 
@@ -222,29 +225,53 @@ def test_blocks(tests: DataFrame, block_words: int = BLOCK_WORDS):
         yield [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
 
 
+def searcher(spark: SparkSession, tests: DataFrame, window: int, block_words: int):
+    """A function that turns an iterator of batches into (part, occurrences of its column `text`) for every chunk of them."""
+    blocks = [spark.sparkContext.broadcast(phrases(block, window)) for block in test_blocks(tests, block_words)]
+
+    def held(batches):
+        parts, size = [], 0
+        for batch in batches:
+            for part in chunks(batch, limit=SHARD_BYTES, most=SHARD_DOCS):
+                parts.append(part)
+                size += len(byte_view(part.column(part.schema.get_field_index("text")))[0])
+                if size >= HELD_BYTES or len(blocks) == 1:
+                    yield parts
+                    parts, size = [], 0
+        yield parts
+
+    def run(batches):
+        for parts in held(batches):
+            found: list = [None] * len(parts)
+            for block in blocks if parts else []:
+                phrases_ = block.value if len(blocks) == 1 else unkept(block)
+                for k, part in enumerate(parts):
+                    new = occurrences(part.column(part.schema.get_field_index("text")), phrases_)
+                    found[k] = new if found[k] is None else joined(found[k], new)
+            yield from zip(parts, found)
+
+    return run
+
+
+def joined(a: tuple, b: tuple) -> tuple:
+    """Occurrences of two blocks of tests in the same texts, as those of one block."""
+    return a[0], [merged(x + y) if x and y else x or y for x, y in zip(a[1], b[1])], [sorted({*x, *y}) for x, y in zip(a[2], b[2])]
+
+
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 STATE = "doc_id long, text string, n_words long, spans array<struct<first:long,end:long>>, items array<long>"
 
 
 def find(docs: DataFrame, tests: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, text, n_words, spans of words to remove (first, end), and the items that occur; no shuffle."""
-    state = keyed_texts(docs).select("*", F.lit(0).cast("long").alias("n_words"), F.expr("array()").cast("array<struct<first:long,end:long>>").alias("spans"), F.expr("array()").cast("array<long>").alias("items"))
-    for k, block in enumerate(test_blocks(tests, block_words)):
-        shared = docs.sparkSession.sparkContext.broadcast(phrases(block, window))
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                for part in chunks(batch, limit=SHARD_BYTES, most=SHARD_DOCS):
-                    count, spans, items = occurrences(part.column(1), shared.value)
-                    old = zip(part.column(3).to_pylist(), part.column(4).to_pylist())
-                    both = [(merged([(x["first"], x["end"]) for x in s] + new), sorted({*i, *more})) for (s, i), new, more in zip(old, spans, items)]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), part.column(1), pa.array(count, pa.int64()), pa.array([[{"first": a, "end": b} for a, b in s] for s, _ in both], _SPANS), pa.array([i for _, i in both], pa.list_(pa.int64()))],
-                        names=["doc_id", "text", "n_words", "spans", "items"],
-                    )
-
-        state = (written(state, "decontamination") if k else state).mapInArrow(run, STATE)
-    return state
+    """doc_id, text, n_words, spans of words to remove (first, end), and the items that occur; one scan, no shuffle."""
+    search = searcher(docs.sparkSession, tests, window, block_words)
+
+    def run(batches):
+        for part, (count, spans, items) in search(batches):
+            structs = pa.array([[{"first": x, "end": y} for x, y in s] for s in spans], _SPANS)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count, pa.int64()), structs, pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "text", "n_words", "spans", "items"])
+
+    return keyed_texts(docs).mapInArrow(run, STATE)
 
 
 def contaminated():
@@ -256,24 +283,17 @@ N_HIT = "aggregate(spans, 0L, (n, s) -> n + s.end - s.first)"
 
 
 def keep(docs: DataFrame, tests: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows that are not contaminated, with all their columns, judged in the same scan."""
+    """The rows that are not contaminated, with all their columns, judged in the same scan, however many blocks there are."""
     bounded_batches(docs.sparkSession)
-    blocks = test_blocks(tests, block_words)
-    first = next(blocks)
-    if next(blocks, None) is not None:  # many tests: the spans of all blocks count together
-        state = find(docs, tests, block_words=block_words).withColumn("n_hit", F.expr(N_HIT)).where(contaminated())
-        state = state.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).distinct()
-        return docs.join(state, docs["doc_id"].eqNullSafe(state["_id"]) & (docs["text"] == state["_text"]), "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast(phrases(first))
+    docs, names = plain_names(docs)
+    search = searcher(docs.sparkSession, tests, WINDOW, block_words)
 
     def run(batches):
-        for batch in batches:
-            for part in chunks(batch, limit=SHARD_BYTES, most=SHARD_DOCS):
-                count, spans, _ = occurrences(part.column(part.schema.get_field_index("text")), shared.value)
-                hit = np.array([sum(b - a for a, b in s) for s in spans])
-                yield part.filter(pa.array((hit == 0) | (20 * hit < count)))
+        for part, (count, spans, _) in search(batches):
+            hit = np.array([sum(b - a for a, b in s) for s in spans])
+            yield part.filter(pa.array((hit == 0) | (20 * hit < count)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
 
 
 def without_spans(text: str | None, spans: list) -> str | None:
