@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodewell.llm.common import LOWER, bounded_batches, byte_view, chunks, discard, keyed_texts, lookup, mix, span_hashes, table, word_spans, written
+from lodewell.llm.common import LOWER, bounded_batches, byte_view, chunks, discard, fresh, keyed_texts, lookup, mix, plain_names, span_hashes, table, word_spans, written
 from lodewell.llm.components import components
 
 WORDS, PERCENT = 3, 90
@@ -383,7 +383,9 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     exactly. Where several rows of a class have its least id, or none has an id, the least set and
     then the least text stays. Rows without an id give way to those with one.
     """
+    docs, had = plain_names(docs)
     names = docs.columns
+    hashed, set_, owner, stays_, row = fresh(names, "_hashed_id", "_set", "_owner", "_stays", "_row")
     bounded_batches(docs.sparkSession)
     rows, seed = class_rows(docs, words, percent)
     found = written(rows, "classes")
@@ -394,34 +396,34 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     def side(hit):
         def run(batches):
             for batch in batches:
-                at = batch.schema.get_field_index("_hashed_id")
+                at = batch.schema.get_field_index(hashed)
                 found = in_filter(shared.value, batch.column(at).to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at], names=[n for i, n in enumerate(batch.schema.names) if i != at]).filter(pa.array(found == hit))
 
-        return docs.withColumn("_hashed_id", F.xxhash64("doc_id")).mapInArrow(run, docs.schema)
+        return docs.withColumn(hashed, F.xxhash64("doc_id")).mapInArrow(run, docs.schema)
 
     single = side(False).unionByName(side(True).where("doc_id IS NOT NULL").join(ids.select("doc_id"), "doc_id", "left_anti").select(*names))
-    several = written(ids.where("several").select(F.col("doc_id").alias("_id")), "several")
+    several = written(ids.where("several").select(F.col("doc_id").alias(owner)), "several")
     if several.isEmpty():
-        return single
+        return single.toDF(*had)
 
     # an id that is no row's own tells nothing: these rows are judged by id and set
     least = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = least.where("set_id IS NOT NULL").groupBy("root", "doc_id").agg(F.min("set_id").alias("_stays")).select(F.col("doc_id").alias("_owner"), "_stays")
-    kind = StructType([*docs.schema, StructField("_set", LongType())])
+    stays = least.where("set_id IS NOT NULL").groupBy("root", "doc_id").agg(F.min("set_id").alias(stays_)).select(F.col("doc_id").alias(owner), stays_)
+    kind = StructType([*docs.schema, StructField(set_, LongType())])
 
     def sets(batches):
         for batch in batches:
             for part in chunks(batch):
                 found = sets_of(part.column(part.schema.get_field_index("text")), words, seed)
                 ids = np.array([mix(s ^ _ODD[3]).sum(dtype=np.uint64) if len(s) else 0 for s in found], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.int64(), mask=np.array([not len(s) for s in found]))], names=[*part.schema.names, "_set"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.int64(), mask=np.array([not len(s) for s in found]))], names=[*part.schema.names, set_])
 
-    shared_ids = side(True).join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    shared_ids = side(True).join(several, F.col("doc_id").eqNullSafe(F.col(owner)), "left_semi")
     judged = shared_ids.mapInArrow(sets, kind)
-    full = judged.where("_set IS NOT NULL").join(stays, F.col("doc_id").eqNullSafe(F.col("_owner")) & (F.col("_set") == F.col("_stays")), "left_semi")
-    one = lambda df, *by: df.groupBy(*by).agg(F.min_by(F.struct(*names), F.struct("text")).alias("_row")).select("_row.*")
-    return single.unionByName(one(full, "doc_id", "_set")).unionByName(one(judged.where("_set IS NULL"), "doc_id", "text"))
+    full = judged.where(F.col(set_).isNotNull()).join(stays, F.col("doc_id").eqNullSafe(F.col(owner)) & (F.col(set_) == F.col(stays_)), "left_semi")
+    one = lambda df, *by: df.groupBy(*by).agg(F.min_by(F.struct(*names), F.struct("text")).alias(row)).select(f"{row}.*")
+    return single.unionByName(one(full, "doc_id", set_)).unionByName(one(judged.where(F.col(set_).isNull()), "doc_id", "text")).toDF(*had)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
