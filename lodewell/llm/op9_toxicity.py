@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodewell.llm.common import bounded_batches, chunks, keyed_texts, remainder, table, written
+from lodewell.llm.common import bounded_batches, chunks, keyed_texts, plain_names, remainder, table, written
 from lodewell.llm.op2_quality import labelled_sample, sigmoid
 
 #: Labelled rows that are learned from, and terms of an automaton; a larger lexicon has several.
@@ -319,6 +319,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 def keep(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose text scores below `threshold`, with all their columns; one scan, no join."""
     bounded_batches(docs.sparkSession)
+    docs, names = plain_names(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -327,7 +328,7 @@ def keep(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFram
                 text = part.column(part.schema.get_field_index("text")).to_pylist()
                 yield part.filter(pa.array(scores(text, shared.value) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
