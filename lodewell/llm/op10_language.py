@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lodewell.llm.common import byte_view, chunks, keyed_texts, remainder, table, written
 
 DIM, CLUSTERS, ROUNDS = 4096, 4, 12
-#: Training texts that centroids are fitted on, over all languages together; frequencies use every training text.
+#: Training texts that centroids are fitted on, over all languages together, at least one for each; frequencies use every training text.
 SAMPLE = 4000
 #: Share of training members that lie beyond a centroid's radius.
 BEYOND = 0.005
@@ -84,27 +84,31 @@ STATS = "lang string, at long, bin int, df long, vector binary"
 
 
 def statistics(train: DataFrame, sample: float, seed: int = 17) -> DataFrame:
-    """Document frequencies of all training texts, by task, and the counts of the sampled ones: rows of `doc_id, text, lang`."""
+    """Document frequencies of all training texts, by task, and the counts of the sampled ones: rows of `doc_id, text, lang`.
+
+    A text is sampled by the hash of id and text, so that copies and rows of one id count once; the
+    row of each language's least hash always is.
+    """
 
     def run(batches):
-        df, n = np.zeros(DIM, np.int64), 0
+        df, n, had = np.zeros(DIM, np.int64), 0, set()
         for batch in batches:
             for part in chunks(batch):
                 counts = gram_counts(part.column(1))
                 df += (counts > 0).sum(axis=0)
                 n += len(counts)
-                take = np.flatnonzero(part.column(3).to_numpy(zero_copy_only=False))
+                take = [i for i, at in zip(np.flatnonzero(part.column(3).to_numpy(zero_copy_only=False)), part.column(4).filter(part.column(3)).to_pylist()) if not (at in had or had.add(at))]
                 if len(take):
                     rows = [np.sqrt(counts[i]).astype(np.float16).tobytes() for i in take]
                     yield pa.RecordBatch.from_arrays([part.column(2).take(pa.array(take)), part.column(4).take(pa.array(take)), pa.nulls(len(take), pa.int32()), pa.nulls(len(take), pa.int64()), pa.array(rows, pa.binary())], names=["lang", "at", "bin", "df", "vector"])
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(some) + 1, pa.string()), pa.nulls(len(some) + 1, pa.int64()), pa.array([-1, *some], pa.int32()), pa.array([n, *df[some]], pa.int64()), pa.nulls(len(some) + 1, pa.binary())], names=["lang", "at", "bin", "df", "vector"])
 
-    at = F.xxhash64("doc_id", F.lit(seed))
-    taken = F.pmod(at, F.lit(1 << 20)) < F.col("share") * F.lit(1 << 20)
-    share = {r["lang"]: min(1.0, sample / r["n"]) for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    by_lang = F.create_map(*[x for lang, s in share.items() for x in (F.lit(lang), F.lit(s))]) if share else F.create_map(F.lit(""), F.lit(0.0))
-    return train.withColumn("share", by_lang[F.col("lang")]).select("doc_id", "text", "lang", taken.alias("taken"), at.alias("at")).mapInArrow(run, STATS)
+    at = F.xxhash64("doc_id", "text", F.lit(seed))
+    by_lang = train.groupBy("lang").agg(F.count("*").alias("n"), F.min(at).alias("least")).collect()
+    bound = {r["lang"]: max(r["least"], min((1 << 63) - 1, int(sample / r["n"] * 2.0**64) - (1 << 63))) for r in by_lang}
+    bounds = F.create_map(*[x for lang, b in bound.items() for x in (F.lit(lang), F.lit(b).cast("long"))]) if bound else F.create_map(F.lit(""), F.lit(0).cast("long"))
+    return train.select("doc_id", "text", "lang", (at <= bounds[F.col("lang")]).alias("taken"), at.alias("at")).mapInArrow(run, STATS)
 
 
 def fit(train: DataFrame) -> dict:
@@ -117,16 +121,15 @@ def fit(train: DataFrame) -> dict:
     counted = {r["bin"]: r["df"] for r in stats.where("bin IS NOT NULL").groupBy("bin").agg(F.sum("df").alias("df")).collect()}
     df = np.array([counted.get(i, 0) for i in range(DIM)])
     idf = (np.log((1 + counted.get(-1, 0)) / (1 + df)) + 1).astype(np.float32)
-    rows = stats.where("vector IS NOT NULL").select("lang", "at", "vector").orderBy("at").limit(2 * SAMPLE).toPandas()
+    rows = stats.where("vector IS NOT NULL").groupBy("lang", "at").agg(F.first("vector").alias("vector")).orderBy("at").toPandas()
     model = {"langs": [], "of": [], "centers": [], "radius": [], "idf": idf}
     for lang in langs:
         own = rows.vector[rows.lang == lang][:each]
-        if len(own):
-            centers, radius = clustered(unit(np.vstack([np.frombuffer(v, np.float16) for v in own]).astype(np.float32) * idf))
-            model["of"] += [len(model["langs"])] * len(centers)
-            model["langs"].append(lang)
-            model["centers"].append(centers)
-            model["radius"].append(radius)
+        centers, radius = clustered(unit(np.vstack([np.frombuffer(v, np.float16) for v in own]).astype(np.float32) * idf))
+        model["of"] += [len(model["langs"])] * len(centers)
+        model["langs"].append(lang)
+        model["centers"].append(centers)
+        model["radius"].append(radius)
     return model | {"centers": np.vstack(model["centers"]), "radius": np.concatenate(model["radius"]), "of": np.array(model["of"])}
 
 
