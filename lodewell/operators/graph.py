@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rounds of an iteration between two checkpoints.
 CUT_ROUNDS = 3
+#: Fixed value: the least cosine of synonyms.
+SYNONYM = 0.8
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,7 +25,7 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         configured = context.getConf().get("spark.checkpoint.dir")
-        if not configured and not context.master.startswith("local"):
+        if not configured and (context.master.startswith("local-cluster") or not context.master.startswith("local")):
             configured = df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lodewell-"))
     return df.checkpoint()
@@ -77,11 +79,11 @@ def call_chain(edges: DataFrame, source, target, hops: int = 20) -> DataFrame:
     return frontier.where(F.col("node") == target).select("path", (F.size("path") - 1).alias("length"))
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
-    """(node, component), the least node of each component; by alternating large-star and small-star rounds."""
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component), the least node of each component; by alternating large-star and small-star rounds until nothing changes."""
     now = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break

@@ -1,4 +1,4 @@
-"""Graph queries: pressing orders link customers; lines link suppliers; orders link parts; vectors link their neighbours."""
+"""Graph queries: orders link customers; lines link suppliers; orders link parts; vectors link their neighbours."""
 
 from __future__ import annotations
 
@@ -8,14 +8,14 @@ from lodewell.catalog import register
 from lodewell.operators import graph as G
 from lodewell.sources.tables import table, vectors
 
-#: customer -> customer edges of a directed graph, one for each pressing order that is under way.
-_EDGES = """edges AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 5 + o_orderkey * 3) % 1500 AS dst FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey <> (o_custkey * 5 + o_orderkey * 3) % 1500)"""
+#: customer -> number edges of a directed graph, one for each order; of four times as many numbers as there are customers, so most links lead to nobody.
+_EDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT o_custkey AS src, (o_custkey * 5 + o_orderkey * 3) % (SELECT 4 * max(c_custkey) + 1 FROM customer) AS dst FROM orders) WHERE src <> dst)"""
 
 
 def edges(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
-    dst = (F.col("o_custkey") * 5 + F.col("o_orderkey") * 3) % 1500
-    return orders.select(F.col("o_custkey").alias("src"), dst.alias("dst")).where("src <> dst").distinct()
+    n = 4 * (table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] or 0) + 1
+    dst = (F.col("o_custkey") * 5 + F.col("o_orderkey") * 3) % n
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), dst.alias("dst")).where("src <> dst").distinct()
 
 
 def calls(spark, sf_dir):
@@ -170,17 +170,15 @@ def tunnels(spark, sf_dir):
     return rows.groupBy(F.col("c_mktsegment").alias("room")).agg(F.countDistinct("n_regionkey").alias("wings"), F.count("*").alias("drawers")).where("wings >= 2").orderBy(F.desc("drawers"), "room").limit(20)
 
 
+#: The nearest neighbours of a searched vector, and the edge's weight where the two are synonyms.
 @register(
     "synonym_edges",
     """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS src, d.vec_id AS dst, round(list_dot_product(q.e, d.e), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e, d.e), 6) DESC, d.vec_id) AS place FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0)
-SELECT src, dst, round(0.5 * score, 4) AS w FROM s WHERE place <= 8 AND score >= 0.2""",
+SELECT src, dst, score, CASE WHEN score >= 0.8 THEN round(0.5 * score, 4) END AS w FROM s WHERE place <= 8""",
 )
 def synonym_edges(spark, sf_dir):
-    from pyspark.sql import Window
-
-    from lodewell.operators.retrieval import search_in_blocks
+    from lodewell.operators.retrieval import nearest_of_each
 
     rows = vectors(spark, sf_dir)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    near = search_in_blocks(rows, rows.where("vec_id % 20 = 0")).withColumn("place", place).where("place <= 8 AND score >= 0.2")
-    return near.select(F.col("query").alias("src"), F.col("vec_id").alias("dst"), F.round(0.5 * F.col("score"), 4).alias("w"))
+    near = nearest_of_each(rows, rows.where("vec_id % 20 = 0"), 8)
+    return near.select(F.col("query").alias("src"), F.col("vec_id").alias("dst"), "score", F.when(F.col("score") >= G.SYNONYM, F.round(0.5 * F.col("score"), 4)).alias("w"))
