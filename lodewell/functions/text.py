@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no content.
-STOPWORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "but", "not", "you", "all", "can", "had", "her", "his", "has", "have"]
+STOPWORDS = """
+a an and are as at be been but by do does
+for from had has have he her his i if in
+into is it its me my no not of on or our
+she so than that the their them they this to
+was we were what when where which who will with
+would you your yours us about all any can could
+should may might must shall just only also too
+""".split()
 FILLERS = ["the", "a", "an", "of", "to", "in", "is", "was", "and"]
 
+#: Lower-case Latin letters with marks, and what they are without.
+_MARKED = "".join(c for c in map(chr, range(0xC0, 0x250)) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isascii())
+_PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
+
 
 def tokens(text: Column, least: int = 3, stopwords: list[str] | None = None) -> Column:
     """Lower-cased runs of letters and digits of at least `least` characters, in order."""
@@ -17,6 +31,16 @@ def tokens(text: Column, least: int = 3, stopwords: list[str] | None = None) ->
     return F.filter(kept, lambda w: ~w.isin(stopwords)) if stopwords else kept
 
 
+def folded(text: Column) -> Column:
+    """Lower-cased, without the marks that Unicode's decomposition sets apart; Latin letters only."""
+    return F.translate(F.lower(text), _MARKED, _PLAIN)
+
+
+def fold(text: str) -> str:
+    """`folded` for a literal."""
+    return text.lower().translate(str.maketrans(_MARKED, _PLAIN))
+
+
 def content_tokens(text: Column) -> Column:
     """Distinct tokens without links, addresses and code."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\[\[[^\]]*\]\]", " "), r"https?://\S+", " "), r"`[^`]*`", " ")

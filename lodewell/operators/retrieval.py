@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 
 from lodewell.functions import text as T
 from lodewell.functions.scoring import rrf
+from lodewell.operators.graph import cut
 
 K1, B = 1.2, 0.75
+#: Fixed value: the least cosine of a duplicate.
+DUPLICATE = 0.92
 
 
 def bm25(notes: DataFrame, query: list[str], fields: dict[str, float], key: str, fuzzy: bool = False) -> DataFrame:
     """(key, score) of notes that have a query term in some field: BM25 of each field, times its weight.
 
-    Term frequencies are counted within each row, so no postings are shuffled; only document
-    frequencies and mean lengths, one row for all, come from an aggregation. A term counts where a
-    word begins with it, or, with `fuzzy`, where the words differ by a fifth of its letters at most.
+    For a single search: each text is read and cut into words once, and term frequencies are counted
+    within its row, so no postings are shuffled; the narrow counts are written, and document
+    frequencies and mean lengths, one row for all, come from those. For many searches see `postings`.
+    A term counts where a word begins with it, or, with `fuzzy`, where the words differ by a fifth of
+    its letters at most.
     """
     query = sorted(set(query))
 
@@ -27,9 +32,9 @@ def bm25(notes: DataFrame, query: list[str], fields: dict[str, float], key: str,
 
     columns = []
     for f in fields:
-        words = T.tokens(F.col(f), 1)
+        words = F.col(f"words_{f}")
         columns += [F.size(words).alias(f"len_{f}")] + [F.size(F.filter(words, hit(q))).alias(f"tf_{f}_{i}") for i, q in enumerate(query)]
-    counted = notes.select(key, *columns)
+    counted = cut(notes.select(key, *[T.tokens(F.col(f), 1).alias(f"words_{f}") for f in fields]).select(key, *columns))
     stats = counted.agg(F.count("*").alias("n"), *[F.avg(f"len_{f}").alias(f"mean_{f}") for f in fields], *[F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f in fields for i in range(len(query))]).first()
     score = F.lit(0.0)
     for f, weight in fields.items():
@@ -42,6 +47,60 @@ def bm25(notes: DataFrame, query: list[str], fields: dict[str, float], key: str,
     return counted.select(key, score.alias("score")).where("score > 0")
 
 
+def postings(docs: DataFrame, fields: list[str], key: str, path: str, files: int = 64) -> None:
+    """Writes an index of the fields' words below `path`: postings (term, field, key, tf, len, at) and statistics (field, n, mean).
+
+    Postings lie in files by ranges of (term, key), sorted, so a term's statistics in the files tell a
+    search which parts to read, and a term that every document has is spread over files. `at` holds
+    the word's places, for phrases.
+    """
+    words = docs.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), T.tokens(T.folded(F.col(f)), 1).alias("words")) for f in fields])).alias("f")).select(key, "f.field", "f.words")
+    words = words.where("words IS NOT NULL").withColumn("len", F.size("words"))
+    each = words.select(key, "field", "len", F.posexplode("words").alias("place", "term"))
+    rows = each.groupBy("term", "field", key, "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("at"))  # a row's places are its text's
+    rows.repartitionByRange(files, "term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(path + "/postings")
+    words.groupBy("field").agg(F.avg("len").alias("mean")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).write.mode("overwrite").parquet(path + "/fields")
+
+
+def search_postings(spark, path: str, query: str, weights: dict[str, float], key: str, phrase: bool = False) -> DataFrame:
+    """(key, score) by BM25 from an index that `postings` wrote; each word of the query is read as a prefix.
+
+    With `phrase`, the words must follow each other in a field, only the last being a prefix. One read
+    of the postings, in the ranges of the query's words alone; what is joined holds only these words.
+    """
+    import re
+
+    terms = re.findall(r"[^\W_]+", T.fold(query))
+    rows = spark.read.parquet(path + "/postings")
+    fields = {r["field"]: r for r in spark.read.parquet(path + "/fields").collect()}
+    if not terms or not fields:
+        return rows.select(key, F.lit(0.0).alias("score")).limit(0)
+    wanted = [(F.col("term") == t) if phrase and i < len(terms) - 1 else F.col("term").startswith(t) for i, t in enumerate(terms)]
+    weight = F.element_at(F.create_map(*[F.lit(x) for f in fields for x in (f, float(weights.get(f, 0.0)))]), F.col("field"))
+    mean = F.element_at(F.create_map(*[F.lit(x) for f, r in fields.items() for x in (f, float(r["mean"]))]), F.col("field"))
+    hit = F.array_compact(F.array(*[F.when(w, F.lit(i)) for i, w in enumerate(wanted)]))
+    some = rows.where(_any(wanted)).withColumn("i", F.explode(hit))
+    if phrase:
+        starts = some.select(key, "field", "len", "i", F.explode("at").alias("place")).select(key, "field", "len", "i", (F.col("place") - F.col("i")).alias("start"))
+        whole = starts.groupBy(key, "field", "len", "start").agg(F.countDistinct("i").alias("words")).where(F.col("words") == len(terms))
+        some = whole.groupBy(key, "field", "len").agg(F.count("*").alias("tf")).withColumn("i", F.lit(0))
+    else:
+        some = some.groupBy(key, "field", "len", "i").agg(F.sum("tf").alias("tf"))
+    some = cut(some.where(weight > 0))
+    frequency = some.groupBy("field", "i").agg(F.count("*").alias("df"))  # a row for each field and word of the query
+    n = next(iter(fields.values()))["n"]
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    score = weight * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
+    return some.join(F.broadcast(frequency), ["field", "i"]).groupBy(key).agg(F.sum(score).alias("score"))
+
+
+def _any(hits: list[Column]) -> Column:
+    out = hits[0]
+    for h in hits[1:]:
+        out = out | h
+    return out
+
+
 def dot(vector: Column, query: list[float]) -> Column:
     """Inner product with a literal vector; the cosine for unit vectors."""
     return F.aggregate(F.zip_with(vector, F.array(*map(F.lit, query)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
@@ -63,20 +122,105 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id")
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def search_in_blocks(vectors: DataFrame, queries: DataFrame, block: int = 500) -> DataFrame:
-    """(query, key columns of both, score) of each query vector against every vector.
+def query_blocks(queries: DataFrame, block: int):
+    """Blocks of about `block` query rows (vec_id, label, embedding), as arrays on the driver: each has a bound."""
+    import numpy as np
 
-    Queries come in blocks of about `block` rows, each broadcast, so what is broadcast has a bound.
-    Both sides have vec_id, label and embedding; a vector is not held against itself.
-    """
     n = max(1, -(-queries.count() // block))
-    out = None
     for k in range(n):
         some = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == k) if n > 1 else queries
-        some = some.select(F.col("vec_id").alias("query"), F.col("label").alias("category"), F.col("embedding").alias("q"))
-        part = vectors.join(F.broadcast(some), F.col("vec_id") != F.col("query")).select("query", "category", "vec_id", "label", F.round(dots(F.col("embedding"), F.col("q")), 6).alias("score"))
+        rows = some.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).orderBy("vec_id").collect()
+        if rows:
+            yield np.array([r["vec_id"] for r in rows]), np.array([r["label"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=float)
+
+
+def _against(vectors: DataFrame, queries: DataFrame, block: int, task, schema: str) -> DataFrame:
+    """Runs task(query ids, labels, iterator of (ids, labels, rounded cosines with all queries; -inf with itself)) over every vector."""
+    import numpy as np
+
+    out = None
+    for q_ids, q_labels, q in query_blocks(queries, block):
+
+        def run(batches, q_ids=q_ids, q_labels=q_labels, q=q):
+            def scored():
+                for batch in batches:
+                    for at in range(0, batch.num_rows, 2048):
+                        part = batch.slice(at, 2048)
+                        ids, labels = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                        order = np.argsort(ids, kind="stable")
+                        v = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
+                        s = np.round(v @ q.T, 6)
+                        s[ids[order][:, None] == q_ids[None, :]] = -np.inf
+                        yield ids[order], labels[order], s
+
+            yield from task(q_ids, q_labels, scored())
+
+        rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding IS NOT NULL")
+        part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is not None else vectors.sparkSession.createDataFrame([], schema)
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 10_000) -> DataFrame:
+    """(query, vec_id, score, label, category): the k nearest other vectors of each query, exactly.
+
+    A task multiplies its vectors with a block of queries and keeps k rows a query; only those are
+    shuffled. Vectors are of unit length and of one size.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def best(q_ids, q_labels, scored):
+        held = None
+        for ids, labels, s in scored:
+            top = np.argsort(-s, axis=0, kind="stable")[:k]
+            new = np.take_along_axis(s, top, axis=0), ids[top], labels[top]
+            if held is not None:
+                new = tuple(np.concatenate([x, y]) for x, y in zip(held, new))
+                order = np.lexsort((new[1], -new[0]), axis=0)[:k]
+                new = tuple(np.take_along_axis(x, order, axis=0) for x in new)
+            held = new
+        if held is not None:
+            s, ids, labels = held
+            ok = (s > -np.inf).ravel()
+            each = [np.broadcast_to(q_ids, s.shape).ravel()[ok], ids.ravel()[ok], s.ravel()[ok], labels.ravel()[ok], np.broadcast_to(q_labels, s.shape).ravel()[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(each, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["query", "vec_id", "score", "label", "category"])
+
+    found = _against(vectors, queries, block, best, "query long, vec_id long, score double, label long, category long")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def first_relevant(vectors: DataFrame, queries: DataFrame, block: int = 10_000) -> DataFrame:
+    """(query, place): the rank of the best other vector with the query's label, among all vectors; two scans, no pair is shuffled."""
+    import numpy as np
+    import pyarrow as pa
+
+    def best(q_ids, q_labels, scored):
+        score, least = np.full(len(q_ids), -np.inf), np.full(len(q_ids), np.iinfo(np.int64).max)
+        for ids, labels, s in scored:
+            s = np.where(labels[:, None] == q_labels[None, :], s, -np.inf)
+            at = s.argmax(axis=0)  # the first, so the least id
+            top = s[at, np.arange(len(q_ids))]
+            better = (top > score) | ((top == score) & (ids[at] < least))
+            score, least = np.where(better, top, score), np.where(better, ids[at], least)
+        ok = score > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[ok], pa.int64()), pa.array(score[ok], pa.float64()), pa.array(-least[ok], pa.int64())], names=["query", "score", "minus"])
+
+    top = _against(vectors, queries, block, best, "query long, score double, minus long")
+    top = top.groupBy("query").agg(F.max(F.struct("score", "minus")).alias("best"))
+    # the bound of a query rides along as its label does: one double and one id for each
+    known = {r["query"]: (r["best"]["score"], -r["best"]["minus"]) for r in top.collect()}
+
+    def before(q_ids, _labels, scored):
+        score = np.array([known.get(int(i), (np.inf, 0))[0] for i in q_ids])
+        least = np.array([known.get(int(i), (np.inf, 0))[1] for i in q_ids])
+        n = np.zeros(len(q_ids), np.int64)
+        for ids, _, s in scored:
+            n += ((s > score) | ((s == score) & (ids[:, None] <= least))).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids, pa.int64()), pa.array(n, pa.int64())], names=["query", "n"])
+
+    return _against(vectors, queries, block, before, "query long, n long").groupBy("query").agg(F.sum("n").alias("place")).where("place > 0")
 
 
 def ranked(arm: DataFrame, key: str, k: int, name: str) -> DataFrame:
@@ -162,39 +306,70 @@ def simhash(tokens: Column) -> Column:
     return vote(F.transform(tokens, lambda t: F.xxhash64(t)))
 
 
-def hamming_pairs(prints: DataFrame, key: str, most: int = 3) -> DataFrame:
+def hamming_pairs(prints: DataFrame, key: str, most: int = 3, spare: int = 3) -> DataFrame:
     """Pairs of fingerprints (key, simhash) at Hamming distance `most` or less, each once.
 
-    Cut in most + 1 bands, two such fingerprints agree in a band; equal fingerprints are one first,
-    so copies do not multiply. Pairs are of representatives, the least keys.
+    Cut in most + spare blocks of bits, two such fingerprints agree in `spare` of them, so each is
+    filed under every choice of `spare` blocks: 20 keys of about 32 bits, where chance meetings are
+    few even for billions of rows. Equal fingerprints are one first, so copies do not multiply.
+    Pairs are of representatives, the least keys.
     """
-    bands, width = most + 1, 64 // (most + 1)
+    from itertools import combinations
+
+    blocks = most + spare
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = []
+    for chosen in combinations(range(blocks), spare):
+        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
+        masks.append(mask - (1 << 64) if mask >> 63 else mask)
     one = prints.groupBy("simhash").agg(F.min(key).alias(key))
-    band = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.expr(f"shiftrightunsigned(simhash, {i * width}) & {(1 << width) - 1}L").alias("bits")) for i in range(bands)]))
-    banded = one.select(key, "simhash", band.alias("band")).select(key, "simhash", "band.no", "band.bits")
-    a, b = banded.alias("a"), banded.alias("b")
-    near = a.join(b, (F.col("a.no") == F.col("b.no")) & (F.col("a.bits") == F.col("b.bits")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
+    filed = one.select(key, "simhash", F.posexplode(F.array(*[F.col("simhash").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("no", "bits"))
+    a, b = filed.alias("a"), filed.alias("b")
     distance = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash")))
-    return near.where(distance <= most).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), distance.alias("distance")).distinct()
+    near = a.join(b, (F.col("a.no") == F.col("b.no")) & (F.col("a.bits") == F.col("b.bits")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (distance <= most))
+    return near.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), distance.alias("distance")).distinct()
 
 
-def overlap_pairs(sets: DataFrame, key: str, least: float, most_in_bucket: int = 1000) -> DataFrame:
-    """(a, b, jaccard) of rows (key, items) whose item sets are alike by `least`, by an inverted index on rare items.
+def overlap_pairs(sets: DataFrame, key: str, least: float) -> DataFrame:
+    """(a, b, jaccard) of rows (key, items) whose item sets are alike by `least`; pairs are of representatives, the least keys of equal sets.
 
-    Two such sets share one of each one's rarest (1 - least) share of items, so only these are
-    joined. Equal sets are one first; pairs are of representatives.
+    Items become 64-bit hashes, and a set is written once. Sizes fall into bands, so that alike sets
+    are of one band or of neighbouring ones: a tile is a band and the next. Two alike sets of a tile
+    differ in d items at most; with hashes cut into more than d ranges, they agree in one. A range's
+    content is summed up by one aggregation that shuffles a row a range, not the items; sets that
+    leave so many ranges empty that the common one may be empty also file their smallest hashes, as
+    a prefix filter does. So items that many sets have bring no pair by themselves, and candidates
+    are held against each other exactly.
     """
-    one = sets.where(F.size("items") > 0).withColumn("items", F.array_sort(F.array_distinct("items"))).groupBy("items").agg(F.min(key).alias(key))
-    items = one.select(key, F.explode("items").alias("item"))
-    frequency = items.groupBy("item").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("df", "item"))
-    size = one.select(key, F.size("items").alias("n"))
-    prefix = items.join(frequency, "item").withColumn("place", place).join(size, key).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select(key, "item", "n")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    pairs = a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col("a.n") >= least * F.col("b.n")) & (F.col("b.n") >= least * F.col("a.n")))
+    percent = round(100 * least)
+    lows, parts = [1], []
+    while lows[-1] <= 1 << 31:
+        lows.append(max(100 * lows[-1] // percent + 1, int(1.3 * 100 * lows[-1] / percent)))
+    for low, after in zip(lows, lows[1:]):
+        top, reach = after - 1, 100 * (after - 1) // percent
+        parts.append(((top + reach) * (100 - percent) // (100 + percent), reach))
+    hashed = F.array_sort(F.array_distinct(F.transform("items", lambda i: F.xxhash64(i))))
+    own = sets.where(F.size("items") > 0).select(key, hashed.alias("items"))
+    one = cut(own.groupBy(F.size("items").alias("n"), F.xxhash64("items").alias("h1"), F.xxhash64(F.lit(7), "items").alias("h2")).agg(F.min(key).alias(key), F.first("items").alias("items")).drop("h1", "h2"))
+    band = F.aggregate(F.array(*map(F.lit, lows)), F.lit(-1), lambda i, low: i + (low <= F.col("n")).cast("int"))
+    differ, reach = F.array(*[F.lit(d) for d, _ in parts]), F.array(*[F.lit(r) for _, r in parts])
+    tiled = one.withColumn("band", band)
+    tiled = tiled.withColumn("tile", F.explode(F.when((F.col("band") > 0) & (F.col("n") <= F.element_at(reach, F.col("band"))), F.array(F.col("band"), F.col("band") - 1)).otherwise(F.array("band"))))
+    tiled = tiled.select(key, "n", "tile", F.element_at(differ, F.col("tile") + 1).alias("d"), "items")
+    ranges = F.col("d") * 2 + 1  # half of them may be empty
+    place = F.floor(F.shiftrightunsigned("item", 33) * F.col("ranges") / (1 << 31)).alias("range")
+    each = tiled.withColumn("ranges", ranges).select(key, "tile", "d", "ranges", F.explode("items").alias("item"))
+    filled = each.groupBy(key, "tile", "d", place).agg(F.sum(F.xxhash64("item").cast("decimal(20,0)")).alias("content"))
+    signed = filled.select(key, F.xxhash64("tile", "range", "content").alias("signature"))
+    empty = filled.groupBy(key, "tile", "d").agg(F.count("*").alias("full")).where(F.col("full") <= F.col("d")).select(key, "tile")
+    prefix = tiled.join(empty, [key, "tile"], "left_semi").select(key, "tile", F.explode(F.slice("items", F.lit(1), (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int"))).alias("item"))
+    signed = cut(signed.unionByName(prefix.select(key, F.xxhash64("tile", F.lit(-1), "item").alias("signature"))).join(one.select(key, "n"), key))
+    a, b = signed.alias("a"), signed.alias("b")
+    pairs = a.join(b, (F.col("a.signature") == F.col("b.signature")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n")))
     pairs = pairs.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
     both = pairs.join(one.select(F.col(key).alias("a"), F.col("items").alias("items_a")), "a").join(one.select(F.col(key).alias("b"), F.col("items").alias("items_b")), "b")
-    return both.select("a", "b", T.jaccard(F.col("items_a"), F.col("items_b")).alias("jaccard")).where(F.col("jaccard") >= least)
+    shared = F.size(F.array_intersect("items_a", "items_b"))
+    return both.select("a", "b", (shared / (F.size("items_a") + F.size("items_b") - shared)).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def edit_pairs(names: DataFrame, group: str, name: str, most: int = 2) -> DataFrame:
@@ -252,7 +427,8 @@ def parse_ranking(reply: str, n: int) -> list[int]:
     found: list = []
     try:
         value = json.loads(reply)
-        found = value if isinstance(value, list) else next((v for v in value.values() if isinstance(v, list)), []) if isinstance(value, dict) else []
+        found = value.get("ranking") if isinstance(value, dict) else value
+        found = found if isinstance(found, list) else []
     except ValueError:
         inside = re.search(r"\[[\d,\s]*\]", reply)
         found = re.findall(r"\d+", inside[0] if inside else reply)

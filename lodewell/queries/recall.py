@@ -159,13 +159,12 @@ def spreading_activation(spark, sf_dir):
     "semantic_near_dup",
     """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), r AS (
   SELECT a.vec_id AS query, b.vec_id, round(list_dot_product(a.e, b.e), 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.e, b.e), 6) DESC, b.vec_id) AS place FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
-SELECT query, vec_id AS nearest, score, score >= 0.3 AS duplicate FROM r WHERE place = 1""",
+SELECT query, vec_id AS nearest, score, score >= 0.92 AS duplicate FROM r WHERE place = 1""",
 )
 def semantic_near_dup(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    found = R.search_in_blocks(rows, rows.where("vec_id % 20 = 0"))
-    best = found.groupBy("query").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("minus"))).alias("best"))
-    return best.select("query", (-F.col("best.minus")).alias("nearest"), "best.score", (F.col("best.score") >= 0.3).alias("duplicate"))
+    best = R.nearest_of_each(rows, rows.where("vec_id % 20 = 0"), 1)
+    return best.select("query", F.col("vec_id").alias("nearest"), "score", (F.col("score") >= R.DUPLICATE).alias("duplicate"))
 
 
 @register("leader_clusters")
@@ -191,13 +190,13 @@ def structural_near_dup(spark, sf_dir):
 def simhash_clusters(spark, sf_dir):
     from lodewell.operators import graph as G
 
-    prints = table(spark, sf_dir, "documents").select("doc_id", R.simhash(T.bigrams(T.tokens(F.col("text"), 1))).alias("simhash")).where("simhash <> 0")
-    pairs = G.cut(R.hamming_pairs(prints, "doc_id"))
-    classes = G.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    prints = G.cut(table(spark, sf_dir, "documents").select("doc_id", R.simhash(T.bigrams(T.tokens(F.col("text"), 1))).alias("simhash")).where("simhash <> 0"))
+    classes = G.components(R.hamming_pairs(prints, "doc_id").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     # copies share a fingerprint: they belong to its representative's class
     least = prints.groupBy("simhash").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     rooted = least.join(classes, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
-    return prints.join(rooted.select("simhash", "cluster"), "simhash").withColumn("size", F.count("*").over(Window.partitionBy("cluster"))).where("size >= 2").select("doc_id", "cluster", "size")
+    size = rooted.groupBy("cluster").agg(F.sum("n").alias("size")).where("size >= 2")
+    return prints.join(rooted.join(size, "cluster").select("simhash", "cluster", "size"), "simhash").select("doc_id", "cluster", "size")
 
 
 @register("signature_buckets", "SELECT regexp_replace(lower(trim(p_name)), '[a-z_]+', '_', 'g') || '/' || p_type AS key, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1 HAVING count(*) >= 2")
@@ -238,12 +237,6 @@ r AS (SELECT q.vec_id AS query, q.label AS category, d.vec_id, CAST(d.label = q.
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e, d.e), 6) DESC, d.vec_id) AS place FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0)"""
 
 
-def _searched(spark, sf_dir):
-    """Every twentieth vector as a query against all; what has its label is relevant."""
-    rows = vectors(spark, sf_dir)
-    return R.search_in_blocks(rows, rows.where("vec_id % 20 = 0")).withColumn("relevant", (F.col("label") == F.col("category")).cast("int"))
-
-
 @register(
     "quality_by_category",
     f"""WITH {_QUERIES}, m AS (SELECT query, any_value(category) AS category, sum(relevant) FILTER (WHERE place <= 10) AS hits, sum(relevant) AS total,
@@ -253,10 +246,12 @@ SELECT coalesce(CAST(category AS VARCHAR), 'all') AS category, count(*) AS queri
 FROM m WHERE total > 0 GROUP BY GROUPING SETS ((category), ())""",
 )
 def quality_by_category(spark, sf_dir):
-    found = _searched(spark, sf_dir)
-    total = found.groupBy("query").agg(F.sum("relevant").alias("total"))
-    # only each task's ten best rows of a query are shuffled
-    top = found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where("place <= 10").join(total, "query")
+    """Every twentieth vector as a query against all; what has its label is relevant."""
+    rows = vectors(spark, sf_dir)
+    queries = rows.where("vec_id % 20 = 0")
+    top = R.nearest_of_each(rows, queries, 10).withColumn("relevant", (F.col("label") == F.col("category")).cast("int"))
+    total = rows.groupBy(F.col("label").alias("category")).agg((F.count("*") - 1).alias("total"))  # all of the label but the query
+    top = top.join(total, "category")
     gain = 1 / F.log2(F.col("place") + 1)
     by_query = top.groupBy("query").agg(
         F.first("category").alias("category"),
@@ -280,11 +275,9 @@ def quality_by_category(spark, sf_dir):
     f"WITH {_QUERIES} SELECT query, min(place) AS first_relevant, round(1.0 / min(place), 6) AS reciprocal_rank FROM r WHERE relevant = 1 GROUP BY query",
 )
 def reciprocal_rank(spark, sf_dir):
-    found = _searched(spark, sf_dir).withColumn("key", F.struct("score", (-F.col("vec_id")).alias("minus")))
-    best = found.where("relevant = 1").groupBy("query").agg(F.max("key").alias("best"))
-    # the rank of the best relevant row is one more than the number of rows before it
-    place = found.join(best, "query").where(F.col("key") >= F.col("best")).groupBy("query").agg(F.count("*").alias("first_relevant"))
-    return place.select("query", "first_relevant", F.round(1.0 / F.col("first_relevant"), 6).alias("reciprocal_rank"))
+    rows = vectors(spark, sf_dir)
+    place = R.first_relevant(rows, rows.where("vec_id % 20 = 0"))
+    return place.select("query", F.col("place").alias("first_relevant"), F.round(1.0 / F.col("place"), 6).alias("reciprocal_rank"))
 
 
 @register(
