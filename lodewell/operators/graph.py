@@ -20,14 +20,20 @@ CUT_ROUNDS = 3
 SYNONYM = 0.8
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; in local mode without one, in a temporary folder."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark) -> str:
+    """The folder that all executors see: spark.checkpoint.dir, else the warehouse's; in local mode without one, a temporary folder."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         configured = context.getConf().get("spark.checkpoint.dir")
         if not configured and (context.master.startswith("local-cluster") or not context.master.startswith("local")):
-            configured = df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+            configured = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lodewell-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

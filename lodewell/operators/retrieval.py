@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodewell.functions import text as T
 from lodewell.functions.scoring import rrf
-from lodewell.operators.graph import cut
+from lodewell.operators.graph import cut, shared_dir
 
 K1, B = 1.2, 0.75
 #: Fixed value: the least cosine of a duplicate.
@@ -47,6 +47,13 @@ def bm25(notes: DataFrame, query: list[str], fields: dict[str, float], key: str,
     return counted.select(key, score.alias("score")).where("score > 0")
 
 
+def index_path(spark) -> str:
+    """A new folder for an index, below the shared one."""
+    import uuid
+
+    return f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+
+
 def postings(docs: DataFrame, fields: list[str], key: str, path: str, files: int = 64) -> None:
     """Writes an index of the fields' words below `path`: postings (term, field, key, tf, len, at) and statistics (field, n, mean).
 
