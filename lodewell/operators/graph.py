@@ -266,3 +266,60 @@ def co_recall(events: DataFrame, most: int = 8, cap: int = 32) -> DataFrame:
     both = weight.unionByName(weight.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     kept = both.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))).where(F.col("place") <= cap).drop("place")
     return kept.join(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
+
+
+def replaced_edges(edges: DataFrame, changed: DataFrame, links: DataFrame) -> DataFrame:
+    """edges after some nodes (node) were written anew: their old outbound edges go, `links` (src, dst) come; nothing else moves."""
+    return edges.join(changed.select(F.col("node").alias("src")).distinct(), "src", "left_anti").select("src", "dst").unionByName(links.select("src", "dst").distinct())
+
+
+def snapshot(edges: DataFrame, nodes: DataFrame, limit: int = 800) -> tuple[DataFrame, DataFrame]:
+    """(nodes with degrees, edges among them): the `limit` most connected nodes, all if `limit` is 0; ties by name."""
+    counted = degrees(edges, nodes).withColumn("degree", F.col("inbound") + F.col("outbound"))
+    kept = counted.orderBy(F.desc("degree"), "node").limit(limit) if limit > 0 else counted
+    kept = cut(kept)
+    inside = edges.select("src", "dst").join(kept.select(F.col("node").alias("src")), "src", "left_semi").join(kept.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return kept, inside.distinct()
+
+
+def path_lengths(edges: DataFrame, seeds: DataFrame, hops: int = 10) -> DataFrame:
+    """(hops, pairs): how many ordered pairs of a seed and another node lie so many steps apart, either way along the edges.
+
+    All seeds walk together: a frontier holds (seed, node), so rounds are as many as hops, not as seeds.
+    """
+    ways = cut(both_ways(edges))
+    seen = cut(seeds.select("node").distinct().select(F.col("node").alias("seed"), "node").withColumn("hops", F.lit(0)))
+    frontier = seen.select("seed", "node")
+    for hop in range(1, hops + 1):
+        step = ways.join(frontier.withColumnRenamed("node", "src"), "src").select("seed", F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen, ["seed", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier.withColumn("hops", F.lit(hop)))
+    return seen.where("hops > 0").groupBy("hops").agg(F.count("*").alias("pairs"))
+
+
+def recall_seeds(graph: DataFrame, entities: DataFrame, lexical: DataFrame, most: int = 5) -> DataFrame:
+    """(node): entity nodes (node) and the first `most` lexical hits (node, lexical: rank) that are in the graph."""
+    first = lexical.where(F.col("lexical") <= most).select("node")
+    return entities.select("node").union(first).distinct().join(graph.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+
+
+def graph_arm(graph: DataFrame, seeds: DataFrame, notes: DataFrame, limit: int) -> DataFrame:
+    """(node, graph): notes by their rank in a walk from the seeds, best first, ties by name."""
+    ranked = personalised_pagerank(graph, seeds).join(notes.select("node"), "node", "left_semi").orderBy(F.desc("score"), "node").limit(limit)
+    return ranked.select("node", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "node")).alias("graph"))
+
+
+def seed_spread(graph: DataFrame, seeds: DataFrame, notes: DataFrame, hops: int = 3) -> DataFrame:
+    """(hops, notes): how many notes are first reached from the seeds at each step; other nodes are passed, not counted."""
+    found = reach(graph.select("src", "dst"), seeds, hops).where("hops > 0").join(notes.select("node"), "node", "left_semi").groupBy("hops").agg(F.count("*").alias("notes"))
+    return seeds.sparkSession.range(1, hops + 1).select(F.col("id").cast("int").alias("hops")).join(F.broadcast(found), "hops", "left").na.fill(0)
+
+
+def fact_neighbours(facts: DataFrame, path: str) -> DataFrame:
+    """(entity, predicate, direction): what facts tie a note to, by the name that its path ends in."""
+    name = path.removesuffix(".md").rsplit("/", 1)[-1]
+    own = F.col("subject") == name
+    rows = facts.where(own | (F.col("object") == name))
+    return rows.select(F.when(own, F.col("object")).otherwise(F.col("subject")).alias("entity"), "predicate", F.when(own, "outgoing").otherwise("incoming").alias("direction"))

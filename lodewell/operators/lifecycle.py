@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewell.functions import scoring as S
+from lodewell.operators.graph import cut
 
 #: Keyword patterns of categories, in order.
 CATEGORY_RULES = [
@@ -92,25 +93,61 @@ def health(notes: DataFrame) -> DataFrame:
     return base.withColumn("score", score).withColumn("grade", grade.otherwise("F"))
 
 
-def themes(tagged: DataFrame, least: int = 3, most_rounds: int = 200) -> DataFrame:
+def themes(tagged: DataFrame, least: int = 3) -> DataFrame:
     """(theme, size, first): greedy themes of tag pairs, strongest first; each note (key, tags) goes to one theme only.
 
     A note waits for the first of its pairs in the order of the pairs' counts. The first pair that
     fewer than `least` notes wait for gives them up to their next ones; those after it are counted
-    anew. Only the pairs' counts, and never a pair's notes, are brought together.
+    anew. Each round gives up one pair, so rounds end; they go on until every theme is large enough.
+    Only the pairs' counts, and never a pair's notes, are brought together.
     """
     pairs = tagged.select("key", F.explode(F.expr("flatten(transform(array_sort(array_distinct(tags)), (a, i) -> transform(slice(array_sort(array_distinct(tags)), i + 2, size(tags)), b -> concat(a, '+', b))))")).alias("theme"))
     counts = pairs.groupBy("theme").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    waiting = pairs.join(counts, "theme").withColumn("order", F.struct((-F.col("n")).alias("n"), "theme"))
-    dead: list[str] = []
-    for _ in range(most_rounds):
-        first = waiting.where(~F.col("theme").isin(dead)).groupBy("key").agg(F.min("order").alias("order"))
-        found = first.groupBy("order").agg(F.count("*").alias("size"), F.min("key").alias("first"))
-        short = found.where(F.col("size") < least).orderBy("order").limit(1).collect()
-        if not short:
-            break
-        dead.append(short[0]["order"]["theme"])
-    return found.select("order.theme", "size", "first")
+    waiting = cut(pairs.join(counts, "theme").select("key", F.struct((-F.col("n")).alias("n"), "theme").alias("order")))
+    while True:
+        found = cut(waiting.groupBy("key").agg(F.min("order").alias("order")).groupBy("order").agg(F.count("*").alias("size"), F.min("key").alias("first")))
+        short = found.where(F.col("size") < least).agg(F.min("order").alias("order")).first()["order"]
+        if short is None:
+            return found.select("order.theme", "size", "first")
+        # what nobody waits for, and lies before the first short one, stays out of the way by itself
+        waiting = cut(waiting.where(F.col("order.theme") != short["theme"]))
+
+
+def dominant_temperature(notes: DataFrame, group: str) -> DataFrame:
+    """(group, temperature): the commonest of hot, warm and cold, the hotter of equals; anything else counts as cold."""
+    hot, warm = F.count_if(F.col("temperature") == "hot"), F.count_if(F.col("temperature") == "warm")
+    counted = notes.groupBy(group).agg(hot.alias("hot"), warm.alias("warm"), F.count("*").alias("n")).withColumn("cold", F.col("n") - F.col("hot") - F.col("warm"))
+    top = F.when((F.col("hot") >= F.col("warm")) & (F.col("hot") >= F.col("cold")), "hot").when(F.col("warm") >= F.col("cold"), "warm").otherwise("cold")
+    return counted.select(group, top.alias("temperature"))
+
+
+def activity(notes: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """One row: notes by temperature, and how many were created or read within `days`."""
+    recent = lambda c: F.count_if(F.datediff(as_of, F.col(c)) <= days)
+    return notes.agg(F.count("*").alias("notes"), *[F.count_if(F.col("temperature") == t).alias(t) for t in ("hot", "warm", "cold")], recent("created").alias("created"), recent("accessed").alias("accessed"))
+
+
+def coldest_first(orphans: DataFrame, limit: int) -> DataFrame:
+    """The least hot, then the oldest."""
+    return orphans.orderBy("heat", F.desc("age_days"), "path").limit(limit)
+
+
+def by_temperature(orphans: DataFrame, limit: int) -> DataFrame:
+    """Hot before warm before cold before others, then by heat."""
+    order = F.when(F.col("temperature") == "hot", 0).when(F.col("temperature") == "warm", 1).when(F.col("temperature") == "cold", 2).otherwise(3)
+    return orphans.orderBy(order, F.desc("heat"), "path").limit(limit)
+
+
+def history(entries: Column, new: Column, most: int = 5) -> Column:
+    """The last `most` entries of a history with a new one at its end."""
+    grown = F.concat(F.coalesce(entries, F.array().cast("array<string>")), F.array(new))
+    return F.slice(grown, F.greatest(F.lit(1), F.size(grown) - most + 1), most)
+
+
+def tied_to_open_tasks(notes: DataFrame, links: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Notes (path) with a link (src, dst) to a task (path, status) that is open."""
+    pending = tasks.where("status = 'open'").select(F.col("path").alias("dst"))
+    return notes.join(links.join(pending, "dst", "left_semi").select(F.col("src").alias("path")).distinct(), "path", "left_semi")
 
 
 def dream_report(notes: DataFrame) -> DataFrame:

@@ -69,3 +69,29 @@ def exposition(metrics: DataFrame) -> DataFrame:
     sample = F.concat("name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), labels, F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string"))
     head = metrics.select("name", "kind", "help").distinct().select("name", F.lit(0).alias("part"), F.explode(F.array(F.concat(F.lit("# HELP "), "name", F.lit(" "), "help"), F.concat(F.lit("# TYPE "), "name", F.lit(" "), "kind"))).alias("line"))
     return head.unionByName(metrics.select("name", F.lit(1).alias("part"), sample.alias("line"))).orderBy("name", "part", "line").select("line")
+
+
+def sampled(events: DataFrame, ts: str, value: str, width: str = "10 seconds", last: int = 360) -> DataFrame:
+    """(at, requests, mean, heavy): one row for each window that had events, the last `last` of them; every sixth window is marked for heavier samples."""
+    rows = events.groupBy(F.window(ts, width).start.alias("at")).agg(F.count("*").alias("requests"), F.round(F.avg(value), 6).alias("mean"))
+    step = F.expr(f"cast(unix_micros(timestamp '1970-01-01 00:00:00 UTC' + INTERVAL {width}) AS long)")
+    number = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / step)
+    return rows.orderBy(F.desc("at")).limit(last).withColumn("heavy", number % 6 == 0)
+
+
+def derived_signals(tools: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row: errors in per cent of requests that are no health checks, p95 by mean weighted by calls, and the busiest session's share.
+
+    `tools` has calls, p95 and mean of each tool, `requests` kind, session and failed.
+    """
+    tail = tools.where("mean > 0").agg(F.round(F.sum(F.col("calls") * F.col("p95") / F.col("mean")) / F.sum("calls"), 2).alias("tail_ratio"))
+    busy = F.col("kind") != "health"
+    errors = requests.agg(F.round(100 * F.count_if(F.col("failed")) / F.when(F.count_if(busy) > 0, F.count_if(busy)), 1).alias("error_pct"))
+    top = requests.groupBy("session").agg(F.count("*").alias("n")).agg(F.round(F.max("n") / F.sum("n"), 4).alias("top_session_share"))
+    # each side is one row
+    return errors.crossJoin(tail).crossJoin(top)
+
+
+def arm_report(results: DataFrame, arm: str) -> DataFrame:
+    """(arm, queries, recall, mrr, mean and p95 latency) from a row for each query; the p95 by nearest rank."""
+    return results.groupBy(arm).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg("reciprocal_rank"), 4).alias("mrr"), F.round(F.avg("latency"), 4).alias("mean_latency"), F.round(nearest_rank("latency", 0.95), 4).alias("p95_latency"))

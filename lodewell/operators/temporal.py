@@ -72,3 +72,17 @@ def extract_facts(texts: DataFrame, text: str) -> DataFrame:
     """(columns of texts, predicate, subject, object) of the sentences that the rules know."""
     found = F.array(*[F.struct(F.lit(p).alias("predicate"), F.regexp_extract(text, rx, s).alias("subject"), F.regexp_extract(text, rx, o).alias("object")) for p, rx, s, o in FACT_RULES])
     return texts.select("*", F.explode(F.filter(found, lambda f: f["subject"] != "")).alias("fact")).select(*texts.columns, "fact.*")
+
+
+#: Predicates of mentions.
+MENTIONS = ["mentions_person", "mentions_org", "mentions_project"]
+
+
+def active_mentions(facts: DataFrame) -> DataFrame:
+    """(subject, predicate, object) of mentions that still hold."""
+    return facts.where(F.col("predicate").isin(MENTIONS) & F.col("valid_to").isNull()).select("subject", "predicate", "object")
+
+
+def top_predicates(facts: DataFrame, limit: int = 10) -> DataFrame:
+    """(predicate, n) of facts that still hold, the commonest first."""
+    return facts.where("valid_to IS NULL").groupBy("predicate").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "predicate").limit(limit)

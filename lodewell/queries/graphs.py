@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodewell.catalog import register
@@ -182,3 +183,75 @@ def synonym_edges(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     near = nearest_of_each(rows, rows.where("vec_id % 20 = 0"), 8)
     return near.select(F.col("query").alias("src"), F.col("vec_id").alias("dst"), "score", F.when(F.col("score") >= G.SYNONYM, F.round(0.5 * F.col("score"), 4)).alias("w"))
+
+
+@register(
+    "graph_snapshot",
+    f"""WITH {_EDGES}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), d AS (SELECT node, (SELECT count(*) FROM edges WHERE dst = node) AS inbound, (SELECT count(*) FROM edges WHERE src = node) AS outbound FROM n),
+k AS (SELECT * FROM d ORDER BY inbound + outbound DESC, node LIMIT 800)
+SELECT node, inbound, outbound, (SELECT count(*) FROM edges WHERE src = k.node AND dst IN (SELECT node FROM k)) AS shown FROM k""",
+)
+def graph_snapshot(spark, sf_dir):
+    links = edges(spark, sf_dir)
+    kept, inside = G.snapshot(links, links.limit(0).select(F.col("src").alias("node")))
+    shown = inside.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("shown"))
+    return kept.join(shown, "node", "left").select("node", "inbound", "outbound", F.coalesce("shown", F.lit(0).cast("long")).alias("shown"))
+
+
+@register(
+    "edge_replacement",
+    f"""WITH {_EDGES}, after AS (SELECT src, dst FROM edges WHERE src % 10 <> 3 UNION ALL SELECT c_custkey, c_custkey + 1 FROM customer WHERE c_custkey % 10 = 3)
+SELECT count(*) AS edges, sum(src) AS sources, sum(dst) AS targets FROM after""",
+)
+def edge_replacement(spark, sf_dir):
+    changed = table(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("node"))
+    after = G.replaced_edges(edges(spark, sf_dir), changed, changed.select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst")))
+    return after.agg(F.count("*").alias("edges"), F.sum("src").alias("sources"), F.sum("dst").alias("targets"))
+
+
+@register(
+    "path_lengths",
+    f"""WITH RECURSIVE {_EDGES}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), w AS (SELECT DISTINCT src AS seed, src AS node, 0 AS hops FROM edges WHERE src < 10 UNION SELECT seed, dst, hops + 1 FROM w JOIN both_ways ON src = node WHERE hops < 6)
+SELECT hops, count(*) AS pairs FROM (SELECT seed, node, min(hops) AS hops FROM w GROUP BY 1, 2) WHERE hops > 0 GROUP BY hops""",
+)
+def path_lengths(spark, sf_dir):
+    links = edges(spark, sf_dir)
+    return G.path_lengths(links, links.where("src < 10").select(F.col("src").alias("node")), 6)
+
+
+def _recall(spark, sf_dir):
+    """Lines' links as a recall graph, its seeds, and the nodes that are notes: three suppliers in four."""
+    links = calls(spark, sf_dir)
+    none = links.limit(0)
+    graph = G.recall_graph(links, none, none.withColumn("score", F.lit(0.0)))
+    nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("node"))
+    hits = table(spark, sf_dir, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(20).select(F.col("s_suppkey").cast("long").alias("node"), "s_acctbal")
+    ranked = hits.select("node", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("s_acctbal"), "node")).alias("lexical"))
+    seeds = G.recall_seeds(graph, nodes.where("node IN (3, 5, 1000000007)"), ranked)
+    return graph, seeds, nodes.where("node % 4 <> 1")
+
+
+@register(
+    "recall_seed_spread",
+    """WITH RECURSIVE n AS (SELECT max(l_suppkey) AS n FROM lineitem), c AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT n FROM n) + 1 AS dst FROM lineitem), e AS (SELECT src, dst FROM c WHERE src <> dst UNION SELECT dst, src FROM c WHERE src <> dst),
+s AS (SELECT node FROM (SELECT 3 AS node UNION SELECT 5 UNION SELECT s_suppkey FROM (SELECT s_suppkey FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 5)) WHERE node IN (SELECT src FROM e)),
+w AS (SELECT node, 0 AS hops FROM s UNION SELECT dst, hops + 1 FROM w JOIN e ON src = node WHERE hops < 3), h AS (SELECT node, min(hops) AS hops FROM w GROUP BY node)
+SELECT CAST(k AS INTEGER) AS hops, (SELECT count(*) FROM h JOIN supplier ON s_suppkey = node WHERE h.hops = k AND node % 4 <> 1) AS notes FROM range(1, 4) r(k)""",
+)
+def recall_seed_spread(spark, sf_dir):
+    return G.seed_spread(*_recall(spark, sf_dir))
+
+
+@register("recall_graph_arm")
+def recall_graph_arm(spark, sf_dir):
+    graph, seeds, found = _recall(spark, sf_dir)
+    return G.graph_arm(graph, seeds, found, 40)
+
+
+@register(
+    "fact_neighbours",
+    "SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS entity, 'ordered' AS predicate, 'outgoing' AS direction FROM orders WHERE o_custkey = 7 UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'ordered', 'incoming' FROM orders WHERE o_orderkey = 7 AND o_custkey <> 7",
+)
+def fact_neighbours(spark, sf_dir):
+    facts = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("subject"), F.lit("ordered").alias("predicate"), F.col("o_orderkey").cast("string").alias("object"))
+    return G.fact_neighbours(facts, "CRM/people/7.md")
