@@ -123,3 +123,58 @@ def glob_pattern(glob: str) -> str:
 
 def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / 4)
+
+
+def prose_title(text: Column, most: int = 80) -> Column:
+    """The first sentence of the first line that is neither empty nor within a code fence; marks of headings and prompts left out."""
+    lines = F.transform(F.split(text, "\n"), lambda s: F.trim(s))
+    state = F.aggregate(
+        lines,
+        F.struct(F.lit(False).alias("fence"), F.lit("").alias("line")),
+        lambda s, line: F.struct(
+            F.when((s["line"] == "") & line.startswith("```"), ~s["fence"]).otherwise(s["fence"]).alias("fence"),
+            F.when((s["line"] == "") & ~s["fence"] & ~line.startswith("```"), line).otherwise(s["line"]).alias("line"),
+        ),
+    )
+    line = F.regexp_replace(F.regexp_replace(state["line"], r"^#+\s*", ""), r"^\$\s+", "")
+    sentence = F.trim(F.split(F.when(line != "", line).otherwise(F.trim(text)), r"[.!?\n]")[0])
+    cut = F.when(F.length(sentence) > most, F.concat(F.substring(sentence, 1, most - 3), F.lit("..."))).otherwise(sentence)
+    return F.when(cut == "", "Untitled Memory").otherwise(cut)
+
+
+def linked_once(text: Column, names: list[str]) -> Column:
+    """The text with [[ ]] around the first place of each name that stands alone and is not linked; longer names first."""
+    import re
+
+    out = text
+    for name in sorted(set(names), key=lambda n: (-len(n), n)):
+        free = rf"(?<!\[\[)\b{re.escape(name)}\b(?!\]\])"
+        # only what follows the shortest start can be the first place
+        out = F.regexp_replace(out, rf"^((?s:.*?))({free})", r"$1[[$2]]")
+    return out
+
+
+def humanised_age(seconds: Column) -> Column:
+    s = F.greatest(F.lit(0), F.floor(seconds))
+    m, h = F.floor(s / 60), F.floor(s / 3600)
+    some = lambda n, unit: F.concat(n.cast("string"), F.lit(unit + " ago"))
+    return F.when(s < 90, some(s, "s")).when(m < 90, some(m, "m")).when(h < 36, some(h, "h")).otherwise(some(F.floor(s / 86400), "d"))
+
+
+def origin(url: Column) -> Column:
+    """A repository's address without scheme, user, `.git` and closing slashes, in lower case, so that equal places compare equal."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(url)), "/+$", ""), r"\.git$", "")
+    ssh = F.regexp_replace(bare, "^git@([^:]*):(.*)$", "$1/$2")
+    return F.regexp_replace(ssh, "^(https|http|ssh|git)://", "")
+
+
+def ring(values: Column, new: Column, size: int) -> Column:
+    """The last `size` of the values with a new one at their end."""
+    grown = F.concat(values, F.array(new))
+    return F.slice(grown, F.greatest(F.lit(1), F.size(grown) - size + 1), size)
+
+
+def next_daily(now: Column, hour: int, minute: int) -> Column:
+    """The next time the clock shows hour:minute, after `now`."""
+    today = F.date_trunc("day", now) + F.make_interval(hours=F.lit(hour), mins=F.lit(minute))
+    return F.when(today > now, today).otherwise(today + F.make_interval(days=F.lit(1)))

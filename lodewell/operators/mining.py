@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodewell.functions import text as T
 
-#: Patterns of preferences by kind, of memories by category, and of entities by type (strong or weak signals).
+#: Patterns of preferences by kind, and of memories by category.
 _END = r"(?:\.|$|\n)"
 PREFERENCES = [
     ("preference", r"(?i)\bI\s+prefer\s+(.{10,120}?)" + _END),
@@ -34,6 +34,7 @@ MEMORIES = [
     ("decision", r"(?i)\b(?:decided|went\s+with|chose|trade-?off|opted\s+for)\b"),
     ("decision", r"(?i)\b(?:decision\s+(?:was|is)|we(?:'ll|\s+will)\s+go\s+with)\b"),
     ("decision", r"(?i)\b(?:settled\s+on|picked|selecting|selected)\b"),
+    ("preference", r"(?i)\bI\s+prefer\b"),
     ("preference", r"(?i)\bI\s+(?:always\s+)?(?:like|love|use)\b"),
     ("preference", r"(?i)\b(?:always\s+use|convention\s+is|my\s+go-?to)\b"),
     ("preference", r"(?i)\b(?:I\s+dislike|I\s+hate|I\s+avoid)\b"),
@@ -51,14 +52,6 @@ MEMORIES = [
     ("fact", r"(?i)\b(?:the\s+(?:API|URL|endpoint|port|version)\s+is)\b"),
     ("fact", r"(?i)\b(?:located\s+(?:at|in)|hosted\s+(?:on|at))\b"),
 ]
-ENTITIES = [
-    ("person", "title", True, r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? ([A-Z]\p{L}+(?: [A-Z]\p{L}+)?)"),
-    ("organisation", "suffix", True, r"\b([A-Z]\p{L}+(?: [A-Z]\p{L}+)*) (?:Inc|Ltd|GmbH|Corp|Foundation)\b"),
-    ("project", "keyword", True, r"\b[Pp]roject ([A-Z]\p{L}+)"),
-    ("person", "verb", False, r"\b([A-Z]\p{L}+(?: [A-Z]\p{L}+)?) (?:said|wrote|asked|reported)\b"),
-    ("term", "camel", False, r"\b((?:[A-Z][a-z]+){2,})\b"),
-    ("term", "capitals", False, r"(?<=[\p{Ll},;] )([A-Z]\p{Ll}+ [A-Z]\p{Ll}+)\b"),
-]
 
 
 def turn_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -97,15 +90,6 @@ def memories(texts: DataFrame, key: list[str], text: str, most: int = 500) -> Da
     return rows.groupBy(*key, "category", same.alias("_same")).agg(F.min_by("sentence", "pos").alias("sentence")).drop("_same")
 
 
-def entities(texts: DataFrame, key: str, text: str, least: float = 0.0) -> DataFrame:
-    """(key, name, type, confidence, signals): a strong signal suffices, else two weak ones are needed."""
-    signal = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(s).alias("signal"), F.lit(strong).alias("strong"), F.regexp_extract_all(text, F.lit(rx), 1).alias("names")) for t, s, strong, rx in ENTITIES])
-    hits = texts.select(key, F.explode(signal).alias("s")).select(key, "s.type", "s.signal", "s.strong", F.explode("s.names").alias("name"))
-    found = hits.groupBy(key, "name", "type").agg(F.max(F.col("strong").cast("int")).alias("strong"), F.count("*").alias("n"), F.sort_array(F.collect_set("signal")).alias("signals"))
-    confidence = F.least(F.lit(0.95), F.when(F.col("strong") == 1, 0.55).otherwise(0.40) + 0.12 * F.col("n"))
-    return found.where("strong = 1 OR n >= 2").withColumn("confidence", F.round(confidence, 4)).where(F.col("confidence") >= least).select(key, "name", "type", "confidence", F.array_join("signals", ",").alias("signals"))
-
-
 def registry(found: DataFrame, at: str) -> DataFrame:
     """One row for each normalised name: occurrences, first and last seen, the best tier ever reached."""
     tier = F.when(F.col("confidence") >= 0.9, 2).when(F.col("confidence") >= 0.7, 1).otherwise(0)

@@ -43,7 +43,8 @@ def bm25(notes: DataFrame, query: list[str], fields: dict[str, float], key: str,
             if df:
                 tf = F.col(f"tf_{f}_{i}")
                 idf = F.log(F.lit(1 + (stats["n"] - df + 0.5) / (df + 0.5)))
-                score = score + weight * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"len_{f}") / stats[f"mean_{f}"]))
+                part = weight * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"len_{f}") / stats[f"mean_{f}"]))
+                score = score + F.coalesce(part, F.lit(0.0))  # a note without the field may have the word in another
     return counted.select(key, score.alias("score")).where("score > 0")
 
 

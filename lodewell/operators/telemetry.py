@@ -95,3 +95,21 @@ def derived_signals(tools: DataFrame, requests: DataFrame) -> DataFrame:
 def arm_report(results: DataFrame, arm: str) -> DataFrame:
     """(arm, queries, recall, mrr, mean and p95 latency) from a row for each query; the p95 by nearest rank."""
     return results.groupBy(arm).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg("reciprocal_rank"), 4).alias("mrr"), F.round(F.avg("latency"), 4).alias("mean_latency"), F.round(nearest_rank("latency", 0.95), 4).alias("p95_latency"))
+
+
+def due_jobs(jobs: DataFrame, now: Column) -> DataFrame:
+    """jobs (last_run, daily, hour, minute, every: seconds, running) with next_run and action: wait, run, or skip what is due but still runs."""
+    clock = F.date_trunc("day", "last_run") + F.make_interval(hours=F.col("hour"), mins=F.col("minute"))
+    daily = F.when(clock > F.col("last_run"), clock).otherwise(clock + F.make_interval(days=F.lit(1)))
+    after = F.when(F.col("daily"), daily).otherwise(F.col("last_run") + F.make_interval(secs=F.col("every")))
+    return jobs.withColumn("next_run", after).withColumn("action", F.when(F.col("next_run") > now, "wait").when(F.col("running"), "skip").otherwise("run"))
+
+
+def debounced(events: DataFrame, key: str, ts: str, quiet: str = "5 seconds") -> DataFrame:
+    """(key, flush_at, changes): one flush for each run of changes, when it has been quiet for so long; for batches and streams alike."""
+    return events.groupBy(key, F.session_window(ts, quiet).alias("w")).agg(F.count("*").alias("changes")).select(key, F.col("w.end").alias("flush_at"), "changes")
+
+
+def unexpired(cache: DataFrame, at: str, ttl_seconds: int, now: Column) -> DataFrame:
+    """Entries of a cache that are younger than their time to live."""
+    return cache.where(F.col(at) + F.make_interval(secs=F.lit(ttl_seconds)) > now)

@@ -154,3 +154,64 @@ def dream_cycle_report(spark, sf_dir):
 @register("theme_detection", "SELECT least(lang, source) || '+' || greatest(lang, source) AS theme, count(*) AS size, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) >= 3")
 def theme_detection(spark, sf_dir):
     return L.themes(notes(spark, sf_dir).select(F.col("doc_id").alias("key"), "tags"))
+
+
+@register("halls", f"WITH {_USE} SELECT category, count(*) AS n FROM t GROUP BY category")
+def halls(spark, sf_dir):
+    return used(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@register(
+    "activity_summary",
+    f"""WITH {_USE} SELECT count(*) AS notes, count(*) FILTER (WHERE temperature = 'hot') AS hot, count(*) FILTER (WHERE temperature = 'warm') AS warm, count(*) FILTER (WHERE temperature = 'cold') AS cold,
+  count(*) FILTER (WHERE days_updated <= 7) AS created, count(*) FILTER (WHERE days <= 7) AS accessed FROM t""",
+)
+def activity_summary(spark, sf_dir):
+    day = F.lit("2024-01-31").cast("date")
+    rows = used(spark, sf_dir).withColumn("created", F.date_sub(day, F.col("days_updated").cast("int"))).withColumn("accessed", F.col("last_access").cast("date"))
+    return L.activity(rows, day, 7)
+
+
+@register(
+    "dominant_temperature",
+    f"""WITH {_USE}, c AS (SELECT category, count(*) FILTER (WHERE temperature = 'hot') AS hot, count(*) FILTER (WHERE temperature = 'warm') AS warm, count(*) FILTER (WHERE temperature NOT IN ('hot', 'warm')) AS cold FROM t GROUP BY category)
+SELECT category, CASE WHEN hot >= warm AND hot >= cold THEN 'hot' WHEN warm >= cold THEN 'warm' ELSE 'cold' END AS temperature FROM c""",
+)
+def dominant_temperature(spark, sf_dir):
+    return L.dominant_temperature(used(spark, sf_dir), "category")
+
+
+@register("coldest_orphans", f"WITH {_USE} SELECT doc_id, heat_score AS heat, days_updated AS age_days FROM t WHERE inbound = 0 ORDER BY heat_score, days_updated DESC, CAST(doc_id AS VARCHAR) LIMIT 40")
+def coldest_orphans(spark, sf_dir):
+    rows = used(spark, sf_dir).where("inbound = 0").select("doc_id", F.col("heat_score").alias("heat"), F.col("days_updated").alias("age_days"), F.col("doc_id").cast("string").alias("path"))
+    return L.coldest_first(rows, 40).drop("path")
+
+
+@register("orphans_by_temperature", f"WITH {_USE} SELECT doc_id, temperature, heat_score AS heat FROM t WHERE inbound < 3 ORDER BY CASE temperature WHEN 'hot' THEN 0 WHEN 'warm' THEN 1 ELSE 2 END, heat_score DESC, CAST(doc_id AS VARCHAR) LIMIT 60")
+def orphans_by_temperature(spark, sf_dir):
+    rows = used(spark, sf_dir).where("inbound < 3").select("doc_id", "temperature", F.col("heat_score").alias("heat"), F.col("doc_id").cast("string").alias("path"))
+    return L.by_temperature(rows, 60).drop("path")
+
+
+@register(
+    "promotion_history",
+    """WITH h AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS l FROM orders GROUP BY 1) SELECT o_custkey, array_to_string(list_append(l, -1)[greatest(1, len(l) - 3):], ',') AS history FROM h""",
+)
+def promotion_history(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    # of the entries before, only four can stay: no more are gathered
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    last = rows.withColumn("place", place).where("place <= 4").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("place")).alias("at"), F.col("o_orderkey").cast("string").alias("key")))), lambda s: s["key"]).alias("entries"))
+    return last.select("o_custkey", F.array_join(L.history(F.col("entries"), F.lit("-1")), ",").alias("history"))
+
+
+@register(
+    "open_task_protection",
+    "SELECT DISTINCT l_partkey AS part FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' AND l_linenumber = 1",
+)
+def open_task_protection(spark, sf_dir):
+    """Parts whose first line of an order is still open; a part is a note, an order a task."""
+    items = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("done").alias("status"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"))
+    return L.tied_to_open_tasks(parts, items.select(F.col("l_partkey").alias("src"), F.col("l_orderkey").alias("dst")), tasks).select(F.col("path").alias("part"))

@@ -148,3 +148,47 @@ UNION ALL SELECT 'tool_calls_total{tool="' || event_type || '"} ' || CAST(CAST(c
 def metrics_exposition(spark, sf_dir):
     counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").cast("double").alias("value"))
     return M.exposition(counts.select(F.lit("tool_calls_total").alias("name"), F.lit("counter").alias("kind"), F.lit("Calls by tool").alias("help"), F.create_map(F.lit("tool"), "event_type").alias("labels"), "value"))
+
+
+@register(
+    "sampled_series",
+    """WITH b AS (SELECT time_bucket(INTERVAL '10 seconds', ts) AS moment, count(*) AS requests, round(avg(value), 6) AS mean FROM events GROUP BY 1)
+SELECT strftime(moment, '%Y-%m-%d %H:%M:%S') AS moment, requests, mean, (epoch_us(moment) // 10000000) % 6 = 0 AS heavy FROM b ORDER BY b.moment DESC LIMIT 360""",
+)
+def sampled_series(spark, sf_dir):
+    rows = M.sampled(table(spark, sf_dir, "events"), "ts", "value")
+    return rows.select(F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("moment"), "requests", "mean", "heavy")
+
+
+@register(
+    "derived_signals",
+    """WITH t AS (SELECT event_type, count(*) AS calls, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, avg(value) AS mean FROM events GROUP BY 1)
+SELECT round(100.0 * count(*) FILTER (WHERE event_type = 'error') / count(*) FILTER (WHERE event_type <> 'view'), 1) AS error_pct, (SELECT round(sum(calls * p95 / mean) / sum(calls), 2) FROM t) AS tail_ratio,
+  (SELECT round(max(n) / sum(n), 4) FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)) AS top_session_share FROM events""",
+)
+def derived_signals(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    tools = events.groupBy("event_type").agg(F.count("*").alias("calls"), M.nearest_rank("value", 0.95).alias("p95"), F.avg("value").alias("mean"))
+    kind = F.when(F.col("event_type") == "view", "health").otherwise("tool")
+    return M.derived_signals(tools, events.select(kind.alias("kind"), F.col("user_id").alias("session"), (F.col("event_type") == "error").alias("failed")))
+
+
+@register(
+    "arm_report",
+    """SELECT event_type AS arm, count(*) AS queries, round(avg(CAST(value > 20 AS INTEGER)), 4) AS recall, round(avg(1.0 / (1 + user_id % 7)), 4) AS mrr, round(avg(value), 4) AS mean_latency, round(percentile_disc(0.95) WITHIN GROUP (ORDER BY value), 4) AS p95_latency FROM events GROUP BY 1""",
+)
+def arm_report(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), (F.col("value") > 20).cast("double").alias("recall"), (1.0 / (1 + F.col("user_id") % 7)).alias("reciprocal_rank"), F.col("value").alias("latency"))
+    return M.arm_report(rows, "arm")
+
+
+@register(
+    "due_jobs",
+    """WITH j AS (SELECT user_id AS job, max(ts) AS last_run, CAST(user_id % 24 AS INTEGER) AS hour, user_id % 2 = 0 AS daily, user_id % 9 = 0 AS running FROM events GROUP BY user_id), n AS (
+  SELECT *, CASE WHEN daily THEN CASE WHEN date_trunc('day', last_run) + to_hours(hour) > last_run THEN date_trunc('day', last_run) + to_hours(hour) ELSE date_trunc('day', last_run) + to_hours(hour + 24) END ELSE last_run + INTERVAL 6 HOUR END AS next_run FROM j)
+SELECT job, strftime(next_run, '%Y-%m-%d %H:%M:%S') AS next_run, CASE WHEN next_run > TIMESTAMP '2024-01-30 12:00:00' THEN 'wait' WHEN running THEN 'skip' ELSE 'run' END AS action FROM n""",
+)
+def due_jobs(spark, sf_dir):
+    jobs = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job")).agg(F.max("ts").alias("last_run"))
+    jobs = jobs.withColumns({"hour": (F.col("job") % 24).cast("int"), "minute": F.lit(0), "daily": F.col("job") % 2 == 0, "every": F.lit(6 * 3600), "running": F.col("job") % 9 == 0})
+    return M.due_jobs(jobs, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")).select("job", F.date_format("next_run", "yyyy-MM-dd HH:mm:ss").alias("next_run"), "action")

@@ -63,3 +63,18 @@ def triple_ids(spark, sf_dir):
 @register("overlapping_facts", f"WITH {_FACTS} SELECT count(*) AS n FROM (SELECT valid_from, lag(valid_to) OVER (PARTITION BY subject ORDER BY valid_from, key) AS stop FROM f) WHERE stop > valid_from")
 def overlapping_facts(spark, sf_dir):
     return T.overlaps(facts(spark, sf_dir)).agg(F.count("*").alias("n"))
+
+
+@register(
+    "active_mentions",
+    f"WITH {_FACTS} SELECT subject, CASE subject % 4 WHEN 0 THEN 'mentions_person' WHEN 1 THEN 'mentions_org' ELSE 'mentions_project' END AS predicate, object FROM f WHERE valid_to IS NULL AND subject % 4 <> 3",
+)
+def active_mentions(spark, sf_dir):
+    k = F.col("subject") % 4
+    rows = facts(spark, sf_dir).withColumn("predicate", F.when(k == 0, "mentions_person").when(k == 1, "mentions_org").when(k == 2, "mentions_project").otherwise("knows"))
+    return T.active_mentions(rows)
+
+
+@register("top_predicates", f"WITH {_FACTS} SELECT 'p' || (subject % 23) AS predicate, count(*) AS n FROM f WHERE valid_to IS NULL GROUP BY 1 ORDER BY n DESC, predicate LIMIT 10")
+def top_predicates(spark, sf_dir):
+    return T.top_predicates(facts(spark, sf_dir).withColumn("predicate", F.concat(F.lit("p"), (F.col("subject") % 23).cast("string"))))

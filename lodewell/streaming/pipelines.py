@@ -102,3 +102,31 @@ def breaker(outcomes: DataFrame, failures: int = 3, cool_seconds: int = 300) ->
         yield pd.DataFrame(out, columns=["key", "ts", "state"])
 
     return outcomes.groupBy("key").applyInPandasWithState(update, "key string, ts timestamp, state string", "run int, opened double", "append", GroupStateTimeout.NoTimeout)
+
+
+def changed_rows(spark: SparkSession, path: str, schema: str, after: int = -1) -> DataFrame:
+    """A stream of a change log's rows with ids above the watermark, as they are appended."""
+    return spark.readStream.schema(schema).parquet(path).where(F.col("id") > after)
+
+
+def debounced(events: DataFrame, key: str, ts: str, quiet: str = "5 seconds", late: str = "1 minute") -> DataFrame:
+    """One flush (key, flush_at, changes) for each run of changes that a quiet time has ended."""
+    from lodewell.operators import telemetry
+
+    return telemetry.debounced(events.withWatermark(ts, late), key, ts, quiet)
+
+
+def pushed(rows: DataFrame, send, key: str, at: str, every: str = "2 seconds", checkpoint: str | None = None):
+    """Starts a query that hands the latest row of each key of every micro-batch to `send`, a function of a batch frame; at least once for each."""
+
+    def latest(batch: DataFrame, _: int) -> None:
+        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), at).alias("r")).select("r.*")
+        send(newest)
+
+    writer = rows.writeStream.foreachBatch(latest).trigger(processingTime=every)
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
+def run_due(rows: DataFrame, send, checkpoint: str) -> None:
+    """A scheduled run: everything that has come since the last one, then it ends. Two runs on one checkpoint can't overlap: the later one fails."""
+    rows.writeStream.foreachBatch(lambda batch, _: send(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

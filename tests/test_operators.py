@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodewell.functions import scoring as S
 from lodewell.functions import text as T
+from lodewell.operators import entities as E
 from lodewell.operators import graph as G
 from lodewell.operators import lifecycle as L
 from lodewell.operators import mining as M
@@ -175,7 +176,7 @@ def test_mining(spark):
     assert {(r.kind, r.phrase) for r in M.preferences(texts, ["id"], "text").collect()} == {("preference", "strong black tea"), ("convention", "deploy on a Friday")}
     said = spark.createDataFrame([(1, "We decided to wait a while. The bug is back again today! Nothing else to say here.")], "id long, text string")
     assert {(r.category, r.sentence) for r in M.memories(said, ["id"], "text").collect()} == {("decision", "We decided to wait a while."), ("problem", "The bug is back again today!")}
-    assert {(r["name"], r["type"]) for r in M.entities(texts, "id", "text").collect()} >= {("Ann Lee", "person"), ("Acme Widgets", "organisation")}
-    found = M.entities(texts, "id", "text")
+    assert {(r["name"], r["type"]) for r in E.entities(texts, "id", "text").collect()} >= {("Ann Lee", "person"), ("Acme Widgets", "organization")}
+    found = E.entities(texts, "id", "text")
     assert M.registry(found, "id").where("name = 'ann lee'").first().occurrences == 1 and M.mention_edges(found, "id").count() >= 1
     assert one(spark, M.symbol_id(*[F.lit(x) for x in ("r", "p", "n", "k")], F.lit("  "))) == one(spark, M.symbol_id(*[F.lit(x) for x in ("r", "p", "n", "k")], F.lit(None).cast("string")))
