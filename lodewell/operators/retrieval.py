@@ -296,20 +296,24 @@ def spread_activation(pairs: DataFrame, seeds: DataFrame, weight: float = 0.2, m
 def simhash(tokens: Column) -> Column:
     """The 64-bit SimHash of an array of tokens: each bit is the majority of their hashes' bits; 0 for fewer than 3 tokens.
 
-    Tokens are hashed by Spark; only the vote of bits, which has no built-in expression, runs in numpy.
+    Tokens are hashed by Spark; only the vote of bits, which has no built-in expression, runs in
+    numpy, over stretches of many texts at once.
     """
 
     @F.pandas_udf("long")
     def vote(hashes: pd.Series) -> pd.Series:
         import numpy as np
 
-        def one(h):
-            if h is None or len(h) < 3:
-                return 0
-            bits = np.unpackbits(np.asarray(h, dtype="<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h), bitorder="little").view("<i8")[0])
-
-        return hashes.map(one)
+        size = hashes.map(lambda h: 0 if h is None or len(h) < 3 else len(h)).to_numpy()
+        out = np.zeros(len(size), np.int64)
+        some = np.flatnonzero(size)
+        # a stretch holds about a million hashes, so their bits take some 64 MB
+        for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(size[some]) >> 20)) + 1) if len(some) else []:
+            flat = np.concatenate([np.asarray(hashes.iat[i], dtype="<i8") for i in part])
+            bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(size[part])[:-1]]), axis=0, dtype=np.int64)
+            out[part] = np.packbits(2 * votes > size[part][:, None], axis=1, bitorder="little").view("<i8")[:, 0]
+        return pd.Series(out)
 
     return vote(F.transform(tokens, lambda t: F.xxhash64(t)))
 
@@ -400,27 +404,36 @@ def edit_pairs(names: DataFrame, group: str, name: str, most: int = 2) -> DataFr
 def leader_clusters(rows: DataFrame, group: str, key: str, threshold: float = 0.85) -> DataFrame:
     """Greedy clusters by cosine within each group, in key order: a row joins the best leader that is near enough, or leads.
 
-    Order decides, so each group runs in pandas.
+    Order decides, so a group is one sorted stream; what a task holds are its leaders, not its rows.
     """
     import numpy as np
-
-    def assign(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(key).reset_index(drop=True)
-        leaders: list[int] = []
-        vectors = np.vstack(part["embedding"]) if len(part) else np.zeros((0, 1))
-        vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        out = []
-        for i in range(len(part)):
-            near = vectors[leaders] @ vectors[i] if leaders else np.zeros(0)
-            if len(near) and near.max() >= threshold:
-                out.append(part[key][leaders[int(near.argmax())]])
-            else:
-                leaders.append(i)
-                out.append(part[key][i])
-        return pd.DataFrame({group: part[group], key: part[key], "leader": out})
+    import pyarrow as pa
 
     kinds = dict(rows.dtypes)
-    return rows.groupBy(group).applyInPandas(assign, f"{group} {kinds[group]}, {key} {kinds[key]}, leader {kinds[key]}")
+    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, leader {kinds[key]}"
+
+    def assign(batches):
+        now, names, held, n = object(), [], np.zeros((0, 0)), 0
+        for batch in batches:
+            out = []
+            for g, k, v in zip(*(c.to_pylist() for c in batch.columns)):
+                v = np.asarray(v, dtype=float)
+                v = v / max(np.linalg.norm(v), 1e-12)
+                if g != now:
+                    now, names, held, n = g, [], np.zeros((64, len(v))), 0
+                near = held[:n] @ v
+                if n and near.max() >= threshold:
+                    out.append(names[int(near.argmax())])
+                else:
+                    if n == len(held):
+                        held = np.vstack([held, np.zeros_like(held)])
+                    held[n] = v
+                    names.append(k)
+                    n += 1
+                    out.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.column(1).type)], names=[group, key, "leader"])
+
+    return rows.select(group, key, "embedding").repartition(group).sortWithinPartitions(group, key).mapInArrow(assign, schema)
 
 
 def parse_ranking(reply: str, n: int) -> list[int]:
