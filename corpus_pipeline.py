@@ -7,8 +7,10 @@
 4. decontamination: documents that are contaminated by `benchmark` go; the others stay as they are.
 5. packing: what is left is tokenised and packed into sequences; a row for each piece.
 
-All stages but the last return the columns of their input. Only the third moves texts, and of these
-only the few that a filter can't tell apart from dropped ones.
+All stages but the last return the columns of their input, whatever their names. Only the third
+moves texts, and of these only the few that a filter can't tell apart from dropped ones. Rows are
+judged one by one, so repeated rows share their fate but for the third stage, where one of a class
+stays. An empty table passes through all stages as one.
 """
 
 from __future__ import annotations
@@ -20,22 +22,27 @@ from lodewell.llm.common import table, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no hit and stay, as all do without labels; null ids are never learned from."""
     return op9_toxicity.keep(docs, op9_toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts are judged as empty ones are; without labels every score is 0.5 and all stay."""
     return op2_quality.keep(docs, op2_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without words are alike to none: of these only repeated rows (id and text) fall together. Rows without id give way to those with one."""
     return op6_jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no words and stay; tests without id, text or words have no phrase."""
     return op5_decontamination.keep(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts are empty documents of one token; each row has its pieces, repeated rows too."""
     return op7_packing.pack(docs, op7_packing.vocabulary_path())
 
 
