@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lodewell.functions import text as T
 
+#: Media types by extension; anything else is a stream of octets.
+MIME = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "csv": "text/csv", "json": "application/json", "txt": "text/plain", "md": "text/markdown"}
+
 _FENCE = r"(?s)^---\n(.*?)\n---\n?(.*)$"
 
 
@@ -91,3 +94,21 @@ def merged_section(old, heading: str, new):
 def write_notes(notes: DataFrame, path: str) -> None:
     """Notes as a Parquet table by collection; only collections with rows are replaced."""
     notes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+
+
+def read_artifacts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, name, extension, mime, size, etag, modified) of binary files in any file system that Spark reads (local, HDFS, object stores); contents are hashed by executors, not kept; Spark does not list empty files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    name = T.basename(F.col("path"))
+    extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    mime = F.coalesce(F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])[extension], F.lit("application/octet-stream"))
+    return files.select("path", name.alias("name"), extension.alias("extension"), mime.alias("mime"), F.col("length").alias("size"), F.sha2("content", 256).alias("etag"), F.col("modificationTime").alias("modified"))
+
+
+def repositories(listing: DataFrame) -> DataFrame:
+    """(root): folders of a listing (path) that hold a repository, those within another one's working tree left out."""
+    roots = listing.select(F.regexp_extract("path", r"^(.*)/\.git/HEAD$", 1).alias("root")).where("root <> ''").distinct()
+    parts = F.split("root", "/")
+    above = F.explode_outer(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    nested = roots.select("root", above.alias("above")).where("above <> root").join(roots.select(F.col("root").alias("above")), "above", "left_semi").select("root").distinct()
+    return roots.join(nested, "root", "left_anti")

@@ -16,7 +16,7 @@ from lodewell.operators import graph as G
 from lodewell.operators import lifecycle as L
 from lodewell.operators import retrieval as R
 from lodewell.operators import telemetry as M
-from lodewell.sources import sinks
+from lodewell.sources import sinks, vault
 from lodewell.streaming import pipelines
 
 
@@ -93,6 +93,16 @@ def test_pushes_and_debounce(spark, tmp_path):
     assert sorted(got) == [("a", 20), ("b", 9)]
 
 
+def test_artifacts_and_repositories(spark, tmp_path):
+    (tmp_path / "files" / "a").mkdir(parents=True)
+    (tmp_path / "files" / "a" / "x.PNG").write_bytes(bytes(range(256)))
+    (tmp_path / "files" / "none").write_bytes(b"")
+    got = {r.name: (r.mime, r.size, r.etag[:6]) for r in vault.read_artifacts(spark, str(tmp_path / "files")).collect()}
+    assert got == {"x.PNG": ("image/png", 256, "40aff2")}
+    paths = ["/w/a/.git/HEAD", "/w/a/b/.git/HEAD", "/w/c/d/.git/HEAD", "/w/c/.git/config", "/w/a2/.git/HEAD"]
+    assert {r.root for r in vault.repositories(spark.createDataFrame([(x,) for x in paths], "path string")).collect()} == {"/w/a", "/w/c/d", "/w/a2"}
+
+
 # --- entities
 
 
