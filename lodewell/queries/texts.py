@@ -81,7 +81,18 @@ def entity_boosts(spark, sf_dir):
     return E.boosted(E.entities(rows.select("c_custkey", text.alias("text")), "c_custkey", "text"), known)
 
 
-@register("light_entities")
+_OPENERS = "['The', 'This', 'That', 'These', 'Those', 'Here', 'There', 'When', 'Where', 'What', 'Which', 'After', 'Before', 'Since', 'Until', 'Also', 'Just', 'Then', 'Next', 'First', 'Last', 'However', 'Moreover', 'Therefore', 'Furthermore']"
+_COMMON = "['Some', 'Many', 'Most', 'Any', 'All', 'Each', 'Every', 'Other', 'Another', 'Both', 'But', 'And', 'Not', 'Yes', 'Now', 'Still', 'Already', 'Maybe', 'Could', 'Would', 'Should', 'Can', 'Will']"
+
+
+@register(
+    "light_entities",
+    rf"""WITH n AS (SELECT doc_id, list_distinct(list_concat(list_concat(
+    list_filter(regexp_extract_all(text, '\b([A-Z][a-z]+(?:[ \t\n\v\f\r]+[A-Z][a-z]+)+)\b', 1), lambda n: NOT list_contains({_OPENERS}, regexp_extract(n, '^[A-Za-z]+'))),
+    regexp_extract_all(text, '\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b', 1)),
+    list_filter(flatten(list_transform(string_split(text, chr(10)), lambda s: list_transform(regexp_split_to_array(s, '[ \t\n\v\f\r]+')[2:], lambda x: regexp_replace(x, '[^a-zA-Z]', '', 'g')))), lambda x: length(x) >= 3 AND regexp_matches(x, '^[A-Z][a-z]+$') AND NOT list_contains({_OPENERS}, x) AND NOT list_contains({_COMMON}, x)))) AS names FROM documents)
+SELECT doc_id, CAST(len(names) AS INTEGER) AS n, list_sort(names)[1] AS first FROM n""",
+)
 def light_entities(spark, sf_dir):
     names = E.light_entities(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", names.alias("names")).select("doc_id", F.size("names").alias("n"), F.try_element_at("names", F.lit(1)).alias("first"))
