@@ -61,20 +61,28 @@ ROWS = "path string, row string, name string, kind string, qualified_name string
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """Rows of kind `symbol`, `call` (qualified_name is the caller) and `import` of Python files; other languages need a parser that is not installed."""
+    """Rows of kind `symbol`, `call` (qualified_name is the caller) and `import` of source files; Python by its grammar, languages with braces by patterns, others not at all."""
+    from lodewell.sources import braces
+
+    def read(language: str, text: str):
+        if language == "python":
+            return _python(text)
+        symbols, calls, imports = braces.parse(text, language)
+        return symbols[:MOST_SYMBOLS], calls[:MOST_CALLS], imports[:MOST_IMPORTS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, text in zip(batch["path"], batch["content"]):
-                symbols, calls, imports = _python(text or "")
+            for path, text, language in zip(batch["path"], batch["content"], batch["language"]):
+                symbols, calls, imports = read(language, text or "")
                 out += [(path, "symbol", n, k, q, s, d, a, b, p, None) for n, k, q, s, d, a, b, p in symbols]
                 out += [(path, "call", n, None, c, None, None, line, None, None, None) for c, n, line in calls]
                 out += [(path, "import", n, None, None, None, None, None, None, None, m) for n, m in imports]
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in ROWS.split(", ")])
             yield frame.astype({"start_line": "Int32", "end_line": "Int32"})
 
-    return files.where("language = 'python'").select("path", "content").mapInPandas(run, ROWS)
+    known = F.col("language").isin("python", *braces.DEFINITIONS)
+    return files.where(known).select("path", "content", "language").mapInPandas(run, ROWS)
 
 
 def body(content: Column, first: Column, last: Column, most: int = 200) -> Column:

@@ -6,6 +6,7 @@ import json
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodewell.functions import text as T
@@ -16,7 +17,7 @@ from lodewell.operators import graph as G
 from lodewell.operators import lifecycle as L
 from lodewell.operators import retrieval as R
 from lodewell.operators import telemetry as M
-from lodewell.sources import sinks, vault
+from lodewell.sources import code, sinks, vault
 from lodewell.streaming import pipelines
 
 
@@ -103,6 +104,32 @@ def test_artifacts_and_repositories(spark, tmp_path):
     assert {r.root for r in vault.repositories(spark.createDataFrame([(x,) for x in paths], "path string")).collect()} == {"/w/a", "/w/c/d", "/w/a2"}
 
 
+SOURCES = {
+    "a.ts": ("import { x } from './lib/x';\n// a note\nexport class Box<T> extends Base {\n  private size(n: number): number {\n    return twice(n); // call(me)\n  }\n}\nfunction twice(n) { return n * 2; }\nexport const LIMIT = 3;\nconst go = async (a) => run(a);\ninterface Shape { area(): number }\ntype Id = string;\n",
+             {("Box", "class"), ("Box.size", "method"), ("twice", "function"), ("LIMIT", "const-export"), ("go", "function"), ("Shape", "interface"), ("Id", "type")}, {("Box.size", "twice"), ("go", "run")}, {"./lib/x"}),
+    "b.go": ('package p\nimport (\n\t"fmt"\n)\ntype Tree struct {\n\tleft *Tree\n}\nfunc (t *Tree) Walk(n int) int {\n\tfmt.Println("f(x)")\n\treturn grow(n)\n}\nfunc grow(n int) int { return n }\n', {("Tree", "struct"), ("Walk", "method"), ("grow", "function")}, {("Walk", "Println"), ("Walk", "grow")}, {"fmt"}),
+    "c.rs": ("use std::fmt;\n/// Holds it.\npub struct Held { a: u8 }\nimpl Held {\n    pub fn take(&self) -> u8 { help(self.a) }\n}\nfn help(a: u8) -> u8 { a }\ntrait Able { fn can(&self); }\n", {("Held", "struct"), ("Held.take", "method"), ("help", "function"), ("Able", "trait"), ("Able.can", "method")}, {("Held.take", "help")}, {"std::fmt"}),
+    "D.java": ("import java.util.List;\npublic class D {\n  @Override\n  public List<String> all(int n) throws E {\n    if (n > 0) { return make(n); }\n    return null;\n  }\n}\n", {("D", "class"), ("D.all", "method")}, {("D.all", "make")}, {"java.util.List"}),
+    "e.cpp": ('#include "e.h"\nclass Box : public Base {\n  int n;\n};\nint Box::size(int a) {\n  return add(a, n);\n}\nstatic int add(int a, int b) { return a + b; }\n', {("Box", "class"), ("size", "function"), ("add", "function")}, {("size", "add")}, {"e.h"}),
+    "f.kt": ("import a.b.C\nclass F {\n  fun go(x: Int): Int = twice(x)\n}\nfun twice(x: Int): Int { return x * 2 }\n", {("F", "class"), ("F.go", "method"), ("twice", "function")}, {("F.go", "twice")}, {"a.b.C"}),
+    "g.php": ("<?php\nuse A\\B;\nclass G { public function go($x) { return $this->twice($x); } }\nfunction twice($x) { return $x; }\n", {("G", "class"), ("G.go", "method"), ("twice", "function")}, {("G.go", "twice")}, {"A\\B"}),
+    "h.swift": ("import Foundation\nstruct H {\n  func go(_ x: Int) -> Int { return twice(x) }\n}\nfunc twice(_ x: Int) -> Int { x * 2 }\n", {("H", "struct"), ("H.go", "method"), ("twice", "function")}, {("H.go", "twice")}, {"Foundation"}),
+}
+
+
+def test_languages_with_braces(spark):
+    files = code.source_files(spark.createDataFrame([(p, s[0]) for p, s in SOURCES.items()] + [("x.js", "function ( {{{ '"), ("y.c", None)], "path string, content string"))
+    rows = code.parsed(files).collect()
+    for path, (_, symbols, calls, imports) in SOURCES.items():
+        own = [r for r in rows if r.path == path]
+        assert {(r.qualified_name, r.kind) for r in own if r.row == "symbol"} == symbols, path
+        assert {(r.qualified_name, r["name"]) for r in own if r.row == "call"} == calls, path
+        assert {r.module for r in own if r.row == "import"} == imports, path
+    (held,) = [r for r in rows if r.row == "symbol" and r["name"] == "Held"]
+    (size,) = [r for r in rows if r.row == "symbol" and r.qualified_name == "Box.size"]
+    assert held.docstring == "Holds it." and (size.start_line, size.end_line, size.signature, size.parent) == (4, 6, "private size(n: number): number", "Box")
+
+
 # --- entities
 
 
@@ -245,6 +272,16 @@ def test_nearest_and_first_relevant_match_brute_force(spark):
         assert first == {q: next(k for k, (_, _, x) in enumerate(order[q], 1) if x == label) for q, label, _ in rows}
 
 
+def test_simhash_matches_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choices(["a b", "c", "é", "word", "x y"], k=rng.randint(0, 9))) for i in range(40)] + [(40, None)]
+    got = {r.id: r.v for r in spark.createDataFrame(rows, "id long, tokens array<string>").select("id", R.simhash(F.col("tokens")).alias("v")).collect()}
+    for i, tokens in rows:
+        hashes = [xxhash.xxh64(t.encode(), seed=42).intdigest() for t in tokens or []]
+        bits = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes)) if len(hashes) >= 3 else 0
+        assert got[i] % (1 << 64) == bits
+
+
 def test_simhash_pairs_match_brute_force(spark):
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(12)]
