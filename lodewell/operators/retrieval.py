@@ -345,10 +345,10 @@ def hamming_pairs(prints: DataFrame, key: str, most: int = 3, spare: int = 3) ->
 def overlap_pairs(sets: DataFrame, key: str, least: float) -> DataFrame:
     """(a, b, jaccard) of rows (key, items) whose item sets are alike by `least`; pairs are of representatives, the least keys of equal sets.
 
-    Items become 64-bit hashes, and a set is written once. Sizes fall into bands, so that alike sets
+    Items become 64-bit hashes, if they aren't, and a set is written once. Sizes fall into bands, so that alike sets
     are of one band or of neighbouring ones: a tile is a band and the next. Two alike sets of a tile
     differ in d items at most; with hashes cut into more than d ranges, they agree in one. A range's
-    content is summed up by one aggregation that shuffles a row a range, not the items; sets that
+    content is folded by one aggregation that shuffles a row a range, not the items; sets that
     leave so many ranges empty that the common one may be empty also file their smallest hashes, as
     a prefix filter does. So items that many sets have bring no pair by themselves, and candidates
     are held against each other exactly.
@@ -360,7 +360,7 @@ def overlap_pairs(sets: DataFrame, key: str, least: float) -> DataFrame:
     for low, after in zip(lows, lows[1:]):
         top, reach = after - 1, 100 * (after - 1) // percent
         parts.append(((top + reach) * (100 - percent) // (100 + percent), reach))
-    hashed = F.array_sort(F.array_distinct(F.transform("items", lambda i: F.xxhash64(i))))
+    hashed = F.array_sort(F.array_distinct("items" if dict(sets.dtypes)["items"] == "array<bigint>" else F.transform("items", lambda i: F.xxhash64(i))))
     own = sets.where(F.size("items") > 0).select(key, hashed.alias("items"))
     one = cut(own.groupBy(F.size("items").alias("n"), F.xxhash64("items").alias("h1"), F.xxhash64(F.lit(7), "items").alias("h2")).agg(F.min(key).alias(key), F.first("items").alias("items")).drop("h1", "h2"))
     band = F.aggregate(F.array(*map(F.lit, lows)), F.lit(-1), lambda i, low: i + (low <= F.col("n")).cast("int"))
@@ -371,11 +371,14 @@ def overlap_pairs(sets: DataFrame, key: str, least: float) -> DataFrame:
     ranges = F.col("d") * 2 + 1  # half of them may be empty
     place = F.floor(F.shiftrightunsigned("item", 33) * F.col("ranges") / (1 << 31)).alias("range")
     each = tiled.withColumn("ranges", ranges).select(key, "tile", "d", "ranges", F.explode("items").alias("item"))
-    filled = each.groupBy(key, "tile", "d", place).agg(F.sum(F.xxhash64("item").cast("decimal(20,0)")).alias("content"))
+    filled = each.groupBy(key, "tile", "d", place).agg(F.bit_xor(F.xxhash64("item")).alias("content"))
     signed = filled.select(key, F.xxhash64("tile", "range", "content").alias("signature"))
     empty = filled.groupBy(key, "tile", "d").agg(F.count("*").alias("full")).where(F.col("full") <= F.col("d")).select(key, "tile")
     prefix = tiled.join(empty, [key, "tile"], "left_semi").select(key, "tile", F.explode(F.slice("items", F.lit(1), (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int"))).alias("item"))
-    signed = cut(signed.unionByName(prefix.select(key, F.xxhash64("tile", F.lit(-1), "item").alias("signature"))).join(one.select(key, "n"), key))
+    signed = signed.unionByName(prefix.select(key, F.xxhash64("tile", F.lit(-1), "item").alias("signature")))
+    # most signatures are one set's alone; the others join by the partitioning that counts them
+    shared = signed.withColumn("sets", F.count("*").over(Window.partitionBy("signature"))).where("sets > 1").select("signature", key)
+    signed = cut(shared.join(one.select(key, "n"), key))
     a, b = signed.alias("a"), signed.alias("b")
     pairs = a.join(b, (F.col("a.signature") == F.col("b.signature")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n")))
     pairs = pairs.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()

@@ -9,7 +9,8 @@ from lodewell.catalog import register
 from lodewell.functions import scoring as S
 from lodewell.functions import text as T
 from lodewell.operators import retrieval as R
-from lodewell.sources.tables import NOTES_SQL, notes, table, vectors
+from lodewell.operators import shingles as N
+from lodewell.sources.tables import NOTES_SQL, documents, notes, table, vectors
 
 #: The literal search of these queries: words that begin so, in any field; and the vector of row 0.
 TERMS = ["thing", "idiot", "unge"]
@@ -182,7 +183,7 @@ i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS
 SELECT a, b, round(shared / CAST(na + nb - shared AS DOUBLE), 4) AS jaccard FROM i WHERE shared / CAST(na + nb - shared AS DOUBLE) >= 0.85""",
 )
 def structural_near_dup(spark, sf_dir):
-    items = table(spark, sf_dir, "documents").select("doc_id", T.bigrams(T.structural(F.col("text"))).alias("items"))
+    items = N.structural_items(documents(spark, sf_dir), "doc_id", "text")
     return R.overlap_pairs(items, "doc_id", 0.85).select("a", "b", F.round("jaccard", 4).alias("jaccard"))
 
 
@@ -190,7 +191,7 @@ def structural_near_dup(spark, sf_dir):
 def simhash_clusters(spark, sf_dir):
     from lodewell.operators import graph as G
 
-    prints = G.cut(table(spark, sf_dir, "documents").select("doc_id", R.simhash(T.bigrams(T.tokens(F.col("text"), 1))).alias("simhash")).where("simhash <> 0"))
+    prints = G.cut(N.fingerprints(documents(spark, sf_dir), "doc_id", "text").where("simhash <> 0"))
     classes = G.components(R.hamming_pairs(prints, "doc_id").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     # copies share a fingerprint: they belong to its representative's class
     least = prints.groupBy("simhash").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))

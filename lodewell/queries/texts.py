@@ -9,7 +9,7 @@ from lodewell.functions import text as T
 from lodewell.operators import entities as E
 from lodewell.operators import mining as M
 from lodewell.operators import relational as R
-from lodewell.sources.tables import NOTES_SQL, notes, table
+from lodewell.sources.tables import NOTES_SQL, documents, notes, table
 
 
 @register(
@@ -45,12 +45,12 @@ def memory_extraction(spark, sf_dir):
 
 @register("entity_detection")
 def entity_detection(spark, sf_dir):
-    return E.entities(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return E.entities(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text")
 
 
 @register("entity_registry")
 def entity_registry(spark, sf_dir):
-    return M.registry(E.entities(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id")
+    return M.registry(E.entities(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text"), "doc_id")
 
 
 @register("entity_backfill")

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for work that costs far more than reading them: a small table may come as one row group, which a single task would read, so it is dealt over the cores."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < min(cores, 16) else docs
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as notes: path, title (first line), content, tags (lang and source), collection (lang), heat from the id."""
     docs = table(spark, sf_dir, "documents")

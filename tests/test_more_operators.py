@@ -4,6 +4,7 @@ import collections
 import datetime as dt
 import json
 import random
+import re
 
 import pytest
 import xxhash
@@ -16,6 +17,7 @@ from lodewell.operators import entities as E
 from lodewell.operators import graph as G
 from lodewell.operators import lifecycle as L
 from lodewell.operators import retrieval as R
+from lodewell.operators import shingles as N
 from lodewell.operators import telemetry as M
 from lodewell.sources import code, sinks, vault
 from lodewell.streaming import pipelines
@@ -314,3 +316,19 @@ def test_changes_tell_truncation(spark, kind, n):
     log = spark.createDataFrame([(i, "p/x", "removed" if i == 2 else "sig_changed", i) for i in range(4)], "id long, relative_path string, change_kind string, captured_at long")
     rows = C.changes_since(log, F.lit(1), kind, "p/", 3).collect()
     assert len(rows) == n and not any(r.truncated for r in rows) and all(r.truncated for r in C.changes_since(log, F.lit(0), "all", "", 3).collect())
+
+
+def test_word_pairs_match_plain_ones(spark):
+    rng = random.Random(9)
+    words = ["The", "cat", "Ümlaut", "日本", "a", "x_y", "2024-01-02", "10:30", "77", "é1", "--", "is", "Ⅷ"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 14))) for _ in range(60)] + ["", "word " * 100_000]
+    assert [len(s) for s in N.pair_sets(texts, False)] == [len({(a, b) for w in [re.findall(r"[^\W_]+", t.lower())] for a, b in zip(w, w[1:])}) for t in texts]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(999, None)], "id long, text string")
+    plain = {r.id: len(r.v) for r in frame.where("text IS NOT NULL").select("id", T.bigrams(T.structural(F.col("text"))).alias("v")).collect()}
+    got = {r.id: r["items"] for r in N.structural_items(frame, "id", "text").collect()}
+    assert {i: len(v) for i, v in got.items()} == {i: n for i, n in plain.items() if n}
+    assert N.pair_sets(["one two three"], False)[0].tolist() == N.pair_sets(["x", "ONE two, three"], False)[1].tolist()
+    prints = {r.id: r.simhash for r in N.fingerprints(frame, "id", "text").collect()}
+    for i, s in enumerate(N.pair_sets(texts, False)):
+        bits = sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in s) > len(s)) if len(s) >= 3 else 0
+        assert prints[i] % (1 << 64) == bits
