@@ -154,10 +154,10 @@ def task_upserts(spark, sf_dir):
 
 @register(
     "tool_search",
-    """WITH t AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS t, (p_size % 10) / 20.0 AS cosine FROM part) SELECT p_partkey AS name, round(greatest(cosine, 0.6 * (contains(t, 'red')::INT + contains(t, 'promo')::INT + contains(t, 'ring')::INT) / 3.0), 6) AS score FROM t ORDER BY round(greatest(cosine, 0.6 * (contains(t, 'red')::INT + contains(t, 'promo')::INT + contains(t, 'ring')::INT) / 3.0), 6) DESC, lpad(CAST(p_partkey AS VARCHAR), 9, '0') LIMIT 30""",
+    """WITH t AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS t, (p_size % 10) / 21.0 AS cosine FROM part) SELECT p_partkey AS name, round(greatest(cosine, 0.6 * (contains(t, 'red')::INT + contains(t, 'promo')::INT + contains(t, 'ring')::INT) / 3.0), 6) AS score FROM t ORDER BY round(greatest(cosine, 0.6 * (contains(t, 'red')::INT + contains(t, 'promo')::INT + contains(t, 'ring')::INT) / 3.0), 6) DESC, lpad(CAST(p_partkey AS VARCHAR), 9, '0') LIMIT 30""",
 )
 def tool_search(spark, sf_dir):
-    tools = table(spark, sf_dir, "part").select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("description"), ((F.col("p_size") % 10) / 20).alias("cosine"))
+    tools = table(spark, sf_dir, "part").select(F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("description"), ((F.col("p_size") % 10) / 21).alias("cosine"))
     return K.tool_search(tools, ["Red", "promo", "ring"], 30).select(F.col("name").cast("long").alias("name"), F.round("score", 6).alias("score"))
 
 
