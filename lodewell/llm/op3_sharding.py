@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodewell.llm.common import table, written
+from lodewell.llm.common import discard, table, written
 
 SHARDS, OVERHEAD = 24, 8
 #: Slices of a node's range that one pass weighs, and the share of a shard that a cut may be off.
@@ -50,45 +50,48 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def before(cut: list[tuple[str, float]]) -> Column:
-    """Whether a row lies before the cut, in the order of the cut's columns."""
-    name, value = cut[0]
-    if len(cut) == 1:
-        return F.col(name) < F.lit(value)
-    return (F.col(name) < F.lit(value)) | ((F.col(name) == F.lit(value)) & before(cut[1:]))
-
-
-def leaf_of(node: dict) -> Column:
-    """The number of the leaf, or of the node that is not cut yet, that a row belongs to."""
-    if "cut" not in node:
-        return F.lit(node["first"])
-    left = before(node["cut"])
-    if node["whole"]:
-        left = left & ~F.col("text_hash").isin(node["whole"])
-    return F.when(left, leaf_of(node["left"])).otherwise(leaf_of(node["right"]))
-
-
 def open_nodes(node: dict) -> list[dict]:
     if "cut" in node:
         return open_nodes(node["left"]) + open_nodes(node["right"])
     return [node] if node["leaves"] > 1 and not node.get("done") else []
 
 
-def by_node(nodes: list[dict], value) -> Column:
-    """A column that depends on the row's node, from a function of the node."""
-    out = F.when(F.col("node") == nodes[0]["first"], value(nodes[0]))
-    for n in nodes[1:]:
-        out = out.when(F.col("node") == n["first"], value(n))
-    return out
+def sought(nodes: list[dict], columns: list[str]) -> Column:
+    """What is sought in the row's node, looked up in a literal map: the key's place among `columns`, its range, what ties come before it, and the groups set aside."""
+    entries = []
+    for n in nodes:
+        ties = [(columns.index(name), value) for name, value in n["at"]] + [(-1, 0.0)] * 2
+        numbers = {"key": columns.index(n["keys"][len(n["at"])]), "tie": ties[0][0], "next_tie": ties[1][0]}
+        values = {"low": n["low"], "high": n["high"], "value": ties[0][1], "next_value": ties[1][1]}
+        fields = [F.lit(v).alias(k) for k, v in numbers.items()] + [F.lit(float(v)).alias(k) for k, v in values.items()]
+        entries += [F.lit(n["first"]), F.struct(*fields, F.array(*[F.lit(float(x)) for x in (math.nan, *n["whole"])]).alias("whole"))]
+    return F.element_at(F.create_map(*entries), F.col("node"))
 
 
-def within(node: dict) -> Column:
-    """Whether a row of the node lies in the range that its cut is sought in."""
-    key = F.col(node["keys"][len(node["at"])])
-    out = key.between(F.lit(node["low"]), F.lit(node["high"]))
-    for name, value in node["at"]:
-        out = out & (F.col(name) == F.lit(value))
-    return out & ~F.col("text_hash").isin(node["whole"]) if node["whole"] else out
+def split(rows: DataFrame, nodes: list[dict], columns: list[str]) -> DataFrame:
+    """rows with the number of the child that they fall to, for those of the cut nodes: left before the cut in the order of its columns, and not set aside."""
+    entries = []
+    for n in nodes:
+        cut = [(columns.index(name), value) for name, value in n["cut"]] + [(-1, 0.0)] * 2
+        numbers = [F.lit(k).alias(f"k{i}") for i, (k, _) in enumerate(cut[:3])] + [F.lit(float(v)).alias(f"v{i}") for i, (_, v) in enumerate(cut[:3])]
+        entries += [F.lit(n["first"]), F.struct(*numbers, F.lit(n["leaves"] // 2).alias("shift"), F.array(*[F.lit(float(x)) for x in (math.nan, *n["whole"])]).alias("whole"))]
+    held = rows.withColumn("s", F.element_at(F.create_map(*entries), F.col("node"))).withColumn("keys", F.array(*columns))
+    key = lambda i: F.get("keys", f"s.k{i}")
+    below, same = (lambda i: key(i) < F.col(f"s.v{i}")), (lambda i: (key(i) == F.col(f"s.v{i}")) & (F.col(f"s.k{i + 1}") >= 0))
+    left = (below(0) | (same(0) & (below(1) | (same(1) & below(2))))) & ~F.array_contains("s.whole", F.col("text_hash"))
+    node = F.when(F.col("s").isNull() | left, F.col("node")).otherwise(F.col("node") + F.col("s.shift"))
+    return held.withColumn("node", node).drop("s", "keys")
+
+
+def slices_of(rows: DataFrame, nodes: list[dict], columns: list[str]) -> DataFrame:
+    """(node, bin, weight, low, high): the weights of the slices of each node's range, and the range of keys in each."""
+    held = rows.where(F.col("node").isin([n["first"] for n in nodes])).select("node", "size", "text_hash", F.array(*columns).alias("keys"), sought(nodes, columns).alias("s"))
+    held = held.withColumn("key", F.get("keys", "s.key"))
+    tied = ((F.col("s.tie") < 0) | (F.get("keys", "s.tie") == F.col("s.value"))) & ((F.col("s.next_tie") < 0) | (F.get("keys", "s.next_tie") == F.col("s.next_value")))
+    held = held.where(F.col("key").between(F.col("s.low"), F.col("s.high")) & tied & ~F.array_contains("s.whole", F.col("text_hash")))
+    width = F.greatest(F.col("s.high") - F.col("s.low"), F.lit(1e-300))
+    place = F.least(F.lit(BINS - 1), F.floor((F.col("key") - F.col("s.low")) / width * BINS))
+    return held.groupBy("node", place.alias("bin")).agg(F.sum("size").alias("weight"), F.min("key").alias("low"), F.max("key").alias("high"))
 
 
 def find_cuts(rows: DataFrame, nodes: list[dict], spreads: dict, total: float, shards: int, dimensions: list[str]) -> None:
@@ -110,12 +113,8 @@ def find_cuts(rows: DataFrame, nodes: list[dict], spreads: dict, total: float, s
         n["at"] = []
         active.append(n)
     while active:
-        key = by_node(active, lambda n: F.col(n["keys"][len(n["at"])]))
-        inside = by_node(active, within)
-        low, width = by_node(active, lambda n: F.lit(float(n["low"]))), by_node(active, lambda n: F.lit(max(float(n["high"]) - float(n["low"]), 1e-300)))
-        sliced = rows.where(F.col("node").isin([n["first"] for n in active]) & inside).select("node", "size", key.alias("key"), F.least(F.lit(BINS - 1), F.floor((key - low) / width * BINS)).alias("bin"))
         weights: dict = {n["first"]: [] for n in active}
-        for r in sliced.groupBy("node", "bin").agg(F.sum("size").alias("weight"), F.min("key").alias("low"), F.max("key").alias("high")).collect():
+        for r in slices_of(rows, active, [*dimensions, "text_hash", "id_hash"]).collect():
             weights[r["node"]].append(r)
         going = []
         for n in active:
@@ -152,15 +151,29 @@ def find_cuts(rows: DataFrame, nodes: list[dict], spreads: dict, total: float, s
             n["right"] = {"first": n["first"] + left, "leaves": n["leaves"] - left}
 
 
-def kd_tree(rows: DataFrame, shards: int, dimensions: list[str] | None = None) -> dict:
-    """The tree, as nested dictionaries; the driver holds a few numbers for each of its nodes."""
+def grown(rows: DataFrame, shards: int, dimensions: list[str] | None = None) -> tuple[dict, DataFrame]:
+    """The tree, as nested dictionaries, and the rows with their leaf as `node`.
+
+    The driver holds a few numbers for each node; after each level the narrow rows are written with
+    the nodes that they have come to, so no expression grows with the tree.
+    """
     dimensions = dimensions or DIMENSIONS
     whole = rows.agg(F.sum("size").alias("weight"), *[(F.max(d) - F.min(d)).alias(d) for d in dimensions]).first()
     spreads = {d: whole[d] or 1.0 for d in dimensions}
-    tree = {"first": 0, "leaves": shards}
+    tree, rows, old = {"first": 0, "leaves": shards}, rows.withColumn("node", F.lit(0)), None
     while nodes := open_nodes(tree):
-        find_cuts(rows.withColumn("node", leaf_of(tree)), nodes, spreads, float(whole["weight"] or 0), shards, dimensions)
-    return tree
+        find_cuts(rows, nodes, spreads, float(whole["weight"] or 0), shards, dimensions)
+        if cut := [n for n in nodes if "cut" in n]:
+            rows = written(split(rows, cut, [*dimensions, "text_hash", "id_hash"]), "level")
+            if old is not None:
+                discard(old)
+            old = rows
+    return tree, rows
+
+
+def kd_tree(rows: DataFrame, shards: int, dimensions: list[str] | None = None) -> dict:
+    """The tree alone."""
+    return grown(rows, shards, dimensions)[0]
 
 
 def slotted(rows: DataFrame, count: int, shards: int) -> DataFrame:
@@ -176,8 +189,8 @@ def slotted(rows: DataFrame, count: int, shards: int) -> DataFrame:
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard and slot; the texts are read once and not shuffled."""
     rows = written(described(docs, id_col, text_col), "described")
-    tree = kd_tree(rows, shards)
-    return slotted(rows.withColumn("shard", leaf_of(tree)), rows.count(), shards).select("doc_id", "size", "text_crc32", "shard", "slot")
+    _, dealt = grown(rows, shards)
+    return slotted(dealt.withColumnRenamed("node", "shard"), rows.count(), shards).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
