@@ -17,6 +17,7 @@ MODULES = {
     "op8_url_filter": "op8_url_filter",
     "op9_toxicity": "op9_toxicity",
     "op10_language": "op10_language",
+    "op13_token_files": "op13_token_files",
 }
 
 
