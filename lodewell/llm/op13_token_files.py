@@ -9,9 +9,9 @@ indexes and the statistics of stripes prune by `doc_id`, `part` and `at`, and Bl
 before, a table of one row for each file.
 
 Ids are those that the `tokenizers` library gives for the whole text. Where the vocabulary lower-cases,
-splits by the pattern WORDS and marks ends of words, a stretch of ASCII letters between other ASCII
-characters always is a word of its own, so each distinct stretch is encoded once and its ids are
-looked up afterwards; texts with special tokens, and all texts of other vocabularies, are encoded whole.
+splits by the pattern WORDS, a stretch of ASCII letters between other ASCII characters always is a
+word of its own, so each distinct stretch is encoded once and its ids are looked up afterwards;
+texts with special tokens, and all texts of other vocabularies, are encoded whole.
 
 Null texts are empty: they have the end id alone. Null document ids stand before all others. Repeated
 rows are encoded each; they stand next to each other. A text is one row of a file whatever its length
@@ -22,8 +22,10 @@ the id and the text play no part, whatever their names.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,10 @@ END_ID = 2
 #: Most and least bytes of text for a file; between them, four files for each core.
 FILE_BYTES, LEAST_BYTES = 128 << 20, 4 << 20
 STRIPE_BYTES, STRIDE = 8 << 20, 1000
+#: Bytes of text that are encoded at a time; a longer text is taken alone.
+CHUNK = 2 << 20
 #: Distinct stretches that an encoder remembers; beyond it forgets all and goes on.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Stretches that are handed to the library in one text.
 TOGETHER = 1000
 
@@ -57,19 +61,18 @@ class Encoder:
     """Ids of whole texts by the vocabulary at `path`, for Arrow batches of texts."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            said = json.load(f)
-        self.special = [x["content"].encode() for x in said.get("added_tokens") or ()]
-        patterns = [(x.get("pattern") or {}).get("Regex") for x in (said.get("pre_tokenizer") or {}).get("pretokenizers", ())]
-        normalisers = [x["type"] for x in (said.get("normalizer") or {}).get("normalizers", ())]
-        self.separable = WORDS in patterns and normalisers == NORMALISERS and said["model"].get("end_of_word_suffix") == "</w>"
+        state = lambda part: json.loads(part.__getstate__()) if part else {}
+        patterns = [(x.get("pattern") or {}).get("Regex") for x in state(self.library.pre_tokenizer).get("pretokenizers", ())]
+        normalisers = [x["type"] for x in state(self.library.normalizer).get("normalizers", ())]
+        special = {i: x.content for i, x in self.library.get_added_tokens_decoder().items()}
+        self.special = [x.encode() for x in special.values()]
+        self.separable = bool(special) and WORDS in patterns and normalisers == NORMALISERS and getattr(self.library.model, "end_of_word_suffix", None) == "</w>"
         if self.separable:
-            vocabulary = self.library.get_vocab()
-            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+            self.parting, self.between = max(special.items())  # no stretch has this id
         self.forget()
 
     def forget(self) -> None:
@@ -79,18 +82,23 @@ class Encoder:
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each), by the library on the texts as they are."""
         found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.array([i for ids in found for i in ids], np.int32), np.fromiter(map(len, found), np.int64, len(found))
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
 
     def learn(self, new: list[str]) -> None:
-        """Encodes stretches that are not known yet: words of letters many at a time, which ends of words part again, the others one by one."""
-        plain = [x for x in new if x.isascii() and x.isalpha()]
-        ids, _ = self.whole([" ".join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)])
-        counts = np.diff(np.append(-1, np.flatnonzero(self.last[ids])))
-        others = [x for x in new if not (x.isascii() and x.isalpha())]
-        more, more_counts = self.whole(others)
-        for x in plain + others:
-            self.known[x] = len(self.known)
-        self.ids = np.concatenate([self.ids, ids, more])
+        """Encodes stretches that are not known yet: a word of letters is what the model itself takes, others are parted by a special token in one text."""
+        plain, others = [], []
+        for x in new:
+            (plain if x.isalpha() and x.isascii() else others).append(x)
+        self.known.update(zip(chain(plain, others), range(len(self.known), len(self.known) + len(new))))
+        model = self.library.model.tokenize
+        found = [[token.id for token in model(x)] for x in plain]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
+        more, _ = self.whole([self.between.join(others[i : i + TOGETHER]) + self.between for i in range(0, len(others), TOGETHER)])
+        parted = more == self.parting
+        more_counts = np.diff(np.append(-1, np.flatnonzero(parted))) - 1
+        self.ids = np.concatenate([self.ids, ids, more[~parted]])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.concatenate([counts, more_counts]))])
 
     def stretches(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -110,7 +118,7 @@ class Encoder:
         cut[1:-1] |= SPACE[raw[:-1]]
         kept = ~SPACE[raw]
         starts = np.flatnonzero(cut[:-1] & kept)
-        data, place = raw[kept], np.cumsum(kept) - kept
+        data, place = raw[kept], np.cumsum(kept, dtype=np.int32) - kept
         spans = np.append(place[starts], len(data)).astype(np.int32)
         return pa.StringArray.from_buffers(len(starts), pa.py_buffer(spans), pa.py_buffer(data)), np.diff(np.searchsorted(starts, offsets))
 
@@ -128,7 +136,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.forget()
         self.learn([x for x in distinct if x not in self.known])
-        at = np.fromiter((self.known[x] for x in distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         lengths = self.offsets[at + 1] - self.offsets[at]
         ends = np.cumsum(lengths)
         taken = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.offsets[at] - (ends - lengths), lengths)
@@ -160,7 +168,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, id_
     def run(batches):
         encode, part, at = Encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in chunks(batch, limit=4 << 20, most=1 << 14):
+            for rows in chunks(batch, limit=CHUNK, most=1 << 14):
                 ids, offsets = with_ends(*encode(rows.column(1)), end_id)
                 values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
