@@ -16,6 +16,7 @@ places in ranges of scores plus the sizes of the ranges before, so no task sorts
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -143,13 +144,11 @@ def totals(counted: DataFrame, buckets: int) -> DataFrame:
 def gains(source: DataFrame, target: DataFrame, buckets: int) -> np.ndarray:
     """Each bucket's gain, a row for each of the given number of buckets on the driver."""
     both = source.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(totals(source, buckets).withColumnRenamed("n", "s"), "bucket", "left").join(totals(target, buckets).withColumnRenamed("n", "t"), "bucket", "left").fillna(0)
-    found = both.agg(F.sum("s"), F.sum("t"), F.collect_list(F.struct("bucket", "s", "t"))).select(
-        F.explode(F.col(both_list := "collect_list(struct(bucket, s, t))")).alias("x"), F.col("sum(s)").alias("S"), F.col("sum(t)").alias("T")
-    )
-    ratio = (F.col("x.t") + F.lit(1.0)) * (F.col("S") + F.lit(float(buckets))) / ((F.col("x.s") + F.lit(1.0)) * (F.col("T") + F.lit(float(buckets))))
+    rows = both.select("bucket", "s", "t").collect()
+    all_s, all_t = sum(r["s"] for r in rows) + buckets, sum(r["t"] for r in rows) + buckets
     out = np.zeros(buckets, np.int64)
-    for row in found.select("x.bucket", F.floor(F.lit(1000.0) * F.ln(ratio)).alias("gain")).collect():
-        out[row["bucket"]] = row["gain"]
+    for r in rows:
+        out[r["bucket"]] = math.floor(1000.0 * math.log(float(r["t"] + 1) * float(all_s) / (float(r["s"] + 1) * float(all_t))))
     return out
 
 
@@ -232,7 +231,7 @@ WITH RECURSIVE bits AS (
 ), sums AS (
   SELECT bucket, sum(n) FILTER (kind = 0) AS s, sum(n) FILTER (kind = 1) AS t FROM per_bucket GROUP BY bucket
 ), gains AS (
-  SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(coalesce((SELECT sum(t) FROM sums), 0) * 0 + coalesce((SELECT sum(s) FROM sums), 0) + 10000 AS DOUBLE)
+  SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(coalesce((SELECT sum(s) FROM sums), 0) + 10000 AS DOUBLE)
                                      / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST(coalesce((SELECT sum(t) FROM sums), 0) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM sums
 ), weights AS (
   SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM per_bucket JOIN gains USING (bucket) WHERE kind = 0 GROUP BY id

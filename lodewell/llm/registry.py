@@ -17,6 +17,8 @@ MODULES = {
     "op8_url_filter": "op8_url_filter",
     "op9_toxicity": "op9_toxicity",
     "op10_language": "op10_language",
+    "op11_importance": "op11_importance",
+    "op12_search": "op12_search",
     "op13_token_files": "op13_token_files",
 }
 
