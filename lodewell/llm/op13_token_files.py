@@ -9,7 +9,7 @@ indexes and the statistics of stripes prune by `doc_id`, `part` and `at`, and Bl
 before, a table of one row for each file.
 
 Ids are those that the `tokenizers` library gives for the whole text. Where the vocabulary lower-cases,
-splits by the pattern WORDS, a stretch of ASCII letters between other ASCII characters always is a
+splits by the pattern WORDS, a stretch of Latin letters between other ASCII characters always is a
 word of its own, so each distinct stretch is encoded once and its ids are looked up afterwards;
 texts with special tokens, and all texts of other vocabularies, are encoded whole.
 
@@ -40,9 +40,9 @@ END_ID = 2
 FILE_BYTES, LEAST_BYTES = 128 << 20, 4 << 20
 STRIPE_BYTES, STRIDE = 8 << 20, 1000
 #: Bytes of text that are encoded at a time; a longer text is taken alone.
-CHUNK = 2 << 20
+CHUNK = 3 << 20
 #: Distinct stretches that an encoder remembers; beyond it forgets all and goes on.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Stretches that are handed to the library in one text.
 TOGETHER = 1000
 
@@ -51,7 +51,9 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALISERS = ["NFC", "Replace", "Lowercase"]
 
 SPACE = lookup(lambda c: c in (9, 10, 11, 12, 13, 32))
-LETTER = lookup(lambda c: 97 <= c <= 122)
+LETTER = lookup(lambda c: 65 <= c <= 90 or 97 <= c <= 122)
+#: Second bytes of the letters U+00C0 to U+00FF, whose first byte is LATIN; normal forms leave them as they are unless a mark follows.
+LATIN, SECOND = 0xC3, lookup(lambda c: 0x80 <= c <= 0xBF and c not in (0x97, 0xB7))
 #: What may stand before a stretch of letters that is a word of its own: ASCII, but no apostrophe, which takes letters with it.
 BEFORE = lookup(lambda c: c < 128 and c != 39)
 AFTER = lookup(lambda c: c < 128)
@@ -92,7 +94,7 @@ class Encoder:
             (plain if x.isalpha() and x.isascii() else others).append(x)
         self.known.update(zip(chain(plain, others), range(len(self.known), len(self.known) + len(new))))
         model = self.library.model.tokenize
-        found = [[token.id for token in model(x)] for x in plain]
+        found = [[token.id for token in model(x.lower())] for x in plain]  # a last letter may have kept its case
         counts = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
         more, _ = self.whole([self.between.join(others[i : i + TOGETHER]) + self.between for i in range(0, len(others), TOGETHER)])
@@ -103,8 +105,11 @@ class Encoder:
 
     def stretches(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """The texts' words of letters and what stands between them, without white space, and the number of each text."""
-        raw = LOWER[raw]
+        marked = np.append(raw[1:] >= 128, False)  # a mark may follow, which composes with one case of the letter alone
+        raw = np.where(marked, raw, LOWER[raw])
         letter, begins = LETTER[raw], np.zeros(len(raw) + 1, bool)
+        two = np.flatnonzero((raw[:-1] == LATIN) & SECOND[raw[1:]])
+        letter[two] = letter[two + 1] = True
         begins[offsets] = True
         edge = begins.copy()  # where another stretch may begin: texts, changes between letters and others, and after white space
         edge[1:-1] |= (letter[1:] != letter[:-1]) | SPACE[raw[:-1]]
