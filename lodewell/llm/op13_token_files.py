@@ -39,6 +39,8 @@ END_ID = 2
 #: Most and least bytes of text for a file; between them, four files for each core.
 FILE_BYTES, LEAST_BYTES = 128 << 20, 4 << 20
 STRIPE_BYTES, STRIDE = 8 << 20, 1000
+#: Rows that ORC's writer and reader hold at a time, and after which the writer looks whether a stripe is full.
+ORC_ROWS = 128
 #: Bytes of text that are encoded at a time; a longer text is taken alone.
 CHUNK = 3 << 20
 #: Distinct stretches that an encoder remembers; beyond it forgets all and goes on.
@@ -182,7 +184,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, id_
                 )
                 at += len(ids)
 
-    options = {"orc.create.index": "true", "orc.row.index.stride": STRIDE, "orc.stripe.size": stripe_bytes, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
+    few_rows(docs.sparkSession)
+    options = {"orc.rows.between.memory.checks": ORC_ROWS, "orc.create.index": "true", "orc.row.index.stride": STRIDE, "orc.stripe.size": stripe_bytes, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
     ranges.select("doc_id", "text").mapInArrow(run, FILE).write.options(**options).orc(path, compression="zstd")
     return path
 
@@ -193,7 +196,14 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return each.withColumn("base", F.sum("size").over(Window.orderBy("part")) - F.col("size"))
 
 
+def few_rows(spark: SparkSession) -> None:
+    """Has Spark write and read ORC in batches of few rows, as a row may hold many tokens; session settings."""
+    spark.conf.set("spark.sql.orc.columnarWriterBatchSize", ORC_ROWS)
+    spark.conf.set("spark.sql.orc.columnarReaderBatchSize", 2 * ORC_ROWS)
+
+
 def rows(spark: SparkSession, path: str) -> DataFrame:
+    few_rows(spark)
     return spark.read.schema(FILE).orc(path)
 
 
