@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kinds of symbols that span others.
-CONTAINERS = ["class", "interface", "struct", "enum", "trait", "impl", "union"]
+CONTAINERS = ["class", "struct", "enum", "trait", "interface", "impl", "module", "namespace", "union"]
 
 
 def outline(symbols: DataFrame, repo, path) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewell.functions import text as T
+from lodewell.operators.codenav import CONTAINERS
 
 
 def bootstrap(notes: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
@@ -68,12 +69,22 @@ def resolved_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) ->
     return calls.join(one, ["repo_id", "callee_name"], "left")
 
 
-def dead_symbols(symbols: DataFrame, calls: DataFrame) -> DataFrame:
-    """Symbols that nothing calls, save containers, entry points, tests and private names."""
+#: Names that frameworks call, and paths of tests.
+ENTRY_POINTS = """
+main init setup teardown default _start run start stop execute handler handle
+beforeAll beforeEach afterAll afterEach before after
+constructor componentDidMount componentWillUnmount render
+""".split()
+TEST_PATH = r"(?i)(^|[\\/])(tests?|__tests__|spec|specs)[\\/]|\.(test|spec)\.[^./\\]+$"
+
+
+def dead_symbols(symbols: DataFrame, calls: DataFrame, repo=None, kind: str | None = None) -> DataFrame:
+    """Symbols that no resolved call reaches, save containers, entry points and those in files of tests; of one repository or kind if asked for."""
+    rows = symbols if repo is None else symbols.where(F.col("repo_id") == repo)
+    rows = rows if kind is None else rows.where(F.col("kind") == kind)
+    kept = ~F.col("kind").isin(CONTAINERS) & ~F.col("name").isin(ENTRY_POINTS) & ~F.coalesce(F.col("relative_path"), F.lit("")).rlike(TEST_PATH)
     called = calls.where("callee_id IS NOT NULL").select(F.col("callee_id").alias("id")).distinct()
-    rows = symbols.where(~F.col("kind").isin("class", "module", "interface", "enum") & ~F.col("name").isin("main", "run", "setup", "default", "handler"))
-    rows = rows.where(~F.col("relative_path").rlike(r"(?i)(^|/)(tests?|__tests__|spec)(/|\.)|[._](test|spec)\.") & ~F.col("name").startswith("_"))
-    return rows.join(called, "id", "left_anti")
+    return rows.where(kept).join(called, "id", "left_anti")
 
 
 def enclosing(positions: DataFrame, symbols: DataFrame, lines: int = 256) -> DataFrame:

@@ -93,24 +93,77 @@ def health(notes: DataFrame) -> DataFrame:
     return base.withColumn("score", score).withColumn("grade", grade.otherwise("F"))
 
 
+def _greedy(waiting: DataFrame, least: int) -> DataFrame:
+    """(key, order): what each key takes, if keys go to the first of their orders that at least `least` keys take, decided in order.
+
+    In each round every key waits for its first order. One that enough keys wait for only gains, and
+    keeps its keys. Any other can still gain keys that wait for such an order, so one that too few of
+    these keys have is given up, all such at once; the first of them in order always is.
+    """
+    waiting = cut(waiting)
+    while True:
+        first = cut(waiting.groupBy("key").agg(F.min("order").alias("order")))
+        size = first.groupBy("order").agg(F.count("*").alias("n"))
+        short = size.where(F.col("n") < least)
+        if short.isEmpty():
+            return first
+        free = waiting.join(first.join(short.select("order"), "order", "left_semi").select("key"), "key", "left_semi").groupBy("order").agg(F.count("*").alias("most"))
+        settled = size.where(F.col("n") >= least).select("order", F.lit(True).alias("settled"))
+        alive = waiting.select("order").distinct().join(settled, "order", "left").join(free, "order", "left")
+        kept = alive.where(F.coalesce("settled", F.lit(False)) | (F.coalesce("most", F.lit(0)) >= least)).select("order")
+        waiting = cut(waiting.join(kept, "order", "left_semi"))
+
+
+def _tag_pairs(tagged: DataFrame, between: str = "+") -> DataFrame:
+    return tagged.select("key", F.explode(F.expr(f"flatten(transform(array_sort(array_distinct(tags)), (a, i) -> transform(slice(array_sort(array_distinct(tags)), i + 2, size(tags)), b -> concat(a, '{between}', b))))")).alias("theme"))
+
+
+def _ordered(rows: DataFrame, least: int) -> DataFrame:
+    """(key, order) of themes with `least` keys at least, the commonest first, then by name."""
+    counts = rows.groupBy("theme").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return rows.join(counts, "theme").select("key", F.struct((-F.col("n")).alias("n"), "theme").alias("order"))
+
+
 def themes(tagged: DataFrame, least: int = 3) -> DataFrame:
     """(theme, size, first): greedy themes of tag pairs, strongest first; each note (key, tags) goes to one theme only.
 
-    A note waits for the first of its pairs in the order of the pairs' counts. The first pair that
-    fewer than `least` notes wait for gives them up to their next ones; those after it are counted
-    anew. Each round gives up one pair, so rounds end; they go on until every theme is large enough.
     Only the pairs' counts, and never a pair's notes, are brought together.
     """
-    pairs = tagged.select("key", F.explode(F.expr("flatten(transform(array_sort(array_distinct(tags)), (a, i) -> transform(slice(array_sort(array_distinct(tags)), i + 2, size(tags)), b -> concat(a, '+', b))))")).alias("theme"))
-    counts = pairs.groupBy("theme").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    waiting = cut(pairs.join(counts, "theme").select("key", F.struct((-F.col("n")).alias("n"), "theme").alias("order")))
-    while True:
-        found = cut(waiting.groupBy("key").agg(F.min("order").alias("order")).groupBy("order").agg(F.count("*").alias("size"), F.min("key").alias("first")))
-        short = found.where(F.col("size") < least).agg(F.min("order").alias("order")).first()["order"]
-        if short is None:
-            return found.select("order.theme", "size", "first")
-        # what nobody waits for, and lies before the first short one, stays out of the way by itself
-        waiting = cut(waiting.where(F.col("order.theme") != short["theme"]))
+    taken = _greedy(_ordered(_tag_pairs(tagged), least), least)
+    return taken.groupBy("order").agg(F.count("*").alias("size"), F.min("key").alias("first")).select("order.theme", "size", "first")
+
+
+#: Notes of a pair's theme, and a tag's notes in all and among those without a theme.
+PAIR_NOTES, TAG_NOTES, TAG_LEFT = 2, 5, 3
+#: Stands between the tags of a pair while themes are found: the unit separator, which no tag has.
+BETWEEN = "\x1f"
+
+
+def note_themes(notes: DataFrame, most: int | None = None, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """(theme, tags, size, first, temperature, place): themes of hot and warm notes (key, tags, temperature), at most `most`.
+
+    First pairs of tags that two notes share, the commonest first, each note in one theme only. Then
+    single tags of five notes or more that no theme has, if three of their notes are left. Ties are in
+    order of names. Tags in `ignored` count nowhere; notes without other tags, and cold ones, have no theme.
+    """
+    usable = F.filter(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))), lambda t: t.isNotNull() & (~t.isin(*ignored) if ignored else F.lit(True)))
+    rows = cut(notes.where(F.col("temperature").isin("hot", "warm")).select("key", "temperature", usable.alias("tags")).where(F.size("tags") > 0))
+
+    def found(taken: DataFrame, phase: int) -> DataFrame:
+        own = taken.join(rows.select("key", "temperature"), "key").withColumn("theme", F.col("order.theme"))
+        counted = own.groupBy("theme", "order").agg(F.count("*").alias("size"), F.min("key").alias("first"))
+        return counted.join(dominant_temperature(own, "theme"), "theme").select(F.replace("theme", F.lit(BETWEEN), F.lit(" + ")).alias("theme"), F.split("theme", BETWEEN).alias("tags"), "size", "first", "temperature", F.lit(phase).alias("phase"), F.col("order.n").alias("n"))
+
+    paired = cut(_greedy(_ordered(_tag_pairs(rows, BETWEEN), PAIR_NOTES), PAIR_NOTES))
+    pairs = found(paired, 0)
+    used = pairs.select(F.explode("tags").alias("tag")).distinct()
+    tags = rows.select("key", F.explode("tags").alias("tag"))
+    common = tags.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n") >= TAG_NOTES).join(used, "tag", "left_anti")
+    left = tags.join(paired.select("key"), "key", "left_anti").join(common, "tag").select("key", F.struct((-F.col("n")).alias("n"), F.col("tag").alias("theme")).alias("order"))
+    both = pairs.unionByName(found(_greedy(left, TAG_LEFT), 1))
+    order = ["phase", "n", "theme"]
+    both = both.orderBy(*order).limit(most) if most is not None else both
+    return both.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("phase", "n")  # a row for each theme
 
 
 def dominant_temperature(notes: DataFrame, group: str) -> DataFrame:

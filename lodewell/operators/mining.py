@@ -8,27 +8,26 @@ from pyspark.sql import functions as F
 from lodewell.functions import text as T
 
 #: Patterns of preferences by kind, and of memories by category.
-_END = r"(?:\.|$|\n)"
 PREFERENCES = [
-    ("preference", r"(?i)\bI\s+prefer\s+(.{10,120}?)" + _END),
-    ("preference", r"(?i)\bI\s+(?:really\s+)?like\s+(?:to\s+|using\s+|how\s+)?(.{10,120}?)" + _END),
-    ("preference", r"(?i)\bI\s+(?:really\s+)?dislike\s+(.{10,120}?)" + _END),
-    ("preference", r"(?i)\bI\s+always\s+(.{10,120}?)" + _END),
-    ("preference", r"(?i)\bI\s+never\s+(.{10,120}?)" + _END),
-    ("preference", r"(?i)\bmy\s+(?:preferred|favorite|go-to)\s+(?:\w+\s+)?(?:is|are)\s+(.{5,120}?)" + _END),
-    ("preference", r"(?i)\bI\s+(?:tend\s+to|usually)\s+(.{10,120}?)" + _END),
-    ("convention", r"(?i)\bwe\s+(?:should\s+)?always\s+(.{10,120}?)" + _END),
-    ("convention", r"(?i)\bwe\s+(?:should\s+)?never\s+(.{10,120}?)" + _END),
-    ("convention", r"(?i)\bthe\s+convention\s+is\s+(.{10,120}?)" + _END),
-    ("convention", r"(?i)\bthe\s+standard\s+is\s+(.{10,120}?)" + _END),
-    ("convention", r"(?i)\bour\s+(?:team|project|codebase|convention)\s+(?:uses?|requires?|follows?)\s+(.{10,120}?)" + _END),
-    ("convention", r"(?i)\bthe\s+rule\s+(?:is|here)\s+(.{10,120}?)" + _END),
-    ("convention", r"(?i)\b(?:best\s+practice|standard\s+practice)\s+(?:is\s+(?:to\s+)?)?(.{10,120}?)" + _END),
+    ("preference", r"(?i)\bI\s+prefer\s+(.{10,120}?)(?:\.|$|\n)"),
+    ("preference", r"(?i)\bI\s+(?:really\s+)?like\s+(?:to\s+|using\s+|how\s+)?(.{10,120}?)(?:\.|$|\n)"),
+    ("preference", r"(?i)\bI\s+(?:really\s+)?dislike\s+(.{10,120}?)(?:\.|$|\n)"),
+    ("preference", r"(?i)\bI\s+always\s+(.{10,120}?)(?:\.|$|\n)"),
+    ("preference", r"(?i)\bI\s+never\s+(.{10,120}?)(?:\.|$|\n)"),
+    ("preference", r"(?i)\bmy\s+(?:preferred|favorite|go-to)\s+(?:\w+\s+)?(?:is|are)\s+(.{5,120}?)(?:\.|$|\n)"),
+    ("preference", r"(?i)\bI\s+(?:tend\s+to|usually)\s+(.{10,120}?)(?:\.|$|\n)"),
+    ("convention", r"(?i)\bwe\s+(?:should\s+)?always\s+(.{10,120}?)(?:\.|$|\n)"),
+    ("convention", r"(?i)\bwe\s+(?:should\s+)?never\s+(.{10,120}?)(?:\.|$|\n)"),
+    ("convention", r"(?i)\bthe\s+convention\s+is\s+(.{10,120}?)(?:\.|$|\n)"),
+    ("convention", r"(?i)\bthe\s+standard\s+is\s+(.{10,120}?)(?:\.|$|\n)"),
+    ("convention", r"(?i)\bour\s+(?:team|project|codebase|convention)\s+(?:uses?|requires?|follows?)\s+(.{10,120}?)(?:\.|$|\n)"),
+    ("convention", r"(?i)\bthe\s+rule\s+(?:is|here)\s+(.{10,120}?)(?:\.|$|\n)"),
+    ("convention", r"(?i)\b(?:best\s+practice|standard\s+practice)\s+(?:is\s+(?:to\s+)?)?(.{10,120}?)(?:\.|$|\n)"),
     ("pain_point", r"(?i)\b(.{5,60}?)\s+doesn'?t\s+work\s+well\b"),
     ("pain_point", r"(?i)\b(.{5,60}?)\s+is\s+(?:really\s+)?(?:frustrating|annoying|broken|unreliable|buggy|slow|painful)\b"),
-    ("pain_point", r"(?i)\bfrustrated\s+(?:by|with)\s+(.{10,120}?)" + _END),
-    ("pain_point", r"(?i)\bstruggling\s+with\s+(.{10,120}?)" + _END),
-    ("pain_point", r"(?i)\bthe\s+(?:problem|issue|trouble)\s+(?:with|is)\s+(.{10,120}?)" + _END),
+    ("pain_point", r"(?i)\bfrustrated\s+(?:by|with)\s+(.{10,120}?)(?:\.|$|\n)"),
+    ("pain_point", r"(?i)\bstruggling\s+with\s+(.{10,120}?)(?:\.|$|\n)"),
+    ("pain_point", r"(?i)\bthe\s+(?:problem|issue|trouble)\s+(?:with|is)\s+(.{10,120}?)(?:\.|$|\n)"),
 ]
 MEMORIES = [
     ("decision", r"(?i)\b(?:decided|went\s+with|chose|trade-?off|opted\s+for)\b"),
@@ -90,11 +89,9 @@ def memories(texts: DataFrame, key: list[str], text: str, most: int = 500) -> Da
     return rows.groupBy(*key, "category", same.alias("_same")).agg(F.min_by("sentence", "pos").alias("sentence")).drop("_same")
 
 
-def registry(found: DataFrame, at: str) -> DataFrame:
-    """One row for each normalised name: occurrences, first and last seen, the best tier ever reached."""
-    tier = F.when(F.col("confidence") >= 0.9, 2).when(F.col("confidence") >= 0.7, 1).otherwise(0)
-    rows = found.groupBy(F.lower(T.squeezed(F.col("name"))).alias("name"), "type").agg(F.count("*").alias("occurrences"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.max(tier).alias("tier"))
-    return rows.withColumn("tier", F.element_at(F.array(F.lit("candidate"), F.lit("likely"), F.lit("confirmed")), F.col("tier") + 1))
+def registry(found: DataFrame, at: str, tier: str = "detected") -> DataFrame:
+    """One row for each normalised name and type: occurrences, first and last seen, and the tier that the caller gives them; `registry.merged` resolves aliases."""
+    return found.groupBy(F.lower(T.squeezed(F.col("name"))).alias("name"), "type").agg(F.count("*").alias("occurrences"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.lit(tier).alias("tier"))
 
 
 def mention_edges(found: DataFrame, key: str, most: int = 8) -> DataFrame:

@@ -132,7 +132,9 @@ def tag_normal(tag: Column) -> Column:
 
 
 def merged_tags(tags: Column, aliases: dict[str, str]) -> Column:
-    """Tags with aliases replaced, each once; order and spelling of the others stay."""
+    """Tags with aliases replaced, each once; order and spelling of the others stay. Without aliases they are only made distinct."""
+    if not aliases:
+        return F.array_distinct(tags)
     pairs = [F.lit(x) for kv in aliases.items() for x in kv]
     return F.array_distinct(F.transform(tags, lambda t: F.coalesce(F.create_map(*pairs)[tag_normal(t)], t)))
 

@@ -130,26 +130,27 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id")
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def query_blocks(queries: DataFrame, block: int):
-    """Blocks of about `block` query rows (vec_id, label, embedding), as arrays on the driver: each has a bound."""
+def query_blocks(queries: DataFrame, block: int, extra: tuple[str, ...] = ()):
+    """Blocks of about `block` query rows as arrays on the driver, each bounded: (vec_id, label, embedding and `extra` columns); queries without a vector are none."""
     import numpy as np
 
+    queries = queries.where("embedding IS NOT NULL")
     n = max(1, -(-queries.count() // block))
     for k in range(n):
         some = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == k) if n > 1 else queries
-        rows = some.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).orderBy("vec_id").collect()
+        rows = some.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"), *extra).orderBy("vec_id").collect()
         if rows:
-            yield np.array([r["vec_id"] for r in rows]), np.array([r["label"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=float)
+            yield np.array([r["vec_id"] for r in rows]), np.array([r["label"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=float), *[np.array([r[c] for r in rows]) for c in extra]
 
 
-def _against(vectors: DataFrame, queries: DataFrame, block: int, task, schema: str) -> DataFrame:
-    """Runs task(query ids, labels, iterator of (ids, labels, rounded cosines with all queries; -inf with itself)) over every vector."""
+def _against(vectors: DataFrame, queries: DataFrame, block: int, task, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Runs task(query ids, labels, iterator of (ids, labels, rounded cosines with all queries; -inf with itself), extra columns) over every vector."""
     import numpy as np
 
     out = None
-    for q_ids, q_labels, q in query_blocks(queries, block):
+    for q_ids, q_labels, q, *more in query_blocks(queries, block, extra):
 
-        def run(batches, q_ids=q_ids, q_labels=q_labels, q=q):
+        def run(batches, q_ids=q_ids, q_labels=q_labels, q=q, more=more):
             def scored():
                 for batch in batches:
                     for at in range(0, batch.num_rows, 2048):
@@ -161,7 +162,7 @@ def _against(vectors: DataFrame, queries: DataFrame, block: int, task, schema: s
                         s[ids[order][:, None] == q_ids[None, :]] = -np.inf
                         yield ids[order], labels[order], s
 
-            yield from task(q_ids, q_labels, scored())
+            yield from task(q_ids, q_labels, scored(), *more)
 
         rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding IS NOT NULL")
         part = rows.mapInArrow(run, schema)
@@ -218,17 +219,15 @@ def first_relevant(vectors: DataFrame, queries: DataFrame, block: int = 10_000)
     top = _against(vectors, queries, block, best, "query long, score double, minus long")
     top = top.groupBy("query").agg(F.max(F.struct("score", "minus")).alias("best"))
     # the bound of a query rides along as its label does: one double and one id for each
-    known = {r["query"]: (r["best"]["score"], -r["best"]["minus"]) for r in top.collect()}
+    bounded = queries.join(top.select(F.col("query").alias("vec_id"), F.col("best.score").alias("_score"), (-F.col("best.minus")).alias("_least")), "vec_id")
 
-    def before(q_ids, _labels, scored):
-        score = np.array([known.get(int(i), (np.inf, 0))[0] for i in q_ids])
-        least = np.array([known.get(int(i), (np.inf, 0))[1] for i in q_ids])
+    def before(q_ids, _labels, scored, score, least):
         n = np.zeros(len(q_ids), np.int64)
         for ids, _, s in scored:
             n += ((s > score) | ((s == score) & (ids[:, None] <= least))).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(q_ids, pa.int64()), pa.array(n, pa.int64())], names=["query", "n"])
 
-    return _against(vectors, queries, block, before, "query long, n long").groupBy("query").agg(F.sum("n").alias("place")).where("place > 0")
+    return _against(vectors, bounded, block, before, "query long, n long", ("_score", "_least")).groupBy("query").agg(F.sum("n").alias("place")).where("place > 0")
 
 
 def ranked(arm: DataFrame, key: str, k: int, name: str) -> DataFrame:
@@ -408,6 +407,7 @@ def leader_clusters(rows: DataFrame, group: str, key: str, threshold: float = 0.
     """Greedy clusters by cosine within each group, in key order: a row joins the best leader that is near enough, or leads.
 
     Order decides, so a group is one sorted stream; what a task holds are its leaders, not its rows.
+    Rows without a vector are in no cluster and left out.
     """
     import numpy as np
     import pyarrow as pa
@@ -436,7 +436,7 @@ def leader_clusters(rows: DataFrame, group: str, key: str, threshold: float = 0.
                     out.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.column(1).type)], names=[group, key, "leader"])
 
-    return rows.select(group, key, "embedding").repartition(group).sortWithinPartitions(group, key).mapInArrow(assign, schema)
+    return rows.select(group, key, "embedding").where("embedding IS NOT NULL").repartition(group).sortWithinPartitions(group, key).mapInArrow(assign, schema)
 
 
 def parse_ranking(reply: str, n: int) -> list[int]:

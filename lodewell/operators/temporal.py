@@ -54,10 +54,46 @@ def stats(facts: DataFrame) -> DataFrame:
     return facts.agg(F.count("*").alias("total"), F.count_if(F.col("valid_to").isNull()).alias("active"), F.count_if(F.col("valid_to").isNotNull()).alias("expired"), F.countDistinct("subject").alias("subjects"))
 
 
+def _swept(facts: DataFrame) -> tuple[DataFrame, Column]:
+    """Facts with `_reach`, the furthest end of what begins before them, and the end that an open one stands for.
+
+    Order is the begin, then the end, then what the columns hold, so it is one order for equal facts too.
+    """
+    ends = facts.withColumn("_open", F.col("valid_to").isNull())
+    others = [c for c in facts.columns if c not in ("subject", "predicate", "valid_from", "valid_to") and not dict(facts.dtypes)[c].startswith("map")]
+    order = [F.col("valid_from").asc_nulls_first(), F.col("_open"), F.col("valid_to"), *others]
+    before = Window.partitionBy("subject", "predicate").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    swept = ends.withColumn("_reach", F.max("valid_to").over(before)).withColumn("_endless", F.coalesce(F.max("_open").over(before), F.lit(False)))
+    begins = F.col("valid_from").isNull() | (F.col("_reach") > F.col("valid_from"))  # a missing begin lies before all
+    return swept, F.col("_endless") | (begins & F.col("_reach").isNotNull())
+
+
 def overlaps(facts: DataFrame) -> DataFrame:
-    """Integrity: intervals of one subject and predicate that begin before the one before them ends."""
-    by = Window.partitionBy("subject", "predicate").orderBy("valid_from")
-    return facts.withColumn("_end", F.lag("valid_to").over(by)).where(F.col("_end") > F.col("valid_from")).drop("_end")
+    """Integrity: facts of one subject and predicate that begin before one of those that began before them ends.
+
+    One sorted pass with the furthest end so far, so nested and open intervals are found; an interval
+    without begin or end is open there. Half-open: one that begins where another ends overlaps nothing.
+    """
+    swept, hit = _swept(facts)
+    return swept.where(hit).select(*facts.columns)
+
+
+def islands(facts: DataFrame) -> DataFrame:
+    """(subject, predicate, first, last, facts): stretches of time without a gap, of all facts that overlap or meet one another; `last` is null if one is open."""
+    swept, _ = _swept(facts)
+    fresh = ~F.col("_endless") & F.coalesce(F.col("_reach") < F.col("valid_from"), F.col("_reach").isNull())
+    number = F.sum(fresh.cast("int")).over(Window.partitionBy("subject", "predicate").orderBy(F.col("valid_from").asc_nulls_first(), "_open", "valid_to").rowsBetween(Window.unboundedPreceding, 0))
+    each = swept.withColumn("_island", number).groupBy("subject", "predicate", "_island")
+    last = F.when(~F.max("_open"), F.max("valid_to")).alias("last")
+    return each.agg(F.when(F.count("valid_from") == F.count("*"), F.min("valid_from")).alias("first"), last, F.count("*").alias("facts")).drop("_island")
+
+
+def repaired(facts: DataFrame) -> DataFrame:
+    """Facts without overlaps: each one ends, at the latest, where the next one of its subject and predicate begins; what is empty then goes."""
+    by = Window.partitionBy("subject", "predicate").orderBy(F.col("valid_from").asc_nulls_first(), F.col("valid_to").asc_nulls_last(), *[c for c in facts.columns if c not in ("subject", "predicate", "valid_from", "valid_to")])
+    following = F.lead("valid_from").over(by)
+    clipped = facts.withColumn("_next", following).withColumn("valid_to", F.when(F.col("_next").isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("_next"))), F.col("_next")).otherwise(F.col("valid_to")))
+    return clipped.where(F.col("valid_to").isNull() | F.col("valid_from").isNull() | (F.col("valid_from") < F.col("valid_to"))).drop("_next")
 
 
 #: Sentence patterns of single-valued facts, as (predicate, pattern, group of the subject, group of the object).

@@ -48,6 +48,115 @@ def recall(
     return found.drop("tokens").join(F.broadcast(best.select(key, "place")), key).orderBy("place")
 
 
+#: The order of importance, the days after which recency halves where a category has none of its own, and what a note lacks.
+IMPORTANCE = ["low", "medium", "high", "critical"]
+DEFAULT_HALF_LIFE = 30
+UNSAID = {"category": "observation", "temperature": "warm", "importance": "medium"}
+#: Boosts of a related note, of a word of the context and their most, and how many of the best activate their associates.
+RELATED, CONTEXT_STEP, CONTEXT_MOST, SEEDS, OVER = 2.0, 0.1, 1.5, 5, 3
+
+
+def context_words(snippet: str) -> list[str]:
+    """Words of a context, each once: lower-case letters and digits, four or more, no stop words."""
+    import re
+
+    words = (re.sub(r"[^a-z0-9]", "", w) for w in snippet.lower().split())
+    return list(dict.fromkeys(w for w in words if len(w) > 3 and w not in T.STOPWORDS))
+
+
+def ranked_memories(
+    hits: DataFrame,
+    notes: DataFrame,
+    as_of: Column,
+    key: str = "path",
+    inbound: DataFrame | None = None,
+    associates: DataFrame | None = None,
+    categories: list[str] | None = None,
+    temperature: str | None = None,
+    least_importance: str | None = None,
+    related_to: list[str] | None = None,
+    context: str = "",
+    limit: int = 10,
+    weight: float = 0.2,
+) -> DataFrame:
+    """Memories among the best hits (key, score, lexical, semantic), re-ranked: key, score, factors, reason and rank, not diversified yet.
+
+    Of the hits the first OVER * limit, by score and key, are looked at. Of these stay the notes
+    (key, type, category, temperature, importance, heat_score, last_accessed, related, content,
+    validity_alpha, validity_beta) that are memories, pass the filters, and aren't quarantined. The score
+    is the hit's times heat, importance, relation, recency, context, validity and centrality (`inbound`:
+    key, inbound); then what is associated (a, b, w) with the SEEDS best ones gains. Missing fields weigh
+    as UNSAID says; notes never read have no loss of recency.
+    """
+    first = hits.orderBy(F.desc("score"), key).limit(OVER * limit)
+    said = {c: F.coalesce(c, F.lit(v)) for c, v in UNSAID.items()}
+    rows = notes.where(F.col("type") == "memory").withColumns(said).join(F.broadcast(first), key)  # OVER * limit rows
+    if categories:
+        rows = rows.where(F.col("category").isin(categories))
+    if temperature:
+        rows = rows.where(F.col("temperature") == temperature)
+    if least_importance:
+        rows = rows.where(F.array_position(F.array(*map(F.lit, IMPORTANCE)), F.col("importance")) > IMPORTANCE.index(least_importance))
+    share = S.validity(F.coalesce("validity_alpha", F.lit(2.0)), F.coalesce("validity_beta", F.lit(1.0)))
+    rows = rows.withColumn("validity", share).where(S.validity_state(F.col("validity")) != "quarantined")
+    rows = rows.join(F.broadcast(inbound.join(F.broadcast(first.select(key)), key, "left_semi")), key, "left") if inbound is not None else rows.withColumn("inbound", F.lit(None).cast("long"))
+    days = F.datediff(as_of, F.col("last_accessed"))
+    wanted = F.array(*map(F.lit, related_to)) if related_to else F.array().cast("array<string>")
+    bare = F.transform(F.coalesce("related", F.array().cast("array<string>")), lambda r: F.regexp_replace(F.regexp_replace(r, r"^\[\[", ""), r"\]\]$", ""))
+    words = F.lit(0)
+    for w in context_words(context):
+        words = words + F.coalesce(F.lower("content").contains(w), F.lit(False)).cast("int")
+    factors = {
+        "heat": F.coalesce(F.when(F.col("heat_score").isNotNull(), S.heat_boost(F.col("heat_score"))), S.lookup(F.col("temperature"), S.TEMPERATURE_BOOST, 1.0)),
+        "worth": S.lookup(F.col("importance"), S.IMPORTANCE_BOOST, 1.0),
+        "relation": F.when(F.arrays_overlap(bare, wanted), RELATED).otherwise(1.0),
+        "recent": F.coalesce(S.recency(days, S.lookup(F.col("category"), S.HALF_LIFE, DEFAULT_HALF_LIFE)), F.lit(1.0)),
+        "context": F.least(1 + CONTEXT_STEP * words, F.lit(CONTEXT_MOST)),
+        "valid": S.validity_factor(F.col("validity")),
+        "central": S.centrality_boost(F.coalesce("inbound", F.lit(0))) if inbound is not None else F.lit(1.0),
+    }
+    rows = rows.withColumns(factors)
+    product = F.col("score")
+    for name in factors:
+        product = product * F.col(name)
+    base = rows.withColumn("score", product)
+    boost = None
+    if associates is not None:
+        seeds = base.orderBy(F.desc("score"), key).limit(SEEDS).select(F.col(key).alias("node"))
+        boost = R.spread_activation(associates, seeds, weight).withColumnRenamed("node", key)
+    base = base.join(F.broadcast(boost), key, "left").withColumn("together", F.coalesce("boost", F.lit(1.0))).drop("boost") if boost is not None else base.withColumn("together", F.lit(1.0))
+    match = F.when(F.col("lexical").isNotNull() & F.col("semantic").isNotNull(), "lexical+semantic match").when(F.col("semantic").isNotNull(), "semantic match").otherwise("lexical match")
+    links = F.coalesce("inbound", F.lit(0))
+    reason = F.concat_ws(
+        "; ",
+        match,
+        F.when(F.col("temperature").isin("hot", "warm"), F.col("temperature")),
+        F.when(F.col("relation") > 1, "linked to context"),
+        F.when(links > 0, F.concat(F.lit("central ("), links.cast("string"), F.when(links == 1, " link)").otherwise(" links)"))),
+        F.when(F.col("recent") >= 0.5, "recent"),
+        F.when(F.col("valid") < 1, "stale (contradicted)"),
+        F.when(F.col("together") > 1, "co-recalled with top matches"),
+    )
+    scored = base.withColumn("score", F.col("score") * F.col("together")).withColumn("reason", reason)
+    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))  # OVER * limit rows
+
+
+def memory_recall(hits: DataFrame, notes: DataFrame, as_of: Column, key: str = "path", limit: int = 10, most_tokens: int | None = None, **settings) -> DataFrame:
+    """`ranked_memories`, diversified: `limit` rows with their place, and with `most_tokens` their contents cut to what four characters a token allow."""
+    found = ranked_memories(hits, notes, as_of, key, limit=limit, **settings)
+    tokens = found.withColumn("query", F.lit("")).withColumn("tokens", T.content_tokens(F.concat_ws(" ", "title", T.snippet(F.col("content")))))
+    best = R.mmr(tokens, "query", key, limit).select(key, "place")
+    placed = found.join(F.broadcast(best), key)
+    if most_tokens is None:
+        return placed.orderBy("place")
+    before = F.coalesce(F.sum(F.length("content")).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.lit(4 * most_tokens) - F.col("_before")
+    cut = placed.withColumn("_before", before).where(left > 0)
+    whole = F.coalesce(F.length("content"), F.lit(0)) <= left
+    text = F.when(whole, F.col("content")).otherwise(F.concat(F.substring("content", F.lit(1), left.cast("int")), F.lit("\n... [truncated to fit token budget]")))
+    return cut.withColumn("content", text).drop("_before").orderBy("place")
+
+
 def similar(notes: DataFrame, note, key: str = "doc_id", limit: int = 5, least: float = 0.005) -> DataFrame:
     """Notes found by the first 500 characters of one, without itself."""
     first = notes.where(F.col(key) == note).select(F.substring("content", 1, 500)).first()

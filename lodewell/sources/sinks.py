@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def moved(notes: DataFrame, moves: DataFrame) -> DataFrame:
-    """notes (path, ...) after moves (path, to); what has been at a target goes, and a path to null is deleted."""
-    targets = moves.where("to IS NOT NULL").select(F.col("to").alias("path")).distinct()
-    plan = moves.groupBy("path").agg(F.max(F.struct(F.col("to").isNotNull().alias("kept"), "to")).alias("plan")).select("path", "plan.kept", "plan.to")
+def moved(notes: DataFrame, moves: DataFrame, order: str | None = None) -> DataFrame:
+    """notes (path, ...) after moves (path, to); what has been at a target goes, and a path to null is deleted.
+
+    All moves read the notes as they were. Of several moves of one path, and of several to one target,
+    the last in the order of the column `order` counts, without it the one of the greatest target and
+    path; notes that lose their target to another one are overwritten and go.
+    """
+    given = [order] if order else []
+    last = F.struct(*given, F.col("to").isNotNull().alias("kept"), "to")
+    plan = moves.groupBy("path").agg(F.max(last).alias("plan")).select("path", F.col("plan.kept").alias("_kept"), F.col("plan.to").alias("_to"), *[F.col(f"plan.{c}").alias("_order") for c in given])
     there = notes.join(plan, "path", "left")
-    leaving = there.where("kept IS NOT NULL AND kept").withColumn("path", F.col("to")).select(*notes.columns)
-    staying = there.where("kept IS NULL").select(*notes.columns).join(targets, "path", "left_anti")
+    by = Window.partitionBy("_to").orderBy(*[F.desc("_order") for _ in given], F.desc("path"))
+    leaving = there.where("_kept").withColumn("_place", F.row_number().over(by)).where("_place = 1").withColumn("path", F.col("_to")).select(*notes.columns)
+    staying = there.where("_kept IS NULL").select(*notes.columns).join(leaving.select("path"), "path", "left_anti")
     return staying.unionByName(leaving)
 
 
@@ -64,15 +71,35 @@ def append_journal(entries: DataFrame, path: str, at: str = "at", text: str = "t
     entries.select(F.date_format(at, "yyyy-MM-dd").alias("day"), line.alias("line")).write.mode("append").partitionBy("day").text(path)
 
 
-def append_changes(spark: SparkSession, changes: DataFrame, path: str) -> None:
-    """Changes appended to a log under ids that grow from write to write (not gapless within one), for `changes_after` and streams."""
-    try:
-        last = spark.read.parquet(path).agg(F.max("id")).first()[0]
-    except Exception as missing:  # noqa: BLE001  no log yet; anything else is an error
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        last = None
-    changes.withColumn("id", F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1)).write.mode("append").parquet(path)
+#: Bits of an id for a row within its task, and for the task within its batch.
+ROW_BITS, TASK_BITS = 26, 14
+
+
+def append_changes(spark: SparkSession, changes: DataFrame, path: str, batch: int | None = None) -> None:
+    """Changes appended to a log under ids that grow from batch to batch (not gapless), for `changes_after` and streams.
+
+    Ids are (batch, task, row) in one number, and a batch written again replaces itself. So writers that
+    number their batches, as streams do, may repeat a write without effect, and never give one id twice:
+    stream.writeStream.foreachBatch(lambda rows, n: append_changes(spark, rows, path, n)). Without a
+    number it is the one after the greatest that is there, which is for a single writer. A batch holds
+    2**26 rows a task and 2**14 tasks; more is an error.
+    """
+    if batch is None:
+        there = spark.createDataFrame([], "batch long")
+        if _exists(spark, path):
+            there = spark.read.parquet(path).select("batch")
+        batch = (there.agg(F.max("batch")).first()[0] or 0) + 1
+    made = F.monotonically_increasing_id()
+    numbered = changes.withColumn("_made", made).withColumn("_task", F.shiftright("_made", 33)).withColumn("_row", F.col("_made").bitwiseAND((1 << 33) - 1))
+    fits = (F.col("_task") < 1 << TASK_BITS) & (F.col("_row") < 1 << ROW_BITS)
+    number = F.lit(batch << (TASK_BITS + ROW_BITS)).cast("long") + F.shiftleft("_task", ROW_BITS) + F.col("_row")
+    rows = numbered.withColumn("id", F.when(fits, number).otherwise(F.raise_error(F.lit("too many rows for one batch of a change log")).cast("long"))).drop("_made", "_task", "_row")
+    rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def changes_after(spark: SparkSession, path: str, watermark: int) -> DataFrame:
