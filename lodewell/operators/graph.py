@@ -1,15 +1,15 @@
 """Graph operators on edge tables (src, dst): degrees, reach, components, cycles, ranks, communities.
 
 Iterations are cut by checkpoints in the folder that the cluster names; every frontier is a join,
-and what has been seen is an anti-join, so no step holds the graph in one place. The two algorithms
-that are sequential by nature, Louvain and the greedy themes, run in pandas on a component at a time.
+and what has been seen is an anti-join, so no step holds the graph in one place. Communities are found by
+moves of independent nodes; `louvain` is the sequential form, for small graphs and to compare with.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -246,16 +246,110 @@ def louvain(nodes: list, edges: list[tuple]) -> tuple[dict, float]:
     return {order[n]: order[least[c]] for n, c in member.items()}, modularity
 
 
-def communities(edges: DataFrame, kind: str = "long") -> DataFrame:
-    """(node, community, modularity of its component) from edges (src, dst, w), each once; a connected component at a time."""
-    where = components(edges).withColumnRenamed("node", "src")
-    rows = edges.join(where, "src").select("component", "src", "dst", "w")
+class Rounds:
+    """Tables of an iteration as Parquet in the shared folder; of each name the last three are there, the ones before are deleted."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        found, q = louvain(sorted(set(part["src"]) | set(part["dst"])), list(zip(part["src"], part["dst"], part["w"])))
-        return pd.DataFrame({"node": list(found), "community": list(found.values()), "modularity": q})
+    def __init__(self, spark):
+        self.spark, self.folder, self.paths = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", {}
 
-    return rows.groupBy("component").applyInPandas(run, f"node {kind}, community {kind}, modularity double")
+    def kept(self, name: str, df: DataFrame) -> DataFrame:
+        paths = self.paths.setdefault(name, [])
+        path = f"{self.folder}/{name}-{len(paths)}"
+        df.write.parquet(path)
+        paths.append(path)
+        if len(paths) > 3:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(paths[-4])
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+#: Levels of contraction, rounds of moves in a level, and the gain of modularity and share of nodes that a round must reach for another one.
+LEVELS, MOVE_ROUNDS, LEAST_GAIN, LEAST_MOVED = 20, 100, 1e-5, 0.002
+#: If fewer than one in DENSE of those that want to move are independent of each other, the next round is a loose one.
+DENSE = 8
+
+
+def _moves(edges: DataFrame, nodes: DataFrame, double: float, number: int, loose: bool) -> DataFrame:
+    """nodes (node, community, strength, loop) with `inside`, the weight to their own community, its `total`, and `to`, where those that may move now go.
+
+    A node wants the community of the greatest gain, the least one of equals, if that is better than its
+    own. It waits while an adjacent node of a greater hash in this round wants to move too, so movers are
+    independent; with `loose` only while that one wants to leave where it would go, or to come where it
+    is, so that at least no two swap or follow each other.
+    """
+    totals = nodes.groupBy("community").agg(F.sum("strength").alias("total"))
+    near = edges.join(nodes.select(F.col("node").alias("dst"), F.col("community").alias("c")), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("w").alias("w"))
+    own = nodes.join(totals, "community")
+    offers = near.join(nodes.select("node", "community", "strength"), "node").join(totals.withColumnRenamed("community", "c"), "c")
+    same = F.col("c") == F.col("community")
+    gain = F.round(F.col("w") - F.when(same, F.col("total") - F.col("strength")).otherwise(F.col("total")) * F.col("strength") / double, 9)
+    best = offers.withColumn("gain", gain).groupBy("node").agg(
+        F.min(F.when(~same, F.struct((-F.col("gain")).alias("minus"), "c"))).alias("best"), F.max(F.when(same, F.col("w"))).alias("inside")
+    )
+    stay = F.round(F.coalesce("inside", F.lit(0.0)) - (F.col("total") - F.col("strength")) * F.col("strength") / double, 9)
+    asked = own.join(best, "node", "left").select("node", "community", "strength", "loop", F.coalesce("inside", F.lit(0.0)).alias("inside"), "total", F.when(-F.col("best.minus") > stay + 1e-9, F.col("best.c")).alias("wish"))
+    first = lambda c: F.struct(F.xxhash64(c, F.lit(number)), c)
+    movers = asked.where("wish IS NOT NULL").select("node", "community", "wish")
+    one, other = (movers.select(F.col("node").alias(end), F.col("community").alias(f"{end}_in"), F.col("wish").alias(f"{end}_to")) for end in ("src", "dst"))
+    beside = edges.join(one, "src").join(other, "dst").where(first("dst") > first("src"))
+    if loose:
+        beside = beside.where("src_to = dst_in OR dst_to = src_in")
+    blocked = beside.select(F.col("src").alias("node")).distinct().withColumn("blocked", F.lit(True))
+    return asked.join(blocked, "node", "left").withColumn("to", F.when(F.col("blocked").isNull(), F.col("wish"))).drop("blocked")
+
+
+def communities(edges: DataFrame, kind: str = "long", loose: bool = False) -> DataFrame:
+    """(node, community, modularity of the whole partition) from edges (src, dst, w), by the Louvain method in parallel; a community is named by its least node.
+
+    Each round is joins and sums over the edges: every node's weight to the communities around it, the
+    gains, and moves of independent nodes all at once; `loose` moves more at once, in fewer rounds, to
+    communities that may be a little worse (as dense graphs do by themselves, where few are independent). Rounds go on while modularity grows; what lowers it is taken back. Then communities become nodes, loops what lies within them, until nothing moves.
+    No component, community or list of nodes is ever in one task. Edges without weight, loops of the
+    input and repeated edges are left out, kept as loops, and added up. No edges give no rows.
+    """
+    spark = edges.sparkSession
+    rounds = Rounds(spark)
+    named = edges.where("w > 0").select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), F.col("w").cast("double").alias("w"))
+    pairs = named.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w"))
+    loops = pairs.where("src = dst").select(F.col("src").alias("node"), F.col("w").alias("loop"))
+    both = pairs.where("src <> dst")
+    now = rounds.kept("edges", both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
+    strength = now.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("s")).join(loops, "node", "full_outer")
+    strength = strength.select("node", F.col("node").alias("community"), (F.coalesce("s", F.lit(0.0)) + 2 * F.coalesce("loop", F.lit(0.0))).alias("strength"), F.coalesce("loop", F.lit(0.0)).alias("loop"))
+    nodes = rounds.kept("nodes", strength)
+    double = nodes.agg(F.sum("strength")).first()[0]
+    member = rounds.kept("member", nodes.select("node", F.col("node").alias("community")))
+    quality = 0.0
+    for level in range(LEVELS if double else 0):
+        best, before, moved, free = None, None, False, loose
+        for number in range(MOVE_ROUNDS):
+            moves = rounds.kept("moves", _moves(now, nodes, double, number, free))
+            sums = moves.agg(F.sum(F.col("inside") + 2 * F.col("loop")).alias("inside"), F.sum(F.col("strength") * F.col("total")).alias("squares"), F.count("to").alias("moved"), F.count("wish").alias("wishes"), F.count("*").alias("n")).first()
+            found = sums["inside"] / double - sums["squares"] / double**2
+            if before is not None and found < before - 1e-12:  # moves that met in one community did harm: back, and with fewer at once
+                nodes = best
+                if not free:
+                    break
+                free = False
+                continue
+            gained, moved = found - (before if before is not None else -1.0), moved or (before is not None and found > before + 1e-12)
+            best, before = moves.select("node", "community", "strength", "loop"), found
+            if not sums["moved"] or (gained < LEAST_GAIN and sums["moved"] < LEAST_MOVED * sums["n"]):
+                break
+            nodes = moves.select("node", F.coalesce("to", "community").alias("community"), "strength", "loop")
+            free = loose or (number < MOVE_ROUNDS // 2 and sums["moved"] * DENSE < sums["wishes"])
+        quality, nodes = before, best
+        if not moved:
+            break
+        home = nodes.select("node", "community")
+        member = rounds.kept("member", member.withColumnRenamed("community", "_c").join(home.withColumnRenamed("node", "_c"), "_c").select("node", "community"))
+        folded = now.join(home.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(home.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
+        inner = folded.where("src = dst").select(F.col("src").alias("community"), (F.col("w") / 2).alias("within"))
+        merged = nodes.groupBy("community").agg(F.sum("strength").alias("strength"), F.sum("loop").alias("own")).join(inner, "community", "left")
+        nodes = rounds.kept("nodes", merged.select(F.col("community").alias("node"), "community", "strength", (F.col("own") + F.coalesce("within", F.lit(0.0))).alias("loop")))
+        now = rounds.kept("edges", folded.where("src <> dst"))
+    least = member.groupBy("community").agg(F.min("node").alias("least"))
+    return member.join(least, "community").select("node", F.col("least").alias("community"), F.lit(float(quality)).alias("modularity"))
 
 
 def co_recall(events: DataFrame, most: int = 8, cap: int = 32) -> DataFrame:

@@ -121,6 +121,19 @@ def personalised_pagerank(spark, sf_dir):
     return scores.select("node", F.round("score", 8).alias("score")).orderBy(F.desc("score"), "node").limit(100)
 
 
+@register(
+    "customer_communities",
+    """WITH e AS (SELECT o_custkey, count(*) AS w FROM orders GROUP BY 1)
+SELECT count(*) AS communities, CAST(sum(w + 1) AS BIGINT) AS members, max(w + 1) AS largest, round(1 - sum((w / CAST((SELECT count(*) FROM orders) AS DOUBLE)) ** 2), 6) AS modularity FROM e""",
+)
+def customer_communities(spark, sf_dir):
+    """Orders tied to their customers: stars, so what is best is known, and its modularity is a sum."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (-1 - F.col("o_orderkey")).alias("dst"), F.lit(1.0).alias("w"))
+    found = G.communities(rows)
+    size = found.groupBy("community").agg(F.count("*").alias("n"), F.max("modularity").alias("q"))
+    return size.agg(F.count("*").alias("communities"), F.sum("n").alias("members"), F.max("n").alias("largest"), F.round(F.max("q"), 6).alias("modularity"))
+
+
 @register("louvain_communities")
 def louvain_communities(spark, sf_dir):
     rows = calls(spark, sf_dir).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
