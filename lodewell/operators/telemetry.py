@@ -113,3 +113,32 @@ def debounced(events: DataFrame, key: str, ts: str, quiet: str = "5 seconds") ->
 def unexpired(cache: DataFrame, at: str, ttl_seconds: int, now: Column) -> DataFrame:
     """Entries of a cache that are younger than their time to live."""
     return cache.where(F.col(at) + F.make_interval(secs=F.lit(ttl_seconds)) > now)
+
+
+def floored(events: DataFrame, key: str, at: str, change: str, order: list[str], bucket: Column | None = None) -> DataFrame:
+    """events with `value`: the running sum of `change` for each key, in order of `at` and `order`, that never falls below 0.
+
+    It is the prefix sum less its least value so far, where that is negative. A key's events are cut
+    into buckets of time (days unless said otherwise): sums and least prefixes of buckets, a row each,
+    carry over what lies before, so a hot key is as many groups as it has buckets. Null changes count 0.
+    """
+    bucket = F.to_date(at) if bucket is None else bucket
+    rows = events.withColumn("_bucket", bucket).withColumn("_change", F.coalesce(change, F.lit(0)))
+    within = Window.partitionBy(key, "_bucket").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("_sum", F.sum("_change").over(within)).withColumn("_least", F.min("_sum").over(within))
+    each = summed.groupBy(key, "_bucket").agg(F.max_by("_sum", F.struct(at, *order)).alias("_total"), F.min("_least").alias("_low"))
+    before = Window.partitionBy(key).orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    carried = carried.withColumn("_floor", F.least(F.lit(0), F.coalesce(F.min(F.col("_base") + F.col("_low")).over(before), F.lit(0)))).select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"), "_base", "_floor")
+    both = summed.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    value = F.col("_base") + F.col("_sum") - F.least(F.lit(0), F.col("_floor"), F.col("_base") + F.col("_least"))
+    return both.select(*events.columns, value.alias("value"))
+
+
+def savings(events: DataFrame, tool: str = "tool", at: str = "at", order: tuple[str, ...] = ()) -> DataFrame:
+    """(tool, calls, tokens_saved, last_pushed_at) from bumps and pushes (tool, at, calls, tokens_saved, pushed): a push takes back what it sent, and no counter falls below 0."""
+    sign = F.when(F.coalesce("pushed", F.lit(False)), -1).otherwise(1)
+    signed = events.withColumn("_calls", sign * F.col("calls")).withColumn("_tokens", sign * F.col("tokens_saved"))
+    both = floored(floored(signed, tool, at, "_calls", list(order)).withColumnRenamed("value", "_now_calls"), tool, at, "_tokens", list(order))
+    last = lambda c: F.max_by(c, F.struct(at, *order))
+    return both.groupBy(tool).agg(last("_now_calls").alias("calls"), last("value").alias("tokens_saved"), F.max(F.when(F.coalesce("pushed", F.lit(False)), F.col(at))).alias("last_pushed_at"))

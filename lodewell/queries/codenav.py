@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodewell.catalog import register
 from lodewell.operators import codenav as C
 from lodewell.operators import retrieval as R
+from lodewell.operators import walks as W
 from lodewell.sources.tables import table
 
 #: A line's part calls the part that its order folds to; where the supplier's number is a multiple of 5 the call stays unresolved.
@@ -202,3 +203,28 @@ SELECT id, round(sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (
 def indexed_bm25_topk(spark, sf_dir):
     found = R.search_postings(spark, _indexed(spark, sf_dir), "blue promo gear", SYMBOL_FIELDS, "id")
     return found.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+
+
+#: Two steps of a walk from symbol 1 with at most 40 nodes, level by level.
+_WALK = """start AS (SELECT 1 AS node, 0 AS hops), one AS (SELECT DISTINCT {next} AS node FROM e WHERE {at} = 1 AND {next} <> 1 ORDER BY node LIMIT 39),
+two AS (SELECT DISTINCT {next} AS node FROM e WHERE {at} IN (SELECT node FROM one) AND {next} <> 1 AND {next} NOT IN (SELECT node FROM one)),
+seen AS (SELECT * FROM start UNION ALL SELECT node, 1 FROM one UNION ALL SELECT node, 2 FROM two QUALIFY row_number() OVER (ORDER BY node) <= 39 - (SELECT count(*) FROM one))"""
+
+
+@register("symbol_callers", f"WITH {_CODE}, e AS (SELECT caller_id, callee_id FROM calls WHERE callee_id IS NOT NULL), {_WALK.format(at='callee_id', next='caller_id')} SELECT node, hops FROM seen")
+def symbol_callers(spark, sf_dir):
+    return W.callers(calls(spark, sf_dir), 1, 2, 40)[0]
+
+
+@register(
+    "symbol_callees",
+    f"""WITH {_CODE}, e AS (SELECT caller_id, callee_id FROM calls WHERE callee_id IS NOT NULL), {_WALK.format(at='caller_id', next='callee_id')}
+SELECT 'node' AS kind, CAST(node AS VARCHAR) AS a, CAST(hops AS VARCHAR) AS b FROM seen UNION ALL SELECT DISTINCT 'edge', CAST(caller_id AS VARCHAR), CAST(callee_id AS VARCHAR) FROM e WHERE caller_id IN (SELECT node FROM seen WHERE hops < 2)
+UNION ALL SELECT 'unresolved', 's' || l_suppkey, CAST(count(*) AS VARCHAR) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_partkey = 1 AND l_suppkey % 5 = 0 GROUP BY l_suppkey""",
+)
+def symbol_callees(spark, sf_dir):
+    n = (table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] or 0) + 1
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("caller_id"), F.when(F.col("l_suppkey") % 5 != 0, F.col("l_orderkey") % n).alias("callee_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("callee_name"))
+    nodes, edges, unresolved = W.callees(rows, 1, 2, 40)
+    told = lambda kind, t, a, b: t.select(F.lit(kind).alias("kind"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
+    return told("node", nodes, "node", "hops").union(told("edge", edges, "src", "dst")).union(told("unresolved", unresolved, "callee_name", "calls"))

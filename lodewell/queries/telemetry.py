@@ -192,3 +192,15 @@ def due_jobs(spark, sf_dir):
     jobs = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job")).agg(F.max("ts").alias("last_run"))
     jobs = jobs.withColumns({"hour": (F.col("job") % 24).cast("int"), "minute": F.lit(0), "daily": F.col("job") % 2 == 0, "every": F.lit(6 * 3600), "running": F.col("job") % 9 == 0})
     return M.due_jobs(jobs, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")).select("job", F.date_format("next_run", "yyyy-MM-dd HH:mm:ss").alias("next_run"), "action")
+
+
+@register(
+    "floored_counters",
+    """WITH e AS (SELECT user_id AS tool, ts AS moment, event_id, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END * (1 + event_id % 3) AS calls, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END * (event_id % 40) AS tokens, event_type = 'error' AS pushed FROM events)
+SELECT tool, CAST(list_reduce(list_prepend(0, list(calls ORDER BY moment, event_id)), lambda s, c: greatest(0, s + c)) AS BIGINT) AS calls, CAST(list_reduce(list_prepend(0, list(tokens ORDER BY moment, event_id)), lambda s, c: greatest(0, s + c)) AS BIGINT) AS tokens_saved,
+  strftime(max(moment) FILTER (WHERE pushed), '%Y-%m-%d %H:%M:%S') AS last_pushed_at FROM e GROUP BY tool""",
+)
+def floored_counters(spark, sf_dir):
+    i = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("tool"), F.col("ts").alias("at"), "event_id", (1 + i % 3).alias("calls"), (i % 40).alias("tokens_saved"), (F.col("event_type") == "error").alias("pushed"))
+    return M.savings(rows, order=("event_id",)).withColumn("last_pushed_at", F.date_format("last_pushed_at", "yyyy-MM-dd HH:mm:ss"))

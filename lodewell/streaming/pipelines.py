@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -53,6 +55,90 @@ def co_recall_state(pairs: DataFrame, cap: int = 32, rate: float = 0.98) -> Data
     return pairs.groupBy("node").applyInPandasWithState(update, "node string, neighbour string, w double", "names array<string>, weights array<double>, at double", "update", GroupStateTimeout.NoTimeout)
 
 
+#: Seconds of a day, the share of a weight that is left after one, the weight below which an edge is forgotten, and edges that a node keeps.
+DAY, RATE, FORGOTTEN, KEPT = 86_400.0, 0.98, 0.05, 32
+EDGES = "node string, neighbour string, w double, at timestamp"
+
+
+class _CoRecall(StatefulProcessor):
+    """A node's edges as a map from neighbour to (weight, second), and a timer for the first edge that will be forgotten."""
+
+    def __init__(self, cap: int, rate: float, least: float):
+        self.cap, self.rate, self.least = cap, rate, least
+
+    def init(self, handle) -> None:
+        self.handle, self.edges = handle, handle.getMapState("edges", "neighbour string", "w double, at double")
+
+    def _left(self, w: float, seconds: float) -> float:
+        return w * self.rate ** (seconds / DAY)
+
+    def _pruned(self, now: float) -> tuple[list, list]:
+        """Edges that stay, with their weights now, and those that go: forgotten, or beyond the strongest."""
+        held = [(k[0], self._left(w, now - at)) for k, (w, at) in self.edges.iterator()]
+        strong = sorted((x for x in held if x[1] >= self.least), key=lambda x: (-x[1], x[0]))
+        gone = [k for k, w in held if w < self.least] + [k for k, _ in strong[self.cap :]]
+        for k in gone:
+            self.edges.removeKey((k,))
+        if strong and self.rate < 1:
+            seconds = math.log(strong[: self.cap][-1][1] / self.least) / -math.log(self.rate) * DAY
+            self.handle.registerTimer(int((now + seconds) * 1000) + 1)
+        return strong[: self.cap], gone
+
+    def _told(self, node: str, kept: list, gone: list, now: float) -> pd.DataFrame:
+        rows = [(node, k, w) for k, w in kept] + [(node, k, 0.0) for k in gone]
+        out = pd.DataFrame(rows, columns=["node", "neighbour", "w"]).astype({"node": object, "neighbour": object, "w": float})
+        out["at"] = pd.Series([pd.Timestamp(round(now * 1e6), unit="us")] * len(out), dtype="datetime64[us]")
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now, touched = 0.0, set()
+        for batch in rows:
+            for name, ts in zip(batch["neighbour"], batch["ts"]):
+                t = ts.timestamp()
+                w, at = self.edges.getValue((name,)) if self.edges.containsKey((name,)) else (0.0, t)
+                then = max(at, t)  # a late row has decayed since
+                self.edges.updateValue((name,), (self._left(w, then - at) + self._left(1.0, then - t), then))
+                touched.add(name)
+        now = max((at for _, (_, at) in self.edges.iterator()), default=0.0)
+        kept, gone = self._pruned(now)
+        yield self._told(key[0], [x for x in kept if x[0] in touched], gone, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() / 1000
+        _, gone = self._pruned(now)
+        yield self._told(key[0], [], gone, now)
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Has streams keep state in RocksDB, which state by key with timers needs; a session setting."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def co_recall_graph(pairs: DataFrame, late: str = "1 day", cap: int = KEPT, rate: float = RATE, least: float = FORGOTTEN) -> DataFrame:
+    """(node, neighbour, w, at) as updates of a graph that is kept as state: each pair adds 1, and what has been added decays by `rate` a day.
+
+    `pairs` (node, neighbour, ts) holds both directions. State is a map by neighbour, of which a pair
+    reads and writes its own entry; only pruning looks at a node's `cap` entries. Weights are of the
+    node's latest pair, so the order of rows plays no part, nor do rows that come `late` at most; later
+    ones are not counted. An edge that falls below `least` is told with weight 0, by a timer if nothing
+    else comes, and so is one that stronger ones push out. Needs `keyed_state`.
+    """
+    rows = pairs.where("node IS NOT NULL AND neighbour IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
+    return rows.groupBy("node").transformWithStateInPandas(_CoRecall(cap, rate, least), EDGES, "Update", "EventTime")
+
+
+def co_recall_until(pairs: DataFrame, cap: int = KEPT, rate: float = RATE, least: float = FORGOTTEN) -> DataFrame:
+    """The batch form: (node, neighbour, w) at each node's latest pair, from all pairs at once."""
+    last = pairs.groupBy("node").agg(F.max("ts").alias("last"))
+    days = (F.col("last").cast("double") - F.col("ts").cast("double")) / DAY
+    w = pairs.join(last, "node").groupBy("node", "neighbour").agg(F.sum(F.pow(F.lit(rate), days)).alias("w")).where(F.col("w") >= least)
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("w"), "neighbour"))
+    return w.withColumn("place", place).where(F.col("place") <= cap).drop("place")
+
+
 def claims(requests: DataFrame, reclaim_seconds: int = 300) -> DataFrame:
     """(key, request_id, status): a work queue as state. A request of a key already waiting is a duplicate; a claim too old is given out again.
 
