@@ -6,10 +6,14 @@ fewer: copies of one text count once. The trie of
 the lexicon and the automata of distance 1 are intersected beforehand: their subset construction
 gives one transition table for each TERMS terms, which all words of a batch walk through in step. A word at distance 1
 that clean training texts use themselves is no misspelling. Each hit's context window tells
-quotation (quotation marks around it) from use; the window's other hits count as support. A
-logistic model weighs the counts, from prior weights that hold where training has no such case.
-
-Null and empty texts have no hit and get the base score. Without labels that score is PRIOR's.
+quotation (quotation marks around it) from use; the window's other hits count as support. Where toxic
+words are many forms of few stems, no form may be frequent enough, so stems are learned too: beginnings
+of words, which a second trie finds, quoted ones left out. A logistic model weighs the counts, from
+prior weights that hold where training has no such case.
+
+Null and empty texts have no hit and get the base score. Without labels that score is PRIOR's. Rows are
+scored one by one, repeated ones alike; rows without id are scored and never learned from; an empty
+table gives no scores.
 """
 
 from __future__ import annotations
@@ -30,8 +34,11 @@ SAMPLE, TERMS = 20_000, 400
 FUZZY_LENGTH, CONTEXT = 5, 6
 THRESHOLD = 0.3
 #: Prior weights and their spreads: what holds of a text without hits, with a strong term, with weaker hits alone, with
-#: quoted hits alone; then, for each doubling, of strong terms, of weaker hits, and of hits close together.
-PRIOR, SPREAD = np.array([-4.0, 2.0, 0.5, -2.5, 1.5, 1.5, 0.7]), np.array([4.0, 2.0, 1.5, 1.5, 1.0, 1.0, 1.0])
+#: quoted hits alone; then, for each doubling, of strong terms, of weaker hits, of hits close together, of words with
+#: a stem, and of all words of a text that has such.
+PRIOR, SPREAD = np.array([-4.0, 2.0, 0.5, -2.5, 1.5, 1.5, 0.7, 1.0, -0.3]), np.array([4.0, 2.0, 1.5, 1.5, 1.0, 1.0, 1.0, 1.0, 0.5])
+#: Letters of stems, forms and uses in toxic texts that one must have, and how many times likelier it must be there.
+STEM_LENGTHS, STEM_FORMS, STEM_USES, STEM_RATIO = (4, 12), 3, 6, 8
 
 _QUOTES = "\"'`“”„‟«»‹›‘’‚‛「」『』"
 
@@ -206,10 +213,56 @@ def hit_counts(texts: list, machines: list[dict], innocent: set) -> tuple[np.nda
     return out, surfaces
 
 
+def stem_trie(stems: list[str]) -> dict:
+    """The trie of the stems: a table of transitions, 0 where none goes on, and which nodes end a stem."""
+    children: list[dict] = [{}, {}]
+    ends = set()
+    for stem in stems:
+        node = 1
+        for c in stem:
+            if c not in children[node]:
+                children[node][c] = len(children)
+                children.append({})
+            node = children[node][c]
+        ends.add(node)
+    alphabet = {c: i + 1 for i, c in enumerate(sorted({c for x in stems for c in x}))}
+    table = np.zeros((len(children), len(alphabet) + 1), np.int32)
+    for node, row in enumerate(children):
+        for c, child in row.items():
+            table[node, alphabet[c]] = child
+    return {"next": table, "ends": np.isin(np.arange(len(children)), list(ends)), "alphabet": alphabet, "longest": max(map(len, stems), default=0)}
+
+
+def stem_counts(texts: list, trie: dict) -> np.ndarray:
+    """For each text: words that begin with a stem and aren't quoted, and all words."""
+    words = Words(texts)
+    found = np.zeros(len(texts))
+    if trie["longest"] and len(words.of):
+        classes = np.zeros(0x110000, np.uint16)
+        for c, i in trie["alphabet"].items():
+            classes[ord(c)] = i
+        symbols, length = classes[words.codes], words.last - words.first
+        alive, node = np.arange(len(words.of)), np.ones(len(words.of), np.int32)
+        for at in range(trie["longest"]):
+            on = length[alive] > at
+            alive, node = alive[on], node[on]
+            node = trie["next"][node, symbols[words.first[alive] + at]]
+            for i in alive[trie["ends"][node]]:
+                found[words.of[i]] += not quoted(words, i)
+            on = (node > 0) & ~trie["ends"][node]
+            alive, node = alive[on], node[on]
+    return np.stack([found, words.count.astype(float)], axis=1)
+
+
 def design(counts: np.ndarray) -> np.ndarray:
-    strong, weak, cited, close = counts.T
+    """The model's columns from those of `hit_counts` and `stem_counts`."""
+    strong, weak, cited, close, stems, words = counts.T
     only = [(strong + weak + cited) == 0, strong > 0, (strong == 0) & (weak > 0), (strong + weak == 0) & (cited > 0)]
-    return np.stack([*only, np.log2(np.maximum(1, strong)), np.log2(np.maximum(1, weak)), np.log2(1 + close)], axis=1).astype(float)
+    return np.stack([*only, np.log2(np.maximum(1, strong)), np.log2(np.maximum(1, weak)), np.log2(1 + close), np.log2(1 + stems), (stems > 0) * np.log2(1 + words / 64)], axis=1).astype(float)
+
+
+def all_counts(texts: list, model: dict) -> np.ndarray:
+    return np.concatenate([hit_counts(texts, model["machines"], model["innocent"])[0], stem_counts(texts, model["stems"])], axis=1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -253,11 +306,37 @@ def lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], i
 
     Those that no clean text has come first; the second value is their number.
     """
-    counts = written(word_counts(sample), "word-counts")
+    return telling(written(word_counts(sample), "word-counts"), n_toxic, n_clean)
+
+
+def evidence_of(share: float):
+    """How much likelier the uses in toxic and clean texts are if these have rates of their own."""
+    n = F.col("support") + F.col("clean")
+    return F.col("support") * F.log(F.col("support") / (n * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))).otherwise(0.0)
+
+
+def stems_of(counts: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
+    """Beginnings of words whose uses in toxic texts chance does not explain, none the beginning of another; of several in one line the one of the most evidence."""
+    share = n_toxic / max(1, n_toxic + n_clean)
+    low, high = STEM_LENGTHS
+    each = counts.where(F.length("word") > low).select("support", "clean", F.explode(F.expr(f"transform(sequence({low}, least({high}, length(word) - 1)), k -> substring(word, 1, k))")).alias("stem"))
+    sums = each.groupBy("stem").agg(F.sum("support").alias("support"), F.sum("clean").alias("clean"), F.count_if(F.col("support") > 0).alias("forms"))
+    sums = written(sums, "stem-counts")
+    tried = max(2, sums.count())
+    evidence = evidence_of(share)
+    likely = (F.col("forms") >= STEM_FORMS) & (F.col("support") >= STEM_USES) & (F.col("support") * (1 - share) > STEM_RATIO * F.col("clean") * share)
+    chosen: list[str] = []  # bounded as the lexicon is, by the labelled sample
+    for r in sums.where(likely).where(evidence > 1 + np.log(tried)).orderBy(evidence.desc(), "stem").collect():
+        if not any(r["stem"].startswith(x) or x.startswith(r["stem"]) for x in chosen):
+            chosen.append(r["stem"])
+    return chosen
+
+
+def telling(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], int]:
+    """`lexicon` from the counts of words, a written table."""
     tried = max(2, counts.count())
     share = n_toxic / max(1, n_toxic + n_clean)
-    n = F.col("support") + F.col("clean")
-    evidence = F.col("support") * F.log(F.col("support") / (n * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))).otherwise(0.0)
+    evidence = evidence_of(share)
     found = counts.where((F.col("support") >= 3) & (F.col("support") * (1 - share) > 4 * F.col("clean") * share) & (F.col("clean") < F.col("support")) & (F.length("word") >= 3))
     best = found.where(evidence > 1 + np.log(tried)).orderBy(evidence.desc(), "word").collect()
     strong = [r["word"] for r in best if not r["clean"]]
@@ -269,11 +348,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable=None, s
     usable = F.lit(True) if usable is None else usable
     rows = written(labelled_sample(docs, labels, label, usable, sample).dropDuplicates(["doc_id"]), "toxicity-sample")
     by_label = {bool(r["y"]): r["n"] for r in rows.groupBy((F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
-    model = {"machines": [], "innocent": set(), "weights": PRIOR, "terms": []}
+    model = {"machines": [], "innocent": set(), "weights": PRIOR, "terms": [], "stems": stem_trie([])}
     if len(by_label) < 2:
         return model
     rows = rows.select("doc_id", "text", (F.col("y") > 0).cast("int").alias("y"))
-    model["terms"], strong = lexicon(rows, by_label[True], by_label[False])
+    words = written(word_counts(rows), "word-counts")
+    model["terms"], strong = telling(words, by_label[True], by_label[False])
+    model["stems"] = stem_trie(stems_of(words, by_label[True], by_label[False]))
     model["machines"] = machines = automata(model["terms"], strong)
 
     def surfaces(batches):
@@ -286,22 +367,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable=None, s
     seen = rows.mapInArrow(surfaces, "word string, y int").groupBy("word").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
     # twenty letters or fewer, one edit from a term: at most a few thousand different ones for each term
     model["innocent"] = {r["word"] for r in seen.where(F.col("n") > 2 * F.col("toxic")).select("word").collect()}
-    innocent = model["innocent"]
+    names = ["strong", "weak", "cited", "close", "stems", "words"]
 
     def counts(batches):
         for batch in batches:
             for part in chunks(batch):
-                found = hit_counts(part.column(1).to_pylist(), machines, innocent)[0]
-                yield pa.RecordBatch.from_arrays([part.column(2), *[pa.array(c) for c in found.T]], names=["y", "a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([part.column(2), *[pa.array(c) for c in all_counts(part.column(1).to_pylist(), model).T]], names=["y", *names])
 
-    # texts with the same counts weigh together
-    cells = rows.mapInArrow(counts, "y int, a double, b double, c double, d double").toPandas()
-    model["weights"] = fit_logistic(design(cells[["a", "b", "c", "d"]].to_numpy()), cells.y.to_numpy().astype(float))
+    # a row for each text of the sample
+    cells = rows.mapInArrow(counts, "y int, " + ", ".join(f"{n} double" for n in names)).toPandas()
+    model["weights"] = fit_logistic(design(cells[names].to_numpy()), cells.y.to_numpy().astype(float))
     return model
 
 
 def scores(texts: list, model: dict) -> np.ndarray:
-    return sigmoid(design(hit_counts(texts, model["machines"], model["innocent"])[0]) @ model["weights"])
+    return sigmoid(design(all_counts(texts, model)) @ model["weights"])
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

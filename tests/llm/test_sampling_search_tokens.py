@@ -284,3 +284,43 @@ def test_token_query(spark, data, tokenizer):
     expected, _ = encoded(tokenizer, docs)
     got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in op13.query(spark, data).collect())
     assert got == sorted((i, at, n, zlib.crc32(np.array(ids, "<u4").tobytes())) for i, at, n, ids in expected)
+
+
+# --- 9 stems of the toxicity lexicon
+
+
+def test_stems_are_those_of_all_words_counted_one_by_one(spark):
+    from lodewell.llm import op9_toxicity as op9
+
+    rnd = random.Random(6)
+    bad = [stem + end for stem in ("rogu", "villan") for end in ("ab", "ec", "id", "of", "ug", "yh")]
+    rows = [(i, " ".join(rnd.choices(["plain", "words", "roguish", "stand", "here", "villas"], k=20) + (rnd.choices(bad, k=4) if i % 5 == 0 else [])), int(i % 5 == 0)) for i in range(120)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, y int").coalesce(2)
+    counts = op9.word_counts(sample).cache()
+    n_toxic, n_clean = 24, 96
+    sums: dict = {}
+    for r in counts.collect():
+        for k in range(4, min(12, len(r["word"]) - 1) + 1):
+            s = sums.setdefault(r["word"][:k], [0, 0, 0])
+            s[0], s[1], s[2] = s[0] + r["support"], s[1] + r["clean"], s[2] + (r["support"] > 0)
+    share, found = n_toxic / (n_toxic + n_clean), []
+    for stem, (support, clean, forms) in sums.items():
+        if forms >= 3 and support >= 6 and support * (1 - share) > 8 * clean * share:
+            n = support + clean
+            evidence = support * math.log(support / (n * share)) + (clean * math.log(clean / (n * (1 - share))) if clean else 0)
+            if evidence > 1 + math.log(max(2, len(sums))):
+                found.append((-evidence, stem))
+    expected: list = []
+    for _, stem in sorted(found):
+        if not any(stem.startswith(x) or x.startswith(stem) for x in expected):
+            expected.append(stem)
+    assert op9.stems_of(counts, n_toxic, n_clean) == expected and any(x.startswith("villan") for x in expected)
+
+
+def test_words_with_stems_are_counted(spark):
+    from lodewell.llm import op9_toxicity as op9
+
+    trie = op9.stem_trie(["rogu", "villan", "été"])
+    texts = ["Rogues and roguery, villa villain 'villan' rogu", None, "", 'he said "rogue" and rogue', "étés (villans) x" * 1, "日本 rog"]
+    assert op9.stem_counts(texts, trie).tolist() == [[3, 7], [0, 0], [0, 0], [1, 5], [2, 3], [0, 2]]
+    assert op9.stem_counts(texts, op9.stem_trie([]))[:, 0].tolist() == [0] * 6
