@@ -12,7 +12,7 @@ from lodewell.operators import mining as M
 from lodewell.operators import relational as R
 from lodewell.operators import temporal as P
 from lodewell.plans import recall as plans
-from lodewell.sources import code, conversations, vault
+from lodewell.sources import code, conversations, exports, vault
 from lodewell.sources.tables import NOTES_SQL, notes, table
 
 #: Parts as Markdown files: front matter, tags, links, tasks.
@@ -327,3 +327,30 @@ def sentence_split(spark, sf_dir):
     text = F.concat(F.lit("The "), "p_name", F.lit(" arrived. Everybody had been waiting, e.g. for hours."), more)
     found = T.sentences(text)
     return table(spark, sf_dir, "part").select("p_partkey", F.size(found).alias("n"), F.element_at(found, 1).alias("first"))
+
+
+@register(
+    "exports_as_variants",
+    """WITH g AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM (SELECT * FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' AND (conv_id % 6 <> 5 OR NOT contains(text, chr(10)))) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, CASE conv_id % 6 WHEN 0 THEN 'lines' WHEN 1 THEN 'session' WHEN 2 THEN 'messages' WHEN 3 THEN 'bot' WHEN 4 THEN 'tree' ELSE 'quoted' END AS source, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS position, md5(text) AS user_message, md5(next_text) AS assistant_message
+FROM g WHERE role = 'user' AND next_role = 'assistant'""",
+)
+def exports_as_variants(spark, sf_dir):
+    """Conversations written in six formats, the tree with a branch that says nothing and a loop, told apart and read back."""
+    k = F.col("conv_id") % 6
+    rows = table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant') AND trim(text) <> '' AND (conv_id % 6 <> 5 OR NOT contains(text, chr(10)))")
+    person = F.when(F.col("role") == "user", "human").otherwise("assistant")
+    struct = lambda **c: F.struct(*[v.alias(n) for n, v in c.items()])
+    line = F.to_json(struct(type=F.col("role"), content=F.array(struct(text=F.col("text")))))
+    event = F.to_json(struct(role=F.col("role"), content=F.col("text")))
+    chat, bot = F.to_json(struct(sender=person, text=F.col("text"))), F.to_json(F.struct(F.when(F.col("role") == "assistant", "b1").alias("bot_id"), F.when(F.col("role") == "user", "u1").alias("user"), F.col("text").alias("text")))
+    said = F.when(k == 0, line).when(k == 1, event).when(k == 2, chat).when(k == 3, bot).when(k == 4, F.to_json(struct(author=F.struct("role"), content=struct(parts=F.array("text"))))).otherwise(F.concat(F.when(F.col("role") == "user", "> ").otherwise(""), "text"))
+    # a conversation is one export by its nature
+    turns = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))), lambda t: t["said"]).alias("s"))
+    node = lambda x, i: F.concat(F.lit('"n'), i.cast("string"), F.lit('":{"parent":'), F.when(i == 0, "null").otherwise(F.concat(F.lit('"n'), (i - 1).cast("string"), F.lit('"'))), F.lit(',"children":["n'), (i + 1).cast("string"), F.lit('","side"],"message":'), x, F.lit("}"))
+    side = '"side":{"parent":"n0","children":[],"message":{"author":{"role":"system"},"content":{"parts":["hidden"]}}},"x":{"parent":"y","children":["y"]},"y":{"parent":"x","children":["x"],"message":{"author":{"role":"user"},"content":"loop"}}'
+    tree = F.concat(F.lit('{"mapping":{' + side + ","), F.array_join(F.transform("s", node), ","), F.lit("}}"))
+    listed = F.concat(F.lit("["), F.array_join("s", ","), F.lit("]"))
+    raw = F.when(k == 0, F.array_join("s", "\n")).when(k == 1, F.concat(F.lit('{"session_meta":{"id":"s"}}\n{broken\n'), F.array_join("s", "\n"))).when(k == 2, F.concat(F.lit('{"chat_messages":'), listed, F.lit("}"))).when(k == 3, listed).when(k == 4, tree).otherwise(F.array_join("s", "\n"))
+    found = exports.exchanges(turns.select("conv_id", raw.alias("raw")), "conv_id")
+    return found.select("conv_id", "source", "position", F.md5("user_message").alias("user_message"), F.md5("assistant_message").alias("assistant_message"))
