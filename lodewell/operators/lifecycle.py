@@ -166,6 +166,31 @@ def note_themes(notes: DataFrame, most: int | None = None, ignored: tuple[str, .
     return both.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("phase", "n")  # a row for each theme
 
 
+def orphan_memories(notes: DataFrame, as_of: Column) -> DataFrame:
+    """(key, title, temperature, heat_score, days, action, place): notes (key, title, content, tags, temperature, heat_score, last_accessed, archived) that hang by nothing, and what to do with them.
+
+    A note without tags and links is one; so is a cold one of heat 2 at most that has only one of both.
+    Hot ones come first, then by heat; `days` is -1 if it was never read. What is missing counts as cold,
+    without heat and tags; archived notes are none.
+    """
+    tags, heat = F.size(F.coalesce("tags", F.array().cast("array<string>"))), F.coalesce("heat_score", F.lit(0))
+    tagged, linked = tags > 0, F.coalesce(F.col("content").rlike(r"\[\[[^\]]+\]\]"), F.lit(False))
+    loose = (~tagged & ~linked) | ((tagged != linked) & F.coalesce(F.col("temperature") == "cold", F.lit(False)) & (heat <= 2))
+    warmth = F.coalesce("temperature", F.lit("cold"))
+    action = F.when(warmth == "hot", "link").when(warmth == "warm", "review").when((warmth == "cold") & (tags >= 2), "consolidate").otherwise(F.when(heat <= 2, "archive").otherwise("review"))
+    days = F.coalesce(F.datediff(as_of, F.col("last_accessed")), F.lit(-1))
+    rows = notes.where(loose & ~F.coalesce(F.col("archived"), F.lit(False))).select("key", "title", warmth.alias("temperature"), heat.alias("heat_score"), days.alias("days"), action.alias("action"))
+    order = [F.when(F.col("temperature") == "hot", 0).when(F.col("temperature") == "warm", 1).when(F.col("temperature") == "cold", 2).otherwise(3), F.desc("heat_score"), F.col("key")]
+    # places are counted within temperature and heat, and shifted by the groups before: no task orders all
+    group = ["_first", "heat_score"]
+    ranked = rows.withColumn("_first", order[0])
+    within = F.row_number().over(Window.partitionBy(*group).orderBy("key"))
+    sizes = ranked.groupBy(*group).count()
+    before = sizes.select(*group, (F.sum("count").over(Window.orderBy("_first", F.desc("heat_score"))) - F.col("count")).alias("_before"))
+    placed = ranked.withColumn("_within", within).join(F.broadcast(before), group)  # a row for each degree of heat
+    return placed.select("key", "title", "temperature", "heat_score", "days", "action", (F.col("_before") + F.col("_within")).cast("int").alias("place"))
+
+
 def dominant_temperature(notes: DataFrame, group: str) -> DataFrame:
     """(group, temperature): the commonest of hot, warm and cold, the hotter of equals; anything else counts as cold."""
     hot, warm = F.count_if(F.col("temperature") == "hot"), F.count_if(F.col("temperature") == "warm")

@@ -157,14 +157,21 @@ def memory_recall(hits: DataFrame, notes: DataFrame, as_of: Column, key: str = "
     return cut.withColumn("content", text).drop("_before").orderBy("place")
 
 
-def similar(notes: DataFrame, note, key: str = "doc_id", limit: int = 5, least: float = 0.005) -> DataFrame:
-    """Notes found by the first 500 characters of one, without itself."""
-    first = notes.where(F.col(key) == note).select(F.substring("content", 1, 500)).first()
-    if first is None:
+def similar(notes: DataFrame, note, key: str = "doc_id", limit: int = 5, least: float = 0.005, vectors: DataFrame | None = None) -> DataFrame:
+    """Notes found by the first 500 characters of one, without its front matter and without itself; by both arms if `vectors` (key, embedding) has the note's.
+
+    Less than ten characters find nothing; hits below `least` are none.
+    """
+    first = notes.where(F.col(key) == note).select(F.regexp_replace(F.substring("content", 1, 500), r"(?s)^---.*?---\s*", "").alias("text")).first()
+    if first is None or len((first["text"] or "").strip()) < 10:
         return notes.limit(0)
-    terms = sorted({w for w in first[0].lower().split() if len(w) > 3 and w not in T.STOPWORDS})[:12]
-    arm = R.ranked(R.bm25(notes.where(F.col(key) != note), terms, {"title": 3.0, "content": 1.0}, key), key, limit * 4, "lexical")
-    return R.fused({"lexical": arm}, key).where(F.col("fused") >= least).orderBy(F.desc("fused"), key).limit(limit)
+    depth, others = limit + 5, notes.where(F.col(key) != note)
+    terms = sorted({w for w in first["text"].lower().split() if len(w) > 3 and w not in T.STOPWORDS})[:12]
+    arms = {"lexical": R.ranked(R.bm25(others, terms, {"title": 3.0, "content": 1.0}, key), key, depth, "lexical")}
+    own = vectors.where(F.col(key) == note).select("embedding").first() if vectors is not None else None
+    if own and own["embedding"]:
+        arms["semantic"] = R.ranked(R.nearest(vectors.where(F.col(key) != note), list(own["embedding"]), depth, key), key, depth, "semantic")
+    return R.fused(arms, key).where(F.col("fused") >= least).orderBy(F.desc("fused"), key).limit(limit)
 
 
 def context_block(found: DataFrame, order: list[Column], picks: int = 5, letters: int = 160, most: int = 1200) -> DataFrame:

@@ -11,6 +11,7 @@ from lodewell.operators import lifecycle as L
 from lodewell.operators import registry as G
 from lodewell.operators import temporal as T
 from lodewell.queries.codenav import _CODE, symbols
+from lodewell.sources import walk
 from lodewell.sources.tables import NOTES_SQL, notes, table
 
 #: Orders as sightings of their customers; a bill's whole amount is an alias, so customers with one amount in common are one entity.
@@ -158,3 +159,31 @@ def strong_entities(spark, sf_dir):
         .otherwise(F.concat(F.lit("code at github.com/x/"), F.lower(n), F.lit("-app")))
     )
     return E.entities(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text", only=[s for s in E.STRONG])
+
+
+@register(
+    "orphan_memories",
+    """WITH k AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' WHEN 2 THEN 'cold' END AS temperature, doc_id % 17 AS heat, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS tags, doc_id % 5 = 0 AS linked, doc_id % 11 = 0 AS archived, CASE WHEN doc_id % 2 = 0 THEN doc_id % 90 END AS days FROM documents),
+o AS (SELECT doc_id, coalesce(temperature, 'cold') AS temperature, heat, coalesce(days, -1) AS days, tags FROM k WHERE NOT archived AND ((tags = 0 AND NOT linked) OR ((tags > 0) <> linked AND temperature = 'cold' AND heat <= 2)))
+SELECT doc_id, temperature, CAST(days AS INTEGER) AS days, CASE temperature WHEN 'hot' THEN 'link' WHEN 'warm' THEN 'review' ELSE CASE WHEN tags >= 2 THEN 'consolidate' WHEN heat <= 2 THEN 'archive' ELSE 'review' END END AS action,
+  CAST(row_number() OVER (ORDER BY CASE temperature WHEN 'hot' THEN 0 WHEN 'warm' THEN 1 ELSE 2 END, heat DESC, doc_id) AS INTEGER) AS place FROM o""",
+)
+def orphan_memories(spark, sf_dir):
+    i, day = F.col("doc_id"), F.lit("2024-06-01").cast("date")
+    pick = F.when(i % 4 == 0, "hot").when(i % 4 == 1, "warm").when(i % 4 == 2, "cold")
+    tags = F.slice(F.array("lang", "source"), F.lit(1), (i % 3).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(
+        i.alias("key"), F.lit("t").alias("title"), F.when(i % 5 == 0, "see [[x]]").otherwise("text").alias("content"), tags.alias("tags"), pick.alias("temperature"), (i % 17).alias("heat_score"), F.when(i % 2 == 0, F.date_sub(day, (i % 90).cast("int"))).alias("last_accessed"), (i % 11 == 0).alias("archived")
+    )
+    return L.orphan_memories(rows, day).select(F.col("key").alias("doc_id"), "temperature", "days", "action", "place")
+
+
+@register(
+    "walked_paths",
+    """SELECT lang || '/' || source || '/' || doc_id || '.py' AS path FROM documents WHERE NOT (lang = 'de' AND source = 'src1') AND NOT CASE WHEN lang = 'fr' THEN doc_id % 10 = 3 ELSE doc_id % 10 = 7 END""",
+)
+def walked_paths(spark, sf_dir):
+    """Documents as files of a repository with ignore files at its root and in one folder."""
+    path = F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".py")))
+    files = spark.createDataFrame([(".gitignore", "*7.py\n/de/src1/\n"), ("fr/.gitignore", "!*7.py\n*3.py\n")], "path string, content string")
+    return walk.walked(table(spark, sf_dir, "documents").select(path.alias("path")), walk.ignore_rules(files)).select("path")
