@@ -21,52 +21,101 @@ from pyspark.sql import functions as F
 
 from lodewell.llm.common import discard, table, written
 
-#: The schema of the tool that plain conversations are read as calls of.
-SCHEMAS = {"reply": {"prompt": {"type": "string", "required": True, "least": 40}, "turn": {"type": "integer", "required": True}}}
+#: The schemas of the tools that plain conversations are read as calls of: fields and their rules, or an
+#: object's rule. A rule has a type, and may be required, have bounds (of a number, a text's letters, an array's items), a
+#: list of values, rules for items or fields, and be closed to other fields.
+SCHEMAS = {
+    "reply": {"prompt": {"type": "string", "required": True, "least": 40}, "turn": {"type": "integer", "required": True}},
+    "review": {
+        "type": "object",
+        "closed": True,
+        "fields": {
+            "lines": {"type": "array", "required": True, "least": 2, "most": 6, "items": {"type": "string", "least": 20}},
+            "style": {"type": "object", "required": True, "closed": True, "fields": {"kind": {"type": "string", "enum": ["long", "short"]}, "letters": {"type": "integer", "most": 400}}},
+        },
+    },
+}
+#: Letters of a text from which on its call waits for the next one, is called medium, or too long.
+WAITS, MEDIUM, TOO_LONG = 300, 150, 400
 #: Turns of one conversation that are counted together.
 STRETCH = 256
 _TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"]}
 
 
 def from_conversations(turns: DataFrame) -> DataFrame:
-    """Plain conversations as messages: a user's turn calls `reply`, the turn after it answers that call.
+    """Plain conversations as messages: a user's turn is a call, the turn after it answers that call.
 
-    A call depends on the call two turns before, if there is one.
+    A text of one line calls `reply` with the text and the turn, one of several lines `review` with the
+    lines, their style, and for one of more than TOO_LONG letters a field that the schema doesn't know.
+    A call of more than WAITS letters depends on the call two turns later, one of MEDIUM letters or fewer
+    on the call two turns before, if there is one; so some conversations have to be ordered, and in some
+    calls wait for each other.
     """
-    conv, turn = F.col("conv_id").cast("long"), F.col("turn").cast("long")
+    conv, turn, text = F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("text").cast("string")
     key = lambda back: F.concat(F.lit("c"), conv.cast("string"), F.lit("-"), (turn - back).cast("string"))
     kind = F.when(F.col("role") == "user", "call").when(F.col("role") == "assistant", "result").otherwise("message")
-    arguments = F.to_json(F.struct(F.col("text").cast("string").alias("prompt"), turn.alias("turn")), {"ignoreNullFields": "false"})
+    letters, several = F.coalesce(F.length(text), F.lit(0)), F.coalesce(text.contains("\n"), F.lit(False))
+    as_json = lambda *fields: F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    style = F.struct(F.when(letters > WAITS, "long").when(letters > MEDIUM, "medium").otherwise("short").alias("kind"), letters.alias("letters")).alias("style")
+    lines = F.split(text, "\n").alias("lines")
+    review = F.when(letters > TOO_LONG, as_json(letters.alias("extra"), lines, style)).otherwise(as_json(lines, style))
+    arguments = F.when(several, review).otherwise(as_json(text.alias("prompt"), turn.alias("turn")))
     return turns.select(
         conv.alias("conv_id"),
         turn.alias("turn"),
         F.col("role").cast("string").alias("role"),
         kind.alias("kind"),
         F.when(kind == "call", key(0)).when(kind == "result", key(1)).alias("call_id"),
-        F.when(kind == "call", "reply").alias("name"),
+        F.when(kind == "call", F.when(several, "review").otherwise("reply")).alias("name"),
         F.when(kind == "call", arguments).alias("arguments"),
-        F.when(kind == "call", F.array(key(2))).otherwise(F.array().cast("array<string>")).alias("needs"),
-        F.col("text").cast("string").alias("content"),
+        F.when((kind == "call") & (letters > WAITS), F.array(key(-2))).when((kind == "call") & (letters <= MEDIUM), F.array(key(2))).otherwise(F.array().cast("array<string>")).alias("needs"),
+        text.alias("content"),
     )
 
 
+def _wrong(value: Column, rule: dict, path: str) -> Column:
+    """What is wrong with a value, as an array of `path:problem`: its own first, then those of its fields in order of names, of unknown fields, of its items (each kind once)."""
+    kind = F.schema_of_variant(value)
+    missing = kind.isNull() | (kind == "VOID")
+    other = ~F.regexp_extract(kind, "^[A-Z]+", 0).isin(_TYPES[rule["type"]])
+    says = F.when(missing, f"{path}:missing" if rule.get("required") else None).when(other, f"{path}:type")
+    items = F.try_variant_get(value, "$", "array<variant>")
+    if rule["type"] in ("string", "array"):
+        size, low, high = F.length(F.try_variant_get(value, "$", "string")) if rule["type"] == "string" else F.size(items), "short", "long"
+    else:
+        size, low, high = F.try_variant_get(value, "$", "double"), "small", "large"
+    if "least" in rule:
+        says = says.when(size < rule["least"], f"{path}:{low}")
+    if "most" in rule:
+        says = says.when(size > rule["most"], f"{path}:{high}")
+    if "enum" in rule:
+        says = says.when(~F.try_variant_get(value, "$", "string").isin(rule["enum"]), f"{path}:value")
+    parts = [F.array_compact(F.array(says.cast("string")))]
+    if rule["type"] == "object":
+        parts += _fields(value, rule, f"{path}.")
+    if "items" in rule:
+        parts.append(F.array_distinct(F.flatten(F.transform(items, lambda x: _wrong(x, rule["items"], f"{path}.*")))))
+    return F.when(~missing & ~other, F.concat(*parts)).otherwise(parts[0])
+
+
+def _fields(value: Column, rule: dict, before: str) -> list[Column]:
+    fields = rule.get("fields", {})
+    out = [_wrong(F.try_variant_get(value, f"$.{name}", "variant"), inner, before + name) for name, inner in sorted(fields.items())]
+    if rule.get("closed"):
+        names = F.coalesce(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), F.array().cast("array<string>"))
+        unknown = F.array_sort(F.array_except(names, F.array(*[F.lit(n) for n in fields]).cast("array<string>")))
+        out.append(F.transform(unknown, lambda n: F.concat(F.lit(before), n, F.lit(":unknown"))))
+    return out
+
+
 def problems(name: Column, arguments: Column, schemas: dict) -> Column:
     """What is wrong with a call's arguments, joined by commas in the order of names; empty if nothing."""
     value = F.try_parse_json(arguments)
     out = F.when(name.isNull(), F.lit(None).cast("string"))
-    for tool, fields in schemas.items():
-        found = []
-        for field, rule in sorted(fields.items()):
-            kind = F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant"))
-            missing = kind.isNull() | (kind == "VOID")
-            wrong = ~F.regexp_extract(kind, "^[A-Z]+", 0).isin(_TYPES[rule["type"]])
-            text = F.try_variant_get(value, f"$.{field}", "string")
-            says = F.when(missing, f"{field}:missing" if rule.get("required") else None).when(wrong, f"{field}:type")
-            if "least" in rule:
-                says = says.when(F.length(text) < rule["least"], f"{field}:short")
-            found.append(says)
-        known = F.when(value.isNull(), "not json").otherwise(F.concat_ws(",", *found))
-        out = out.when(name == tool, known)
+    for tool, schema in schemas.items():
+        rule = schema if schema.get("type") == "object" else {"fields": schema}
+        found = F.array_join(F.concat(*_fields(value, rule, "")), ",") if rule.get("fields") or rule.get("closed") else F.lit("")
+        out = out.when(name == tool, F.when(value.isNull(), "not json").otherwise(found))
     return out.otherwise("unknown tool")
 
 
@@ -171,18 +220,33 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH m AS (
-  SELECT conv_id, turn, role, text,
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, text, length(text) AS n, contains(text, chr(10)) AS several,
          CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-         CASE role WHEN 'user' THEN 'c' || conv_id || '-' || turn WHEN 'assistant' THEN 'c' || conv_id || '-' || (turn - 1) END AS call_id
+         CASE role WHEN 'user' THEN 'c' || conv_id || '-' || turn WHEN 'assistant' THEN 'c' || conv_id || '-' || (turn - 1) END AS call_id,
+         CASE role WHEN 'user' THEN 'c' || conv_id || '-' || CASE WHEN length(text) > 300 THEN turn + 2 WHEN length(text) <= 150 THEN turn - 2 END END AS need
   FROM conversations
-), calls AS (SELECT DISTINCT call_id FROM m WHERE kind = 'call'), results AS (SELECT DISTINCT call_id FROM m WHERE kind = 'result')
-SELECT conv_id, turn, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, turn IS NULL ORDER BY turn, kind, text) - 1 END AS position, 0 AS level, kind, m.call_id AS call_id,
-       CASE kind WHEN 'call' THEN CASE WHEN results.call_id IS NULL THEN 'unanswered' ELSE 'linked' END
-                 WHEN 'result' THEN CASE WHEN calls.call_id IS NULL THEN 'orphan' ELSE 'linked' END ELSE 'message' END AS status,
-       CASE WHEN kind = 'call' THEN CASE WHEN length(text) < 40 THEN 'prompt:short' ELSE '' END END AS problems,
-       CASE kind WHEN 'call' THEN '{"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '},"id":"' || m.call_id || '","name":"reply","type":"call"}'
-                 WHEN 'result' THEN '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"id":"' || m.call_id || '","type":"result"}'
-                 ELSE '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '","type":"message"}' END AS line
-FROM m LEFT JOIN calls ON m.call_id = calls.call_id LEFT JOIN results ON m.call_id = results.call_id
+), calls AS (SELECT DISTINCT conv_id, turn, call_id, need FROM m WHERE kind = 'call'), results AS (SELECT DISTINCT call_id FROM m WHERE kind = 'result'
+), edges AS (SELECT a.conv_id, a.call_id, a.need, b.turn >= a.turn AS later FROM calls a JOIN calls b ON b.call_id = a.need
+), disordered AS (SELECT conv_id, count(DISTINCT call_id) AS most FROM calls WHERE conv_id IN (SELECT conv_id FROM edges WHERE later) GROUP BY conv_id
+), walks AS (
+  SELECT call_id, call_id AS at, 0 AS depth, most FROM calls JOIN disordered USING (conv_id)
+  UNION ALL SELECT walks.call_id, edges.need, depth + 1, most FROM walks JOIN edges ON edges.call_id = walks.at WHERE depth < most
+), levels AS (SELECT call_id, CASE WHEN max(depth) >= any_value(most) THEN -1 ELSE max(depth) END AS level FROM walks GROUP BY call_id
+), lines AS (
+  SELECT m.*, coalesce(level, 0) AS level, string_split(text, chr(10)) AS parts FROM m LEFT JOIN levels USING (call_id)
+)
+SELECT conv_id, turn, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, turn IS NULL ORDER BY level, turn, kind, text) - 1 END AS position, CAST(level AS BIGINT) AS level, kind, m.call_id AS call_id,
+       CASE kind WHEN 'call' THEN CASE WHEN level < 0 THEN 'cycle' WHEN results.call_id IS NULL THEN 'unanswered' ELSE 'linked' END
+                 WHEN 'result' THEN CASE WHEN c.call_id IS NULL THEN 'orphan' ELSE 'linked' END ELSE 'message' END AS status,
+       CASE WHEN kind <> 'call' THEN NULL WHEN several
+            THEN concat_ws(',', CASE WHEN len(parts) > 6 THEN 'lines:long' END, CASE WHEN list_min(list_transform(parts, lambda x: length(x))) < 20 THEN 'lines.*:short' END, CASE WHEN n > 150 AND n <= 300 THEN 'style.kind:value' END,
+                           CASE WHEN n > 400 THEN 'style.letters:large' END, CASE WHEN n > 400 THEN 'extra:unknown' END)
+            WHEN n < 40 THEN 'prompt:short' ELSE '' END AS problems,
+       CASE WHEN kind = 'call' AND several
+            THEN '{"arguments":{' || CASE WHEN n > 400 THEN '"extra":' || n || ',' ELSE '' END || '"lines":' || CAST(to_json(parts) AS VARCHAR) || ',"style":{"kind":"' || CASE WHEN n > 300 THEN 'long' WHEN n > 150 THEN 'medium' ELSE 'short' END || '","letters":' || n || '}},"id":"' || m.call_id || '","name":"review","type":"call"}'
+            WHEN kind = 'call' THEN '{"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '},"id":"' || m.call_id || '","name":"reply","type":"call"}'
+            WHEN kind = 'result' THEN '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"id":"' || m.call_id || '","type":"result"}'
+            ELSE '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '","type":"message"}' END AS line
+FROM lines m LEFT JOIN (SELECT DISTINCT call_id FROM calls) c ON m.call_id = c.call_id LEFT JOIN results ON m.call_id = results.call_id
 """

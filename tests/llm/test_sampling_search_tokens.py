@@ -324,3 +324,44 @@ def test_words_with_stems_are_counted(spark):
     texts = ["Rogues and roguery, villa villain 'villan' rogu", None, "", 'he said "rogue" and rogue', "étés (villans) x" * 1, "日本 rog"]
     assert op9.stem_counts(texts, trie).tolist() == [[3, 7], [0, 0], [0, 0], [1, 5], [2, 3], [0, 2]]
     assert op9.stem_counts(texts, op9.stem_trie([]))[:, 0].tolist() == [0] * 6
+
+
+# --- 4 nested rules of arguments, and the query's order
+
+
+def test_arguments_against_nested_rules(spark):
+    from lodewell.llm import op4_tool_calls as op4
+
+    schemas = {
+        "t": {"type": "object", "closed": True, "fields": {"n": {"type": "number", "least": 1, "most": 3}, "tags": {"type": "array", "most": 2, "items": {"type": "object", "closed": True, "fields": {"k": {"type": "string", "required": True, "enum": ["a", "b"]}}}}, "deep": {"type": "object", "required": True, "fields": {"x": {"type": "array", "least": 1, "items": {"type": "array", "items": {"type": "integer"}}}}}}},
+        "free": {},
+    }
+    cases = {
+        '{"n": 2.5, "tags": [{"k": "a"}], "deep": {"x": [[1, 2]], "more": 1}}': "",
+        '{"n": 0, "deep": {}}': "n:small",
+        '{"n": 4, "tags": [{"k": "c"}, {"k": "d"}, {"q": 1}], "deep": null, "z": 1, "a": 2}': "deep:missing,n:large,tags:long,tags.*.k:value,tags.*.k:missing,tags.*.q:unknown,a:unknown,z:unknown",
+        '{"n": "2", "tags": {}, "deep": {"x": []}}': "deep.x:short,n:type,tags:type",
+        '{"deep": {"x": [[1], ["y", null], "z"]}}': "deep.x.*.*:type,deep.x.*:type",
+        "[1]": "deep:missing",
+        "{": "not json",
+    }
+    rows = spark.createDataFrame([("t", a) for a in cases] + [("free", '{"any": 1}'), ("other", "{}"), (None, "{}")], "name string, arguments string")
+    got = [r["p"] for r in rows.select(op4.problems(F.col("name"), F.col("arguments"), schemas).alias("p")).collect()]
+    assert got == [*cases.values(), "", "unknown tool", None]
+
+
+def test_calls_of_conversations_are_ordered(spark, data):
+    from lodewell.llm import op4_tool_calls as op4
+
+    long, short, medium = "x" * 310, "s" * 50, "m" * 200
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "A"), (1, 2, "user", long), (1, 4, "user", medium), (2, 0, "user", long), (2, 2, "user", short), (2, 4, "user", short), (3, 0, "user", short), (3, 2, "user", short)]
+    got = {(r["conv_id"], r["turn"]): (r["level"], r["status"], r["position"]) for r in op4.link(op4.from_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got == {
+        (1, 0): (2, "linked", 2), (1, 1): (2, "linked", 3), (1, 2): (1, "unanswered", 1), (1, 4): (0, "unanswered", 0),
+        (2, 0): (-1, "cycle", 0), (2, 2): (-1, "cycle", 1), (2, 4): (-1, "cycle", 2), (3, 0): (0, "unanswered", 0), (3, 2): (0, "unanswered", 1),
+    }
+    made = duckdb.connect()
+    made.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{data}/conversations.parquet')")
+    expected = made.sql(op4.ORACLE_SQL).to_arrow_table().to_pylist()
+    found = [r.asDict() for r in op4.query(spark, data).collect()]
+    assert same(found, expected) and {r["level"] for r in found} > {0}
