@@ -70,6 +70,11 @@ def alias_lookup(spark, sf_dir):
     return G.resolved(table(spark, sf_dir, "customer").select("c_custkey", asked.alias("name")), registry(spark, sf_dir)).select("c_custkey", "entity", "tier")
 
 
+@register("registry_counts", f"WITH RECURSIVE {_SIGHTINGS} SELECT CASE rank WHEN 3 THEN 'confirmed' WHEN 2 THEN 'detected' ELSE 'suggested' END AS tier, type, count(*) AS entities, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM entities GROUP BY 1, 2")
+def registry_counts(spark, sf_dir):
+    return registry(spark, sf_dir).groupBy("tier", "type").agg(F.count("*").alias("entities"), F.sum("occurrences").alias("occurrences"))
+
+
 @register(
     "dead_code",
     f"""WITH {_CODE}, s AS (SELECT *, CASE id % 9 WHEN 0 THEN 'handler' WHEN 1 THEN '_start' ELSE name END AS called, CASE id % 7 WHEN 0 THEN 'src/__tests__/a.ts' WHEN 1 THEN 'src/a.spec.ts' WHEN 2 THEN 'src/latests/a.ts' ELSE 'src/main.ts' END AS path FROM symbols)

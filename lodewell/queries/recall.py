@@ -150,7 +150,7 @@ SELECT b AS node, round(max(1 + 0.2 * norm), 4) AS boost FROM normal WHERE place
 )
 def spreading_activation(spark, sf_dir):
     baskets = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    a, b = baskets.alias("a"), baskets.alias("b")
+    a, b = baskets.where("l_partkey < 5").alias("a"), baskets.alias("b")  # the seeds' alone
     pairs = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_partkey") != F.col("b.l_partkey"))).groupBy(F.col("a.l_partkey").alias("a"), F.col("b.l_partkey").alias("b")).agg(F.count("*").alias("w"))
     seeds = spark.range(5).select(F.col("id").alias("node"))
     return R.spread_activation(pairs, seeds)
