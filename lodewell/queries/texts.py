@@ -78,7 +78,7 @@ def entity_boosts(spark, sf_dir):
     k = F.col("c_custkey") % 4
     text = F.when(k == 0, F.concat(F.lit("Dr Ada "), "n")).when(k == 1, F.concat(F.lit("the "), "n", F.lit(" team"))).when(k == 2, F.concat(F.lit("mail from "), "n", F.lit(" about it"))).otherwise(F.concat("n", F.lit(" Inc")))
     known = rows.select(F.col("n").alias("name"), F.lit("project").alias("type"), F.when(F.length("n") % 2 == 0, "confirmed").otherwise("detected").alias("tier")).distinct()
-    return E.boosted(E.entities(rows.select("c_custkey", text.alias("text")), "c_custkey", "text"), known)
+    return E.boosted(E.entities(rows.select("c_custkey", text.alias("text")), "c_custkey", "text"), known).drop("context")
 
 
 _OPENERS = "['The', 'This', 'That', 'These', 'Those', 'Here', 'There', 'When', 'Where', 'What', 'Which', 'After', 'Before', 'Since', 'Until', 'Also', 'Just', 'Then', 'Next', 'First', 'Last', 'However', 'Moreover', 'Therefore', 'Furthermore']"
