@@ -331,14 +331,15 @@ def sentence_split(spark, sf_dir):
 
 @register(
     "exports_as_variants",
-    """WITH g AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM (SELECT * FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' AND (conv_id % 6 <> 5 OR NOT contains(text, chr(10)))) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    """WITH g AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM (SELECT conv_id, turn, role, CASE WHEN conv_id % 6 = 5 THEN replace(text, chr(10), ' ') ELSE text END AS text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, CASE conv_id % 6 WHEN 0 THEN 'lines' WHEN 1 THEN 'session' WHEN 2 THEN 'messages' WHEN 3 THEN 'bot' WHEN 4 THEN 'tree' ELSE 'quoted' END AS source, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS position, md5(text) AS user_message, md5(next_text) AS assistant_message
 FROM g WHERE role = 'user' AND next_role = 'assistant'""",
 )
 def exports_as_variants(spark, sf_dir):
     """Conversations written in six formats, the tree with a branch that says nothing and a loop, told apart and read back."""
     k = F.col("conv_id") % 6
-    rows = table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant') AND trim(text) <> '' AND (conv_id % 6 <> 5 OR NOT contains(text, chr(10)))")
+    rows = table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant') AND trim(text) <> ''")
+    rows = rows.withColumn("text", F.when(k == 5, F.translate("text", "\n", " ")).otherwise(F.col("text")))  # a quoted line is a message
     person = F.when(F.col("role") == "user", "human").otherwise("assistant")
     struct = lambda **c: F.struct(*[v.alias(n) for n, v in c.items()])
     line = F.to_json(struct(type=F.col("role"), content=F.array(struct(text=F.col("text")))))
