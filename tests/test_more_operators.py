@@ -332,3 +332,36 @@ def test_word_pairs_match_plain_ones(spark):
     for i, s in enumerate(N.pair_sets(texts, False)):
         bits = sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in s) > len(s)) if len(s) >= 3 else 0
         assert prints[i] % (1 << 64) == bits
+
+
+def test_contradictions_of_equal_memories_are_found_by_class(spark):
+    rng = random.Random(6)
+    texts = ["the server listens on port eighty", "nobody can reach it any longer", "`x` http://a.b", ""]
+    rows = [(i, f"p{rng.randrange(50)}", rng.choice(["Acme", "acme ", "Beta", None]), rng.choice(texts), [1.0, rng.choice([0.0, 0.1, 0.4])]) for i in range(60)]
+    known = spark.createDataFrame(rows, "key long, path string, entity string, text string, v array<double>")
+    new, cosine = known.where("key % 3 = 0"), R.cosine(F.col("n.v"), F.col("k.v"))
+    words = {r.text: set(r.w) for r in known.select("text", T.content_tokens(F.col("text")).alias("w")).collect()}
+
+    def score(v, w):
+        return round(sum(a * b for a, b in zip(v, w)) / (sum(a * a for a in v) * sum(b * b for b in w)) ** 0.5, 4)
+
+    expected = []
+    for key, path, about, text, v in rows[::3]:
+        far = lambda t: len(words[t] & words[text]) / max(1, len(words[t] | words[text])) < 0.5
+        hits = [(-score(v, w), p) for _, p, e, t, w in rows if e and about and e.strip().lower() == about.strip().lower() and p != path and far(t) and score(v, w) >= 0.8]
+        expected += [(key, p, -s) for s, p in sorted(hits)[:3]]
+    found = K.contradictions(new, known, cosine)
+    assert sorted((r["key"], r.path, r.score) for r in found.collect()) == sorted(expected)
+    copies = known.unionByName(known.withColumn("path", F.concat("path", F.lit("z"))))
+    pairs = {n: K.contradictions(new, d, cosine) for n, d in (("one", known), ("two", copies))}
+    assert pairs["two"].select("key").distinct().count() >= pairs["one"].select("key").distinct().count()
+
+
+def test_potential_conflicts_within_a_group_are_those_of_all_hits(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice("xy"), f"p{i % 37}", rng.choice(["Old bolt", "old bolts", "a ring", None]), rng.choice([["a"], ["b", "a"], [], None]), rng.choice(["fact", "decision", "plan"]), rng.choice(["memory", "note"])) for i in range(80)]
+    notes = spark.createDataFrame(rows, "key long, brand string, path string, title string, tags array<string>, category string, type string")
+    new = notes.where("key % 3 = 0")
+    hits = notes.drop("key").join(new.select("key", "brand"), "brand")
+    expected = sorted(map(tuple, K.potential_conflicts(new, hits).collect()))
+    assert expected and sorted(map(tuple, K.potential_conflicts_within(new, notes, "brand").collect())) == expected
