@@ -365,3 +365,27 @@ def test_potential_conflicts_within_a_group_are_those_of_all_hits(spark):
     hits = notes.drop("key").join(new.select("key", "brand"), "brand")
     expected = sorted(map(tuple, K.potential_conflicts(new, hits).collect()))
     assert expected and sorted(map(tuple, K.potential_conflicts_within(new, notes, "brand").collect())) == expected
+
+
+def test_scores_are_held_in_tiles(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(R, "TILE", 120)
+    rng = random.Random(8)
+    vectors = spark.createDataFrame([(i, i % 3, [rng.choice([0.0, 0.5, 1.0]), rng.choice([0.0, 0.5])]) for i in range(90)], "vec_id long, label long, embedding array<double>").coalesce(1)
+    queries = vectors.where("vec_id % 3 = 0")
+
+    def sizes(q_ids, q_labels, scored):
+        yield pa.RecordBatch.from_arrays([pa.array([s.size for _, _, s in scored], pa.int64())], names=["n"])
+
+    assert [r.n for r in R._against(vectors, queries, 1000, sizes, "n long").collect()] == [120] * 22 + [60]
+    rows = {r.vec_id: r for r in vectors.collect()}
+    dot = lambda a, b: round(sum(x * y for x, y in zip(a, b)), 6)
+    for q, group in collections.Counter(r["query"] for r in R.nearest_of_each(vectors, queries, 4).collect()).items():
+        assert group == 4
+    found = sorted((r["query"], r["place"], r["vec_id"]) for r in R.nearest_of_each(vectors, queries, 4).collect())
+    expected = []
+    for q in (r for r in rows.values() if r.vec_id % 3 == 0):
+        best = sorted((-dot(q.embedding, o.embedding), o.vec_id) for o in rows.values() if o.vec_id != q.vec_id)[:4]
+        expected += [(q.vec_id, place, i) for place, (_, i) in enumerate(best, 1)]
+    assert found == sorted(expected)
