@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Rows that centroids are fitted on, rounds of the fit, most cells, rows of a part of a cell, queries of a block.
 SAMPLE, ROUNDS, MOST_CELLS, PART_ROWS, QUERY_ROWS = 50_000, 12, 4096, 20_000, 2_000
+#: Numbers that a task holds at a time where rows meet centroids: their scores, and the copies of a row for its cells.
+TILE = 1 << 20
 #: Share of the nearest rows that a search is to find, and sampled queries that the cells to probe for it are measured with.
 TARGET, TRIED = 0.95, 500
 
@@ -74,13 +76,17 @@ def needed_probes(sample: np.ndarray, centroids: np.ndarray, target: float, k: i
 def nearest_cells(rows: DataFrame, centroids: np.ndarray, most: int) -> DataFrame:
     """(vec_id, embedding, cell) with each row's `most` nearest cells; centroids are 4096 at most, so they ride with the function."""
 
+    cells, size = centroids.shape
+    step = max(1, TILE // max(1, cells, min(most, cells) * size))
+
     def run(batches):
-        for batch in batches:
-            v = _matrix(batch.column(1), centroids.shape[1])
-            score = v @ centroids.T
-            top = np.argpartition(-score, min(most, len(centroids)) - 1, axis=1)[:, :most]
-            again = pa.array(np.repeat(np.arange(len(v)), top.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again), pa.array(top.ravel().astype(np.int32))], names=["vec_id", "embedding", "cell"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                score = _matrix(batch.column(1), size) @ centroids.T
+                top = np.argpartition(-score, min(most, cells) - 1, axis=1)[:, :most]
+                again = pa.array(np.repeat(np.arange(len(top)), top.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again), pa.array(top.ravel().astype(np.int32))], names=["vec_id", "embedding", "cell"])
 
     return rows.mapInArrow(run, "vec_id long, embedding array<double>, cell int")
 

@@ -285,3 +285,16 @@ def test_recall_filters_boosts_and_budget(spark):
     assert spread["z"]["together"] == 1.0  # both are seeds
     short = P.memory_recall(hits, notes, as_of, limit=3, most_tokens=9).collect()
     assert [r["place"] for r in short] == sorted(r["place"] for r in short) and short[-1]["content"] is None or "truncated" in short[-1]["content"] or len(short) == 3
+
+
+def test_rows_meet_centroids_in_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return list(run([pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([[float(i + 1), 1.0, 2.0, 3.0] for i in range(100)])], names=["vec_id", "embedding"])]))
+
+    monkeypatch.setattr(V, "TILE", 64)
+    found = V.nearest_cells(Rows(), np.eye(4), 3)
+    assert max(b.num_rows for b in found) == 15 and sum(b.num_rows for b in found) == 300
+    assert {i for b in found for i in b.column(0).to_pylist()} == set(range(100))
