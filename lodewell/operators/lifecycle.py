@@ -64,13 +64,14 @@ def keep_last(notes: DataFrame, series: str, at: str, keep: int) -> DataFrame:
 def budget_cut(rows: DataFrame, group: str, order: list[Column], text: str, tokens: int) -> DataFrame:
     """The first rows within the budget of 4 characters a token, the one that crosses it cut, the rest dropped.
 
-    No more than a row for each character of the budget can lie before the cut, save empty ones, so
-    only that many of a group are brought together.
+    A row that the rows of its own partition put beyond the budget is beyond it in the group as well,
+    so only what the partitions leave, as many characters as the budget each, is brought together.
     """
-    by = Window.partitionBy(group).orderBy(*order)
-    full = rows.where(F.length(text) > 0).withColumn("_place", F.row_number().over(by)).where(F.col("_place") <= 4 * tokens).drop("_place")
-    some = full.unionByName(rows.where(F.length(text) == 0))
-    run = F.coalesce(F.sum(F.length(text)).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by = lambda *c: Window.partitionBy(*c).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda *c: F.coalesce(F.sum(F.length(text)).over(by(*c)), F.lit(0))
+    some = rows.where(F.length(text) >= 0).withColumn("_part", F.spark_partition_id())
+    some = some.withColumn("_used", before(group, "_part")).where(F.col("_used") < 4 * tokens).drop("_used", "_part")
+    run = before(group)
     return some.withColumn("used", run).where(F.col("used") < 4 * tokens).withColumn("kept", F.expr(f"substring({text}, 1, cast({4 * tokens} - used AS int))"))
 
 

@@ -389,3 +389,16 @@ def test_scores_are_held_in_tiles(spark, monkeypatch):
         best = sorted((-dot(q.embedding, o.embedding), o.vec_id) for o in rows.values() if o.vec_id != q.vec_id)[:4]
         expected += [(q.vec_id, place, i) for place, (_, i) in enumerate(best, 1)]
     assert found == sorted(expected)
+
+
+def test_budget_is_cut_in_each_partition_first(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), i, rng.choice([None, "", "x" * rng.randrange(1, 30)])) for i in range(300)]
+    found = L.budget_cut(spark.createDataFrame(rows, "lang string, key long, text string").repartition(7), "lang", [F.col("key")], "text", 20)
+    expected, used = [], {"a": 0, "b": 0}
+    for lang, key, text in rows:
+        if text is not None and used[lang] < 80:
+            expected.append((lang, key, used[lang], text[: 80 - used[lang]]))
+            used[lang] += len(text)
+    assert sorted((r.lang, r["key"], r.used, r.kept) for r in found.collect()) == sorted(expected)
+    assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
