@@ -50,6 +50,26 @@ def test_mmr_is_greedy(spark):
     assert [r.id for r in got.orderBy("place").collect()] == [0, 2, 3]
 
 
+def test_overlap_pairs_of_families_are_exact_and_common_items_bring_no_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(X, "TILE_ITEMS", 200)  # several tiles a family
+    common = list(range(40))
+    sets = [(i, common + rng.sample(range(1000, 1 << 40), 40)) for i in range(30)]  # alike in common items alone
+    for f in range(3):
+        base = rng.sample(range(1000, 1 << 40), 60)
+        sets += [(100 * (f + 1) + i, rng.sample(base, 60 - rng.randint(0, 7))) for i in range(20)]
+    sets += [(1000 + i, s) for i, s in sets[:5]]  # copies
+    unique = {}
+    for i, s in sets:
+        unique.setdefault(frozenset(s), i)
+    expected = {(min(i, j), max(i, j)) for s, i in unique.items() for t, j in unique.items() if i != j and 100 * len(s & t) >= 85 * len(s | t)}
+    rows = spark.createDataFrame(sets, "id long, items array<long>")
+    assert {(r.a, r.b) for r in X.overlap_pairs(rows, "id", 0.85).collect()} == expected and len(expected) > 100
+    own = rows.selectExpr("id", "cast(size(items) as long) n", "xxhash64(array_sort(items)) h", "array_sort(items) items")
+    filed = X._rarest(own.where("id < 30"), "id", 85).collect()
+    assert len(filed) == 30 * 13 and not {r.signature for r in filed} & set(common)
+
+
 def test_overlap_and_edit_pairs_match_brute_force(spark):
     rng = random.Random(1)
     sets = [(i, rng.sample("abcdefghij", rng.randint(0, 6))) for i in range(40)]
