@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewell.functions import text as T
+from lodewell.operators.graph import cut
 
 
 def search_filter(
@@ -106,15 +107,36 @@ def longest_prefix(rows: DataFrame, value: str, prefixes: DataFrame, name: str)
 
 
 def shared_item_pairs(rows: DataFrame, key: str, item: str, least: int, most_in_item: int) -> DataFrame:
-    """(a, b, shared): pairs of keys with `least` items in common; items of more than `most_in_item` keys are left out."""
-    distinct = rows.select(key, item).distinct()
-    rare = distinct.groupBy(item).agg(F.count("*").alias("n")).where(F.col("n") <= most_in_item).select(item)
+    """(a, b, shared): pairs of keys with `least` items in common; items of more than `most_in_item` keys are left out.
+
+    Keys that share two items meet under each pair of these, so keys that share one meet nowhere. Where
+    keys have so many items that their pairs are more than the items' pairs of keys, or one item is
+    enough, keys meet under items.
+    """
+    distinct = rows.select(key, item).where(F.col(key).isNotNull() & F.col(item).isNotNull()).distinct()
+    rare = distinct.groupBy(item).agg(F.count("*").alias("n")).where(F.col("n").between(2, most_in_item)).select(item)
     kept = distinct.join(rare, item)
+    if least >= 2:
+        kept = cut(kept)
+        pairs_of = lambda c: kept.groupBy(c).agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0.0
+        if pairs_of(key) <= pairs_of(item):
+            return _by_item_pairs(kept, key, item, least)
     a, b = kept.alias("a"), kept.alias("b")
     pairs = a.join(b, (F.col(f"a.{item}") == F.col(f"b.{item}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
     return pairs.groupBy(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
+def _by_item_pairs(kept: DataFrame, key: str, item: str, least: int) -> DataFrame:
+    """shared_item_pairs by pairs of items: keys with s items in common meet under s (s - 1) / 2 of them."""
+    a, b = kept.alias("a"), kept.alias("b")
+    each = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{item}") < F.col(f"b.{item}")))
+    each = each.select(F.col(f"a.{item}").alias("i"), F.col(f"b.{item}").alias("j"), F.col(f"a.{key}").alias("key"))
+    met = each.withColumn("n", F.count("*").over(Window.partitionBy("i", "j"))).where("n > 1")  # most pairs of items are one key's alone
+    keys = met.groupBy("i", "j").agg(F.collect_list("key").alias("keys"))  # as many as an item may have
+    pairs = keys.select("keys", F.explode("keys").alias("a")).select("a", F.explode("keys").alias("b")).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.round((1 + F.sqrt(1 + 8 * F.count("*"))) / 2).cast("long").alias("shared")).where(F.col("shared") >= least)
+
+
 def drifted(references: DataFrame, current: DataFrame, key: str, kept: str, now: str) -> DataFrame:
     """References whose target is gone or has another hash."""
     found = references.join(current.select(key, now), key, "left")

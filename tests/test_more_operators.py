@@ -402,3 +402,25 @@ def test_budget_is_cut_in_each_partition_first(spark):
             used[lang] += len(text)
     assert sorted((r.lang, r["key"], r.used, r.kept) for r in found.collect()) == sorted(expected)
     assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_that_share_two_items_meet_under_pairs_of_items(spark):
+    import random
+
+    from lodewell.operators import relational as R
+
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(25)) for k in range(60) for _ in range(rng.randint(1, 6))] + [(None, 1), (1, None), (2, None)]
+    keys = {}
+    for k, i in rows:
+        if k is not None and i is not None:
+            keys.setdefault(k, set()).add(i)
+    held = {i: sum(i in s for s in keys.values()) for i in range(25)}
+    keys = {k: {i for i in s if held[i] <= 12} for k, s in keys.items()}
+    expected = {(a, b, len(keys[a] & keys[b])) for a in keys for b in keys if a < b and len(keys[a] & keys[b]) >= 2}
+    few = spark.createDataFrame(rows, "k long, i long")
+    kept = spark.createDataFrame([(k, i) for k, s in keys.items() for i in s], "k long, i long")
+    for found in (R.shared_item_pairs(few, "k", "i", 2, 12), R._by_item_pairs(kept, "k", "i", 2)):
+        assert {(r.a, r.b, r.shared) for r in found.collect()} == expected and expected
+    many = spark.createDataFrame([(k, i) for k in range(3) for i in range(40)], "k long, i long")  # keys of many items meet under items
+    assert {tuple(r) for r in R.shared_item_pairs(many, "k", "i", 2, 12).collect()} == {(0, 1, 40), (0, 2, 40), (1, 2, 40)}
