@@ -424,3 +424,21 @@ def test_keys_that_share_two_items_meet_under_pairs_of_items(spark):
         assert {(r.a, r.b, r.shared) for r in found.collect()} == expected and expected
     many = spark.createDataFrame([(k, i) for k in range(3) for i in range(40)], "k long, i long")  # keys of many items meet under items
     assert {tuple(r) for r in R.shared_item_pairs(many, "k", "i", 2, 12).collect()} == {(0, 1, 40), (0, 2, 40), (1, 2, 40)}
+
+
+def test_rules_of_entities_search_only_texts_that_have_what_they_need():
+    import re
+
+    from lodewell.operators import entities as E
+
+    plain = E.Seen("Un texto cualquiera, sin nada; a plain text (2) of nothing in particular. Ein Text ohne Namen.")
+    assert sum(rule.needs(plain) for rule in E.RULES if rule.reach == "text") <= 2
+    stop = frozenset(E.STOP_NAMES)
+    texts = ["Dr Ada Lovelace (CTO) told NASA's team", "Acme Inc joined companyX", "mail ada.l@acme.io", "Spark v3.1, see github.com/a/spark-x", "the App project Alpha, building Beta", "[[Ada Lovelace]] cc'd Bob Stone", "to         ACME now"]
+    for text in texts:
+        seen = E.Seen(text)
+        for rule, pattern in zip(E.RULES, E._COMPILED):  # what has a match that stands is searched
+            for m in pattern.finditer(text):
+                assert rule.needs(seen) or (rule.holds and not rule.holds(text, m.start(), m.end())) or (rule.reach == "sentences" and not E._NEEDS_VERB(seen)), (rule, m)
+    assert {s[2] for t in texts for s in E.signals(t, stop)} >= {"preceded_by_title", "name_with_role", "legal_suffix", "email_address", "versioned_name", "repo_url", "wiki_link", "attribution_pattern"}
+    assert re.search(E.VERB, "cc'd", re.A | re.I) and E._NEEDS_VERB(E.Seen("cc'd"))
