@@ -2,17 +2,18 @@
 
 Below the index's folder each segment has `postings` (blocks of about BLOCK documents of one term,
 with the greatest frequency and the least length in each field), `docs` (the documents that the change
-wrote or deleted, with their lengths and terms), `terms` (how a term's document count changed) and
-`stats` (how the numbers of documents and words changed). A segment counts once its commit is written
+wrote or deleted, with their lengths, terms and frequencies), `terms` (how a term's document count
+changed) and `stats` (how the numbers of documents and words changed). A segment counts once its commit is written
 after it, so an unfinished write is none; a commit may replace all segments before it, which compaction
 does. A document's newest segment holds it: postings of a segment are dead where a later one has the
 document, and a deleted one has no postings. Counts of terms are exact without reading dead postings,
 as each change takes back what the versions before had counted.
 
-A term's blocks are chosen by hash of the document, so a term of every document is many rows in many
-files; files are ranges of (term, block), one for FILE_POSTINGS postings, so a search reads its terms'
-ranges alone. Null fields have no words and no length; null keys are left out; of repeated keys in one
-change the row of the greatest fields counts.
+Documents are dealt by hash to parts of about FILE_POSTINGS postings, a file each, sorted by term, with
+blocks of the part's documents; so postings are never shuffled one by one: documents are, with their words
+counted. A search reads its terms' ranges of each file alone, and a term of every document lies in all files.
+Files of terms are parts by hash, sorted too. Null fields have no words and no length; null keys are left
+out; of repeated keys in one change the row of the greatest fields counts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from lodewell.operators.retrieval import K1, B
 #: Fields and what a hit in them weighs.
 WEIGHTS = {"title": 3.0, "tags": 2.0, "content": 1.0}
 #: Documents of a block, and postings of a file.
-BLOCK, FILE_POSTINGS = 128, 5_000_000
+BLOCK, FILE_POSTINGS = 128, 1_000_000
 
 
 def _commits(spark: SparkSession, path: str) -> list:
@@ -57,18 +58,52 @@ def _write(spark: SparkSession, path: str, name: str, number: int, rows: DataFra
     rows.write.mode("overwrite").parquet(f"{path}/{name}/segment={number}")
 
 
-def _blocks(postings: DataFrame, fields: list[str]) -> DataFrame:
-    """Rows (term, key, tf, len) as blocks; a term's number of blocks follows from its counted documents."""
-    counts = postings.groupBy("term").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = postings.join(counts, "term").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    most = F.array(*[F.max(F.element_at("tf", i + 1)) for i in range(len(fields))])
-    least = F.array(*[F.min(F.when(F.element_at("tf", i + 1) > 0, F.element_at("len", i + 1))) for i in range(len(fields))])
-    return placed.groupBy("term", "block").agg(F.count("*").alias("n"), most.alias("most"), least.alias("least"), F.collect_list(F.struct("key", "tf", "len")).alias("docs"))
+def _counted(words: Column, fields: list[str]) -> Column:
+    """(terms, tf): the distinct words of all fields in order, and of each field how often it has each of them.
+
+    Runs of equal words in a sorted list, within the row: nothing is shuffled, and long texts cost no more than the sort.
+    """
+    bound = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  so that it is computed once, not for each element
+    each = F.flatten(F.transform(words, lambda w, i: F.transform(F.coalesce(w, F.array().cast("array<string>")), lambda t: F.struct(t.alias("term"), i.alias("i")))))
+
+    def runs(s):
+        first = lambda k: (k == 0) | (F.get(s, k)["term"] != F.get(s, k - 1)["term"])
+        return bound(F.filter(F.transform(s, lambda x, k: k), first), lambda starts: told(s, starts))
+
+    def told(s, starts):
+        slices = F.transform(starts, lambda at, k: F.slice(s, at + 1, F.coalesce(F.get(starts, k + 1), F.size(s)) - at))
+        times = lambda found, i: F.transform(found, lambda run: F.size(F.filter(run, lambda x: x["i"] == i)))
+        tf = lambda found: F.array(*[times(found, i) for i in range(len(fields))])
+        return F.struct(F.transform(starts, lambda at: F.get(s, at)["term"]).alias("terms"), bound(slices, tf).alias("tf"))
+
+    return bound(F.sort_array(each), runs)
+
+
+def _each(fields: list[str]) -> Column:
+    """(term, t0, t1, ...) for each term of a document; a row holds its own frequencies, not the document's."""
+    return F.explode(F.arrays_zip(F.col("terms").alias("term"), *[F.element_at("tf", i + 1).alias(f"t{i}") for i in range(len(fields))]))
+
+
+def _blocks(docs: DataFrame, fields: list[str], parts: int) -> DataFrame:
+    """The blocks of documents (key, len, terms, tf) in `parts` parts: documents are shuffled once, with their words together, and a part's postings meet within its task."""
+    dealt = docs.select("key", "len", "terms", "tf", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part")).repartitionById(parts, "part")
+    postings = dealt.select("part", "key", "len", _each(fields).alias("e")).select("part", "e.term", F.struct("key", F.array(*[F.col(f"e.t{i}") for i in range(len(fields))]).alias("tf"), "len").alias("d"))
+    lists = postings.groupBy("part", "term").agg(F.collect_list("d").alias("all"))
+    some = lists.select("part", "term", "all", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / BLOCK).cast("int"))).alias("k"))
+    cut = some.select("term", F.shiftleft(F.col("part").cast("long"), 32).bitwiseOR(F.col("k")).alias("block"), F.slice("all", F.col("k") * BLOCK + 1, BLOCK).alias("docs"))
+    tf = lambda i: F.transform("docs", lambda d: F.get(d["tf"], F.lit(i)))
+    held = lambda i: F.transform("docs", lambda d: F.when(F.get(d["tf"], F.lit(i)) > 0, F.get(d["len"], F.lit(i))))
+    most = F.array(*[F.array_max(tf(i)) for i in range(len(fields))])
+    least = F.array(*[F.array_min(held(i)) for i in range(len(fields))])
+    return cut.select("term", "block", F.size("docs").cast("long").alias("n"), most.alias("most"), least.alias("least"), "docs")
 
 
-def _write_postings(spark: SparkSession, path: str, number: int, postings: DataFrame, fields: list[str], n: int) -> None:
-    blocks = _blocks(postings, fields)
-    _write(spark, path, "postings", number, blocks.repartitionByRange(max(1, -(-n // FILE_POSTINGS)), "term", "block").sortWithinPartitions("term", "block"))
+def _write_postings(spark: SparkSession, path: str, number: int, fields: list[str]) -> None:
+    """Writes the postings of a segment from its documents."""
+    docs = spark.read.parquet(f"{path}/docs/segment={number}").where("alive")
+    n = docs.agg(F.sum(F.size("terms"))).first()[0] or 0
+    parts = max(1, -(-n // FILE_POSTINGS), min(spark.sparkContext.defaultParallelism, n // 50_000))
+    _write(spark, path, "postings", number, _blocks(docs, fields, parts).sortWithinPartitions("term", "block"))
 
 
 def _newest(spark: SparkSession, path: str, live: list[int]) -> DataFrame | None:
@@ -93,29 +128,26 @@ def apply(spark: SparkSession, path: str, changes: DataFrame, key: str = "path",
     number = commits[-1]["segment"] + 1 if commits else 1
     gone = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in changes.columns else F.lit(False)
     text = lambda f: F.array_join(f, " ") if dict(changes.dtypes)[f].startswith("array") else F.col(f).cast("string")
-    rows = changes.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), gone.alias("gone"), *[text(f).alias(f"f{i}") for i, f in enumerate(fields)])
+    rows = changes.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), gone.alias("gone"), *[F.when(~gone, text(f)).alias(f"f{i}") for i, f in enumerate(fields)])
     once = rows.groupBy("key").agg(F.max(F.struct(~F.col("gone"), *[f"f{i}" for i in range(len(fields))])).alias("r")).select("key", F.col("r.col1").alias("alive"), *[F.col(f"r.f{i}") for i in range(len(fields))])
     words = [F.when(F.col("alive"), T.tokens(F.col(f"f{i}"), 1)) for i in range(len(fields))]
     cut = once.select("key", "alive", F.array(*words).alias("words")).withColumn("len", F.transform("words", lambda w: F.size(w)))
-    each = F.flatten(F.transform("words", lambda w, i: F.transform(F.coalesce(w, F.array().cast("array<string>")), lambda t: F.struct(t.alias("term"), i.alias("i")))))
-    counted = cut.select("key", "len", F.explode(each).alias("e")).groupBy("key", "len", "e.term").agg(*[F.count_if(F.col("e.i") == i).alias(f"t{i}") for i in range(len(fields))])
-    postings = counted.select("term", "key", F.array(*[F.col(f"t{i}").cast("int") for i in range(len(fields))]).alias("tf"), "len")
-    forward = F.array_distinct(each)
-    _write(spark, path, "docs", number, cut.select("key", "alive", "len", forward.alias("terms")))
+    _write(spark, path, "docs", number, cut.select("key", "alive", "len", _counted(F.col("words"), fields).alias("c")).select("key", "alive", "len", "c.*"))
     docs = spark.read.parquet(f"{path}/docs/segment={number}")
-    before = docs.select("key", F.lit(1).alias("sign"), "len", "terms", "alive")
+    before = docs.select("key", F.lit(1).alias("sign"), "len", "terms", "tf", "alive")
     if live:  # the versions that these documents had
         old = _alive(_table(spark, path, "docs", live).join(docs.select("key"), "key", "left_semi"), _newest(spark, path, live))
-        before = before.unionByName(old.select("key", F.lit(-1).alias("sign"), "len", "terms", "alive"))
+        before = before.unionByName(old.select("key", F.lit(-1).alias("sign"), "len", "terms", "tf", "alive"))
     before = before.where("alive")
-    delta = before.select("sign", F.explode("terms").alias("t")).groupBy("t.term", "t.i").agg(F.sum("sign").alias("df")).where("df <> 0")
-    _write(spark, path, "terms", number, delta.select("term", F.col("i").alias("field"), "df").repartitionByRange("term").sortWithinPartitions("term"))
+    has = lambda i: F.sum(F.when(F.col(f"e.t{i}") > 0, F.col("sign"))).alias(f"df{i}")
+    delta = before.select("sign", _each(fields).alias("e")).groupBy("e.term").agg(*[has(i) for i in range(len(fields))])
+    fielded = delta.select("term", F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"df{i}").alias("df")) for i in range(len(fields))])).alias("e")).select("term", "e.*")
+    _write(spark, path, "terms", number, fielded.where("df <> 0").sortWithinPartitions("term", "field"))
     at = lambda i: F.element_at("len", i + 1)
     sums = [F.array(*[F.coalesce(F.sum(F.col("sign") * value(i)), F.lit(0)).cast("long") for i in range(len(fields))]) for value in (lambda i: at(i).isNotNull().cast("int"), lambda i: F.coalesce(at(i), F.lit(0)))]
     total = before.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), sums[0].alias("with_field"), sums[1].alias("words"))
     _write(spark, path, "stats", number, total.coalesce(1))
-    n = docs.where("alive").agg(F.sum(F.size("terms"))).first()[0] or 0
-    _write_postings(spark, path, number, postings, fields, n)
+    _write_postings(spark, path, number, fields)
     _commit(spark, path, number, fields, False)
     return number
 
@@ -128,11 +160,9 @@ def compact(spark: SparkSession, path: str) -> int | None:
     number, newest = _commits(spark, path)[-1]["segment"] + 1, _newest(spark, path, live)
     docs = _alive(_table(spark, path, "docs", live), newest).where("alive").drop("segment")
     _write(spark, path, "docs", number, docs)
-    flat = _table(spark, path, "postings", live).select("segment", "term", F.explode("docs").alias("d")).select("segment", "term", "d.*")
-    n = spark.read.parquet(f"{path}/docs/segment={number}").agg(F.sum(F.size("terms"))).first()[0] or 0
-    _write_postings(spark, path, number, _alive(flat, newest).drop("segment"), fields, n)
+    _write_postings(spark, path, number, fields)
     terms = _table(spark, path, "terms", live).groupBy("term", "field").agg(F.sum("df").alias("df")).where("df <> 0")
-    _write(spark, path, "terms", number, terms.repartitionByRange("term").sortWithinPartitions("term"))
+    _write(spark, path, "terms", number, terms.sortWithinPartitions("term", "field"))
     _write(spark, path, "stats", number, _stats_frame(spark, path, live, fields).coalesce(1))
     _commit(spark, path, number, fields, True)
     return number

@@ -66,6 +66,22 @@ def test_text_index_after_changes_is_that_of_a_rebuild(spark, tmp_path, monkeypa
             assert [-round(r["score"], 9) for r in X.top(spark, path, words, 5).collect()] == best
 
 
+def test_text_index_shuffles_documents_and_not_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK", 4)
+    monkeypatch.setattr(X, "FILE_POSTINGS", 50)  # many parts, of which some are empty
+    rnd, path = random.Random(5), f"file://{tmp_path}/parts"
+    state = {f"d{i:02d}": (rnd.choice(VOCABULARY), ["ab"], " ".join(rnd.choices(VOCABULARY, k=i % 30))) for i in range(90)}
+    X.apply(spark, path, spark.createDataFrame([(k, *note, False) for k, note in state.items()], NOTE))
+    assert [-round(r["score"], 9) for r in X.top(spark, path, ["ab", "dog"], 7).collect()] == sorted(-round(s, 9) for s in scores(["ab", "dog"], False, state).values())[:7]
+    blocks = X._table(spark, path, "postings", [1])
+    assert blocks.agg(F.sum("n"), F.max("n")).first() == (sum(len(set(" ".join((t, *g, c)).split())) for t, g, c in state.values()), 4)
+    docs = spark.read.parquet(f"{path}/docs/segment=1")
+    assert X._blocks(docs, ["title", "tags", "content"], 3)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # that of the documents
+    long = spark.createDataFrame([("a", "t", ["g"], " ".join(f"w{i}" for i in range(60_000)), False)], NOTE)
+    X.apply(spark, path, long)  # words that all differ cost a sort, not each a look at all others
+    assert X.top(spark, path, ["w59999"], 3).count() == 1
+
+
 def test_text_index_reads_few_blocks_and_keeps_in_step(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(X, "BLOCK", 8)
     path = f"file://{tmp_path}/sync"
