@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodewell.functions import text as T
-from lodewell.operators.graph import components
+from lodewell.operators.graph import components, cut
 
 #: Tiers, the least first.
 TIERS = ["suggested", "detected", "confirmed"]
@@ -41,22 +41,28 @@ def _entries(rows: DataFrame) -> DataFrame:
     return rows.select("name", "type", rank.alias("rank"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "note_path", "first_seen", "last_seen", F.col("occurrences").cast("long").alias("occurrences"), normal(F.col("name")).alias("key")).where("key <> ''")
 
 
+def _links(named: DataFrame, forms: DataFrame) -> DataFrame:
+    """Edges (src, dst) of names alone: those that share an alias, or have one that is a name, are tied to the least of them; an alias of one name ties nothing."""
+    owners = forms.select("other", "key").unionByName(named.select(F.col("key").alias("other"), "key"))
+    least = owners.groupBy("other").agg(F.min("key").alias("dst"))
+    return owners.join(least, "other").where("key <> dst").select(F.col("key").alias("src"), "dst").distinct()
+
+
 def merged(new: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """The registry (name, type, aliases, first_seen, last_seen, note_path, tier, confirmed, occurrences) after the sightings `new`."""
-    rows = _entries(new) if stored is None else _entries(stored).unionByName(_entries(new))
+    rows = _entries(new) if stored is None else cut(_entries(stored)).unionByName(_entries(new))  # what is stored is worked out once, not for each use of the rows
     # dates may be missing: these sightings come last
     first = F.min(F.struct(F.coalesce("first_seen", F.lit("9999-12-31").cast("date")).alias("day"), "name", F.coalesce("type", F.lit("~")).alias("type"))).alias("first")
     added = [first, F.max("last_seen").alias("last_seen"), F.min("first_seen").alias("first_seen"), F.max("rank").alias("rank"), F.min("note_path").alias("note_path"), F.sum("occurrences").alias("occurrences")]
     named = rows.groupBy("key").agg(*added)
-    forms = rows.select("key", F.explode("aliases").alias("alias")).select("key", normal(F.col("alias")).alias("other"), "alias").where("other <> ''")
-    edges = forms.where("key <> other").select(F.col("key").alias("src"), F.col("other").alias("dst")).distinct()
-    root = components(edges).withColumnRenamed("node", "key")
-    keys = named.select("key", F.col("first.name").alias("form")).unionByName(forms.select(F.col("other").alias("key"), F.col("alias").alias("form")))
+    forms = rows.select("key", F.explode("aliases").alias("alias")).select("key", normal(F.col("alias")).alias("other"), "alias").where("other <> ''").groupBy("key", "other").agg(F.min("alias").alias("form"))
+    root = components(_links(named, forms)).withColumnRenamed("node", "key")
     placed = lambda t: t.join(root, "key", "left").withColumn("root", F.coalesce("component", "key")).drop("component")
     again = [F.min("first").alias("first"), F.max("last_seen").alias("last_seen"), F.min("first_seen").alias("first_seen"), F.max("rank").alias("rank"), F.min("note_path").alias("note_path"), F.sum("occurrences").alias("occurrences")]
     entities = placed(named).groupBy("root").agg(*again)
-    # an entity's names are few by their nature: one form for each key
-    names = placed(keys.groupBy("key").agg(F.min("form").alias("form"))).groupBy("root").agg(F.sort_array(F.collect_list(F.struct("key", "form"))).alias("names"))
+    # an alias is of its owner's entity; an entity's names are few by their nature: one form for each key
+    own_forms = placed(named.select("key", F.col("key").alias("other"), F.col("first.name").alias("form")).unionByName(forms))
+    names = own_forms.groupBy("root", F.col("other").alias("key")).agg(F.min("form").alias("form")).groupBy("root").agg(F.sort_array(F.collect_list(F.struct("key", "form"))).alias("names"))
     both = entities.join(names, "root")
     own = normal(F.col("first.name"))
     return both.select(

@@ -177,6 +177,19 @@ def test_registry_is_one_whatever_the_order(spark):
     assert G.merged(frame([])).count() == 0 and G.listed(whole, "person", "detected").count() == 2
 
 
+def test_registry_ties_names_alone(spark):
+    """Aliases of one name are no nodes of the graph, and rounds end with the first stars."""
+    frame = lambda some: spark.createDataFrame(some, G.SIGHTING)
+    rows = [(f"n{i}", "person", "detected", [f"own {i}", f"N{i + 1}" if i % 3 else f"shared {i // 6}"], None, dt.date(2024, 1, 1)) for i in range(12)]
+    named = frame(rows).select(G.normal(F.col("name")).alias("key"))
+    forms = frame(rows).select(G.normal(F.col("name")).alias("key"), F.explode("aliases").alias("alias")).select("key", G.normal(F.col("alias")).alias("other"))
+    ties = {(r["src"], r["dst"]) for r in G._links(named, forms).collect()}
+    assert all(a.startswith("n") and b.startswith("n") and a != b for a, b in ties) and ("n3", "n0") in ties
+    got = {r["name"]: (r["occurrences"], [a.lower() for a in r["aliases"]]) for r in G.merged(frame(rows[5:]), G.merged(frame(rows[:5]))).collect()}
+    assert got["n0"] == (4, ["n1", "n2", "n3", "own 0", "own 1", "own 2", "own 3", "shared 0"])
+    assert {n: g[0] for n, g in got.items()} == {"n0": 4, "n4": 6, "n10": 2} and "n12" in got["n10"][1]
+
+
 # --- intervals
 
 
