@@ -221,6 +221,15 @@ def test_strong_components_of_many_linked_cycles(spark):
     assert got == {i: i - i % 2 for i in range(40)}
 
 
+def test_strong_components_cut_the_lineage_few_times(spark, monkeypatch):
+    """A ring of 24 nodes with a chain that leads into it and one that leads out: a step for each node, but no checkpoint for each step."""
+    cuts, real = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: cuts.append(1) or real(df))
+    edges = [(i, (i + 1) % 24) for i in range(24)] + [(100, 101), (101, 0), (5, 200)]
+    got = {(r.node, r.component, r.size) for r in G.strong_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {(i, 0, 24) for i in range(24)} and len(cuts) < 40
+
+
 def test_snapshot_seeds_and_spread(spark):
     edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (4, 1)], "src long, dst long")
     nodes = spark.createDataFrame([(9,)], "node long")
