@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodewell.functions import scoring as S
 from lodewell.functions import text as T
 from lodewell.operators import retrieval as R
+from lodewell.operators.graph import cut
 from lodewell.operators.relational import search_filter
 
 
@@ -70,7 +73,7 @@ def ranked_memories(
     as_of: Column,
     key: str = "path",
     inbound: DataFrame | None = None,
-    associates: DataFrame | None = None,
+    associates: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     categories: list[str] | None = None,
     temperature: str | None = None,
     least_importance: str | None = None,
@@ -85,8 +88,9 @@ def ranked_memories(
     (key, type, category, temperature, importance, heat_score, last_accessed, related, content,
     validity_alpha, validity_beta) that are memories, pass the filters, and aren't quarantined. The score
     is the hit's times heat, importance, relation, recency, context, validity and centrality (`inbound`:
-    key, inbound); then what is associated (a, b, w) with the SEEDS best ones gains. Missing fields weigh
-    as UNSAID says; notes never read have no loss of recency.
+    key, inbound); then what is associated (a, b, w) with the SEEDS best ones gains; `associates` may be a
+    function that is given the seeds (node) and returns their rows alone. Missing fields weigh as UNSAID
+    says; notes never read have no loss of recency.
     """
     first = hits.orderBy(F.desc("score"), key).limit(OVER * limit)
     said = {c: F.coalesce(c, F.lit(v)) for c, v in UNSAID.items()}
@@ -123,6 +127,9 @@ def ranked_memories(
     boost = None
     if associates is not None:
         seeds = base.orderBy(F.desc("score"), key).limit(SEEDS).select(F.col(key).alias("node"))
+        if callable(associates):
+            seeds = cut(seeds)
+            associates = associates(seeds)
         boost = R.spread_activation(associates, seeds, weight).withColumnRenamed("node", key)
     base = base.join(F.broadcast(boost), key, "left").withColumn("together", F.coalesce("boost", F.lit(1.0))).drop("boost") if boost is not None else base.withColumn("together", F.lit(1.0))
     match = F.when(F.col("lexical").isNotNull() & F.col("semantic").isNotNull(), "lexical+semantic match").when(F.col("semantic").isNotNull(), "semantic match").otherwise("lexical match")

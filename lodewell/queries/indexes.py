@@ -10,7 +10,7 @@ from lodewell.catalog import register
 from lodewell.operators import retrieval as R
 from lodewell.operators import text_index as X
 from lodewell.operators import vector_index as V
-from lodewell.operators.graph import shared_dir
+from lodewell.operators.graph import NODES_SENT, cut, shared_dir
 from lodewell.plans import recall as P
 from lodewell.queries.recall import _BM25, _KNN, _RANKS, lexical, semantic
 from lodewell.sources.tables import NOTES_SQL, notes, table, vectors
@@ -101,10 +101,16 @@ _ASSOCIATES = """baskets AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem
 
 
 def associates(spark, sf_dir):
-    """(a, b, w) both ways: parts of one order, by how many orders have both; an order's parts are few."""
-    baskets = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("p"))
-    pairs = baskets.select("p", F.explode("p").alias("a")).select("a", F.explode("p").alias("b")).where("a <> b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("w"))
+    """Of seeds (node) their (a, b, w): parts of one order with a seed, by how many orders have both. Orders without a seed are left out before any are paired."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+
+    def of(seeds):
+        own = cut(lines.join(F.broadcast(seeds.select(F.col("node").alias("l_partkey"))), "l_partkey", "left_semi").select("l_orderkey", F.col("l_partkey").alias("a")).distinct())
+        sent = F.broadcast(own) if own.count() <= NODES_SENT else own
+        both = lines.join(sent, "l_orderkey").where("a <> l_partkey").select("l_orderkey", "a", F.col("l_partkey").alias("b")).distinct()
+        return both.groupBy("a", "b").agg(F.count("*").alias("w"))
+
+    return of
 
 
 @register(

@@ -327,3 +327,22 @@ def test_rows_meet_centroids_in_small_batches(monkeypatch):
     found = V.nearest_cells(Rows(), np.eye(4), 3)
     assert max(b.num_rows for b in found) == 15 and sum(b.num_rows for b in found) == 300
     assert {i for b in found for i in b.column(0).to_pylist()} == set(range(100))
+
+
+def test_ranker_asks_for_the_associates_of_its_seeds_alone(spark, data):
+    from lodewell.queries.indexes import associates
+
+    baskets = collections.defaultdict(set)
+    for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        baskets[r[0]].add(r[1])
+    seeds = sorted({p for ps in baskets.values() for p in ps})[:2]
+    expected = collections.Counter((a, b) for ps in baskets.values() for a in ps & set(seeds) for b in ps if a != b)
+    got = associates(spark, data)(spark.createDataFrame([(p,) for p in seeds], "node long"))
+    assert {(r["a"], r["b"]): r["w"] for r in got.collect()} == dict(expected) and expected
+    asked = []
+    note = "path string, type string, category string, temperature string, importance string, heat_score double, last_accessed date, related array<string>, content string, validity_alpha double, validity_beta double"
+    notes = spark.createDataFrame([(p, "memory", None, None, None, None, None, None, "x", None, None) for p in "ab"], note)
+    hits = spark.createDataFrame([("a", 1.0, 1, None), ("b", 0.5, 2, None)], "path string, score double, lexical int, semantic int")
+    pairs = spark.createDataFrame([("a", "c", 2)], "a string, b string, w long")
+    found = P.ranked_memories(hits, notes, F.lit("2024-04-01").cast("date"), associates=lambda some: asked.extend(r["node"] for r in some.collect()) or pairs)
+    assert [r["path"] for r in found.orderBy("rank").collect()] == ["a", "b"] and asked == ["a", "b"]
