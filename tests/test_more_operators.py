@@ -283,6 +283,18 @@ def test_nearest_and_first_relevant_match_brute_force(spark):
         assert first == {q: next(k for k, (_, _, x) in enumerate(order[q], 1) if x == label) for q, label, _ in rows}
 
 
+def test_every_vector_is_a_query_of_reciprocal_rank(spark, data):
+    from lodewell import queries  # noqa: F401
+    from lodewell.catalog import QUERIES
+
+    rows = spark.read.parquet(f"{data}/embeddings.parquet")
+    shared = rows.groupBy("label").count().where("count > 1")
+    asked = {r.vec_id for r in rows.join(shared, "label").select("vec_id").collect()}
+    assert {r.query for r in QUERIES["reciprocal_rank"](spark, data).collect()} == asked and any(i % 20 for i in asked)
+    few = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, None, [1.0, 0.0]), (3, 1, [0.0, 1.0]), (4, None, [0.5, 0.5]), (5, 2, [0.0, 1.0])], "vec_id long, label long, embedding array<double>")
+    assert {(r.query, r.place) for r in R.first_relevant(few, few, 2).collect()} == {(1, 3), (3, 3)}  # what has no label is before, but never relevant
+
+
 def test_simhash_matches_brute_force(spark):
     rng = random.Random(8)
     rows = [(i, rng.choices(["a b", "c", "é", "word", "x y"], k=rng.randint(0, 9))) for i in range(40)] + [(40, None)]
