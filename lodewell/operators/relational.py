@@ -106,24 +106,41 @@ def longest_prefix(rows: DataFrame, value: str, prefixes: DataFrame, name: str)
     return hits.groupBy(*keys).agg(F.max_by(name, F.length(name)).alias(name))
 
 
-def shared_item_pairs(rows: DataFrame, key: str, item: str, least: int, most_in_item: int) -> DataFrame:
-    """(a, b, shared): pairs of keys with `least` items in common; items of more than `most_in_item` keys are left out.
+#: Keys of a group that meet in one tile; larger groups are dealt over several.
+TILE_KEYS = 256
+
+
+def shared_item_pairs(rows: DataFrame, key: str, item: str, least: int, most_in_item: int | None = None) -> DataFrame:
+    """(a, b, shared): pairs of keys with `least` items in common; where `most_in_item` is given, items of more keys are left out.
 
     Keys that share two items meet under each pair of these, so keys that share one meet nowhere. Where
     keys have so many items that their pairs are more than the items' pairs of keys, or one item is
     enough, keys meet under items.
     """
     distinct = rows.select(key, item).where(F.col(key).isNotNull() & F.col(item).isNotNull()).distinct()
-    rare = distinct.groupBy(item).agg(F.count("*").alias("n")).where(F.col("n").between(2, most_in_item)).select(item)
+    held = distinct.groupBy(item).agg(F.count("*").alias("n"))
+    rare = held.where(F.col("n") > 1 if most_in_item is None else F.col("n").between(2, most_in_item))
     kept = distinct.join(rare, item)
     if least >= 2:
         kept = cut(kept)
         pairs_of = lambda c: kept.groupBy(c).agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0.0
         if pairs_of(key) <= pairs_of(item):
             return _by_item_pairs(kept, key, item, least)
-    a, b = kept.alias("a"), kept.alias("b")
-    pairs = a.join(b, (F.col(f"a.{item}") == F.col(f"b.{item}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    return pairs.groupBy(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    pairs = _pairs_within(kept.select(item, F.col(key).alias("key"), "n"), [item])
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
+def _pairs_within(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(a, b): the pairs a < b of keys of each group, from rows (by, key, n: the group's size).
+
+    A group of many keys is dealt in blocks by hash; each two blocks meet in a tile of their own, so
+    that no task holds a whole group, nor makes all its pairs.
+    """
+    blocks = F.ceil(F.col("n") / TILE_KEYS).cast("int")
+    dealt = rows.select(*by, "key", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    tiles = dealt.groupBy(*by, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct("key", "own")).alias("keys"))
+    one = tiles.select((F.col("lo") == F.col("hi")).alias("same"), "keys", F.explode("keys").alias("x"))
+    return one.select("same", "x", F.explode("keys").alias("y")).where((F.col("x.key") < F.col("y.key")) & (F.col("same") | (F.col("x.own") != F.col("y.own")))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
 
 
 def _by_item_pairs(kept: DataFrame, key: str, item: str, least: int) -> DataFrame:
@@ -132,9 +149,7 @@ def _by_item_pairs(kept: DataFrame, key: str, item: str, least: int) -> DataFram
     each = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{item}") < F.col(f"b.{item}")))
     each = each.select(F.col(f"a.{item}").alias("i"), F.col(f"b.{item}").alias("j"), F.col(f"a.{key}").alias("key"))
     met = each.withColumn("n", F.count("*").over(Window.partitionBy("i", "j"))).where("n > 1")  # most pairs of items are one key's alone
-    keys = met.groupBy("i", "j").agg(F.collect_list("key").alias("keys"))  # as many as an item may have
-    pairs = keys.select("keys", F.explode("keys").alias("a")).select("a", F.explode("keys").alias("b")).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.round((1 + F.sqrt(1 + 8 * F.count("*"))) / 2).cast("long").alias("shared")).where(F.col("shared") >= least)
+    return _pairs_within(met, ["i", "j"]).groupBy("a", "b").agg(F.round((1 + F.sqrt(1 + 8 * F.count("*"))) / 2).cast("long").alias("shared")).where(F.col("shared") >= least)
 
 
 def drifted(references: DataFrame, current: DataFrame, key: str, kept: str, now: str) -> DataFrame:

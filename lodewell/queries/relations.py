@@ -115,11 +115,11 @@ def longest_prefix_match(spark, sf_dir):
 
 @register(
     "shared_tag_pairs",
-    """WITH t AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), rare AS (SELECT l_partkey FROM t GROUP BY 1 HAVING count(*) <= 60), k AS (SELECT t.* FROM t JOIN rare USING (l_partkey))
-SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared FROM k a JOIN k b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey GROUP BY 1, 2 HAVING count(*) >= 2""",
+    """WITH t AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
+SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared FROM t a JOIN t b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey GROUP BY 1, 2 HAVING count(*) >= 2""",
 )
 def shared_tag_pairs(spark, sf_dir):
-    return R.shared_item_pairs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 2, 60)
+    return R.shared_item_pairs(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 2)
 
 
 @register(

@@ -447,6 +447,23 @@ def test_keys_that_share_two_items_meet_under_pairs_of_items(spark):
     assert {tuple(r) for r in R.shared_item_pairs(many, "k", "i", 2, 12).collect()} == {(0, 1, 40), (0, 2, 40), (1, 2, 40)}
 
 
+def test_items_of_many_keys_still_make_pairs(spark, tmp_path, monkeypatch):
+    from lodewell import queries  # noqa: F401
+    from lodewell.catalog import QUERIES
+    from lodewell.operators import relational as R
+
+    rows = [(k, i) for k in range(70) for i in (1, 2)] + [(3, 9), (100, 1), (101, 9), (101, 3), (3, 3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    expected = {(a, b, 2) for a in range(70) for b in range(a + 1, 70)} | {(3, 101, 2)}
+    assert {tuple(r) for r in QUERIES["shared_tag_pairs"](spark, str(tmp_path)).collect()} == expected
+    monkeypatch.setattr(R, "TILE_KEYS", 16)  # groups of several blocks
+    frame = spark.createDataFrame(rows, "k long, i long")
+    assert [sorted(map(tuple, R.shared_item_pairs(frame, "k", "i", n).collect())) for n in (1, 2)] == [
+        sorted(expected | {(a, 100, 1) for a in range(70)}),
+        sorted(expected),
+    ]
+
+
 def test_rules_of_entities_search_only_texts_that_have_what_they_need():
     import re
 
