@@ -378,6 +378,20 @@ def test_contradictions_of_equal_memories_are_found_by_class(spark):
     assert pairs["two"].select("key").distinct().count() >= pairs["one"].select("key").distinct().count()
 
 
+def test_contradictions_in_tiles_are_those_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = ["the server listens on port eighty", "nobody can reach it any longer", "port eighty", "", None]
+    vectors = lambda: rng.choice([[1.0, rng.choice([0.0, 0.1, 0.4, 3.0])], [rng.random(), rng.random()], [1.0], [0.0, 0.0], [1.0, None], [float("nan"), 1.0], None])
+    new, cosine = "key % 3 = 0", R.cosine(F.col("n.v"), F.col("k.v"))
+    for paths in (40, 10**6):  # some paths several times, and none
+        rows = [(i, f"p{rng.randrange(paths)}", rng.choice(["Acme", "acme ", "Beta", None]), rng.choice(texts), vectors()) for i in range(120)]
+        known = spark.createDataFrame(rows, "key long, path string, entity string, text string, v array<double>")
+        expected = sorted((r["key"], r.path, str(r.score)) for r in K.contradictions(known.where(new), known, cosine).collect())
+        for name, n in (("TILE_ASKED", 7), ("TILE_TOLD", 11), ("TILE_PAIRS", 30)):  # several tiles and steps
+            monkeypatch.setattr(K, name, n)
+        assert sorted((r["key"], r.path, str(r.score)) for r in K.contradictions(known.where(new), known, "v").collect()) == expected and expected
+
+
 def test_potential_conflicts_within_a_group_are_those_of_all_hits(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice("xy"), f"p{i % 37}", rng.choice(["Old bolt", "old bolts", "a ring", None]), rng.choice([["a"], ["b", "a"], [], None]), rng.choice(["fact", "decision", "plan"]), rng.choice(["memory", "note"])) for i in range(80)]
