@@ -70,6 +70,13 @@ def test_overlap_pairs_of_families_are_exact_and_common_items_bring_no_pair(spar
     assert len(filed) == 30 * 13 and not {r.signature for r in filed} & set(common)
 
 
+def test_no_row_holds_the_sets_or_the_pairs_of_a_tile(spark):
+    sets = [(i, [*range(30), 100 + i]) for i in range(25)]  # each alike to each other
+    found = X.overlap_pairs(spark.createDataFrame(sets, "id long, items array<long>"), "id", 0.85)
+    assert {(r.a, r.b) for r in found.collect()} == {(i, j) for i in range(25) for j in range(i + 1, 25)}
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_overlap_and_edit_pairs_match_brute_force(spark):
     rng = random.Random(1)
     sets = [(i, rng.sample("abcdefghij", rng.randint(0, 6))) for i in range(40)]
