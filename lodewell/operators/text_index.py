@@ -85,17 +85,58 @@ def _each(fields: list[str]) -> Column:
 
 
 def _blocks(docs: DataFrame, fields: list[str], parts: int) -> DataFrame:
-    """The blocks of documents (key, len, terms, tf) in `parts` parts: documents are shuffled once, with their words together, and a part's postings meet within its task."""
-    dealt = docs.select("key", "len", "terms", "tf", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part")).repartitionById(parts, "part")
-    postings = dealt.select("part", "key", "len", _each(fields).alias("e")).select("part", "e.term", F.struct("key", F.array(*[F.col(f"e.t{i}") for i in range(len(fields))]).alias("tf"), "len").alias("d"))
-    lists = postings.groupBy("part", "term").agg(F.collect_list("d").alias("all"))
-    some = lists.select("part", "term", "all", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / BLOCK).cast("int"))).alias("k"))
-    cut = some.select("term", F.shiftleft(F.col("part").cast("long"), 32).bitwiseOR(F.col("k")).alias("block"), F.slice("all", F.col("k") * BLOCK + 1, BLOCK).alias("docs"))
-    tf = lambda i: F.transform("docs", lambda d: F.get(d["tf"], F.lit(i)))
-    held = lambda i: F.transform("docs", lambda d: F.when(F.get(d["tf"], F.lit(i)) > 0, F.get(d["len"], F.lit(i))))
-    most = F.array(*[F.array_max(tf(i)) for i in range(len(fields))])
-    least = F.array(*[F.array_min(held(i)) for i in range(len(fields))])
-    return cut.select("term", "block", F.size("docs").cast("long").alias("n"), most.alias("most"), least.alias("least"), "docs")
+    """The blocks of documents (key, len, terms, tf) in `parts` parts: documents are shuffled once, with their words together, and a part's postings are sorted within its task, as arrays."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    size, width, none = BLOCK, len(fields), np.iinfo(np.int32).max
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        part, keys, lens, terms, tf = (c.chunk(0) for c in pa.Table.from_batches(held).combine_chunks().columns)
+        count = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+        of, start = np.repeat(np.arange(len(count)), count), np.cumsum(count) - count
+        if not len(of):
+            return
+        at = width * start[of] + np.arange(len(of)) - start[of]  # frequencies lie by document, field and term
+        flat = tf.flatten().flatten().to_numpy()
+        times = np.stack([flat[at + i * count[of]] for i in range(width)], axis=1)
+        names = terms.flatten().dictionary_encode()
+        sorted_names = pc.sort_indices(names.dictionary).to_numpy()
+        rank = np.empty(len(sorted_names), np.int64)
+        rank[sorted_names] = np.arange(len(rank))
+        rank, part = rank[names.indices.to_numpy()], part.to_numpy().astype(np.int64)[of]
+        order = np.lexsort((of, part, rank))
+        of, times, rank, part = of[order], times[order], rank[order], part[order]
+        new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (part[1:] != part[:-1])])
+        place = np.arange(len(of)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        first = np.flatnonzero(place % size == 0)
+        bounds = np.append(first, len(of))
+        long = lens.flatten().fill_null(0).to_numpy().reshape(-1, width)[of]
+        most = np.maximum.reduceat(times, first, axis=0).ravel()
+        least = np.minimum.reduceat(np.where(times > 0, long, none), first, axis=0).ravel()
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, width), pa.int32()), values)
+        for lo in range(0, len(first), 4096):  # blocks of a batch
+            some = slice(lo, min(lo + 4096, len(first)))
+            begin, end, ends = bounds[lo], bounds[some.stop], slice(some.start * width, some.stop * width)
+            mine = pa.array(of[begin:end])
+            each = pa.StructArray.from_arrays([keys.take(mine), lists(pa.array(times[begin:end].ravel(), pa.int32())), lens.take(mine)], names=["key", "tf", "len"])
+            columns = [
+                names.dictionary.take(pa.array(sorted_names[rank[first[some]]])),
+                pa.array(part[first[some]] << 32 | place[first[some]] // size),
+                pa.array(np.diff(bounds[lo : some.stop + 1])),
+                lists(pa.array(most[ends], pa.int32())),
+                lists(pa.array(least[ends], pa.int32(), mask=least[ends] == none)),
+                pa.ListArray.from_arrays(pa.array(bounds[lo : some.stop + 1] - begin, pa.int32()), each),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "most", "least", "docs"])
+
+    dealt = docs.select(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), "key", "len", "terms", "tf").repartitionById(parts, "part")
+    kind = dict(docs.dtypes)["key"]
+    return dealt.mapInArrow(run, f"term string, block long, n long, most array<int>, least array<int>, docs array<struct<key: {kind}, tf: array<int>, len: array<int>>>")
 
 
 def _write_postings(spark: SparkSession, path: str, number: int, fields: list[str]) -> None:

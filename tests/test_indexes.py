@@ -346,3 +346,10 @@ def test_ranker_asks_for_the_associates_of_its_seeds_alone(spark, data):
     pairs = spark.createDataFrame([("a", "c", 2)], "a string, b string, w long")
     found = P.ranked_memories(hits, notes, F.lit("2024-04-01").cast("date"), associates=lambda some: asked.extend(r["node"] for r in some.collect()) or pairs)
     assert [r["path"] for r in found.orderBy("rank").collect()] == ["a", "b"] and asked == ["a", "b"]
+
+
+def test_postings_of_a_part_are_sorted_as_arrays(spark):
+    docs = spark.createDataFrame([("p", [2, None], ["x", "y"], [[1, 1], [0, 0]]), ("q", [0, 2], ["y"], [[0], [2]])], "key string, len array<int>, terms array<string>, tf array<array<int>>")
+    blocks = X._blocks(docs, ["a", "b"], 1)
+    assert [(r.term, r.block, r.n, r.most, r.least, sorted(d.key for d in r.docs)) for r in blocks.collect()] == [("x", 0, 1, [1, 0], [2, None], ["p"]), ("y", 0, 2, [1, 2], [2, 2], ["p", "q"])]
+    assert "collect_list" not in blocks._jdf.queryExecution().optimizedPlan().toString()
